@@ -48,8 +48,8 @@ class Index:
     options: dict = field(default_factory=dict)
 
     @classmethod
-    def build(cls, spark: SparkSession, folder: str, documents: DataFrame, vectors: DataFrame, name: str = "default", metric: str = "cosine", hybrid: bool = True, hub_percentile: float | None = None) -> Index:
-        """Writes an index; with ``hub_percentile`` only the vectors of well-linked documents are stored."""
+    def build(cls, spark: SparkSession, folder: str, documents: DataFrame, vectors: DataFrame, name: str = "default", metric: str = "cosine", hybrid: bool = True, hub_percentile: float | None = None, links: int = 32) -> Index:
+        """Writes an index; with ``hub_percentile`` only the vectors of documents with many incoming links are stored."""
         dims = knn.dimension_check(vectors.withColumnRenamed("vec", "embedding")).first()
         if not dims.n_rows:
             raise ValueError("an index needs at least one document")
@@ -59,8 +59,9 @@ class Index:
         kept = vectors.select(F.col("id").cast("long"), F.col("vec").cast("array<float>"))
         if hub_percentile is not None:
             nodes = kept.select(F.col("id").alias("vec_id"), F.col("vec").alias("embedding"))
-            edges = graph.prune_neighbours(graph.window_edges(nodes, 32, metric), 32)
-            hubs = graph.hubs(graph.degrees(nodes, edges), hub_percentile, entry_point=0)
+            edges = graph.prune_neighbours(graph.window_edges(nodes, links, metric), links)
+            incoming = edges.select("layer", F.col("dst").alias("src"), F.col("src").alias("dst"), "distance")
+            hubs = graph.hubs(graph.degrees(nodes, incoming), hub_percentile, min(10, links), entry_point=0)
             kept = graph.compact(kept, hubs, "id", "vec")
             edges.write.mode("overwrite").parquet(f"{folder}/edges")
         kept.write.mode("overwrite").parquet(f"{folder}/vectors")
