@@ -35,7 +35,10 @@ NAMES = {
     "accountkey": 0.8, "sharedkey": 0.8, "credential": 0.7, "credentials": 0.7, "auth": 0.5, "authorization": 0.6, "bearer": 0.7, "clientsecret": 0.9, "connectionstring": 0.6, "dsn": 0.4, "salt": 0.4, "key": 0.3, "cookie": 0.4, "session": 0.3,
 }
 _MARK = re.compile(r":=|=>|(?<![=!<>+\-*/%&|^~:])=(?![=>~])|:(?![:/=])|<(?=[A-Za-z_])")
-_NAME = re.compile(r"(?:([A-Za-z_$][\w$]*(?:[.\-][A-Za-z_$][\w$]*)*)|[\[{(,]?\s*([\"'`])([A-Za-z_][\w .\-]{0,80})\2\]?)\s*(?::\s*[A-Za-z_][\w.<>\[\], |?]{0,40}\s*)?[?!+]?\s*\Z")
+_KEY = r"(?:([A-Za-z_$][\w$]*(?:[.\-][A-Za-z_$][\w$]*)*)|[\[{(,]?\s*([\"'`])([A-Za-z_][\w .\-]{0,80})\2\]?)[ \t]*"
+_NAME = re.compile(_KEY + r"[?!+]?[ \t]*\Z")
+#: Before ``=`` a type may stand after the name.
+_TYPED = re.compile(_KEY + r"[?!]?:[ \t]*[A-Za-z_][\w.<>\[\], |?]{0,40}[ \t]*\Z")
 _SPACE = re.compile(r"[ \t]*(?:\\\r?\n[ \t]*)?")
 _TERM = re.compile(r"(?P<prefix>[rRbBfFuU]{0,2})(?P<q>\"\"\"|'''|\"|'|`)|\$\{(?P<ref>[A-Za-z_][\w.]*)(?::?-(?P<dflt>[^}]*))?\}|\$(?P<env>[A-Za-z_]\w*)|(?P<bare>[^\s,;\"'`<>(){}\[\]]+)")
 _JOIN = re.compile(r"[ \t]*(?:\\?\r?\n[ \t]*)?(?:\+|\.\.|&(?!&))[ \t]*(?:\\?\r?\n[ \t]*)?")
@@ -110,7 +113,7 @@ def _expression(text: str, at: int, known: dict[str, str]) -> tuple[str, int, in
             if word in known:
                 parts.append(known[word])
                 sure = True
-            elif parts:
+            elif parts or text[at : at + 1] in ("(", "["):  # a call or an index is no literal
                 break
             else:
                 parts.append(_INNER.sub(lambda x: known.get(x[1] or x[2], x[0]), word.rstrip(".,;") if word[-1:] in ".,;" else word))
@@ -141,8 +144,8 @@ def scan(text: str, threshold: float = THRESHOLD) -> list[tuple[int, int, str, s
                 continue
             name, got = x[1], (x[2].strip(), x.start(2), x.end(2), True)
         else:
-            before = text[max(0, at - 160) : at]
-            n = _NAME.search(before)
+            before = text[max(0, at - 160, text.rfind("\n", 0, at) + 1) : at]
+            n = (m[0] == "=" and _TYPED.search(before)) or _NAME.search(before)
             if n is None:
                 continue
             name = n[1] or n[3]
