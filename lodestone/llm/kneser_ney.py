@@ -31,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,11 +40,26 @@ from . import scratch
 from .tokens import batches, column, spread, tokenise_sliced
 
 VOCABULARY, QUANTILE, SHARDS = 65_000, 0.99, 32
-BATCH_BYTES = 8_000_000
+BATCH_BYTES = 5_000_000
 #: Labels are sent to all executors up to this many ids; beyond it they are joined by a shuffle.
 BROADCAST_IDS = 4_000_000
 
 
+def _squeeze(values: np.ndarray, rising: bool = False) -> bytes:
+    """Integers as bytes, plane by plane, compressed; rising ones as differences."""
+    if rising:
+        values = np.diff(values, prepend=values.dtype.type(0))
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T)
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def _loose(data: bytes, kind: type, rising: bool = False) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(width, -1)
+    values = np.ascontiguousarray(planes.T).view(kind).ravel()
+    return np.cumsum(values, dtype=kind) if rising else values
+
+
 def _counts(toks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     values, counts = np.unique(toks, return_counts=True)
     return values, counts.astype(np.int64)
@@ -63,15 +79,19 @@ _PAIR = pa.schema([("shard", pa.int32()), ("k", pa.binary()), ("c", pa.binary())
 PAIR = "shard int, k binary, c binary"
 
 
+def _capped(counts: np.ndarray) -> np.ndarray:
+    return np.minimum(counts, 2**32 - 1).astype(np.uint32)
+
+
 def _cut(keys: np.ndarray, counts: np.ndarray, part: np.ndarray, names: np.ndarray) -> pa.RecordBatch:
     """Keys (already in order of part) and counts as one row for each part."""
     cut = np.searchsorted(part, np.arange(len(names) + 1))
-    rows = [(int(names[f]), keys[x:y].tobytes(), np.minimum(counts[x:y], 2**32 - 1).astype(np.uint32).tobytes()) for f, (x, y) in enumerate(zip(cut[:-1], cut[1:])) if y > x]
+    rows = [(int(names[f]), _squeeze(keys[x:y], True), _squeeze(_capped(counts[x:y]))) for f, (x, y) in enumerate(zip(cut[:-1], cut[1:])) if y > x]
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_PAIR)], schema=_PAIR)
 
 
 def _summed(table: pa.Table, kind: type) -> tuple[np.ndarray, np.ndarray]:
-    return _runs_sum([np.frombuffer(x, kind) for x in table.column("k").to_pylist()], [np.frombuffer(x, np.uint32).astype(np.int64) for x in table.column("c").to_pylist()])
+    return _runs_sum([_loose(x, kind, True) for x in table.column("k").to_pylist()], [_loose(x, np.uint32).astype(np.int64) for x in table.column("c").to_pylist()])
 
 
 def _send_words(parts: Iterator[pa.RecordBatch], names: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -92,21 +112,21 @@ def _send_words(parts: Iterator[pa.RecordBatch], names: np.ndarray) -> Iterator[
 def _word_shard(table: pa.Table) -> pa.Table:
     k, c = _summed(table, np.uint64)
     shard = table.column("shard")[0].as_py()
-    return pa.table([pa.array([shard], pa.int32()), pa.array([k.tobytes()], pa.binary()), pa.array([np.minimum(c, 2**32 - 1).astype(np.uint32).tobytes()], pa.binary())], schema=_PAIR)
+    return pa.table([pa.array([shard], pa.int32()), pa.array([_squeeze(k, True)], pa.binary()), pa.array([_squeeze(_capped(c))], pa.binary())], schema=_PAIR)
 
 
 def _histogram(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in parts:
         for x in part.column("c").to_pylist():
-            v, n = _counts(np.frombuffer(x, np.uint32))
+            v, n = _counts(_loose(x, np.uint32))
             yield pa.RecordBatch.from_arrays([pa.array(v.astype(np.int64)), pa.array(n)], names=["v", "n"])
 
 
 def _frequent(parts: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     for part in parts:
         for k, c in zip(part.column("k").to_pylist(), part.column("c").to_pylist()):
-            keep = np.frombuffer(c, np.uint32) >= least
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(k, np.uint64)[keep].view(np.int64))], names=["w"])
+            keep = _loose(c, np.uint32) >= least
+            yield pa.RecordBatch.from_arrays([pa.array(_loose(k, np.uint64, True)[keep].view(np.int64))], names=["w"])
 
 
 def ids_of(tok: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
@@ -154,7 +174,7 @@ def _bigram_shard(table: pa.Table, size: int) -> pa.Table:
         np.add.at(by_v[i], v[(c == i) if i < 3 else (c >= 3)], 1)
     by_w = np.bincount(w, minlength=size).astype(np.int64)
     nn = np.array([(c == i).sum() for i in (1, 2, 3, 4)], np.int64)
-    row = [table.column("shard")[0].as_py(), k.tobytes(), np.minimum(c, 2**32 - 1).astype(np.uint32).tobytes(), by_v.tobytes(), by_w.tobytes(), nn.tobytes()]
+    row = [table.column("shard")[0].as_py(), _squeeze(k, True), _squeeze(_capped(c)), _squeeze(by_v.ravel()), _squeeze(by_w), nn.tobytes()]
     return pa.table([pa.array([x], f.type) for x, f in zip(row, _STATS)], schema=_STATS)
 
 
@@ -208,8 +228,8 @@ def train(trusted: DataFrame, vocabulary_size: int = VOCABULARY, shards: int = S
     table = scratch.written(table, "bigrams")
     by_v, by_w, nn = np.zeros((4, size), np.int64), np.zeros(size, np.int64), np.zeros(4, np.int64)
     for r in table.select("v", "w", "nn").toLocalIterator():
-        by_v += np.frombuffer(r.v, np.int64).reshape(4, size)
-        by_w += np.frombuffer(r.w, np.int64)
+        by_v += _loose(r.v, np.int64).reshape(4, size)
+        by_w += _loose(r.w, np.int64)
         nn += np.frombuffer(r.nn, np.int64)
     return table, Model(vocabulary, by_v, by_w, nn)
 
@@ -249,34 +269,19 @@ def _documents(table: pa.Table) -> tuple[bytes, bytes]:
     return ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).tobytes() + known.tobytes() + np.asarray(column(table, "trusted").fill_null(False)).tobytes(), "\0".join("" if x is None else "=" + x for x in column(table, "lang").to_pylist()).encode()
 
 
-def _squeeze(values: np.ndarray) -> bytes:
-    import zstandard
-
-    return zstandard.ZstdCompressor(level=1).compress(values.tobytes())
-
-
-def _loose(data: bytes, kind: type) -> np.ndarray:
-    import zstandard
-
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
-
-
 def _packed(key: np.ndarray, row: np.ndarray, times: np.ndarray) -> tuple[bytes, bytes, bytes]:
     """Distinct bigrams as differences with their numbers of documents; the documents; how often in each."""
     new = np.concatenate([[True], key[1:] != key[:-1]])
     at = np.flatnonzero(new)
     many = np.diff(np.append(at, len(key)))
-    words = np.concatenate([np.diff(key[at], prepend=0), many]).astype(np.int64)
-    planes = np.ascontiguousarray(words.view(np.uint8).reshape(-1, 8).T)
-    wide = np.uint16 if row[-1] < 65_536 and row.max() < 65_536 else np.uint32
-    return _squeeze(planes), wide().nbytes.to_bytes(1, "little") + row.astype(wide).tobytes(), _squeeze(times.astype(np.uint32))
+    wide = np.uint16 if row.max() < 65_536 else np.uint32
+    return _squeeze(np.concatenate([np.diff(key[at], prepend=0), many])), wide().nbytes.to_bytes(1, "little") + _squeeze(row.astype(wide)), _squeeze(times.astype(np.uint32))
 
 
 def _unpacked(a: bytes, b: bytes, c: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    planes = _loose(a, np.uint8).reshape(8, -1)
-    words = np.ascontiguousarray(planes.T).view(np.int64).ravel()
+    words = _loose(a, np.int64)
     half = len(words) // 2
-    return np.cumsum(words[:half]), words[half:], np.frombuffer(b, np.uint16 if b[0] == 2 else np.uint32, offset=1), _loose(c, np.uint32)
+    return np.cumsum(words[:half]), words[half:], _loose(b[1:], np.uint16 if b[0] == 2 else np.uint32), _loose(c, np.uint32)
 
 
 _SUMS = pa.schema([("uid", pa.int64()), ("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
@@ -287,8 +292,8 @@ def _scored(sent: pa.Table, table: pa.Table, model: Model) -> pa.Table:
     """The sums of delta over each document's bigrams that fall into one shard."""
     out = []
     rows = table.to_pylist()
-    k = np.frombuffer(rows[0]["k"], np.int64) if rows else np.zeros(0, np.int64)
-    delta = model.delta(k, np.frombuffer(rows[0]["c"], np.uint32).astype(np.int64)) if rows else np.zeros(0)
+    k = _loose(rows[0]["k"], np.int64, True) if rows else np.zeros(0, np.int64)
+    delta = model.delta(k, _loose(rows[0]["c"], np.uint32).astype(np.int64)) if rows else np.zeros(0)
     for r in sent.to_pylist():
         if r["kind"] == 0:
             out.append((r["uid"], 0, r["a"], r["b"], r["c"]))

@@ -166,7 +166,7 @@ def spread(n: int, parts: int) -> np.ndarray:
     return np.array([pools[i % parts][i // parts] for i in range(n)], np.int32)
 
 
-def tokenise_sliced(texts: pa.Array, symbols: bool = False, step: int = 2_000_000) -> tuple[np.ndarray, np.ndarray]:
+def tokenise_sliced(texts: pa.Array, symbols: bool = False, step: int = 1_000_000) -> tuple[np.ndarray, np.ndarray]:
     """``(hash, row)`` as from `tokenise`, in slices that bound its memory."""
     lengths = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
     cuts = np.unique(np.concatenate([[0], np.flatnonzero(np.diff(np.cumsum(lengths) // step)) + 1, [len(texts)]])).astype(int)
