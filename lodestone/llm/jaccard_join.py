@@ -35,12 +35,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import scratch
-from .tokens import batches, column, grams, mix, spread, tokenise_sliced
+from .tokens import batches, column, grams, mix, spread, tokenise_sliced, trimmed
 
 N, THRESHOLD = 3, 0.5
-BATCH_BYTES = 8_000_000
+BATCH_BYTES = 5_000_000
+#: Incidences that a fragment looks at together; larger ones are taken in slices.
+SLICE = 1_000_000
+#: Ids up to this number are sent to all executors when documents are dropped; beyond it they are joined by a shuffle.
+BROADCAST_IDS = 4_000_000
 #: Fragments of the second exchange are larger, as about one n-gram in six is left.
-COARSER = 12
+COARSER = 8
 
 PACKED = "frag int, uid long, kind int, a binary, b binary, c binary"
 _PACKED = pa.schema([("frag", pa.int32()), ("uid", pa.int64()), ("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
@@ -75,24 +79,28 @@ def _needed(size: np.ndarray, t: float) -> np.ndarray:
 def _send(parts: Iterator[pa.RecordBatch], n: int, frags: int, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
     task = TaskContext.get().partitionId()
     for seq, table in enumerate(batches(parts, "t", BATCH_BYTES)):
-        tok, row = tokenise_sliced(column(table, "t"))
-        g, d = grams(tok, row, n)
-        order = np.argsort(g, kind="stable")
-        g, d = g[order], d[order]
-        keep = np.ones(len(g), bool)
-        keep[1:] = (g[1:] != g[:-1]) | (d[1:] != d[:-1])
-        g, d = g[keep], d[keep]
-        ids = column(table, "id").to_numpy(zero_copy_only=False).astype(np.int64)
-        sig = np.zeros(len(ids), np.uint64)
-        np.add.at(sig, d, mix(g + np.uint64(1)))
-        size = np.bincount(d, minlength=len(ids)).astype(np.int32)
-        uid = int(mix(np.array([task * 1_000_003 + seq], np.uint64) ^ np.add.reduce(sig * np.arange(1, 2 * len(sig), 2, dtype=np.uint64)))[0].astype(np.int64))
-        wide = np.uint32 if len(ids) > 65_535 else np.uint16
-        part = ((g >> np.uint64(40)) * np.uint64(frags)) >> np.uint64(24)
-        cut = np.searchsorted(part, np.arange(frags + 1))
-        rows = [(int(keys[uid % frags]), uid, 0, ids.tobytes(), sig.tobytes(), size.tobytes())]
-        rows += [(int(keys[f]), uid, 1, d[x:y].astype(wide).tobytes(), _short(g[x:y], 5), np.array([f, wide().nbytes], np.int32).tobytes()) for f, (x, y) in enumerate(zip(cut[:-1], cut[1:])) if y > x]
-        yield _pack(rows)
+        yield _sent(table, task * 1_000_003 + seq, n, frags, keys)
+
+
+def _sent(table: pa.Table, place: int, n: int, frags: int, keys: np.ndarray) -> pa.RecordBatch:
+    g, d = grams(*tokenise_sliced(column(table, "t")), n)
+    order = np.argsort(g, kind="stable")
+    g, d = g[order], d[order]
+    del order
+    keep = np.ones(len(g), bool)
+    keep[1:] = (g[1:] != g[:-1]) | (d[1:] != d[:-1])
+    g, d = g[keep], d[keep]
+    ids = column(table, "id").to_numpy(zero_copy_only=False).astype(np.int64)
+    sig = np.zeros(len(ids), np.uint64)
+    np.add.at(sig, d, mix(g + np.uint64(1)))
+    size = np.bincount(d, minlength=len(ids)).astype(np.int32)
+    uid = int(mix(np.array([place], np.uint64) ^ np.add.reduce(sig * np.arange(1, 2 * len(sig), 2, dtype=np.uint64)))[0].astype(np.int64))
+    wide = np.uint32 if len(ids) > 65_535 else np.uint16
+    part = ((g >> np.uint64(40)) * np.uint64(frags)) >> np.uint64(24)
+    cut = np.searchsorted(part, np.arange(frags + 1))
+    rows = [(int(keys[uid % frags]), uid, 0, ids.tobytes(), sig.tobytes(), size.tobytes())]
+    rows += [(int(keys[f]), uid, 1, d[x:y].astype(wide).tobytes(), _short(g[x:y], 5), np.array([f, wide().nbytes], np.int32).tobytes()) for f, (x, y) in enumerate(zip(cut[:-1], cut[1:])) if y > x]
+    return _pack(rows)
 
 
 def _shared(table: pa.Table) -> pa.Table:
@@ -158,26 +166,35 @@ def _active(table: pa.Table, t: float, frags: int, coarse: int, keys: np.ndarray
     return pa.Table.from_batches([_pack(out)])
 
 
-def _postings(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Signatures and sizes of a fragment's records, sorted; distinct (n-gram, record) in order of n-gram."""
-    sigs, sizes, recs, gs = [], [], [], []
-    base = 0
+def _records(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Signatures (sorted) and sizes of a fragment's records, and each row's places among them."""
+    sigs, sizes = [], []
     for r in rows:
         both = np.frombuffer(r["a"], np.uint64)
-        half = len(both) // 2
-        sigs.append(both[:half])
-        sizes.append(both[half:].astype(np.int64))
-        recs.append(np.frombuffer(r["c"], np.uint32).astype(np.int64) + base)
-        gs.append(_long(r["b"], 7))
-        base += half
-    sig, size, rec, g = (np.concatenate(x) for x in (sigs, sizes, recs, gs))
-    sig, first, where = np.unique(sig, return_index=True, return_inverse=True)
-    size, rec = size[first], where[rec]
-    order = np.lexsort((rec, g))
-    g, rec = g[order], rec[order]
-    keep = np.ones(len(g), bool)
-    keep[1:] = (g[1:] != g[:-1]) | (rec[1:] != rec[:-1])
-    return sig, size, g[keep], rec[keep]
+        sigs.append(both[: len(both) // 2])
+        sizes.append(both[len(both) // 2 :].astype(np.int64))
+    sig, first = np.unique(np.concatenate(sigs), return_index=True)
+    return sig, np.concatenate(sizes)[first], [np.searchsorted(sig, x).astype(np.int32) for x in sigs]
+
+
+def _slices(rows: list[dict], places: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Distinct ``(n-gram, record)`` in order of n-gram, a slice of the n-grams at a time."""
+    count = max(1, -(-sum(len(r["b"]) // 7 for r in rows) // SLICE))
+    for k in range(count):
+        gs, recs = [], []
+        for r, place in zip(rows, places):
+            g, rec = _long(r["b"], 7), np.frombuffer(r["c"], np.uint32)
+            if count > 1:
+                mine = g % np.uint64(count) == k
+                g, rec = g[mine], rec[mine]
+            gs.append(g)
+            recs.append(place[rec])
+        g, rec = np.concatenate(gs), np.concatenate(recs)
+        order = np.lexsort((rec, g))
+        g, rec = g[order], rec[order]
+        keep = np.ones(len(g), bool)
+        keep[1:] = (g[1:] != g[:-1]) | (rec[1:] != rec[:-1])
+        yield g[keep], rec[keep]
 
 
 _PAIRS = pa.schema([("x", pa.int64()), ("y", pa.int64())])
@@ -185,86 +202,77 @@ _PAIRS = pa.schema([("x", pa.int64()), ("y", pa.int64())])
 
 def _candidates(table: pa.Table, t: float) -> pa.Table:
     rows = table.select(["a", "b", "c"]).to_pylist()
-    sig, size, g, rec = _postings(rows)
-    at, many = _runs(g)
-    found, held, total = [], 0, len(sig)
-
-    def distinct(parts: list[np.ndarray]) -> np.ndarray:
-        return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.int64)
-
-    few = many <= 64
-    for k in np.unique(many[few & (many > 1)]):
-        starts = at[many == k]
-        left, right = np.triu_indices(k, 1)
-        step = max(1, 2_000_000 // len(left))
-        for i in range(0, len(starts), step):
-            block = rec[starts[i : i + step, None] + np.arange(k)]
-            x, y = block[:, left].ravel(), block[:, right].ravel()
-            ok = np.minimum(size[x], size[y]) >= t * np.maximum(size[x], size[y]) - 1e-9
-            found.append(x[ok] * total + y[ok])
-            held += len(found[-1])
-            if held > 4_000_000:
-                found = [distinct(found)]
-                held = 0
-    for s, k in zip(at[~few], many[~few]):
-        own = rec[s : s + k]
-        for i in range(0, k, max(1, 1_000_000 // k)):
-            mine = own[i : i + max(1, 1_000_000 // k)]
-            x, y = np.repeat(mine, k), np.tile(own, len(mine))
-            ok = (x < y) & (np.minimum(size[x], size[y]) >= t * np.maximum(size[x], size[y]) - 1e-9)
-            found.append(x[ok] * total + y[ok])
-            held += len(found[-1])
-            if held > 4_000_000:
-                found = [distinct(found)]
-                held = 0
-    pairs = distinct(found)
+    sig, size, places = _records(rows)
+    found: list[np.ndarray] = []
+    held, total = 0, len(sig)
+
+    def note(x: np.ndarray, y: np.ndarray) -> None:
+        nonlocal found, held
+        ok = (x < y) & (np.minimum(size[x], size[y]) >= t * np.maximum(size[x], size[y]) - 1e-9)
+        found.append(np.unique(x[ok].astype(np.int64) * total + y[ok]))
+        held += len(found[-1])
+        if held > 2_000_000:
+            found, held = [np.unique(np.concatenate(found))], 0
+
+    for g, rec in _slices(rows, places):
+        at, many = _runs(g)
+        few = many <= 64
+        for k in np.unique(many[few & (many > 1)]):
+            starts = at[many == k]
+            left, right = np.triu_indices(k, 1)
+            step = max(1, 500_000 // len(left))
+            for i in range(0, len(starts), step):
+                block = rec[starts[i : i + step, None] + np.arange(k)]
+                note(block[:, left].ravel(), block[:, right].ravel())
+        for s, k in zip(at[~few], many[~few]):
+            own, step = rec[s : s + k], max(1, 500_000 // k)
+            for i in range(0, k, step):
+                mine = own[i : i + step]
+                note(np.repeat(mine, k), np.tile(own, len(mine)))
+    pairs = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
     return pa.table({"x": sig[pairs // max(total, 1)].view(np.int64), "y": sig[pairs % max(total, 1)].view(np.int64)}, schema=_PAIRS)
 
 
-_COUNTS = pa.schema([("x", pa.int64()), ("y", pa.int64()), ("sizes", pa.int64()), ("shared", pa.int64())])
+_COUNTS = pa.schema([("x", pa.int64()), ("y", pa.int64()), ("sizes", pa.int32()), ("shared", pa.int32())])
 
 
 def _overlaps(segments: pa.Table, wanted: pa.Table) -> pa.Table:
     """Partial overlaps of the candidates, from one fragment alone."""
     if not segments.num_rows or not wanted.num_rows:
         return _COUNTS.empty_table()
-    sig, size, g, rec = _postings(segments.select(["a", "b", "c"]).to_pylist())
-    order = np.argsort(rec, kind="stable")
-    g, rec = g[order], rec[order]
-    _, g = np.unique(g, return_inverse=True)
-    cut = np.searchsorted(rec, np.arange(len(sig) + 1))
-    width = np.diff(cut)
-    span = int(g.max()) + 1
-    key = rec.astype(np.int64) * span + g
+    rows = segments.select(["a", "b", "c"]).to_pylist()
+    sig, size, places = _records(rows)
     xs, ys = (column(wanted, c).to_numpy().view(np.uint64) for c in ("x", "y"))
     x, y = np.searchsorted(sig, xs), np.searchsorted(sig, ys)
     here = (x < len(sig)) & (y < len(sig))
     here[here] = (sig[x[here]] == xs[here]) & (sig[y[here]] == ys[here])
-    x, y, xs, ys = x[here], y[here], xs[here], ys[here]
-    swap = width[x] > width[y]
-    small, large = np.where(swap, y, x), np.where(swap, x, y)
-    by = np.argsort(large, kind="stable")
-    small, large, x, y, xs, ys = (v[by] for v in (small, large, x, y, xs, ys))
-    shared = np.zeros(len(x), np.int64)
-    seen = np.zeros(span, bool)
-    at, many = _runs(large)
-    for s, k in zip(at, many):  # one record against all its partners
-        one = g[cut[large[s]] : cut[large[s] + 1]]
-        if k == 1:
-            lo = cut[small[s]]
-            other = g[lo : lo + width[small[s]]]
-            shared[s] = np.isin(other, one, assume_unique=True).sum()
-            continue
-        seen[one] = True
-        for i in range(s, s + k, 2000):
-            part = small[i : min(i + 2000, s + k)]
-            w = width[part]
-            where = np.repeat(cut[part] - np.concatenate([[0], np.cumsum(w)[:-1]]), w) + np.arange(w.sum())
-            hits = seen[g[where]]
-            shared[i : i + len(part)] = np.add.reduceat(hits, np.concatenate([[0], np.cumsum(w)[:-1]]), dtype=np.int64)
-        seen[one] = False
-    del key
-    return pa.table({"x": xs.view(np.int64), "y": ys.view(np.int64), "sizes": size[x] + size[y], "shared": shared}, schema=_COUNTS)
+    x, y = x[here].astype(np.int32), y[here].astype(np.int32)
+    order = np.lexsort((y, x))
+    x, y = x[order], y[order]
+    shared = np.zeros(len(x), np.int32)
+    at, many = _runs(x)
+    for g, rec in _slices(rows, places):
+        order = np.argsort(rec, kind="stable")
+        rec, g = rec[order], np.unique(g, return_inverse=True)[1][order].astype(np.int32)
+        cut = np.searchsorted(rec, np.arange(len(sig) + 1))
+        width = np.diff(cut)
+        seen = np.zeros(int(g.max()) + 1 if len(g) else 1, bool)
+        for s, k in zip(at, many):  # one record against all its partners
+            one = g[cut[x[s]] : cut[x[s] + 1]]
+            if not len(one):
+                continue
+            seen[one] = True
+            for i in range(s, s + k, 1000):
+                part = y[i : min(i + 1000, s + k)]
+                w = width[part]
+                ends = np.cumsum(w)
+                where = np.repeat(cut[part] - ends + w, w) + np.arange(ends[-1])
+                sums = np.concatenate([[0], np.cumsum(seen[g[where]])])
+                shared[i : i + len(part)] += (sums[ends] - sums[ends - w]).astype(np.int32)
+            seen[one] = False
+    some = shared > 0
+    x, y, shared = x[some], y[some], shared[some]
+    return pa.table({"x": sig[x].view(np.int64), "y": sig[y].view(np.int64), "sizes": (size[x] + size[y]).astype(np.int32), "shared": shared}, schema=_COUNTS)
 
 
 def _members(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,15 +293,15 @@ def pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: in
     keys, coarse_keys = spread(frags, frags), spread(coarse, coarse)
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).filter("id is not null and t is not null")
     sent = own.mapInArrow(lambda parts: _send(parts, n, frags, keys), PACKED)
-    shared = sent.repartition(frags, "frag").groupBy("frag").applyInArrow(_shared, PACKED)
-    active = scratch.written(shared.groupBy("uid").applyInArrow(lambda x: _active(x, threshold, frags, coarse, coarse_keys), PACKED), "active")
+    shared = sent.repartition(frags, "frag").groupBy("frag").applyInArrow(trimmed(_shared), PACKED)
+    active = scratch.written(shared.groupBy("uid").applyInArrow(trimmed(lambda x: _active(x, threshold, frags, coarse, coarse_keys)), PACKED), "active")
     members = active.filter("kind = 0").mapInArrow(_members, "id long, sig long, size int")
-    wanted = active.filter("kind = 1").repartition(coarse, "frag").groupBy("frag").applyInArrow(lambda x: _candidates(x, threshold), "x long, y long").distinct()
+    wanted = active.filter("kind = 1").repartition(coarse, "frag").groupBy("frag").applyInArrow(trimmed(lambda x: _candidates(x, threshold)), "x long, y long").distinct()
     every = wanted.select("x", "y", F.explode(F.array(*[F.lit(int(k)) for k in coarse_keys])).alias("frag"))
     counted = (
         active.filter("kind = 2").repartition(coarse, "frag").groupBy("frag")
         .cogroup(every.repartition(coarse, "frag").groupBy("frag"))
-        .applyInArrow(_overlaps, "x long, y long, sizes long, shared long")
+        .applyInArrow(trimmed(_overlaps), "x long, y long, sizes int, shared int")
     )
     close = (
         counted.groupBy("x", "y").agg(F.max("sizes").alias("sizes"), F.sum("shared").alias("shared"))
@@ -334,10 +342,18 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Rows with a null id or without tokens are kept: they have no partners. Of repeated rows with one id, one is kept
     (the one with the least text).
     """
-    drop = groups(pairs(docs, id_col, text_col, n, threshold)).select(F.col("id").alias("__near_id"))
-    left = docs.join(drop, docs[id_col].cast("long") == drop["__near_id"], "left_anti")
-    order = [F.col(c) for c, k in left.dtypes if c != id_col and not k.startswith(("map", "variant"))]
-    from pyspark.sql import Window
-
-    place = F.row_number().over(Window.partitionBy(F.col(id_col), F.when(F.col(id_col).isNull(), F.xxhash64(text_col))).orderBy(F.col(text_col).asc_nulls_last(), *order))
-    return left.withColumn("__near_place", place).filter(F.col("__near_place").eqNullSafe(1) | F.col(id_col).isNull()).drop("__near_place")
+    drop = scratch.written(groups(pairs(docs, id_col, text_col, n, threshold)).select(F.col("id").alias("__near_id")), "dropped")
+    own = F.col(id_col).cast("long")
+    again = scratch.written(docs.filter(own.isNotNull()).groupBy(own.alias("__near_id")).agg(F.count("*").alias("__near_n")).filter("__near_n > 1").select("__near_id"), "repeated")
+    left = _without(docs, id_col, drop)
+    if again.isEmpty():
+        return left
+    order = [F.col(f"`{c}`") for c, k in docs.dtypes if c not in (id_col, text_col) and not k.startswith(("map", "variant"))]
+    place = F.row_number().over(Window.partitionBy(id_col).orderBy(F.col(text_col).asc_nulls_last(), *order))
+    several = left.join(again, left[id_col].cast("long") == again["__near_id"], "left_semi")
+    return _without(left, id_col, again).unionByName(several.withColumn("__near_place", place).filter("__near_place = 1").drop("__near_place"))
+
+
+def _without(docs: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
+    side = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return docs.join(side, docs[id_col].cast("long") == side["__near_id"], "left_anti")
