@@ -27,6 +27,7 @@ is kept. Other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch
-from .tokens import batches, column, spread, tokenise_sliced
+from .tokens import batches, column, spread, tokenise_sliced, trimmed
 
 VOCABULARY, QUANTILE, SHARDS = 65_000, 0.99, 32
 BATCH_BYTES = 5_000_000
@@ -99,9 +100,9 @@ def _send_words(parts: Iterator[pa.RecordBatch], names: np.ndarray) -> Iterator[
     n = np.uint64(len(names))
     for table in batches(parts, "t", BATCH_BYTES):
         held.append(_counts(tokenise_sliced(column(table, "t"), True)[0]))
-        if sum(len(k) for k, _ in held) > 2_000_000:
+        if sum(len(k) for k, _ in held) > 1_000_000:
             held = [_runs_sum([k for k, _ in held], [c for _, c in held])]
-            if len(held[0][0]) > 1_000_000:
+            if len(held[0][0]) > 500_000:
                 yield _cut(*held[0], ((held[0][0] >> np.uint64(40)) * n) >> np.uint64(24), names)
                 held = []
     if held:
@@ -153,11 +154,15 @@ def _shard_of(key: np.ndarray, shards: int) -> np.ndarray:
 
 def _send_bigrams(parts: Iterator[pa.RecordBatch], vocabulary: np.ndarray, names: np.ndarray) -> Iterator[pa.RecordBatch]:
     for table in batches(parts, "t", BATCH_BYTES):
-        v, w, _, _ = bigrams(*tokenise_sliced(column(table, "t"), True), vocabulary)
-        k, c = _counts(v << 32 | w)
-        part = _shard_of(k, len(names))
-        order = np.argsort(part, kind="stable")
-        yield _cut(k[order].astype(np.int64), c[order], part[order], names)
+        yield _counted(table, vocabulary, names)
+
+
+def _counted(table: pa.Table, vocabulary: np.ndarray, names: np.ndarray) -> pa.RecordBatch:
+    v, w, _, _ = bigrams(*tokenise_sliced(column(table, "t"), True), vocabulary)
+    k, c = _counts(v << 32 | w)
+    part = _shard_of(k, len(names))
+    order = np.argsort(part, kind="stable")
+    return _cut(k[order].astype(np.int64), c[order], part[order], names)
 
 
 _STATS = pa.schema([*_PAIR, ("v", pa.binary()), ("w", pa.binary()), ("nn", pa.binary())])
@@ -209,7 +214,7 @@ def train(trusted: DataFrame, vocabulary_size: int = VOCABULARY, shards: int = S
     spark = trusted.sparkSession
     parts = scratch.shuffle_partitions(spark)
     names = spread(parts, parts)
-    words = trusted.mapInArrow(lambda x: _send_words(x, names), PAIR).repartition(parts, "shard").groupBy("shard").applyInArrow(_word_shard, PAIR)
+    words = trusted.mapInArrow(lambda x: _send_words(x, names), PAIR).repartition(parts, "shard").groupBy("shard").applyInArrow(trimmed(_word_shard), PAIR)
     words = scratch.written(words, "words")
     counts = words.mapInArrow(_histogram, "v long, n long").groupBy("v").agg(F.sum("n").alias("n")).orderBy(F.desc("v"))
     least, total = None, 0
@@ -224,7 +229,7 @@ def train(trusted: DataFrame, vocabulary_size: int = VOCABULARY, shards: int = S
     vocabulary = np.sort(np.array([r.w for r in words.mapInArrow(lambda x: _frequent(x, least), "w long").collect()], np.int64).view(np.uint64))
     known = spark.sparkContext.broadcast(vocabulary)
     fixed, size = spread(shards, shards), len(vocabulary) + 2
-    table = trusted.mapInArrow(lambda x: _send_bigrams(x, known.value, fixed), PAIR).repartition(shards, "shard").groupBy("shard").applyInArrow(lambda x: _bigram_shard(x, size), STATS)
+    table = trusted.mapInArrow(lambda x: _send_bigrams(x, known.value, fixed), PAIR).repartition(shards, "shard").groupBy("shard").applyInArrow(trimmed(lambda x: _bigram_shard(x, size)), STATS)
     table = scratch.written(table, "bigrams")
     by_v, by_w, nn = np.zeros((4, size), np.int64), np.zeros(size, np.int64), np.zeros(4, np.int64)
     for r in table.select("v", "w", "nn").toLocalIterator():
@@ -241,25 +246,32 @@ SENT = "shard int, salt int, uid long, kind int, a binary, b binary, c binary"
 def _send_documents(parts: Iterator[pa.RecordBatch], model: Model, names: np.ndarray, salts: int) -> Iterator[pa.RecordBatch]:
     task = TaskContext.get().partitionId()
     for seq, table in enumerate(batches(parts, "t", BATCH_BYTES)):
-        v, w, row, _ = bigrams(*tokenise_sliced(column(table, "t"), True), model.vocabulary)
-        n = np.bincount(row, minlength=table.num_rows)
-        base = np.bincount(row, model.gamma[v] + model.low[w], minlength=table.num_rows)
-        uid = task * 2**24 + seq
-        salt = uid % salts
-        key = v << 32 | w
-        part = _shard_of(key, len(names))
-        order = np.lexsort((row, key, part))
-        key, row, part = key[order], row[order], part[order]
-        new = np.concatenate([[True], (key[1:] != key[:-1]) | (row[1:] != row[:-1])]) if len(key) else np.zeros(0, bool)
-        at = np.flatnonzero(new)
-        times = np.minimum(np.diff(np.append(at, len(key))), 2**32 - 1)
-        key, row, part = key[at], row[at], part[at]
-        rows = [(int(names[uid % len(names)]), salt, uid, 0, *_documents(table), np.concatenate([base, n.astype(float)]).tobytes())]
-        cut = np.searchsorted(part, np.arange(len(names) + 1))
-        for f, (x, y) in enumerate(zip(cut[:-1], cut[1:])):
-            if y > x:
-                rows.append((int(names[f]), salt, uid, 1, *_packed(key[x:y], row[x:y], times[x:y])))
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_SENT)], schema=_SENT)
+        yield _sent(table, task * 2**24 + seq, model, names, salts)
+
+
+def _sent(table: pa.Table, place: int, model: Model, names: np.ndarray, salts: int) -> pa.RecordBatch:
+    v, w, row, _ = bigrams(*tokenise_sliced(column(table, "t"), True), model.vocabulary)
+    n = np.bincount(row, minlength=table.num_rows)
+    base = np.bincount(row, model.gamma[v] + model.low[w], minlength=table.num_rows)
+    # a batch that is read again with other rows is another batch: the sums then miss their documents and the job stops
+    uid = int.from_bytes(hashlib.blake2b(b"%d" % place + n.tobytes() + base.tobytes(), digest_size=7).digest(), "little")
+    salt = uid % salts
+    key = v << 32 | w
+    del v, w
+    part = _shard_of(key, len(names)).astype(np.int16)
+    order = np.lexsort((row, key, part))
+    key, row, part = key[order], row[order], part[order]
+    del order
+    new = np.concatenate([[True], (key[1:] != key[:-1]) | (row[1:] != row[:-1])]) if len(key) else np.zeros(0, bool)
+    at = np.flatnonzero(new)
+    times = np.minimum(np.diff(np.append(at, len(key))), 2**32 - 1)
+    key, row, part = key[at], row[at], part[at]
+    rows = [(int(names[uid % len(names)]), salt, uid, 0, *_documents(table), np.concatenate([base, n.astype(float)]).tobytes())]
+    cut = np.searchsorted(part, np.arange(len(names) + 1))
+    for f, (x, y) in enumerate(zip(cut[:-1], cut[1:])):
+        if y > x:
+            rows.append((int(names[f]), salt, uid, 1, *_packed(key[x:y], row[x:y], times[x:y])))
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_SENT)], schema=_SENT)
 
 
 def _documents(table: pa.Table) -> tuple[bytes, bytes]:
@@ -345,8 +357,8 @@ def perplexities(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     names = spread(shards, shards)
     sent = marked.mapInArrow(lambda x: _send_documents(x, held.value, names, salts), SENT)
     counts = table.select("shard", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), "k", "c")
-    sums = sent.groupBy("shard", "salt").cogroup(counts.groupBy("shard", "salt")).applyInArrow(lambda x, y: _scored(x, y, held.value), SUMS)
-    return sums.groupBy("uid").applyInArrow(_added, _RESULT)
+    sums = sent.groupBy("shard", "salt").cogroup(counts.groupBy("shard", "salt")).applyInArrow(trimmed(lambda x, y: _scored(x, y, held.value)), SUMS)
+    return sums.groupBy("uid").applyInArrow(trimmed(_added), _RESULT)
 
 
 def quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, **params: object) -> DataFrame:
