@@ -133,7 +133,10 @@ def batches(parts: Iterator[pa.RecordBatch], text: str, target: int, rows: int =
                 del table
                 trim()
     if held:
-        yield pa.Table.from_batches(held)
+        table, held = pa.Table.from_batches(held), []
+        yield table
+        del table
+        trim()
 
 
 def trim() -> None:
