@@ -28,13 +28,13 @@ def gap_groups(messages: DataFrame, by: str, when: str, minutes: int = 30, tie:
     """Adds ``group_no``: a new group begins after each pause of more than so many minutes."""
     order = [F.col(when), *([F.col(tie)] if tie else [])]
     w = Window.partitionBy(by).orderBy(*order)
-    pause = F.unix_micros(F.col(when)) - F.unix_micros(F.lag(when).over(w)) > minutes * 60_000_000
+    pause = F.unix_micros(F.col(when).cast("timestamp")) - F.unix_micros(F.lag(F.col(when).cast("timestamp")).over(w)) > minutes * 60_000_000
     return messages.withColumn("__new", F.when(pause, 1).otherwise(0)).withColumn("group_no", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
 
 
 def budget_groups(messages: DataFrame, by: str, when: str, length: int, minutes: int = 30, tie: str = "event_id", text: str = "text") -> DataFrame:
     """``(by, group_no, first_at, last_at, n_messages, text)``: a group also ends before its texts pass ``length`` characters."""
-    rows = messages.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(F.unix_micros(F.col(when)).alias("t"), F.col(tie).alias("i"), F.coalesce(F.col(text), F.lit("")).alias("x")))).alias("rows"))
+    rows = messages.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(F.unix_micros(F.col(when).cast("timestamp")).alias("t"), F.col(tie).alias("i"), F.coalesce(F.col(text), F.lit("")).alias("x")))).alias("rows"))
     start = F.struct(F.lit(0).alias("g"), F.lit(None).cast("long").alias("t"), F.lit(0).alias("n"), F.expr("cast(array() as array<struct<g:int,t:bigint,x:string>>)").alias("out"))
 
     def step(s, r):  # noqa: ANN001, ANN202

@@ -8,6 +8,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodestone.functions import embed
 from lodestone.functions import text as T
 from lodestone.functions import vectors as V
 from lodestone.functions.metadata import predicate
@@ -66,7 +67,7 @@ _PAIRS = "SELECT a.vec_id AS qid, b.vec_id AS id, round(1 - list_cosine_similari
 _RESULTS = f"SELECT qid, id, d, row_number() OVER (PARTITION BY qid ORDER BY d, id) AS rank FROM ({_PAIRS}) WHERE qid <> id"
 
 
-@query(f"SELECT qid, rank, id, round(d, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d, id) AS rank FROM ({_PAIRS})) WHERE rank <= 10")
+@query(f"SELECT qid, rank::INT AS rank, id, round(d, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d, id) AS rank FROM ({_PAIRS})) WHERE rank <= 10")
 def knn_batch(spark: SparkSession, d: str) -> DataFrame:
     return knn.knn_batch(_emb(spark, d), _emb(spark, d), 10).select("qid", "rank", "id", _r("distance"))
 
@@ -91,7 +92,7 @@ def knn_two_stage(spark: SparkSession, d: str) -> DataFrame:
     return knn.two_stage(_emb(spark, d), q, 10, 100).select("vec_id", _r("distance"))
 
 
-@query("SELECT count(*) AS n_rows, min(len(embedding)) AS least_dim, max(len(embedding)) AS greatest_dim FROM embeddings")
+@query("SELECT count(*) AS n_rows, min(len(embedding))::INT AS least_dim, max(len(embedding))::INT AS greatest_dim FROM embeddings")
 def dimension_check(spark: SparkSession, d: str) -> DataFrame:
     return knn.dimension_check(_emb(spark, d))
 
@@ -169,32 +170,32 @@ def bm25_params(spark: SparkSession, d: str) -> DataFrame:
     return keyword.bm25(_docs(spark, d), ASKED, k1=0.9, b=0.4).select("id", _r("score"))
 
 
-@query(rf"SELECT doc_id AS id, (length(t) - length(replace(t, ' licensed  under ', ''))) // 17 AS matches FROM (SELECT doc_id, '  ' || array_to_string({_W}, '  ') || '  ' AS t FROM documents) WHERE contains(t, ' licensed  under ')")
+@query(rf"SELECT doc_id AS id, ((length(t) - length(replace(t, ' licensed  under ', ''))) // 17)::INT AS matches FROM (SELECT doc_id, '  ' || array_to_string({_W}, '  ') || '  ' AS t FROM documents) WHERE contains(t, ' licensed  under ')")
 def phrase(spark: SparkSession, d: str) -> DataFrame:
     return keyword.phrase(_docs(spark, d), "licensed under")
 
 
-@query("SELECT doc_id AS id, (length(lower(text)) - length(replace(lower(text), 'password', ''))) // 8 AS score FROM documents WHERE regexp_matches(text, '(?i)password')")
+@query("SELECT doc_id AS id, ((length(lower(text)) - length(replace(lower(text), 'password', ''))) // 8)::INT AS score FROM documents WHERE regexp_matches(text, '(?i)password')")
 def grep_count(spark: SparkSession, d: str) -> DataFrame:
     return keyword.grep(_docs(spark, d), "password")
 
 
-@query("SELECT doc_id AS id, (length(lower(text)) - length(replace(lower(text), 'src1', ''))) // 4 AS score FROM documents WHERE contains(lower(text), 'src1') OR contains(lower(source), 'src1')")
+@query("SELECT doc_id AS id, ((length(lower(text)) - length(replace(lower(text), 'src1', ''))) // 4)::INT AS score FROM documents WHERE contains(lower(text), 'src1') OR contains(lower(source), 'src1')")
 def grep_rows(spark: SparkSession, d: str) -> DataFrame:
     return keyword.grep(_docs(spark, d), "src1", whole_row=True)
 
 
-@query("SELECT doc_id AS id, len(regexp_extract_all(text, '(?i)license')) AS score FROM documents WHERE regexp_matches(text, '(?i)license')")
+@query("SELECT doc_id AS id, len(regexp_extract_all(text, '(?i)license'))::INT AS score FROM documents WHERE regexp_matches(text, '(?i)license')")
 def regex_count(spark: SparkSession, d: str) -> DataFrame:
     return keyword.regex_count(_docs(spark, d), "license")
 
 
-@query(r"SELECT * FROM (SELECT doc_id AS id, regexp_replace(text, '(?i)\b(licensed|license)\b', '<b>\1</b>', 'g') AS fragment, len(regexp_extract_all(text, '(?i)\b(licensed|license)\b')) AS n_marks FROM documents) WHERE n_marks > 0")
+@query(r"SELECT * FROM (SELECT doc_id AS id, regexp_replace(text, '(?i)\b(licensed|license)\b', '<b>\1</b>', 'g') AS fragment, len(regexp_extract_all(text, '(?i)\b(licensed|license)\b'))::INT AS n_marks FROM documents) WHERE n_marks > 0")
 def highlight(spark: SparkSession, d: str) -> DataFrame:
     return keyword.highlighted(_docs(spark, d), "licensed license")
 
 
-@query(f"SELECT count(*) AS num_docs, sum(n) AS num_words, round(avg(n), 6) AS avg_words FROM (SELECT len({_W}) AS n FROM documents)")
+@query(f"SELECT count(*) AS num_docs, sum(n)::BIGINT AS num_words, round(avg(n), 6) AS avg_words FROM (SELECT len({_W}) AS n FROM documents)")
 def kw_stats(spark: SparkSession, d: str) -> DataFrame:
     return keyword.stats(_docs(spark, d)).select("num_docs", "num_words", _r("avg_words"))
 
@@ -345,7 +346,7 @@ def latency_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.percentiles(_t(spark, d, "events"), "value", ["event_type"]).select("event_type", *[_r(c) for c in ("p50", "p90", "p95", "p99", "mean", "per_second")])
 
 
-@query("""SELECT degree, build, alpha, degree * alpha - abs(build - 128) / 100 AS score FROM (SELECT unnest([8, 16, 32, 64]) AS degree) CROSS JOIN (SELECT unnest([64, 128, 256]) AS build) CROSS JOIN (SELECT unnest([0.25::DOUBLE, 0.5, 0.75]) AS alpha) ORDER BY score DESC, degree, build, alpha LIMIT 5""")
+@query("""SELECT degree, build, alpha, degree * alpha - abs(build - 128) / 100 AS score FROM (SELECT unnest([8, 16, 32, 64]::BIGINT[]) AS degree) CROSS JOIN (SELECT unnest([64, 128, 256]::BIGINT[]) AS build) CROSS JOIN (SELECT unnest([0.25::DOUBLE, 0.5, 0.75]) AS alpha) ORDER BY score DESC, degree, build, alpha LIMIT 5""")
 def grid_top5(spark: SparkSession, d: str) -> DataFrame:
     one = lambda name, values: spark.createDataFrame([(v,) for v in values], [name])
     g = evaluate.grid(one("degree", [8, 16, 32, 64]), one("build", [64, 128, 256]), one("alpha", [0.25, 0.5, 0.75]))
@@ -397,7 +398,7 @@ def prune_stats(spark: SparkSession, d: str) -> DataFrame:
     return graph.prune_stats(_degrees(spark, d), 64).select("nodes", "kept", "pruned", "bytes_before", "bytes_after", _r("savings"), _r("retention"))
 
 
-@query(f"WITH {_PRUNED} SELECT src, count(*) AS degree, string_agg(dst::VARCHAR, ',' ORDER BY dst) AS dsts, round(sum(distance), 6) AS total FROM pruned GROUP BY src")
+@query(f"WITH {_PRUNED} SELECT src, count(*)::INT AS degree, string_agg(dst::VARCHAR, ',' ORDER BY dst) AS dsts, round(sum(distance), 6) AS total FROM pruned GROUP BY src")
 def csr(spark: SparkSession, d: str) -> DataFrame:
     rows = graph.csr(graph.prune_neighbours(_edges(spark, d), M))
     return rows.select("src", "degree", F.array_join(F.col("dsts").cast("array<string>"), ",").alias("dsts"), F.round(F.aggregate("distances", F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
@@ -422,7 +423,7 @@ def token_estimate(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(r"""WITH s AS (SELECT doc_id, list_filter(list_transform(string_split_regex(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1) || '|\n\n+'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS p FROM documents)
-SELECT doc_id, generate_subscripts(p, 1) - 1 AS pos, unnest(p) AS sentence FROM s""")
+SELECT doc_id, (generate_subscripts(p, 1) - 1)::INT AS pos, unnest(p) AS sentence FROM s""")
 def sentence_split(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("pos", "sentence"))
 
@@ -584,3 +585,23 @@ def merge_fresh(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT vec_id, coalesce(text, 'Document ' || vec_id) AS text FROM embeddings LEFT JOIN documents ON doc_id = vec_id")
 def placeholder_text(spark: SparkSession, d: str) -> DataFrame:
     return readers.with_placeholder(_emb(spark, d), _docs(spark, d)).select("vec_id", "text")
+
+
+@query()
+def hash_embed(spark: SparkSession, d: str) -> DataFrame:
+    return embed.embedded(_docs(spark, d), "hash", 64)
+
+
+@query()
+def compact_search(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors of one in three documents are stored; the others are embedded again for the search."""
+    docs = _docs(spark, d)
+    stored = hash_embed(spark, d).withColumn("vec", F.when(F.col("id") % 3 == 0, F.col("vec")))
+    rows = embed.recomputed(stored, docs.select(F.col("doc_id").alias("id"), "text"), "hash", 64)
+    q = embed.by_bytes(["what is licensed"], 64)[0]
+    return knn.knn(rows, [float(x) for x in q], 10, id_col="id", vec_col="vec").select("id", _r("distance"))
+
+
+@query()
+def chat_html(spark: SparkSession, d: str) -> DataFrame:
+    return exports.chat_html(_t(spark, d, "pages"), "html", "page_id")

@@ -107,3 +107,27 @@ def mail_corpus(raw: DataFrame, id_col: str = "file", text_col: str = "message")
 def kinds(rows: DataFrame, kind_col: str, k: int = 5) -> DataFrame:
     """The k most frequent kinds of a file index with their counts."""
     return rows.groupBy(kind_col).agg(F.count("*").alias("n")).orderBy(F.desc("n"), kind_col).limit(k)
+
+
+def chat_html(raw: DataFrame, html_col: str = "html", id_col: str = "id") -> DataFrame:
+    """``(id, turn, role, text)`` of chats saved as HTML: elements whose class speaks of a message or turn; the whole text if there is none."""
+    import re
+    from collections.abc import Iterator
+
+    import pyarrow as pa
+
+    from .readers import html_to_text
+
+    box = re.compile(r"<(div|article|section|li)\b[^>]*class=[\"']([^\"']*(?:message|turn|user|assistant|human|gpt)[^\"']*)[\"'][^>]*>", re.I)
+
+    def split(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            rows = []
+            for ident, page in zip(part.column("i").to_pylist(), part.column("h").to_pylist()):
+                at = list(box.finditer(page or ""))
+                pieces = [(m[2], html_to_text(page[m.end() : n])) for m, n in zip(at, [m.start() for m in at[1:]] + [len(page or "")])]
+                rows += [(ident, k, c, t) for k, (c, t) in enumerate(p for p in (pieces or [("", html_to_text(page or ""))]) if len(p[1]) >= 3)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], t) for n, t in enumerate((pa.string(), pa.int32(), pa.string(), pa.string()))], names=["id", "turn", "classes", "text"])
+
+    rows = raw.select(F.col(id_col).cast("string").alias("i"), F.col(html_col).alias("h")).mapInArrow(split, "id string, turn int, classes string, text string")
+    return rows.select("id", "turn", infer_role(F.col("classes"), F.col("text")).alias("role"), strip_role(F.col("text")).alias("text"))

@@ -124,3 +124,37 @@ def test_stream_upsert(spark, tmp_path):
     for _ in range(2):
         ingest.upsert(ingest.documents_stream(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [0, 1, 2]
+
+
+def test_embedders(spark):
+    from lodestone.functions import embed
+    from lodestone.operators import knn
+
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(30)] + [(30, None)], "doc_id long, text string")
+    full = embed.embedded(docs, "hash", 16)
+    part = full.withColumn("vec", F.when(F.col("id") % 2 == 0, F.col("vec")))
+    again = embed.recomputed(part, docs.withColumnRenamed("doc_id", "id"), "hash", 16)
+    assert again.exceptAll(full).count() == 0 and again.count() == 31
+    q = [float(x) for x in embed.by_bytes(["text 7"], 16)[0]]
+    assert knn.knn(again, q, 1, id_col="id", vec_col="vec").first().id == 7
+    assert embed.by_number(["doc 12"], 6).shape == (1, 6)
+    assert embed.truncated(docs, 6).first().text == "text "
+
+
+def test_chat_html(spark):
+    page = '<div class="user-message">You: how are you</div><div class="gpt turn"><p>Fine.</div>'
+    rows = spark.createDataFrame([("a", page), ("b", "<p>plain text"), ("c", None)], "id string, html string")
+    assert [(r.id, r.role, r.text) for r in exports.chat_html(rows).collect()] == [("a", "user", "how are you"), ("a", "assistant", "Fine."), ("b", "unknown", "plain text")]
+
+
+def test_command_functions(spark, tmp_path):
+    from lodestone import cli
+
+    (tmp_path / "in").mkdir()
+    for i in range(3):
+        (tmp_path / "in" / f"f{i}.md").write_text(f"# Note {i}\n\nThis note speaks of topic number{i}. " * 3)
+    index = cli.build(spark, str(tmp_path / "ix"), "notes", str(tmp_path / "in"), size=20, overlap=5)
+    assert "number2" in cli.search(index, "number2", 1, "keyword").first().text
+    assert cli.search(index, "number1", 2).count() == 2 and cli.search(index, "number1", 2, "vector").count() == 2
+    (tmp_path / "set.json").write_text(json.dumps({"name": "n", "description": "", "queries": [{"query": "number1", "relevant_docs": ["0"], "graded_relevance": {"0": 2}}]}))
+    assert cli.evaluated(index, str(tmp_path / "set.json")).count() == 5
