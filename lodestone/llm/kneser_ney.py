@@ -15,11 +15,12 @@ shard of the bigram table its bigrams as packed arrays, each shard gives back a
 Counts of all trusted text are gathered the same way, with one exchange for tokens and one for bigrams. Document
 shards are salted, so that their number follows the input while the table keeps to ``SHARDS``.
 
-A document is kept if its perplexity is at most its language's ``QUANTILE`` of the trusted
-documents' perplexities (approximate percentile, relative rank error 1/100,000).
+A document is kept if its perplexity is at most its language's ``QUANTILE`` of the perplexities of the documents
+that the model wasn't trained on (approximate percentile, relative rank error 1/100,000); those it was trained on look better
+than they are and would set the bar too low.
 
 Nulls and ties: null and empty texts, or texts without a token, have null perplexity and are not kept. A null language is a
-language of its own; one without trusted documents takes the quantile of all trusted ones. Equal perplexities get
+language of its own; one all of whose documents were trained on takes the quantile of all others, and if there are none, has no bar. Equal perplexities get
 equal decisions. A null id is trusted by no label. Rows that repeat an id are scored one by one and counted
 as often as they occur. A document with several labels is trusted if any of them trusts it. Without trusted text all perplexities are null and nothing
 is kept. Other columns are ignored.
@@ -365,10 +366,10 @@ def quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, **pa
     """``(doc_id, lang, n_tokens, perplexity, threshold, keep)`` of every row."""
     scored = scratch.written(perplexities(docs, labels, **params), "perplexities")
     scored = scored.withColumn("perplexity", F.when(F.col("n_tokens") > 0, F.exp(-F.col("log_prob") / F.col("n_tokens"))))
-    good = scored.filter("trusted and perplexity is not null")
+    unseen = scored.filter("not trusted and perplexity is not null")
     at = F.percentile_approx("perplexity", quantile, 100_000)
-    by_lang = scratch.written(good.groupBy(F.coalesce(F.concat(F.lit("="), "lang"), F.lit("")).alias("l")).agg(at.alias("own")), "thresholds")
-    whole = good.agg(at.alias("whole"))
+    by_lang = scratch.written(unseen.groupBy(F.coalesce(F.concat(F.lit("="), "lang"), F.lit("")).alias("l")).agg(at.alias("own")), "thresholds")
+    whole = unseen.agg(at.alias("whole"))
     both = scored.withColumn("l", F.coalesce(F.concat(F.lit("="), "lang"), F.lit(""))).join(by_lang, "l", "left").crossJoin(F.broadcast(whole))
-    limit = F.coalesce("own", "whole")
+    limit = F.coalesce("own", "whole", F.lit(float("inf")))
     return both.select("doc_id", "lang", "n_tokens", "perplexity", limit.alias("threshold"), F.coalesce(F.col("perplexity") <= limit, F.lit(False)).alias("keep"))

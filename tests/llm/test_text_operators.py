@@ -152,9 +152,10 @@ def test_perplexities_equal_brute_force(spark):
     want = brute_perplexities(rows, trusted, 15)
     assert len(got) == len(rows)
     assert sorted((str(r.doc_id), round(r.perplexity, 3) if r.perplexity else None) for r in got if r.doc_id != 3) == sorted((str(i), round(p, 3) if p else None) for (i, _, _), p in zip(rows, want) if i != 3)
-    good = sorted(p for (i, _, x), p in zip(rows, want) if i in trusted and x == "en" and p)
-    limit = next(r.threshold for r in got if r.lang == "en")
-    assert limit == pytest.approx(good[math.ceil(0.9 * len(good)) - 1], rel=1e-5)
+    for lang in ("en", None):
+        unseen = sorted(p for (i, _, x), p in zip(rows, want) if i not in trusted and x == lang and p)
+        limit = next(r.threshold for r in got if r.lang == lang)
+        assert limit == pytest.approx(unseen[math.ceil(0.9 * len(unseen)) - 1], rel=1e-5)
     assert all(r.keep == (r.perplexity is not None and r.perplexity <= r.threshold) for r in got)
 
 
@@ -162,6 +163,9 @@ def test_quality_without_trusted_text(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     got = kneser_ney.quality(fixtures.docs(spark), none).collect()
     assert len(got) == len(fixtures.rows()) and not any(r.keep or r.perplexity for r in got)
+    every = spark.createDataFrame([(i, 1, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    seen = kneser_ney.quality(fixtures.docs(spark).filter("doc_id is not null"), every).collect()
+    assert all(r.keep == (r.n_tokens > 0) for r in seen)
     some = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
     assert kneser_ney.quality(fixtures.empty(spark), some).count() == 0
 
