@@ -14,5 +14,8 @@ def spark():
         .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "4g").config("spark.ui.showConsoleProgress", "false").getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
+    from lodestone.session import ship
+
+    ship(s)
     yield s
     s.stop()
