@@ -1,20 +1,23 @@
 """Operator 3: quality by perplexity under an interpolated modified Kneser-Ney model.
 
 A word bigram model is trained on all trusted documents (labelled of good quality and not toxic) and scores
-all documents whole. Tokens are words and runs of symbols. The vocabulary is every token with at least so many
-occurrences in trusted text that at most ``VOCABULARY`` tokens have as many; the others share one unknown token.
+all documents whole. Tokens are words and runs of symbols. Every token of trusted text has its own counts, at every size of the
+input; a token that trusted text lacks gets what the discounts reserve for the uniform distribution and nothing else.
 
 P(w|v) = (c(vw) - D) / c(v) + gamma(v) * P(w), with P(w) = N1+(.w) / N1+(..) interpolated with the uniform
 distribution, and Chen and Goodman's three discounts. In sums over a document
 
-    log P(w|v) = [log gamma(v) + log P(w)] + delta(vw),   delta = 0 for bigrams unseen in training,
+    log P(w|v) = log gamma(v) + log P(w) + delta(vw),   delta = 0 for bigrams unseen in training,
 
-so what depends on single tokens (arrays as long as the vocabulary, whose size is a parameter) is added where
-the text is read, and only bigrams meet their counts in a join: each batch of documents sends each
-shard of the bigram table its bigrams as packed arrays, each shard gives back a sum per document, and the shards' sums are added.
-Counts of all trusted text are gathered the same way, with one exchange for tokens and one for bigrams. Document
+so bigrams meet deltas and tokens meet log P and log gamma in one join. The model is sharded by the hash of the token, or of a bigram's context: a
+context's counts are in one shard, and the shards tell each other in how many contexts their words occur. Each batch of documents sends each
+shard its bigrams and tokens as packed arrays, each shard gives back a sum per document, and the shards' sums are added.
+Nothing as long as the vocabulary is gathered in one place. Document
 shards are salted, so that their number follows the input while the table keeps to ``SHARDS``.
 
+With ``vocabulary_size`` the vocabulary is closed: every token with at least so many occurrences in trusted text that at most
+``vocabulary_size`` tokens have as many; the others share one unknown token. By default it is open.
+
 A document is kept if its perplexity is at most its language's ``QUANTILE`` of the perplexities of the documents
 that the model wasn't trained on (approximate percentile, relative rank error 1/100,000); those it was trained on look better
 than they are and would set the bar too low.
@@ -39,9 +42,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch
-from .tokens import batches, column, spread, tokenise_sliced, trimmed
+from .tokens import batches, column, mix, spread, tokenise_sliced, trimmed
 
-VOCABULARY, QUANTILE, SHARDS = 65_000, 0.99, 32
+QUANTILE, SHARDS = 0.99, 32
+#: Tokens without a text: the unknown one of a closed vocabulary, and the context in which texts start.
+UNKNOWN, START = np.uint64(0), np.uint64(1)
 BATCH_BYTES = 5_000_000
 #: Labels are sent to all executors up to this many ids; beyond it they are joined by a shuffle.
 BROADCAST_IDS = 4_000_000
@@ -131,148 +136,251 @@ def _frequent(parts: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Record
             yield pa.RecordBatch.from_arrays([pa.array(_loose(k, np.uint64, True)[keep].view(np.int64))], names=["w"])
 
 
-def ids_of(tok: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
-    """Places in the sorted vocabulary plus 1; 0 for unknown tokens."""
+def known_or_not(tok: np.ndarray, vocabulary: np.ndarray | None) -> np.ndarray:
+    """Tokens beyond a closed vocabulary as UNKNOWN; without one, all as they are."""
+    if vocabulary is None:
+        return tok
     if not len(vocabulary):
-        return np.zeros(len(tok), np.int64)
+        return np.full(len(tok), UNKNOWN)
     at = np.searchsorted(vocabulary, tok)
     at[at == len(vocabulary)] = 0
-    return np.where(vocabulary[at] == tok, at + 1, 0)
+    return np.where(vocabulary[at] == tok, tok, UNKNOWN)
 
 
-def bigrams(tok: np.ndarray, row: np.ndarray, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """``(context, word, row, is first)`` of each token; a text starts in the context V + 1."""
-    w = ids_of(tok, vocabulary)
+def bigrams(tok: np.ndarray, row: np.ndarray, vocabulary: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``(context, word, row, is first)`` of each token; a text starts in the context START."""
+    w = known_or_not(tok, vocabulary)
     first = np.concatenate([[True], row[1:] != row[:-1]]) if len(row) else np.zeros(0, bool)
-    v = np.concatenate([[0], w[:-1]]) if len(w) else w
-    v = np.where(first, len(vocabulary) + 1, v)
+    v = np.concatenate([w[:1], w[:-1]])
+    v = np.where(first, START, v)
     return v, w, row, first
 
 
+def _pair(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """A hash of both tokens in their order."""
+    return mix(mix(v) + w)
+
+
 def _shard_of(key: np.ndarray, shards: int) -> np.ndarray:
     return (((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) * np.uint64(shards) >> np.uint64(24)).astype(np.int64)
 
 
-def _send_bigrams(parts: Iterator[pa.RecordBatch], vocabulary: np.ndarray, names: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _starts(*keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys begin."""
+    if not len(keys[0]):
+        return np.zeros(0, np.int64)
+    return np.flatnonzero(np.concatenate([[True], np.any([k[1:] != k[:-1] for k in keys], axis=0)]))
+
+
+_COUNTS = pa.schema([("shard", pa.int32()), ("v", pa.binary()), ("w", pa.binary()), ("at", pa.binary()), ("c", pa.binary())])
+COUNTS = "shard int, v binary, w binary, at binary, c binary"
+
+
+def _send_bigrams(parts: Iterator[pa.RecordBatch], vocabulary: np.ndarray | None, names: np.ndarray) -> Iterator[pa.RecordBatch]:
     for table in batches(parts, "t", BATCH_BYTES):
         yield _counted(table, vocabulary, names)
 
 
-def _counted(table: pa.Table, vocabulary: np.ndarray, names: np.ndarray) -> pa.RecordBatch:
+def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
+
+
+def _counted(table: pa.Table, vocabulary: np.ndarray | None, names: np.ndarray) -> pa.RecordBatch:
     v, w, _, _ = bigrams(*tokenise_sliced(column(table, "t"), True), vocabulary)
-    k, c = _counts(v << 32 | w)
-    part = _shard_of(k, len(names))
-    order = np.argsort(part, kind="stable")
-    return _cut(k[order].astype(np.int64), c[order], part[order], names)
+    part = _shard_of(v, len(names))
+    order = np.lexsort((w, v, part))
+    v, w, part = v[order], w[order], part[order]
+    at = _starts(v, w)
+    c = np.diff(np.append(at, len(v)))
+    v, w, part = v[at], w[at], part[at]
+    cut = np.searchsorted(part, np.arange(len(names) + 1))
+    rows = []
+    for f, (x, y) in enumerate(zip(cut[:-1], cut[1:])):
+        if y > x:
+            kinds, place = np.unique(w[x:y], return_inverse=True)
+            rows.append((int(names[f]), _squeeze(v[x:y], True), _squeeze(kinds, True), _squeeze(place.astype(np.uint32)), _squeeze(_capped(c[x:y]))))
+    return _rows(rows, _COUNTS)
+
+
+_TABLE = pa.schema([("shard", pa.int32()), ("v", pa.binary()), ("w", pa.binary()), ("c", pa.binary()), ("nn", pa.binary())])
+TABLE = "shard int, v binary, w binary, c binary, nn binary"
+
+
+def _context_shard(table: pa.Table) -> pa.Table:
+    """The bigrams of one shard's contexts, and the counts of counts."""
+    vs, ws, cs = [], [], []
+    for r in table.to_pylist():
+        vs.append(_loose(r["v"], np.uint64, True))
+        ws.append(_loose(r["w"], np.uint64, True)[_loose(r["at"], np.uint32)])
+        cs.append(_loose(r["c"], np.uint32))
+    v, w, c = np.concatenate(vs), np.concatenate(ws), np.concatenate(cs).astype(np.int64)
+    del vs, ws, cs
+    order = np.lexsort((w, v))
+    v, w, c = v[order], w[order], c[order]
+    del order
+    at = _starts(v, w)
+    v, w, c = v[at], w[at], np.add.reduceat(c, at)
+    nn = np.array([len(c), *[(c == i).sum() for i in (1, 2, 3, 4)]], np.int64)
+    return pa.Table.from_batches([_rows([(table.column("shard")[0].as_py(), _squeeze(v, True), _squeeze(w), _squeeze(_capped(c)), nn.tobytes())], _TABLE)])
+
+
+_ASKED = pa.schema([("shard", pa.int32()), ("asks", pa.int32()), ("w", pa.binary()), ("n", pa.binary())])
+ASKED = "shard int, asks int, w binary, n binary"
 
 
-_STATS = pa.schema([*_PAIR, ("v", pa.binary()), ("w", pa.binary()), ("nn", pa.binary())])
-STATS = PAIR + ", v binary, w binary, nn binary"
+def _ask(parts: Iterator[pa.RecordBatch], names: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Each shard's words, with the number of its contexts before them, to the shards of the words."""
+    for part in parts:
+        for shard, w in zip(part.column("shard").to_pylist(), part.column("w").to_pylist()):
+            w, n = _counts(_loose(w, np.uint64))
+            to = _shard_of(w, len(names))
+            yield _rows([(int(names[f]), shard, _squeeze(w[to == f], True), _squeeze(_capped(n[to == f]))) for f in range(len(names)) if (to == f).any()], _ASKED)
+
+
+def _answer(table: pa.Table) -> pa.Table:
+    """The words of one shard with the numbers of all contexts, to itself (``asks`` null) and to each shard that asked."""
+    rows = table.to_pylist()
+    lists = [_loose(r["w"], np.uint64, True) for r in rows]
+    w, n = _runs_sum(lists, [_loose(r["n"], np.uint32).astype(np.int64) for r in rows])
+    out = [(r["asks"], 0, r["w"], _squeeze(_capped(n[np.searchsorted(w, x)]))) for r, x in zip(rows, lists)]
+    return pa.Table.from_batches([_rows([(rows[0]["shard"], len(w), _squeeze(w, True), _squeeze(_capped(n))), *out], _ANSWERED)])
 
 
-def _bigram_shard(table: pa.Table, size: int) -> pa.Table:
-    """One shard of the table with its parts of the statistics: by context c, N1, N2, N3+; by word N1+; counts of counts."""
-    k, c = _summed(table, np.int64)
-    v, w = k >> 32, k & 0xFFFFFFFF
-    by_v = np.zeros((4, size), np.int64)
-    np.add.at(by_v[0], v, c)
-    for i in (1, 2, 3):
-        np.add.at(by_v[i], v[(c == i) if i < 3 else (c >= 3)], 1)
-    by_w = np.bincount(w, minlength=size).astype(np.int64)
-    nn = np.array([(c == i).sum() for i in (1, 2, 3, 4)], np.int64)
-    row = [table.column("shard")[0].as_py(), _squeeze(k, True), _squeeze(_capped(c)), _squeeze(by_v.ravel()), _squeeze(by_w), nn.tobytes()]
-    return pa.table([pa.array([x], f.type) for x, f in zip(row, _STATS)], schema=_STATS)
+_ANSWERED = pa.schema([("shard", pa.int32()), ("own", pa.int32()), ("w", pa.binary()), ("n", pa.binary())])
+ANSWERED = "shard int, own int, w binary, n binary"
 
 
 class Model:
-    """What of the model is as long as the vocabulary."""
+    """The numbers of the model that all shards share."""
 
-    def __init__(self, vocabulary: np.ndarray, by_v: np.ndarray, by_w: np.ndarray, nn: np.ndarray):
-        self.vocabulary = vocabulary
-        n1, n2, n3, n4 = (float(x) for x in nn)
+    def __init__(self, nn: np.ndarray, kinds: int, words: int):
+        total, n1, n2, n3, n4 = (float(x) for x in nn)
         y = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
         self.d = np.array([0.0, 1 - 2 * y * n2 / n1 if n1 else y, 2 - 3 * y * n3 / n2 if n2 else y, 3 - 4 * y * n4 / n3 if n3 else y])
         self.d[1:] = np.clip(self.d[1:], 0.05, [0.95, 1.95, 2.95])
-        self.c = by_v[0]
-        words = len(vocabulary) + 1  # with the unknown token
-        total = max(1, int(by_w.sum()))
-        kinds = int((by_w > 0).sum())
-        # the lower order is discounted too, in favour of the uniform distribution
-        self.low = np.log((np.maximum(by_w - 0.5, 0) + 0.5 * kinds / words) / total) if kinds else np.full(len(by_w), -np.log(words))
-        with np.errstate(divide="ignore", invalid="ignore"):
-            gamma = (self.d[1] * by_v[1] + self.d[2] * by_v[2] + self.d[3] * by_v[3]) / self.c
-        self.gamma = np.log(np.where(self.c > 0, np.where(gamma > 0, gamma, 1e-9), 1.0))
-
-    def delta(self, key: np.ndarray, count: np.ndarray) -> np.ndarray:
-        """What a seen bigram adds to the logarithm of its backed-off probability."""
-        v, w = key >> 32, key & 0xFFFFFFFF
-        back = self.gamma[v] + self.low[w]
-        return np.log((count - self.d[np.minimum(count, 3)]) / self.c[v] + np.exp(back)) - back
-
-
-def train(trusted: DataFrame, vocabulary_size: int = VOCABULARY, shards: int = SHARDS) -> tuple[DataFrame, Model | None]:
-    """The table of bigram counts in shards, and the rest of the model. ``trusted`` has a text column ``t``."""
-    spark = trusted.sparkSession
-    parts = scratch.shuffle_partitions(spark)
+        # the lower order is discounted too, in favour of the uniform distribution over the kinds of words and the unknown one
+        self.total, self.uniform = total, 0.5 * kinds / words
+
+    def low(self, n: np.ndarray) -> np.ndarray:
+        """log P(w) of words that follow n contexts."""
+        return np.log((np.maximum(n - 0.5, 0) + self.uniform) / self.total)
+
+    def shard(self, v: np.ndarray, w: np.ndarray, c: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The contexts of sorted bigrams, log gamma of each, and what each seen bigram adds to the logarithm of its backed-off probability."""
+        at = _starts(v)
+        many = np.diff(np.append(at, len(v)))
+        whole = np.add.reduceat(c, at) if len(at) else c
+        gamma = np.add.reduceat(self.d[np.minimum(c, 3)], at) / whole if len(at) else np.zeros(0)
+        gamma = np.log(np.where(gamma > 0, gamma, 1e-9))
+        back = np.repeat(gamma, many) + self.low(n)
+        return v[at], gamma, np.log((c - self.d[np.minimum(c, 3)]) / np.repeat(whole, many) + np.exp(back)) - back
+
+
+_SHARD = pa.schema([("shard", pa.int32()), ("k", pa.binary()), ("delta", pa.binary()), ("t", pa.binary()), ("gamma", pa.binary()), ("low", pa.binary())])
+SHARD = "shard int, k binary, delta binary, t binary, gamma binary, low binary"
+
+
+def _finished(table: pa.Table, answers: pa.Table, model: Model) -> pa.Table:
+    """One shard as scoring needs it: bigrams with their deltas, tokens with log gamma and log P."""
+    rows, told = table.to_pylist(), answers.to_pylist()
+    own = [r for r in told if r["own"]]
+    words = _loose(own[0]["w"], np.uint64, True) if own else np.zeros(0, np.uint64)
+    low = model.low(_loose(own[0]["n"], np.uint32)) if own else np.zeros(0)
+    v = w = key = np.zeros(0, np.uint64)
+    gamma = delta = np.zeros(0)
+    if rows:
+        w = _loose(rows[0]["w"], np.uint64)
+        known, n = _runs_sum([_loose(r["w"], np.uint64, True) for r in told if not r["own"]], [_loose(r["n"], np.uint32).astype(np.int64) for r in told if not r["own"]])
+        bi = _loose(rows[0]["v"], np.uint64, True)
+        v, gamma, delta = model.shard(bi, w, _loose(rows[0]["c"], np.uint32).astype(np.int64), n[np.searchsorted(known, w)])
+        key = _pair(bi, w)
+        order = np.argsort(key)
+        key, delta = key[order], delta[order]
+    t = np.union1d(v, words)
+    g, lo = np.zeros(len(t)), np.full(len(t), model.low(np.zeros(1))[0])
+    g[np.searchsorted(t, v)] = gamma
+    lo[np.searchsorted(t, words)] = low
+    shard = (rows or told)[0]["shard"]
+    return pa.Table.from_batches([_rows([(shard, _squeeze(key, True), delta.astype(np.float32).tobytes(), _squeeze(t, True), g.tobytes(), lo.tobytes())], _SHARD)])
+
+
+def _closed(trusted: DataFrame, vocabulary_size: int) -> np.ndarray:
+    """The sorted tokens of a closed vocabulary."""
+    parts = scratch.shuffle_partitions(trusted.sparkSession)
     names = spread(parts, parts)
     words = trusted.mapInArrow(lambda x: _send_words(x, names), PAIR).repartition(parts, "shard").groupBy("shard").applyInArrow(trimmed(_word_shard), PAIR)
     words = scratch.written(words, "words")
     counts = words.mapInArrow(_histogram, "v long, n long").groupBy("v").agg(F.sum("n").alias("n")).orderBy(F.desc("v"))
-    least, total = None, 0
+    least, total = 2**32, 0
     for r in counts.toLocalIterator():
         total += r.n
         if total > vocabulary_size:
             break
         least = r.v
-    if least is None and total == 0:
-        return spark.createDataFrame([], STATS), None
-    least = 2**32 if least is None else least
-    vocabulary = np.sort(np.array([r.w for r in words.mapInArrow(lambda x: _frequent(x, least), "w long").collect()], np.int64).view(np.uint64))
+    return np.sort(np.array([r.w for r in words.mapInArrow(lambda x: _frequent(x, least), "w long").collect()], np.int64).view(np.uint64))
+
+
+def train(trusted: DataFrame, vocabulary_size: int | None = None, shards: int = SHARDS) -> tuple[DataFrame, Model, np.ndarray | None] | None:
+    """The model's shards, the numbers that they share and the closed vocabulary, if there is one. ``trusted`` has a text column ``t``."""
+    spark = trusted.sparkSession
+    vocabulary = None if vocabulary_size is None else _closed(trusted, vocabulary_size)
     known = spark.sparkContext.broadcast(vocabulary)
-    fixed, size = spread(shards, shards), len(vocabulary) + 2
-    table = trusted.mapInArrow(lambda x: _send_bigrams(x, known.value, fixed), PAIR).repartition(shards, "shard").groupBy("shard").applyInArrow(trimmed(lambda x: _bigram_shard(x, size)), STATS)
+    fixed = spread(shards, shards)
+    table = trusted.mapInArrow(lambda x: _send_bigrams(x, known.value, fixed), COUNTS).repartition(shards, "shard").groupBy("shard").applyInArrow(trimmed(_context_shard), TABLE)
     table = scratch.written(table, "bigrams")
-    by_v, by_w, nn = np.zeros((4, size), np.int64), np.zeros(size, np.int64), np.zeros(4, np.int64)
-    for r in table.select("v", "w", "nn").toLocalIterator():
-        by_v += _loose(r.v, np.int64).reshape(4, size)
-        by_w += _loose(r.w, np.int64)
-        nn += np.frombuffer(r.nn, np.int64)
-    return table, Model(vocabulary, by_v, by_w, nn)
+    answers = table.select("shard", "w").mapInArrow(lambda x: _ask(x, fixed), ASKED).repartition(shards, "shard").groupBy("shard").applyInArrow(trimmed(_answer), ANSWERED)
+    answers = scratch.written(answers, "words")
+    nn = sum((np.frombuffer(r.nn, np.int64) for r in table.select("nn").toLocalIterator()), np.zeros(5, np.int64))
+    if not nn[0]:
+        return None
+    kinds = answers.agg(F.sum(F.col("own").cast("long"))).first()[0]
+    model = Model(nn, kinds, (kinds if vocabulary is None else len(vocabulary)) + 1)
+    whole = table.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(trimmed(lambda x, y: _finished(x, y, model)), SHARD)
+    return scratch.written(whole, "model"), model, vocabulary
 
 
 _SENT = pa.schema([("shard", pa.int32()), ("salt", pa.int32()), ("uid", pa.int64()), ("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
 SENT = "shard int, salt int, uid long, kind int, a binary, b binary, c binary"
 
 
-def _send_documents(parts: Iterator[pa.RecordBatch], model: Model, names: np.ndarray, salts: int) -> Iterator[pa.RecordBatch]:
+def _send_documents(parts: Iterator[pa.RecordBatch], vocabulary: np.ndarray | None, names: np.ndarray, salts: int) -> Iterator[pa.RecordBatch]:
     task = TaskContext.get().partitionId()
     for seq, table in enumerate(batches(parts, "t", BATCH_BYTES)):
-        yield _sent(table, task * 2**24 + seq, model, names, salts)
+        yield _sent(table, task * 2**24 + seq, vocabulary, names, salts)
 
 
-def _sent(table: pa.Table, place: int, model: Model, names: np.ndarray, salts: int) -> pa.RecordBatch:
-    v, w, row, _ = bigrams(*tokenise_sliced(column(table, "t"), True), model.vocabulary)
+def _sent(table: pa.Table, place: int, vocabulary: np.ndarray | None, names: np.ndarray, salts: int) -> pa.RecordBatch:
+    v, w, row, first = bigrams(*tokenise_sliced(column(table, "t"), True), vocabulary)
     n = np.bincount(row, minlength=table.num_rows)
-    base = np.bincount(row, model.gamma[v] + model.low[w], minlength=table.num_rows)
     # a batch that is read again with other rows is another batch: the sums then miss their documents and the job stops
-    uid = int.from_bytes(hashlib.blake2b(b"%d" % place + n.tobytes() + base.tobytes(), digest_size=7).digest(), "little")
+    uid = int.from_bytes(hashlib.blake2b(b"%d" % place + n.tobytes() + w.tobytes(), digest_size=7).digest(), "little")
     salt = uid % salts
-    key = v << 32 | w
-    del v, w
-    part = _shard_of(key, len(names)).astype(np.int16)
+    rows = [(int(names[uid % len(names)]), salt, uid, 0, *_documents(table), n.tobytes())]
+    one = np.ones(len(w), bool)
+    rows += _distinct(_pair(v, w), _shard_of(v, len(names)), row, one, None, (salt, uid, 1), names)
+    # each token is a word once, and a context once unless it is the last one; texts start in START
+    begin = np.flatnonzero(n)
+    last = np.append(first[1:], True) if len(w) else first
+    word, context = np.concatenate([one, np.zeros(len(begin), bool)]), np.concatenate([~last, np.ones(len(begin), bool)])
+    w, row = np.concatenate([w, np.full(len(begin), START)]), np.concatenate([row, begin])
+    rows += _distinct(w, _shard_of(w, len(names)), row, word, context, (salt, uid, 2), names)
+    return _rows(rows, _SENT)
+
+
+def _distinct(key: np.ndarray, part: np.ndarray, row: np.ndarray, word: np.ndarray, context: np.ndarray | None, head: tuple, names: np.ndarray) -> list[tuple]:
+    """One packed row for each shard: distinct keys of each document, how often each is a word and, less that, a context."""
+    part = part.astype(np.int16)
     order = np.lexsort((row, key, part))
-    key, row, part = key[order], row[order], part[order]
-    del order
-    new = np.concatenate([[True], (key[1:] != key[:-1]) | (row[1:] != row[:-1])]) if len(key) else np.zeros(0, bool)
-    at = np.flatnonzero(new)
-    times = np.minimum(np.diff(np.append(at, len(key))), 2**32 - 1)
+    key, row, part, word = key[order], row[order], part[order], word[order]
+    at = _starts(key, row)
+    if not len(at):
+        return []
+    times = [np.minimum(np.add.reduceat(word.astype(np.int64), at), 2**32 - 1)]
+    if context is not None:
+        times.append(np.add.reduceat(context[order].astype(np.int64), at) - times[0] + 1)
     key, row, part = key[at], row[at], part[at]
-    rows = [(int(names[uid % len(names)]), salt, uid, 0, *_documents(table), np.concatenate([base, n.astype(float)]).tobytes())]
     cut = np.searchsorted(part, np.arange(len(names) + 1))
-    for f, (x, y) in enumerate(zip(cut[:-1], cut[1:])):
-        if y > x:
-            rows.append((int(names[f]), salt, uid, 1, *_packed(key[x:y], row[x:y], times[x:y])))
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_SENT)], schema=_SENT)
+    return [(int(names[f]), *head, *_packed(key[x:y], row[x:y], [t[x:y] for t in times])) for f, (x, y) in enumerate(zip(cut[:-1], cut[1:])) if y > x]
 
 
 def _documents(table: pa.Table) -> tuple[bytes, bytes]:
@@ -282,43 +390,61 @@ def _documents(table: pa.Table) -> tuple[bytes, bytes]:
     return ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).tobytes() + known.tobytes() + np.asarray(column(table, "trusted").fill_null(False)).tobytes(), "\0".join("" if x is None else "=" + x for x in column(table, "lang").to_pylist()).encode()
 
 
-def _packed(key: np.ndarray, row: np.ndarray, times: np.ndarray) -> tuple[bytes, bytes, bytes]:
-    """Distinct bigrams as differences with their numbers of documents; the documents; how often in each."""
-    new = np.concatenate([[True], key[1:] != key[:-1]])
-    at = np.flatnonzero(new)
+def _packed(key: np.ndarray, row: np.ndarray, times: list[np.ndarray]) -> tuple[bytes, bytes, bytes]:
+    """Distinct keys as differences with their numbers of documents; the documents; how often in each."""
+    at = _starts(key)
     many = np.diff(np.append(at, len(key)))
     wide = np.uint16 if row.max() < 65_536 else np.uint32
-    return _squeeze(np.concatenate([np.diff(key[at], prepend=0), many])), wide().nbytes.to_bytes(1, "little") + _squeeze(row.astype(wide)), _squeeze(times.astype(np.uint32))
+    return _squeeze(np.concatenate([np.diff(key[at], prepend=np.uint64(0)).view(np.int64), many])), wide().nbytes.to_bytes(1, "little") + _squeeze(row.astype(wide)), _squeeze(np.concatenate(times).astype(np.uint32))
 
 
 def _unpacked(a: bytes, b: bytes, c: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     words = _loose(a, np.int64)
     half = len(words) // 2
-    return np.cumsum(words[:half]), words[half:], _loose(b[1:], np.uint16 if b[0] == 2 else np.uint32), _loose(c, np.uint32)
+    rows = _loose(b[1:], np.uint16 if b[0] == 2 else np.uint32)
+    return np.cumsum(words[:half].view(np.uint64), dtype=np.uint64), words[half:], rows, _loose(c, np.uint32).astype(np.int64).reshape(-1, len(rows))
 
 
 _SUMS = pa.schema([("uid", pa.int64()), ("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
 SUMS = "uid long, kind int, a binary, b binary, c binary"
 
 
-def _scored(sent: pa.Table, table: pa.Table, model: Model) -> pa.Table:
-    """The sums of delta over each document's bigrams that fall into one shard."""
-    out = []
+def _looked_up(keys: np.ndarray, values: np.ndarray, key: np.ndarray, missing: float) -> np.ndarray:
+    if not len(keys):
+        return np.full(len(key), missing)
+    at = np.searchsorted(keys, key)
+    at[at == len(keys)] = 0
+    return np.where(keys[at] == key, values[at], missing)
+
+
+def _scored(sent: pa.Table, table: pa.Table, unseen: float) -> pa.Table:
+    """The sums of the logarithms over each document's bigrams and tokens that fall into one shard."""
+    out, totals = [], {}
     rows = table.to_pylist()
-    k = _loose(rows[0]["k"], np.int64, True) if rows else np.zeros(0, np.int64)
-    delta = model.delta(k, _loose(rows[0]["c"], np.uint32).astype(np.int64)) if rows else np.zeros(0)
+    k = t = np.zeros(0, np.uint64)
+    delta = gamma = low = np.zeros(0)
+    if rows:
+        k, t = _loose(rows[0]["k"], np.uint64, True), _loose(rows[0]["t"], np.uint64, True)
+        delta, gamma, low = np.frombuffer(rows[0]["delta"], np.float32), np.frombuffer(rows[0]["gamma"]), np.frombuffer(rows[0]["low"])
     for r in sent.to_pylist():
         if r["kind"] == 0:
             out.append((r["uid"], 0, r["a"], r["b"], r["c"]))
-        elif len(k):
-            key, many, doc, times = _unpacked(r["a"], r["b"], r["c"])
-            at = np.searchsorted(k, key)
-            at[at == len(k)] = 0
-            gain = np.where(k[at] == key, delta[at], 0.0)
-            hit = np.repeat(gain, many) * times
-            total = np.bincount(doc, hit)
-            some = np.flatnonzero(total)
-            out.append((r["uid"], 1, some.astype(np.uint32).tobytes(), total[some].astype(np.float32).tobytes(), b""))
+            continue
+        key, many, doc, times = _unpacked(r["a"], r["b"], r["c"])
+        if r["kind"] == 1:
+            hit = np.repeat(_looked_up(k, delta, key, 0.0), many) * times[0]
+        else:
+            hit = np.repeat(_looked_up(t, low, key, unseen), many) * times[0] + np.repeat(_looked_up(t, gamma, key, 0.0), many) * (times[1] + times[0] - 1)
+        total = np.bincount(doc, hit)
+        if r["uid"] in totals:
+            both = totals[r["uid"]], total
+            total = np.zeros(max(map(len, both)))
+            for x in both:
+                total[: len(x)] += x
+        totals[r["uid"]] = total
+    for uid, total in totals.items():
+        some = np.flatnonzero(total)
+        out.append((uid, 1, some.astype(np.uint32).tobytes(), total[some].astype(np.float32).tobytes(), b""))
     return pa.table([pa.array([r[i] for r in out], f.type) for i, f in enumerate(_SUMS)], schema=_SUMS)
 
 
@@ -330,18 +456,18 @@ def _added(table: pa.Table) -> pa.Table:
     head = [r for r in rows if r["kind"] == 0]
     if len(head) != 1:
         raise ValueError("a batch of documents changed while it was read; write the input to a table first")
-    base, n = np.frombuffer(head[0]["c"], float).reshape(2, -1)
-    size, total = len(n), base.copy()
+    n = np.frombuffer(head[0]["c"], np.int64)
+    size, total = len(n), np.zeros(len(n))
     for r in rows:
         if r["kind"] == 1:
             total[np.frombuffer(r["a"], np.uint32)] += np.frombuffer(r["b"], np.float32)
     a = head[0]["a"]
     ids, known, trusted = np.frombuffer(a, np.int64, size), np.frombuffer(a, bool, size, 8 * size), np.frombuffer(a, bool, size, 9 * size)
     langs = [x[1:] if x else None for x in head[0]["b"].decode().split("\0")]
-    return pa.table({"doc_id": pa.array(ids, mask=~known), "lang": pa.array(langs, pa.string()), "trusted": pa.array(trusted), "n_tokens": pa.array(n.astype(np.int64)), "log_prob": pa.array(total)})
+    return pa.table({"doc_id": pa.array(ids, mask=~known), "lang": pa.array(langs, pa.string()), "trusted": pa.array(trusted), "n_tokens": pa.array(n), "log_prob": pa.array(total)})
 
 
-def perplexities(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", vocabulary_size: int = VOCABULARY, shards: int = SHARDS) -> DataFrame:
+def perplexities(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", vocabulary_size: int | None = None, shards: int = SHARDS) -> DataFrame:
     """``(doc_id, lang, trusted, n_tokens, log_prob)`` of every row; labels have ``(doc_id, quality, toxic)``."""
     spark = docs.sparkSession
     good = labels.filter("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select(F.col("doc_id").cast("long").alias("__good")).distinct()
@@ -349,16 +475,17 @@ def perplexities(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     if good.count() <= BROADCAST_IDS:
         good = F.broadcast(good)
     marked = own.join(good, own["id"] == good["__good"], "left").select("id", "t", "lang", F.col("__good").isNotNull().alias("trusted"))
-    table, model = train(marked.filter("trusted and t is not null").select("t"), vocabulary_size, shards)
-    if model is None:
+    trained = train(marked.filter("trusted and t is not null").select("t"), vocabulary_size, shards)
+    if trained is None:
         return own.select(F.col("id").alias("doc_id"), "lang", F.lit(False).alias("trusted"), F.lit(0).cast("long").alias("n_tokens"), F.lit(None).cast("double").alias("log_prob"))
-    held = spark.sparkContext.broadcast(model)
+    table, model, vocabulary = trained
+    known, unseen = spark.sparkContext.broadcast(vocabulary), float(model.low(np.zeros(1))[0])
     parts = scratch.shuffle_partitions(spark)
     salts = max(1, -(-parts // shards))
     names = spread(shards, shards)
-    sent = marked.mapInArrow(lambda x: _send_documents(x, held.value, names, salts), SENT)
-    counts = table.select("shard", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), "k", "c")
-    sums = sent.groupBy("shard", "salt").cogroup(counts.groupBy("shard", "salt")).applyInArrow(trimmed(lambda x, y: _scored(x, y, held.value)), SUMS)
+    sent = marked.mapInArrow(lambda x: _send_documents(x, known.value, names, salts), SENT)
+    counts = table.select("shard", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), "k", "delta", "t", "gamma", "low")
+    sums = sent.groupBy("shard", "salt").cogroup(counts.groupBy("shard", "salt")).applyInArrow(trimmed(lambda x, y: _scored(x, y, unseen)), SUMS)
     return sums.groupBy("uid").applyInArrow(trimmed(_added), _RESULT)
 
 

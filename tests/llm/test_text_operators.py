@@ -159,6 +159,18 @@ def test_perplexities_equal_brute_force(spark):
     assert all(r.keep == (r.perplexity is not None and r.perplexity <= r.threshold) for r in got)
 
 
+def test_every_trusted_token_has_its_own_counts(spark):
+    """More types than any fixed vocabulary took; a text of unseen words must look worse than every trusted one."""
+    words = [f"w{k}x" for k in range(70_000)]
+    rows = [(i, " ".join(words[i * 1000 : i * 1000 + 1000]), "en") for i in range(70)] + [(90, " ".join(f"u{k}" for k in range(500)), "en"), (91, fixtures.prose(9, 60), "en")]
+    labels = [(i, 1, 0) for i in range(70)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.perplexity for r in kneser_ney.quality(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), shards=4).collect()}
+    want = brute_perplexities(rows, set(range(70)), 10**9)
+    assert all(got[i] == pytest.approx(p, rel=1e-4) for (i, _, _), p in zip(rows, want))
+    assert got[90] > max(got[i] for i in range(70))
+
+
 def test_quality_without_trusted_text(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     got = kneser_ney.quality(fixtures.docs(spark), none).collect()
