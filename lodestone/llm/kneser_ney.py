@@ -18,12 +18,13 @@ shards are salted, so that their number follows the input while the table keeps
 With ``vocabulary_size`` the vocabulary is closed: every token with at least so many occurrences in trusted text that at most
 ``vocabulary_size`` tokens have as many; the others share one unknown token. By default it is open.
 
-A document is kept if its perplexity is at most its language's ``QUANTILE`` of the perplexities of the documents
-that the model wasn't trained on (approximate percentile, relative rank error 1/100,000); those it was trained on look better
-than they are and would set the bar too low.
+A document is kept if its perplexity is at most its language's bar: the ``QUANTILE`` of the perplexities of trusted documents that the model
+wasn't trained on (approximate percentile, relative rank error 1/100,000). For that, one in ``HOLD`` trusted ids, chosen by hash, is held out of the training; those
+trained on look better than they are and would set the bar too low, and documents of unknown quality would by definition lose a fixed share. With fewer than ``LEAST_GOOD`` trusted
+ids none is held out and the quantile is that of all documents not trained on, as also if ``quantile`` is given.
 
 Nulls and ties: null and empty texts, or texts without a token, have null perplexity and are not kept. A null language is a
-language of its own; one all of whose documents were trained on takes the quantile of all others, and if there are none, has no bar. Equal perplexities get
+language of its own; one without documents for its bar takes the quantile over all languages, and if there are none, has no bar. Equal perplexities get
 equal decisions. A null id is trusted by no label. Rows that repeat an id are scored one by one and counted
 as often as they occur. A document with several labels is trusted if any of them trusts it. Without trusted text all perplexities are null and nothing
 is kept. Other columns are ignored.
@@ -45,6 +46,7 @@ from . import scratch
 from .tokens import batches, column, mix, spread, tokenise_sliced, trimmed
 
 QUANTILE, SHARDS = 0.99, 32
+HOLD, LEAST_GOOD = 10, 100
 #: Tokens without a text: the unknown one of a closed vocabulary, and the context in which texts start.
 UNKNOWN, START = np.uint64(0), np.uint64(1)
 BATCH_BYTES = 5_000_000
@@ -384,10 +386,10 @@ def _distinct(key: np.ndarray, part: np.ndarray, row: np.ndarray, word: np.ndarr
 
 
 def _documents(table: pa.Table) -> tuple[bytes, bytes]:
-    """Ids, null marks, trust and languages of a batch."""
+    """Ids, null marks, trust (1 trained on, 2 held out) and languages of a batch."""
     ids = column(table, "id")
     known = np.asarray(ids.is_valid())
-    return ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).tobytes() + known.tobytes() + np.asarray(column(table, "trusted").fill_null(False)).tobytes(), "\0".join("" if x is None else "=" + x for x in column(table, "lang").to_pylist()).encode()
+    return ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).tobytes() + known.tobytes() + np.asarray(column(table, "trusted")).astype(np.int8).tobytes(), "\0".join("" if x is None else "=" + x for x in column(table, "lang").to_pylist()).encode()
 
 
 def _packed(key: np.ndarray, row: np.ndarray, times: list[np.ndarray]) -> tuple[bytes, bytes, bytes]:
@@ -448,7 +450,7 @@ def _scored(sent: pa.Table, table: pa.Table, unseen: float) -> pa.Table:
     return pa.table([pa.array([r[i] for r in out], f.type) for i, f in enumerate(_SUMS)], schema=_SUMS)
 
 
-_RESULT = "doc_id long, lang string, trusted boolean, n_tokens long, log_prob double"
+_RESULT = "doc_id long, lang string, trusted boolean, held boolean, n_tokens long, log_prob double"
 
 
 def _added(table: pa.Table) -> pa.Table:
@@ -462,22 +464,25 @@ def _added(table: pa.Table) -> pa.Table:
         if r["kind"] == 1:
             total[np.frombuffer(r["a"], np.uint32)] += np.frombuffer(r["b"], np.float32)
     a = head[0]["a"]
-    ids, known, trusted = np.frombuffer(a, np.int64, size), np.frombuffer(a, bool, size, 8 * size), np.frombuffer(a, bool, size, 9 * size)
+    ids, known, trusted = np.frombuffer(a, np.int64, size), np.frombuffer(a, bool, size, 8 * size), np.frombuffer(a, np.int8, size, 9 * size)
     langs = [x[1:] if x else None for x in head[0]["b"].decode().split("\0")]
-    return pa.table({"doc_id": pa.array(ids, mask=~known), "lang": pa.array(langs, pa.string()), "trusted": pa.array(trusted), "n_tokens": pa.array(n), "log_prob": pa.array(total)})
+    return pa.table({"doc_id": pa.array(ids, mask=~known), "lang": pa.array(langs, pa.string()), "trusted": pa.array(trusted == 1), "held": pa.array(trusted == 2), "n_tokens": pa.array(n), "log_prob": pa.array(total)})
 
 
-def perplexities(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", vocabulary_size: int | None = None, shards: int = SHARDS) -> DataFrame:
-    """``(doc_id, lang, trusted, n_tokens, log_prob)`` of every row; labels have ``(doc_id, quality, toxic)``."""
+def perplexities(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", vocabulary_size: int | None = None, shards: int = SHARDS, hold: int | None = None) -> DataFrame:
+    """``(doc_id, lang, trusted, held, n_tokens, log_prob)`` of every row, trusted if trained on; one in ``hold`` trusted ids is held out; labels have ``(doc_id, quality, toxic)``."""
     spark = docs.sparkSession
     good = labels.filter("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select(F.col("doc_id").cast("long").alias("__good")).distinct()
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("lang"))
-    if good.count() <= BROADCAST_IDS:
+    many = good.count()
+    if many <= BROADCAST_IDS:
         good = F.broadcast(good)
-    marked = own.join(good, own["id"] == good["__good"], "left").select("id", "t", "lang", F.col("__good").isNotNull().alias("trusted"))
-    trained = train(marked.filter("trusted and t is not null").select("t"), vocabulary_size, shards)
+    held = F.pmod(F.xxhash64("id"), F.lit(hold)) == 0 if hold and many >= LEAST_GOOD else F.lit(False)
+    state = F.when(F.col("__good").isNull(), 0).when(held, 2).otherwise(1)
+    marked = own.join(good, own["id"] == good["__good"], "left").select("id", "t", "lang", state.alias("trusted"))
+    trained = train(marked.filter("trusted = 1 and t is not null").select("t"), vocabulary_size, shards)
     if trained is None:
-        return own.select(F.col("id").alias("doc_id"), "lang", F.lit(False).alias("trusted"), F.lit(0).cast("long").alias("n_tokens"), F.lit(None).cast("double").alias("log_prob"))
+        return own.select(F.col("id").alias("doc_id"), "lang", F.lit(False).alias("trusted"), F.lit(False).alias("held"), F.lit(0).cast("long").alias("n_tokens"), F.lit(None).cast("double").alias("log_prob"))
     table, model, vocabulary = trained
     known, unseen = spark.sparkContext.broadcast(vocabulary), float(model.low(np.zeros(1))[0])
     parts = scratch.shuffle_partitions(spark)
@@ -489,12 +494,14 @@ def perplexities(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     return sums.groupBy("uid").applyInArrow(trimmed(_added), _RESULT)
 
 
-def quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, **params: object) -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame, quantile: float | None = None, **params: object) -> DataFrame:
     """``(doc_id, lang, n_tokens, perplexity, threshold, keep)`` of every row."""
-    scored = scratch.written(perplexities(docs, labels, **params), "perplexities")
+    scored = scratch.written(perplexities(docs, labels, hold=HOLD if quantile is None else None, **params), "perplexities")
     scored = scored.withColumn("perplexity", F.when(F.col("n_tokens") > 0, F.exp(-F.col("log_prob") / F.col("n_tokens"))))
     unseen = scored.filter("not trusted and perplexity is not null")
-    at = F.percentile_approx("perplexity", quantile, 100_000)
+    if not unseen.filter("held").isEmpty():
+        unseen = unseen.filter("held")
+    at = F.percentile_approx("perplexity", QUANTILE if quantile is None else quantile, 100_000)
     by_lang = scratch.written(unseen.groupBy(F.coalesce(F.concat(F.lit("="), "lang"), F.lit("")).alias("l")).agg(at.alias("own")), "thresholds")
     whole = unseen.agg(at.alias("whole"))
     both = scored.withColumn("l", F.coalesce(F.concat(F.lit("="), "lang"), F.lit(""))).join(by_lang, "l", "left").crossJoin(F.broadcast(whole))

@@ -171,6 +171,17 @@ def test_every_trusted_token_has_its_own_counts(spark):
     assert got[90] > max(got[i] for i in range(70))
 
 
+def test_bad_documents_are_rejected_whatever_their_share(spark):
+    """Half of the unlabelled documents are word salad: all of it goes, and the good half stays."""
+    r = random.Random(4)
+    rows = [(i, fixtures.prose(i, 120), "en") for i in range(500)] + [(i, " ".join("".join(r.choices("abcdefghij", k=7)) for _ in range(120)), "en") for i in range(500, 600)]
+    labels = [(i, 1, 0) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {x.doc_id: x.keep for x in kneser_ney.quality(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), shards=4).collect()}
+    assert not any(got[i] for i in range(500, 600))
+    assert sum(got[i] for i in range(400, 500)) >= 90 and sum(got[i] for i in range(400)) >= 395
+
+
 def test_quality_without_trusted_text(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     got = kneser_ney.quality(fixtures.docs(spark), none).collect()
