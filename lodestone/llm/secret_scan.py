@@ -47,6 +47,11 @@ _XML = re.compile(r"<([A-Za-z_][\w.:\-]*)(?:\s[^<>]*)?>([^<>]{1,4096})</\1\s*>")
 _ESCAPES = {"n": "\n", "t": "\t", "r": "\r", "0": "\0"}
 _DULL = re.compile(r"(?i)x{3,}|\*{3,}|\.{3}|change.?me|example|placeholder|your[_\-. ]|dummy|sample|redacted|<[^>]*>|none|null|undefined|true|false|test(?:ing)?|todo|secret|password|default|foo|bar|string|required|optional|env")
 _WORDS = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+|\d+")
+_URL = re.compile(r"(?i)https?://\S*")
+_PATH = re.compile(r"[\w./\\-]+")
+_PIECE = r"(?:(?:[a-z]+|[A-Z]+|[A-Z]?[a-z]+(?:[A-Z][a-z]+)+|[A-Z][a-z]+)\d{0,4}|\d+)"
+#: What stands between the slashes of a path: words and numbers with marks between them, or a name with an extension.
+_SEGMENT = re.compile(rf"[._\-]*(?:{_PIECE}(?:[._\-]+{_PIECE})*[._\-]*)?|[\w.\-]+\.[a-z]{{1,5}}\d?")
 
 
 def name_weight(name: str) -> float:
@@ -56,14 +61,31 @@ def name_weight(name: str) -> float:
     return max((NAMES.get(r, NAMES.get(r.rstrip("s"), 0.0)) for r in runs), default=0.0)
 
 
+def _placeholder(value: str) -> bool:
+    """Whether a short literal begins with a placeholder, not with random characters that happen to read like one."""
+    m = _DULL.match(value)
+    if m is None:
+        return False
+    head, rest = m[0], value[m.end() :]
+    if not head[-1:].isalnum() or not rest[:1].isalnum():
+        return True
+    # no word border: the rest is of words and a short number ("changemenow", "test123"), not a mix
+    return bool(re.fullmatch(r"[A-Za-z]?[a-z]*(?:[A-Z][a-z]+)*\d{0,4}\W*|(?:[a-z]+|[A-Z]+)?(?:[_\- ]+[a-z]+)*\d{0,4}\W*", rest))
+
+
+def _is_path(value: str) -> bool:
+    """Whether all segments between slashes look like words or names of files."""
+    return "/" in value and bool(_PATH.fullmatch(value)) and all(_SEGMENT.fullmatch(x) for x in re.split(r"[/\\]", value))
+
+
 def literal_score(value: str) -> float:
     """From -1 (placeholder) to 0.7 (long and random)."""
     n = len(value)
     if n < 6 or n > 4096:
         return -1.0
-    if re.fullmatch(_DULL.pattern, value) or (n < 40 and _DULL.match(value)) or len(set(value)) < 4:
+    if _DULL.fullmatch(value) or (n < 40 and _placeholder(value)) or len(set(value)) < 4:
         return -1.0
-    if re.fullmatch(r"(?i)https?://\S*|[\w./\\-]*/[\w./\\-]*", value) and not re.search(r"://[^/\s:@]+:[^/\s:@]+@", value):
+    if (_URL.fullmatch(value) or _is_path(value)) and not re.search(r"://[^/\s:@]+:[^/\s:@]+@", value):
         return -0.5
     bits = -sum(k / n * math.log2(k / n) for k in Counter(value).values())
     kinds = sum(bool(re.search(p, value)) for p in (r"[a-z]", r"[A-Z]", r"\d", r"[^\w\s]"))

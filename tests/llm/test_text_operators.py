@@ -254,6 +254,18 @@ def test_propagated_value_and_places():
     assert value == "ab12CD34efgh56" and text[start:end] == 'second + "gh56"' and score >= 1
 
 
+def test_random_keys_are_no_paths_or_placeholders():
+    r = random.Random(6)
+    keys = [base64.b64encode(r.randbytes(30)).decode() for _ in range(3000)]
+    assert sum("/" in k and not set("+=") & set(k) for k in keys) > 500
+    heads = ("foo", "bar", "env", "test", "none", "string")
+    keys += [h + f"{r.getrandbits(40):010x}Q7" + base64.b32encode(r.randbytes(5)).decode() for h in heads for _ in range(20)]
+    missed = [k for k in keys if not secret_scan.scan(f'aws_secret_access_key = "{k}"')]
+    assert len(missed) <= 2, missed
+    for dull in ("/etc/ssl/private/server.key", "./config/secrets.yaml", "src/main/TokenStore.java", "/usr/lib/python3.12/site-packages", "changeme123", "testpassword", "foobar", "your-api-key-here"):
+        assert not secret_scan.scan(f'secret_key = "{dull}"'), dull
+
+
 def test_planted_secrets_in_prose(spark):
     r = random.Random(8)
     rows, planted = [], set()
