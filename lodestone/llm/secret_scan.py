@@ -13,7 +13,8 @@ first four characters and its SHA-256; the secret itself is not repeated.
 
 Nulls and ties: null and empty texts have no findings; a null id stays null. Each assignment is reported by
 itself, also where names and literals repeat; repeated rows repeat their findings. A name assigned anew has its last value.
-Other columns are ignored. Texts are scanned whole.
+Other columns are ignored. Texts are scanned whole, and literals may
+be of any length; a value put together that is longer than its whole text is scored but not carried on.
 """
 
 from __future__ import annotations
@@ -43,7 +44,7 @@ _SPACE = re.compile(r"[ \t]*(?:\\\r?\n[ \t]*)?")
 _TERM = re.compile(r"(?P<prefix>[rRbBfFuU]{0,2})(?P<q>\"\"\"|'''|\"|'|`)|\$\{(?P<ref>[A-Za-z_][\w.]*)(?::?-(?P<dflt>[^}]*))?\}|\$(?P<env>[A-Za-z_]\w*)|(?P<bare>[^\s,;\"'`<>(){}\[\]]+)")
 _JOIN = re.compile(r"[ \t]*(?:\\?\r?\n[ \t]*)?(?:\+|\.\.|&(?!&))[ \t]*(?:\\?\r?\n[ \t]*)?")
 _INNER = re.compile(r"\$?\{([A-Za-z_][\w.]*)\}|\$([A-Za-z_]\w*)")
-_XML = re.compile(r"<([A-Za-z_][\w.:\-]*)(?:\s[^<>]*)?>([^<>]{1,4096})</\1\s*>")
+_XML = re.compile(r"<([A-Za-z_][\w.:\-]*)(?:\s[^<>]*+)?>([^<>]++)</\1\s*>")
 _ESCAPES = {"n": "\n", "t": "\t", "r": "\r", "0": "\0"}
 _DULL = re.compile(r"(?i)x{3,}|\*{3,}|\.{3}|change.?me|example|placeholder|your[_\-. ]|dummy|sample|redacted|<[^>]*>|none|null|undefined|true|false|test(?:ing)?|todo|secret|password|default|foo|bar|string|required|optional|env")
 _WORDS = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+|\d+")
@@ -81,7 +82,7 @@ def _is_path(value: str) -> bool:
 def literal_score(value: str) -> float:
     """From -1 (placeholder) to 0.7 (long and random)."""
     n = len(value)
-    if n < 6 or n > 4096:
+    if n < 6:
         return -1.0
     if _DULL.fullmatch(value) or (n < 40 and _placeholder(value)) or len(set(value)) < 4:
         return -1.0
@@ -96,13 +97,29 @@ def literal_score(value: str) -> float:
     return min(0.7, 0.1 * kinds + 0.08 * max(0.0, bits - 1.5) + 0.1 * (n >= 12) + 0.1 * (n >= 20))
 
 
-def _quoted(text: str, at: int, quote: str, raw: bool) -> tuple[str, int] | None:
+class _Finder:
+    """``str.find`` that remembers its last answer for each needle, so that asking again from within the same stretch costs nothing."""
+
+    def __init__(self, text: str):
+        self.text, self.last = text, {}
+
+    def __call__(self, needle: str, at: int) -> int:
+        """The first place of the needle from ``at`` on; the text's length if there is none."""
+        begin, end = self.last.get(needle, (0, -1))
+        if not begin <= at <= end:
+            end = self.text.find(needle, at)
+            end = len(self.text) if end < 0 else end
+            self.last[needle] = at, end
+        return end
+
+
+def _quoted(text: str, at: int, quote: str, raw: bool, find: _Finder) -> tuple[str, int] | None:
     """The literal that opens before ``at``, and where it ends."""
-    most = len(text) if len(quote) == 3 or quote == "`" else text.find("\n", at) if "\n" in text[at : at + 8192] else min(len(text), at + 8192)
+    most = len(text) if len(quote) == 3 or quote == "`" else find("\n", at)
     out, i = [], at
     while True:
-        j = text.find(quote, i, most)
-        if j < 0:
+        j = find(quote, i)
+        if j + len(quote) > most:
             return None
         back = text.find("\\", i, j)
         if raw or back < 0:
@@ -114,7 +131,7 @@ def _quoted(text: str, at: int, quote: str, raw: bool) -> tuple[str, int] | None
         i = back + 2
 
 
-def _expression(text: str, at: int, known: dict[str, str]) -> tuple[str, int, int, bool] | None:
+def _expression(text: str, at: int, known: dict[str, str], find: _Finder) -> tuple[str, int, int, bool] | None:
     """``(value, start, end, quoted or composed)`` of the expression at ``at``."""
     at = _SPACE.match(text, at).end()
     begin, parts, sure = at, [], False
@@ -123,7 +140,7 @@ def _expression(text: str, at: int, known: dict[str, str]) -> tuple[str, int, in
         if m is None:
             break
         if m["q"]:
-            got = _quoted(text, m.end(), m["q"], "r" in m["prefix"].lower())
+            got = _quoted(text, m.end(), m["q"], "r" in m["prefix"].lower(), find)
             if got is None:
                 break
             value, at = got
@@ -157,6 +174,7 @@ def _expression(text: str, at: int, known: dict[str, str]) -> tuple[str, int, in
 def scan(text: str, threshold: float = THRESHOLD) -> list[tuple[int, int, str, str, float]]:
     """``(start, end, name, literal, score)`` of the findings, in order."""
     known: dict[str, str] = {}
+    find = _Finder(text)
     found: dict[tuple[int, str], tuple[int, int, str, str, float]] = {}
     for m in _MARK.finditer(text):
         at = m.start()
@@ -166,19 +184,22 @@ def scan(text: str, threshold: float = THRESHOLD) -> list[tuple[int, int, str, s
                 continue
             name, got = x[1], (x[2].strip(), x.start(2), x.end(2), True)
         else:
-            before = text[max(0, at - 160, text.rfind("\n", 0, at) + 1) : at]
+            before = text[max(0, at - 160, text.rfind("\n", max(0, at - 160), at) + 1) : at]
             n = (m[0] == "=" and _TYPED.search(before)) or _NAME.search(before)
             if n is None:
                 continue
             name = n[1] or n[3]
-            got = _expression(text, m.end(), known)
+            got = _expression(text, m.end(), known, find)
             if got is None:
                 continue
         value, start, end, sure = got
-        if sure and len(value) <= 4096:
+        # names that are put together from themselves again and again grow beyond all bounds; nothing written in the text is as long as the text
+        if len(value) > len(text):
+            known.pop(name, None)
+        elif sure:
             known[name] = value
             known[re.split(r"[.]", name)[-1]] = value
-        elif m[0] in ("=", ":=") and len(value) <= 4096:
+        elif m[0] in ("=", ":="):
             known[name] = value
         weight = name_weight(name)
         if weight <= 0:

@@ -266,6 +266,17 @@ def test_random_keys_are_no_paths_or_placeholders():
         assert not secret_scan.scan(f'secret_key = "{dull}"'), dull
 
 
+def test_long_secrets_are_found_whole():
+    r = random.Random(7)
+    blob = base64.b64encode(r.randbytes(9000)).decode()
+    assert [f[3] for f in secret_scan.scan(f'private_key = "{blob}"')] == [blob]
+    assert [f[3] for f in secret_scan.scan(f'{{"a": 1, "privateKey": "{blob}", "b": 2}}')] == [blob]
+    assert [f[3] for f in secret_scan.scan(f"<password>{blob}</password>")] == [blob]
+    assert [f[3] for f in secret_scan.scan(f'part = "{blob}"\nclient_secret = part + "Zx9"')] == [blob + "Zx9"]
+    assert secret_scan.scan('x = "ab12CD34"\n' + "x = x + x\n" * 200) == []
+    assert len(secret_scan.scan('{"token": "open, ' * 20_000)) == len(secret_scan.scan("{'token': 'open, " * 20_000))
+
+
 def test_planted_secrets_in_prose(spark):
     r = random.Random(8)
     rows, planted = [], set()
