@@ -20,7 +20,7 @@ Nulls and ties: a null id takes no part; a null or empty text, or one without a
 n-gram and no partner. A text with fewer than n tokens has one n-gram of them all. Repeated rows
 with one id count as copies of one document: no pair joins an id to itself. Documents of equal
 n-gram sets are joined to the smallest id among them (similarity 1) and only that one is joined
-to others, so that a thousand copies give a thousand rows, not half a million. Other columns
+to others, so that a thousand copies give a thousand rows, not half a million; `all_pairs` gives them all. Other columns
 are ignored, whatever their names. An empty table gives no pairs.
 """
 
@@ -283,8 +283,8 @@ def _members(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(a, np.int64)[keep]), pa.array(np.frombuffer(b, np.int64)[keep]), pa.array(size[keep])], names=["id", "sig", "size"])
 
 
-def pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """``(doc_a, doc_b, jaccard)`` with doc_a < doc_b for all documents with n-gram Jaccard similarity of at least the threshold; see the module for copies and nulls."""
+def _sets(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """The ids of each n-gram set, ``(id, sig, size)``, and the similar pairs of different sets, ``(x, y, j)`` among others."""
     spark = docs.sparkSession
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be above 0 and at most 1")
@@ -307,6 +307,12 @@ def pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: in
         counted.groupBy("x", "y").agg(F.max("sizes").alias("sizes"), F.sum("shared").alias("shared"))
         .withColumn("j", F.col("shared") / (F.col("sizes") - F.col("shared"))).filter(F.col("j") >= threshold)
     )
+    return members, close
+
+
+def pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold: float = THRESHOLD) -> DataFrame:
+    """``(doc_a, doc_b, jaccard)`` with doc_a < doc_b for all documents with n-gram Jaccard similarity of at least the threshold; see the module for copies and nulls."""
+    members, close = _sets(docs, id_col, text_col, n, threshold)
     leads = members.groupBy("sig").agg(F.min("id").alias("lead"))
     copies = members.select("id", "sig").distinct().join(leads, "sig").filter("id > lead").select(F.col("lead").alias("p"), F.col("id").alias("q"), F.lit(1.0).alias("j"))
     near = close.join(leads.select(F.col("sig").alias("x"), F.col("lead").alias("p")), "x").join(leads.select(F.col("sig").alias("y"), F.col("lead").alias("q")), "y").filter("p <> q").select("p", "q", "j")
@@ -314,6 +320,17 @@ def pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: in
     return both.groupBy(F.least("p", "q").alias("doc_a"), F.greatest("p", "q").alias("doc_b")).agg(F.max("j").alias("jaccard"))
 
 
+def all_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold: float = THRESHOLD) -> DataFrame:
+    """`pairs` without its reduction to the smallest ids: every two documents with at least the threshold. Copies give as many rows as they have pairs."""
+    members, close = _sets(docs, id_col, text_col, n, threshold)
+    own = members.select("id", "sig").distinct()
+    left, right = own.select(F.col("sig").alias("x"), F.col("id").alias("p")), own.select(F.col("sig").alias("y"), F.col("id").alias("q"))
+    copies = left.join(right.withColumnRenamed("y", "x"), "x").filter("p < q").select("p", "q", F.lit(1.0).alias("j"))
+    near = close.join(left, "x").join(right, "y").filter("p <> q").select("p", "q", "j")
+    both = near.unionByName(copies)
+    return both.groupBy(F.least("p", "q").alias("doc_a"), F.greatest("p", "q").alias("doc_b")).agg(F.max("j").alias("jaccard"))
+
+
 def groups(links: DataFrame) -> DataFrame:
     """``(id, head)``: each id of ``links (doc_a, doc_b)`` with the smallest id of its connected group.
 

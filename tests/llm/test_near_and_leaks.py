@@ -45,6 +45,22 @@ def test_pairs_equal_brute_force(spark):
         assert got == {k: round(v, 9) for k, v in brute_pairs(rows, t).items()}
 
 
+def test_all_pairs_equal_unreduced_brute_force(spark):
+    """1 and 2 are copies and 3 is near both: (2, 3) is a pair too."""
+    text = fixtures.prose(11, 40)
+    rows = [(1, text), (2, text), (3, text + " and more"), (4, text + " and more"), (5, fixtures.prose(12, 40)), (5, text), (None, text), (6, None)]
+    want = {}
+    for i, a in rows:
+        for k, b in rows:
+            if i is not None and k is not None and i < k and grams(a) and grams(b):
+                j = len(grams(a) & grams(b)) / len(grams(a) | grams(b))
+                if j >= 0.5:
+                    want[i, k] = max(j, want.get((i, k), 0))
+    assert (2, 3) in want and (2, 4) in want
+    got = {(r.doc_a, r.doc_b): r.jaccard for r in jaccard_join.all_pairs(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {k: round(v, 9) for k, v in got.items()} == {k: round(v, 9) for k, v in want.items()}
+
+
 def test_pairs_of_many_edited_copies(spark):
     r = random.Random(5)
     rows = []
