@@ -5,14 +5,15 @@ the fields of the header lines that follow: five in version 1 (URL, IP, date, co
 ten in version 2 (also result code, checksum, location, offset, file name). Each record is its header
 line, then as many bytes as it declares, then a newline. Records are taken by declared length, never by
 searching for the next header; where a length is wrong or missing, reading resumes at the next line that parses as a header and
-the fault is noted.
+the fault is noted. A length that ends beyond the file or within a line is too long if a sound header, whose own length fits, stands within the body;
+the record then ends before it. URLs may be relative or bare hosts if the other fields are well formed.
 
 Each becomes a WARC 1.0 record: identifier ``urn:uuid`` from a digest of URL, date, payload and place (the same in
 every run), date in ISO 8601, type by content (``warcinfo`` for the version block, ``response`` for an
 HTTP answer, ``resource`` for others and for FTP or DNS), and SHA-1 block and payload digests in base 32.
 
 Nulls and ties: null or empty archives give no records. A header with an impossible date keeps the record
-with a null date and the fault ``date``. Fields given as ``-`` are null. Records that repeat one another have identifiers of
+with a null date and the fault ``date``. Fields given as ``-`` are null, but for the URL. Records that repeat one another have identifiers of
 their own, as their places differ; repeated archives of one id give equal records. In a page table, null ids, URLs and texts become
 ``-`` or empty fields; other columns are ignored. Records of any length are taken whole.
 """
@@ -36,6 +37,9 @@ V2 = ("URL", "IP-address", "Archive-date", "Content-type", "Result-code", "Check
 #: Pages in one archive made by `pages_to_arc`.
 PAGES = 200
 
+_IP = re.compile(r"\d{1,3}(?:\.\d{1,3}){3}|[0-9A-Fa-f]*:[0-9A-Fa-f:.]*")
+_MIME = re.compile(r"[\w.+\-]+/[\w.+\-]+;?|no-type|unknown")
+_SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.\-]*:")
 _HTTP = re.compile(rb"HTTP/\d\.\d +(\d{3})")
 
 
@@ -55,10 +59,36 @@ def _header(line: bytes, names: tuple[str, ...]) -> dict[str, str | None] | None
     """The fields of a header line; None if it isn't one. Spaces in a URL are allowed, as the other fields have none."""
     text = line.decode("utf-8", "replace").rstrip("\r\n")
     fields = text.rsplit(" ", len(names) - 1)
-    if len(fields) != len(names) or ":" not in fields[0] or not fields[-1].isdigit():
+    if len(fields) != len(names) or not fields[0].strip() or not re.fullmatch(r"[0-9]+", fields[-1]):
         return None
-    out = {n: (None if v == "-" else v) for n, v in zip(names, fields)}
-    return out if re.fullmatch(r"\d{8,17}", out.get("Archive-date") or "0") or not out.get("Archive-date") else None
+    out = {n: (None if v == "-" and n != "URL" else v) for n, v in zip(names, fields)}
+    if not (re.fullmatch(r"\d{8,17}", out.get("Archive-date") or "0") or not out.get("Archive-date")):
+        return None
+    # without a scheme the URL says little, so the other fields must be what they ought to be
+    return out if ":" in fields[0] or _sound(out) else None
+
+
+def _sound(fields: dict[str, str | None]) -> bool:
+    """Whether address, date, type and result code of a header are well formed."""
+    ip, mime, code = fields.get("IP-address"), fields.get("Content-type"), fields.get("Result-code")
+    return bool(fields.get("Archive-date")) and (ip is None or bool(_IP.fullmatch(ip))) and (mime is None or bool(_MIME.fullmatch(mime))) and (code is None or code.isdigit())
+
+
+def _next_header(data: bytes, begin: int, end: int, names: tuple[str, ...]) -> int | None:
+    """Where within a body, after a newline, a line stands that is a sound header of a record that ends where a record may end."""
+    at = data.find(b"\n", begin, end)
+    while at >= 0:
+        stop = data.find(b"\n", at + 1)
+        stop = len(data) if stop < 0 else stop
+        line = data[at + 1 : stop]
+        if line[-1:].isdigit() or line[-2:-1].isdigit():
+            fields = _header(line, names)
+            if fields and _sound(fields):
+                after = stop + 1 + int(fields["Archive-length"])
+                if after == len(data) or data[after : after + 1] in (b"\n", b"\r"):
+                    return at + 1
+        at = data.find(b"\n", at + 1, end)
+    return None
 
 
 def records(data: bytes, name: str = "") -> Iterator[dict]:
@@ -90,8 +120,13 @@ def records(data: bytes, name: str = "") -> Iterator[dict]:
         if len(body) < int(fields["Archive-length"]):
             fault = "short"
         at = end + 1 + len(body)
-        if at < len(data) and data[at : at + 1] not in (b"\n", b"\r"):
+        if len(body) < int(fields["Archive-length"]) or (at < len(data) and data[at : at + 1] not in (b"\n", b"\r")):
             fault = fault or "length"
+            # the length is wrong: a body too long holds the records that follow
+            inner = _next_header(data, end + 1, at, names)
+            if inner is not None:
+                fault, at = "length", inner
+                body = data[end + 1 : inner - 1]
         info = line.startswith(b"filedesc:")
         if info:
             rows = body.decode("utf-8", "replace").splitlines()
@@ -99,7 +134,8 @@ def records(data: bytes, name: str = "") -> Iterator[dict]:
             names = tuple(rows[1].split(" ")) if len(rows) > 1 and rows[1].startswith("URL ") else (V2 if version == 2 else V1)
         date = _date(fields.get("Archive-date"))
         answer = _HTTP.match(body)
-        kind = "warcinfo" if info else "response" if answer and fields["URL"].lower().startswith("http") else "resource"
+        web = fields["URL"].lower().startswith("http") or not _SCHEME.match(fields["URL"])
+        kind = "warcinfo" if info else "response" if answer and web else "resource"
         payload = body
         if kind == "response":
             split = re.search(rb"\r?\n\r?\n", body)

@@ -222,6 +222,22 @@ def test_damaged_archives():
     assert len(list(arc_to_warc.records(gzip.compress(good[:100]) + gzip.compress(good[100:])))) == 3
 
 
+def test_urls_without_a_scheme_and_lengths_too_long():
+    items = [(u, f"<p>{u}</p>", "19970203040506") for u in ("www.example.com/x", "/a/b?c=1 2", "x", "-", "http://a/")]
+    for version in (1, 2):
+        good = arc_to_warc.arc_file("f", version, items)
+        got = list(arc_to_warc.records(good))[1:]
+        assert [r["target_uri"] for r in got] == ["www.example.com/x", "/a/b?c=1%202", "x", "-", "http://a/"] and not any(r["fault"] for r in got)
+        assert all(r["warc_type"] == "response" and r["status"] == 200 for r in got)
+        size = len(got[1]["block"])
+        for wrong in (size + 100, size + 250, 10**6):
+            broken = good.replace(b" %d\nHTTP/1.0 200 OK\r\nContent-Type: text/html\r\n\r\n<p>/a" % size, b" %d\nHTTP/1.0 200 OK\r\nContent-Type: text/html\r\n\r\n<p>/a" % wrong)
+            assert broken != good
+            again = list(arc_to_warc.records(broken))[1:]
+            assert [r["target_uri"] for r in again] == [r["target_uri"] for r in got]
+            assert [r["block"] for r in again] == [r["block"] for r in got] and [r["fault"] for r in again] == [None, "length", None, None, None]
+
+
 def test_pages_become_records(spark):
     rows = [(i, f"http://h/{i}", f"<p>{i}</p>") for i in range(450)] + [(None, None, None), (3, "http://h/3", "<p>3</p>"), (7, "http://h/long", "z" * 300_000)]
     df = spark.createDataFrame([(*r, "c") for r in rows], "page_id long, url string, html string, path string").coalesce(1)
