@@ -1,7 +1,6 @@
 """Operator 7: n-gram Jaccard join by vertical partitioning.
 
-The global order of the n-grams (by hash) is cut into fragments. Four exchanges, all of
-packed arrays with few rows:
+The global order of the n-grams (64-bit hashes) is cut into fragments. All exchanges are of packed arrays with few rows:
 
 1. Each batch of documents sends every fragment the distinct n-grams that fall into it. The
    fragment finds how many records hold each n-gram; those of one record cannot add to an
@@ -9,19 +8,21 @@ packed arrays with few rows:
 2. The shared n-grams return to their batch. Ordered from rare to frequent, a record whose
    prefix (size - ceil(t * size) + 1 n-grams) is unshared can have no partner; the others'
    shared n-grams go to fragments again, equal n-gram sets as one record.
-3. Within a fragment, records that share a prefix n-gram become candidates.
+3. Within a fragment, records that share a prefix n-gram become candidates. Each record knows in which fragments it has
+   n-grams, so that a candidate goes only to those which both have.
 4. Each fragment counts the candidates' partial overlaps by itself; the sum per pair is the
    exact overlap.
 
 Nothing is capped: hot n-grams stand at the end of the order and outside nearly all prefixes,
-and copies collapse into one record.
+and copies collapse into one record. The join is by default returned as one row per document, with its class and its number of
+links: a thousand copies are a thousand rows, not half a million. `all_pairs` gives the pairs themselves. An n-gram set is known by the 64-bit sum of its
+mixed n-grams: of 10^9 different sets two agree with odds of 1 in 37.
 
 Nulls and ties: a null id takes no part; a null or empty text, or one without a token, has no
-n-gram and no partner. A text with fewer than n tokens has one n-gram of them all. Repeated rows
-with one id count as copies of one document: no pair joins an id to itself. Documents of equal
-n-gram sets are joined to the smallest id among them (similarity 1) and only that one is joined
-to others, so that a thousand copies give a thousand rows, not half a million; `all_pairs` gives them all. Other columns
-are ignored, whatever their names. An empty table gives no pairs.
+n-gram and no partner: its class is its own id. A text with fewer than n tokens has one n-gram of them all. Rows that repeat
+an id are one document, similar to whatever any of its rows is similar to; it has one row in the result and isn't a link of itself. A class is a
+connected group of similar documents, named by its smallest id. Other columns are ignored, whatever their names. An empty table gives no rows.
+Ids are integers (or text that reads as integers).
 """
 
 from __future__ import annotations
@@ -30,52 +31,39 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import scratch
+from .packed import cells, loose, narrow, rows, runs, squeeze, starts
 from .tokens import batches, column, grams, mix, spread, tokenise_sliced, trimmed
 
 N, THRESHOLD = 3, 0.5
 BATCH_BYTES = 5_000_000
 #: Incidences that a fragment looks at together; larger ones are taken in slices.
 SLICE = 1_000_000
-#: Ids up to this number are sent to all executors when documents are dropped; beyond it they are joined by a shuffle.
-BROADCAST_IDS = 4_000_000
+#: Ids up to this number (4 MB) are sent to all executors when documents are dropped; beyond it they are joined by a shuffle.
+BROADCAST_IDS = 500_000
 #: Fragments of the second exchange are larger, as about one n-gram in six is left.
 COARSER = 8
+#: Links up to this number are followed in one task; beyond it in rounds over all executors, with the same result.
+FEW_LINKS = 1_000_000
 
 PACKED = "frag int, uid long, kind int, a binary, b binary, c binary"
 _PACKED = pa.schema([("frag", pa.int32()), ("uid", pa.int64()), ("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
 
 
-def _pack(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_PACKED)], schema=_PACKED)
-
-
-def _short(values: np.ndarray, width: int) -> bytes:
-    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
-
-
-def _long(data: bytes, width: int) -> np.ndarray:
-    out = np.zeros((len(data) // width, 8), np.uint8)
-    out[:, :width] = np.frombuffer(data, np.uint8).reshape(-1, width)
-    return out.view("<u8").ravel().astype(np.uint64)
-
-
-def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and lengths of the runs of equal values."""
-    if not len(values):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    at = np.concatenate([[0], np.flatnonzero(values[1:] != values[:-1]) + 1])
-    return at, np.diff(np.append(at, len(values)))
-
-
 def _needed(size: np.ndarray, t: float) -> np.ndarray:
     return np.ceil(t * size - 1e-9).astype(np.int64)
 
 
+def _fragment(g: np.ndarray, frags: int) -> np.ndarray:
+    """The fragment of each n-gram: the order is cut by the hashes' first 24 bits."""
+    return (((g >> np.uint64(40)) * np.uint64(frags)) >> np.uint64(24)).astype(np.int64)
+
+
 def _send(parts: Iterator[pa.RecordBatch], n: int, frags: int, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
     task = TaskContext.get().partitionId()
     for seq, table in enumerate(batches(parts, "t", BATCH_BYTES)):
@@ -87,150 +75,162 @@ def _sent(table: pa.Table, place: int, n: int, frags: int, keys: np.ndarray) ->
     order = np.argsort(g, kind="stable")
     g, d = g[order], d[order]
     del order
-    keep = np.ones(len(g), bool)
-    keep[1:] = (g[1:] != g[:-1]) | (d[1:] != d[:-1])
-    g, d = g[keep], d[keep]
+    at = starts(g, d)
+    g, d = g[at], d[at]
     ids = column(table, "id").to_numpy(zero_copy_only=False).astype(np.int64)
     sig = np.zeros(len(ids), np.uint64)
     np.add.at(sig, d, mix(g + np.uint64(1)))
     size = np.bincount(d, minlength=len(ids)).astype(np.int32)
     uid = int(mix(np.array([place], np.uint64) ^ np.add.reduce(sig * np.arange(1, 2 * len(sig), 2, dtype=np.uint64)))[0].astype(np.int64))
-    wide = np.uint32 if len(ids) > 65_535 else np.uint16
-    part = ((g >> np.uint64(40)) * np.uint64(frags)) >> np.uint64(24)
-    cut = np.searchsorted(part, np.arange(frags + 1))
-    rows = [(int(keys[uid % frags]), uid, 0, ids.tobytes(), sig.tobytes(), size.tobytes())]
-    rows += [(int(keys[f]), uid, 1, d[x:y].astype(wide).tobytes(), _short(g[x:y], 5), np.array([f, wide().nbytes], np.int32).tobytes()) for f, (x, y) in enumerate(zip(cut[:-1], cut[1:])) if y > x]
-    return _pack(rows)
+    d, part = narrow(d, len(ids)), _fragment(g, frags)
+    at, many = runs(part)
+    out = [(int(keys[uid % frags]), uid, 0, ids.tobytes(), sig.tobytes(), size.tobytes())]
+    out += [(int(keys[part[x]]), uid, 1, squeeze(d[x : x + k]), squeeze(g[x : x + k], True), np.array([part[x], d.itemsize], np.int32).tobytes()) for x, k in zip(at, many)]
+    return rows(out, _PACKED)
+
+
+def _by_kind(table: pa.Table, kind: int) -> pa.Table:
+    return table.filter(pc.equal(table.column("kind"), kind))
 
 
 def _shared(table: pa.Table) -> pa.Table:
     """One fragment: the n-grams of two records or more, back to the batches."""
-    rows = [r for r in table.select(["uid", "kind", "a", "b", "c"]).to_pylist()]
-    out = [(0, r["uid"], 0, r["a"], r["b"], r["c"]) for r in rows if r["kind"] == 0]
-    rows = [r for r in rows if r["kind"] == 1]
-    if rows:
-        frag = int(np.frombuffer(rows[0]["c"], np.int32)[0])
-        g = np.concatenate([_long(r["b"], 5) for r in rows])
-        d = np.concatenate([np.frombuffer(r["a"], np.uint16 if np.frombuffer(r["c"], np.int32)[1] == 2 else np.uint32).astype(np.uint32) for r in rows])
-        src = np.repeat(np.arange(len(rows)), [len(r["b"]) // 5 for r in rows])
+    heads, table = _by_kind(table, 0), _by_kind(table, 1)
+    out = [(0, uid, 0, a, b, c) for uid, a, b, c in zip(heads.column("uid").to_pylist(), *(cells(heads, x) for x in "abc"))]
+    if table.num_rows:
+        uids, about = table.column("uid").to_pylist(), [np.frombuffer(c, np.int32) for c in cells(table, "c")]
+        gs = [loose(b, np.uint64, True) for b in cells(table, "b")]
+        src = np.repeat(np.arange(len(gs), dtype=np.int32), [len(x) for x in gs])
+        g = np.concatenate(gs)
+        del gs
         order = np.argsort(g, kind="stable")
-        at, many = _runs(g[order])
-        df = np.repeat(many, many)
+        _, many = runs(g[order])
+        df = np.zeros(len(g), np.int32)
+        df[order] = np.repeat(many, many)
+        del order, many
+        d = np.concatenate([loose(a, np.uint16 if c[1] == 2 else np.uint32).astype(np.uint32) for a, c in zip(cells(table, "a"), about)])
         keep = df > 1
-        order, df = order[keep], df[keep]
+        g, d, src, df = g[keep], d[keep], src[keep], df[keep]
         rank = np.minimum(255, 8 * np.log2(df)).astype(np.uint8)
-        back = np.argsort(src[order], kind="stable")
-        order, rank = order[back], rank[back]
-        cut = np.searchsorted(src[order], np.arange(len(rows) + 1))
-        for r, x, y in zip(rows, cut[:-1], cut[1:]):
-            if y > x:
-                o = order[x:y]
-                out.append((frag, r["uid"], 1, d[o].tobytes(), _short(g[o], 5), rank[x:y].tobytes()))
-    return pa.Table.from_batches([_pack(out)])
+        frag = int(about[0][0])
+        at, many = runs(src)
+        out += [(frag, uids[src[x]], 1, squeeze(d[x : x + k]), squeeze(g[x : x + k], True), squeeze(rank[x : x + k])) for x, k in zip(at, many)]
+    return pa.Table.from_batches([rows(out, _PACKED)])
 
 
-def _active(table: pa.Table, t: float, frags: int, coarse: int, keys: np.ndarray) -> pa.Table:
+def _bits(part: np.ndarray, coarse: int) -> np.ndarray:
+    """The bit that stands for a fragment in a record's map of 64."""
+    return part * 64 // max(64, coarse)
+
+
+def _active(table: pa.Table, t: float, coarse: int, keys: np.ndarray) -> pa.Table:
     """One batch: its records (kind 0), prefix n-grams (1) and all shared n-grams (2) of records that may have a partner."""
-    rows = table.to_pylist()
-    head = [r for r in rows if r["kind"] == 0]
-    if len(head) != 1:
+    head, table = _by_kind(table, 0), _by_kind(table, 1)
+    if head.num_rows != 1:
         raise ValueError("a batch of documents changed while it was read; write the input to a table first")
-    uid, ids, sig, size = head[0]["uid"], head[0]["a"], np.frombuffer(head[0]["b"], np.uint64), np.frombuffer(head[0]["c"], np.int32)
-    out = [(-1, uid, 0, ids, head[0]["b"], head[0]["c"])]
-    rows = [r for r in rows if r["kind"] == 1]
-    if rows:
-        d = np.concatenate([np.frombuffer(r["a"], np.uint32) for r in rows]).astype(np.int64)
-        g = np.concatenate([_long(r["b"], 5) | np.uint64(r["frag"] << 40) for r in rows])
-        rank = np.concatenate([np.frombuffer(r["c"], np.uint8) for r in rows])
-        first = np.unique(sig, return_index=True)[1]
+    uid, ids, sig, size = head.column("uid")[0].as_py(), cells(head, "a")[0], np.frombuffer(cells(head, "b")[0], np.uint64), np.frombuffer(cells(head, "c")[0], np.int32)
+    out = [(-1, uid, 0, ids, sig.tobytes(), size.tobytes())]
+    if table.num_rows:
+        d = np.concatenate([loose(x, np.uint32) for x in cells(table, "a")])
         lead = np.zeros(len(sig), bool)
-        lead[first] = True
+        lead[np.unique(sig, return_index=True)[1]] = True
         keep = lead[d]
-        d, g, rank = d[keep], g[keep], rank[keep]
+        d, g = d[keep].astype(np.int32), np.concatenate([loose(x, np.uint64, True) for x in cells(table, "b")])[keep]
+        rank = np.concatenate([loose(x, np.uint8) for x in cells(table, "c")])[keep]
         order = np.lexsort((g, rank, d))
         d, g = d[order], g[order]
-        at, many = _runs(d)
+        del order, rank, keep
+        at, many = runs(d)
         place = np.arange(len(d)) - np.repeat(at, many) + np.repeat(size[d[at]] - many, many)
         prefix = place < (size[d] - _needed(size[d], t) + 1)
         active = np.zeros(len(sig), bool)
         active[d[prefix]] = True
         keep = active[d]
         d, g, prefix = d[keep], g[keep], prefix[keep]
-        part = (g >> np.uint64(40)).astype(np.int64) * coarse // frags
-        for kind, chosen in ((1, prefix), (2, np.ones(len(d), bool))):
-            for f in range(coarse):
-                mine = np.flatnonzero(chosen & (part == f))
-                if len(mine):
-                    recs, local = np.unique(d[mine], return_inverse=True)
-                    out.append((int(keys[f]), uid, kind, np.concatenate([sig[recs], size[recs].astype(np.uint64)]).tobytes(), _short(g[mine], 7), local.astype(np.uint32).tobytes()))
-    return pa.Table.from_batches([_pack(out)])
-
-
-def _records(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Signatures (sorted) and sizes of a fragment's records, and each row's places among them."""
-    sigs, sizes = [], []
-    for r in rows:
-        both = np.frombuffer(r["a"], np.uint64)
-        sigs.append(both[: len(both) // 2])
-        sizes.append(both[len(both) // 2 :].astype(np.int64))
-    sig, first = np.unique(np.concatenate(sigs), return_index=True)
-    return sig, np.concatenate(sizes)[first], [np.searchsorted(sig, x).astype(np.int32) for x in sigs]
-
-
-def _slices(rows: list[dict], places: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Distinct ``(n-gram, record)`` in order of n-gram, a slice of the n-grams at a time."""
-    count = max(1, -(-sum(len(r["b"]) // 7 for r in rows) // SLICE))
-    for k in range(count):
-        gs, recs = [], []
-        for r, place in zip(rows, places):
-            g, rec = _long(r["b"], 7), np.frombuffer(r["c"], np.uint32)
-            if count > 1:
-                mine = g % np.uint64(count) == k
-                g, rec = g[mine], rec[mine]
-            gs.append(g)
-            recs.append(place[rec])
+        order = np.argsort(g, kind="stable")
+        d, g, prefix = d[order], g[order], prefix[order]
+        part = _fragment(g, coarse)
+        held = np.zeros(len(sig), np.uint64)
+        np.bitwise_or.at(held, d, np.uint64(1) << _bits(part, coarse).astype(np.uint64))
+        cut = np.searchsorted(part, np.arange(coarse + 1))
+        for f in np.flatnonzero(np.diff(cut)):
+            own = slice(cut[f], cut[f + 1])
+            for kind, x, y in ((1, d[own][prefix[own]], g[own][prefix[own]]), (2, d[own], g[own])):
+                if len(x):
+                    recs, local = np.unique(x, return_inverse=True)
+                    out.append((int(keys[f]), uid, kind, np.concatenate([sig[recs], size[recs].astype(np.uint64), held[recs]]).tobytes(), squeeze(y, True), squeeze(local.astype(np.uint32))))
+    return pa.Table.from_batches([rows(out, _PACKED)])
+
+
+class _Records:
+    """A fragment's records, in order of signature, and its n-grams."""
+
+    def __init__(self, table: pa.Table):
+        heads = [np.frombuffer(x, np.uint64).reshape(3, -1) for x in cells(table, "a")]
+        self.sig, first = np.unique(np.concatenate([h[0] for h in heads]), return_index=True)
+        self.size = np.concatenate([h[1] for h in heads])[first].astype(np.int64)
+        self.held = np.concatenate([h[2] for h in heads])[first]
+        self.places = [np.searchsorted(self.sig, h[0]).astype(np.int32) for h in heads]
+        self.table = table
+
+    def slices(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Distinct ``(n-gram, record)`` in order of n-gram, a slice of the n-grams at a time."""
+        gs = [loose(x, np.uint64, True) for x in cells(self.table, "b")]
+        recs = [place[loose(x, np.uint32)] for place, x in zip(self.places, cells(self.table, "c"))]
         g, rec = np.concatenate(gs), np.concatenate(recs)
-        order = np.lexsort((rec, g))
-        g, rec = g[order], rec[order]
-        keep = np.ones(len(g), bool)
-        keep[1:] = (g[1:] != g[:-1]) | (rec[1:] != rec[:-1])
-        yield g[keep], rec[keep]
+        del gs, recs
+        count = max(1, -(-len(g) // SLICE))
+        for k in range(count):
+            mine = np.flatnonzero(g % np.uint64(count) == k) if count > 1 else slice(None)
+            x, y = g[mine], rec[mine]
+            order = np.lexsort((y, x))
+            x, y = x[order], y[order]
+            at = starts(x, y)
+            yield x[at], y[at]
 
 
-_PAIRS = pa.schema([("x", pa.int64()), ("y", pa.int64())])
+_PAIRS = pa.schema([("x", pa.int64()), ("y", pa.int64()), ("held", pa.int64())])
 
 
 def _candidates(table: pa.Table, t: float) -> pa.Table:
-    rows = table.select(["a", "b", "c"]).to_pylist()
-    sig, size, places = _records(rows)
+    """The pairs of records that share a prefix n-gram and whose sizes allow enough overlap, with the fragments that both have."""
+    own = _Records(table)
+    size, total = own.size, len(own.sig)
     found: list[np.ndarray] = []
-    held, total = 0, len(sig)
-
-    def note(x: np.ndarray, y: np.ndarray) -> None:
-        nonlocal found, held
-        ok = (x < y) & (np.minimum(size[x], size[y]) >= t * np.maximum(size[x], size[y]) - 1e-9)
-        found.append(np.unique(x[ok].astype(np.int64) * total + y[ok]))
-        held += len(found[-1])
-        if held > 2_000_000:
-            found, held = [np.unique(np.concatenate(found))], 0
-
-    for g, rec in _slices(rows, places):
-        at, many = _runs(g)
-        few = many <= 64
-        for k in np.unique(many[few & (many > 1)]):
-            starts = at[many == k]
-            left, right = np.triu_indices(k, 1)
-            step = max(1, 500_000 // len(left))
-            for i in range(0, len(starts), step):
-                block = rec[starts[i : i + step, None] + np.arange(k)]
-                note(block[:, left].ravel(), block[:, right].ravel())
-        for s, k in zip(at[~few], many[~few]):
-            own, step = rec[s : s + k], max(1, 500_000 // k)
-            for i in range(0, k, step):
-                mine = own[i : i + step]
-                note(np.repeat(mine, k), np.tile(own, len(mine)))
+    for g, rec in own.slices():
+        at, many = runs(g)
+        keep = np.repeat(many > 1, many)  # n-grams of one record make no pair
+        begin = np.repeat(at + many, many)[keep]  # where each posting's list ends
+        place = np.flatnonzero(keep)
+        order = np.argsort(rec[keep], kind="stable")
+        place, begin = place[order], begin[order]
+        width = begin - place - 1  # the records behind it in the list, all of higher number
+        who = rec[place]
+        heads, lots = runs(who)
+        reach = np.cumsum(width)
+        mark = np.zeros(total, bool)
+        i = 0
+        while i < len(heads):
+            base = reach[heads[i] - 1] if heads[i] else 0
+            ends = heads + lots - 1
+            j = max(i + 1, int(np.searchsorted(reach[ends], base + 200_000, "right")))
+            some = slice(heads[i], ends[j - 1] + 1)
+            w = width[some]
+            hits = rec[np.repeat(place[some] + 1 - np.concatenate([[0], np.cumsum(w)[:-1]]), w) + np.arange(w.sum())]
+            if j == i + 1:  # one record with many partners
+                mark[hits] = True
+                y = np.flatnonzero(mark)
+                mark[y] = False
+                x = np.full(len(y), who[heads[i]], np.int64)
+            else:
+                code = np.unique(np.repeat(who[some], w).astype(np.int64) * total + hits)
+                x, y = code // total, code % total
+            ok = np.minimum(size[x], size[y]) >= t * np.maximum(size[x], size[y]) - 1e-9
+            found.append(x[ok] * total + y[ok])
+            i = j
     pairs = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
-    return pa.table({"x": sig[pairs // max(total, 1)].view(np.int64), "y": sig[pairs % max(total, 1)].view(np.int64)}, schema=_PAIRS)
+    x, y = pairs // max(total, 1), pairs % max(total, 1)
+    return pa.table({"x": own.sig[x].view(np.int64), "y": own.sig[y].view(np.int64), "held": (own.held[x] & own.held[y]).view(np.int64)}, schema=_PAIRS)
 
 
 _COUNTS = pa.schema([("x", pa.int64()), ("y", pa.int64()), ("sizes", pa.int32()), ("shared", pa.int32())])
@@ -240,8 +240,8 @@ def _overlaps(segments: pa.Table, wanted: pa.Table) -> pa.Table:
     """Partial overlaps of the candidates, from one fragment alone."""
     if not segments.num_rows or not wanted.num_rows:
         return _COUNTS.empty_table()
-    rows = segments.select(["a", "b", "c"]).to_pylist()
-    sig, size, places = _records(rows)
+    own = _Records(segments)
+    sig, size = own.sig, own.size
     xs, ys = (column(wanted, c).to_numpy().view(np.uint64) for c in ("x", "y"))
     x, y = np.searchsorted(sig, xs), np.searchsorted(sig, ys)
     here = (x < len(sig)) & (y < len(sig))
@@ -250,8 +250,8 @@ def _overlaps(segments: pa.Table, wanted: pa.Table) -> pa.Table:
     order = np.lexsort((y, x))
     x, y = x[order], y[order]
     shared = np.zeros(len(x), np.int32)
-    at, many = _runs(x)
-    for g, rec in _slices(rows, places):
+    at, many = runs(x)
+    for g, rec in own.slices():
         order = np.argsort(rec, kind="stable")
         rec, g = rec[order], np.unique(g, return_inverse=True)[1][order].astype(np.int32)
         cut = np.searchsorted(rec, np.arange(len(sig) + 1))
@@ -279,25 +279,25 @@ def _members(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in parts:
         for a, b, c in zip(*(part.column(k).to_pylist() for k in ("a", "b", "c"))):
             size = np.frombuffer(c, np.int32)
-            keep = size > 0
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(a, np.int64)[keep]), pa.array(np.frombuffer(b, np.int64)[keep]), pa.array(size[keep])], names=["id", "sig", "size"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(a, np.int64)), pa.array(np.frombuffer(b, np.int64)), pa.array(size)], names=["id", "sig", "size"])
 
 
 def _sets(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """The ids of each n-gram set, ``(id, sig, size)``, and the similar pairs of different sets, ``(x, y, j)`` among others."""
+    """The ids of each n-gram set, ``(id, sig, size)``, and the similar pairs of different sets, ``(x, y, j)``; both are scratch tables."""
     spark = docs.sparkSession
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be above 0 and at most 1")
     frags = scratch.shuffle_partitions(spark)
     coarse = -(-frags // COARSER)
     keys, coarse_keys = spread(frags, frags), spread(coarse, coarse)
-    own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).filter("id is not null and t is not null")
+    own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).filter("id is not null").withColumn("t", F.coalesce("t", F.lit("")))
     sent = own.mapInArrow(lambda parts: _send(parts, n, frags, keys), PACKED)
     shared = sent.repartition(frags, "frag").groupBy("frag").applyInArrow(trimmed(_shared), PACKED)
-    active = scratch.written(shared.groupBy("uid").applyInArrow(trimmed(lambda x: _active(x, threshold, frags, coarse, coarse_keys)), PACKED), "active")
-    members = active.filter("kind = 0").mapInArrow(_members, "id long, sig long, size int")
-    wanted = active.filter("kind = 1").repartition(coarse, "frag").groupBy("frag").applyInArrow(trimmed(lambda x: _candidates(x, threshold)), "x long, y long").distinct()
-    every = wanted.select("x", "y", F.explode(F.array(*[F.lit(int(k)) for k in coarse_keys])).alias("frag"))
+    active = scratch.written(shared.groupBy("uid").applyInArrow(trimmed(lambda x: _active(x, threshold, coarse, coarse_keys)), PACKED), "active")
+    members = scratch.written(active.filter("kind = 0").mapInArrow(_members, "id long, sig long, size int").distinct(), "members")
+    wanted = active.filter("kind = 1").repartition(coarse, "frag").groupBy("frag").applyInArrow(trimmed(lambda x: _candidates(x, threshold)), "x long, y long, held long").distinct()
+    at = F.array(*[F.struct(F.lit(int(k)).alias("frag"), F.lit(int(_bits(np.int64(f), coarse))).alias("bit")) for f, k in enumerate(coarse_keys)])
+    every = wanted.select("x", "y", "held", F.explode(at).alias("f")).filter("getbit(held, f.bit) = 1").select("x", "y", F.col("f.frag").alias("frag"))
     counted = (
         active.filter("kind = 2").repartition(coarse, "frag").groupBy("frag")
         .cogroup(every.repartition(coarse, "frag").groupBy("frag"))
@@ -305,25 +305,15 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: float)
     )
     close = (
         counted.groupBy("x", "y").agg(F.max("sizes").alias("sizes"), F.sum("shared").alias("shared"))
-        .withColumn("j", F.col("shared") / (F.col("sizes") - F.col("shared"))).filter(F.col("j") >= threshold)
+        .withColumn("j", F.col("shared") / (F.col("sizes") - F.col("shared"))).filter(F.col("j") >= threshold).select("x", "y", "j")
     )
-    return members, close
-
-
-def pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """``(doc_a, doc_b, jaccard)`` with doc_a < doc_b for all documents with n-gram Jaccard similarity of at least the threshold; see the module for copies and nulls."""
-    members, close = _sets(docs, id_col, text_col, n, threshold)
-    leads = members.groupBy("sig").agg(F.min("id").alias("lead"))
-    copies = members.select("id", "sig").distinct().join(leads, "sig").filter("id > lead").select(F.col("lead").alias("p"), F.col("id").alias("q"), F.lit(1.0).alias("j"))
-    near = close.join(leads.select(F.col("sig").alias("x"), F.col("lead").alias("p")), "x").join(leads.select(F.col("sig").alias("y"), F.col("lead").alias("q")), "y").filter("p <> q").select("p", "q", "j")
-    both = near.unionByName(copies)
-    return both.groupBy(F.least("p", "q").alias("doc_a"), F.greatest("p", "q").alias("doc_b")).agg(F.max("j").alias("jaccard"))
+    return members, scratch.written(close, "close", active)
 
 
 def all_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """`pairs` without its reduction to the smallest ids: every two documents with at least the threshold. Copies give as many rows as they have pairs."""
+    """``(doc_a, doc_b, jaccard)`` with doc_a < doc_b: every two documents with at least the threshold. Copies give as many rows as they have pairs."""
     members, close = _sets(docs, id_col, text_col, n, threshold)
-    own = members.select("id", "sig").distinct()
+    own = members.filter("size > 0").select("id", "sig")
     left, right = own.select(F.col("sig").alias("x"), F.col("id").alias("p")), own.select(F.col("sig").alias("y"), F.col("id").alias("q"))
     copies = left.join(right.withColumnRenamed("y", "x"), "x").filter("p < q").select("p", "q", F.lit(1.0).alias("j"))
     near = close.join(left, "x").join(right, "y").filter("p <> q").select("p", "q", "j")
@@ -331,14 +321,79 @@ def all_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n
     return both.groupBy(F.least("p", "q").alias("doc_a"), F.greatest("p", "q").alias("doc_b")).agg(F.max("j").alias("jaccard"))
 
 
-def groups(links: DataFrame) -> DataFrame:
-    """``(id, head)``: each id of ``links (doc_a, doc_b)`` with the smallest id of its connected group.
+def _heads(members: DataFrame, close: DataFrame) -> DataFrame:
+    """``(id, class_id)`` of the ids that aren't the smallest of their class."""
+    own = members.filter("size > 0").select("id", "sig")
+    leads = scratch.written(own.groupBy("sig").agg(F.min("id").alias("lead")), "leads")
+    to = own.join(leads, "sig").filter("id <> lead").select(F.col("id").alias("doc_a"), F.col("lead").alias("doc_b"))
+    near = close.select("x", "y").join(leads.toDF("x", "doc_a"), "x").join(leads.toDF("y", "doc_b"), "y").select("doc_a", "doc_b")
+    out = groups(near.unionByName(to))
+    scratch.forget(leads)
+    return out.withColumnRenamed("head", "class_id")
+
 
-    Alternates large-star and small-star steps until nothing changes; each halves the depth, so
-    the number of rounds grows with the logarithm of the longest chain.
+def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold: float = THRESHOLD) -> DataFrame:
+    """``(doc_id, class_id, links)`` of every id: the smallest id of its group, and the number of other documents with similarity of at least the threshold."""
+    members, close = _sets(docs, id_col, text_col, n, threshold)
+    heads = _heads(members, close)
+    ids = members.groupBy("id").agg(F.count_if(F.col("size") > 0).alias("sets"), F.max_by("sig", "size").alias("sig"))
+    ids = scratch.written(ids, "ids")
+    # sets by the ids that have no other; an id of several sets is looked at by itself
+    sizes = ids.filter("sets = 1").groupBy("sig").agg(F.count("*").alias("single"))
+    ways = close.select("x", "y").unionByName(close.select(F.col("y").alias("x"), F.col("x").alias("y")))
+    around = ways.join(sizes.withColumnRenamed("sig", "y"), "y").groupBy("x").agg(F.sum("single").alias("near"))
+    per_set = sizes.join(around.withColumnRenamed("x", "sig"), "sig", "left").select("sig", (F.col("single") - 1 + F.coalesce("near", F.lit(0))).alias("links"))
+    one = ids.filter("sets <= 1").join(per_set, "sig", "left").select(F.col("id").alias("doc_id"), F.when(F.col("sets") == 1, F.col("links")).otherwise(0).alias("links"))
+    several = scratch.written(ids.filter("sets > 1").select("id").join(members.filter("size > 0"), "id").select("id", "sig"), "several")
+    if not several.isEmpty():
+        reach = several.select("id", F.col("sig").alias("t")).unionByName(several.join(ways.withColumnRenamed("x", "sig"), "sig").select("id", F.col("y").alias("t"))).distinct()
+        alone = reach.join(sizes.withColumnRenamed("sig", "t"), "t").groupBy("id").agg(F.sum("single").alias("n"))
+        among = reach.join(several.select(F.col("sig").alias("t"), F.col("id").alias("other")), "t").filter("id <> other").groupBy("id").agg(F.countDistinct("other").alias("m"))
+        many = several.select("id").distinct().join(alone, "id", "left").join(among, "id", "left").select(F.col("id").alias("doc_id"), (F.coalesce("n", F.lit(0)) + F.coalesce("m", F.lit(0))).alias("links"))
+        # the others count each of these ids once, whichever of its sets they are near
+        met = reach.join(ids.filter("sets = 1").select(F.col("sig").alias("t"), F.col("id").alias("doc_id")), "t").groupBy("doc_id").agg(F.countDistinct("id").alias("extra"))
+        one = one.join(met, "doc_id", "left").select("doc_id", (F.col("links") + F.coalesce("extra", F.lit(0))).alias("links")).unionByName(many)
+    out = one.join(heads.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), "links")
+    return scratch.written(out, "similar", members, close, ids, several, heads)
+
+
+def _forest(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's edges as ``(u, v)`` from each node to the smallest of its group, as far as these edges tell."""
+    tables = [t for t in parts if t.num_rows]
+    if not tables:
+        return
+    u, v = (np.concatenate([t.column(c).to_numpy() for t in tables]) for c in ("u", "v"))
+    del tables
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    top = list(range(len(nodes)))
+    for a, b in zip(at[: len(u)].tolist(), at[len(u) :].tolist()):
+        while top[a] != a:
+            top[a] = a = top[top[a]]
+        while top[b] != b:
+            top[b] = b = top[top[b]]
+        if a < b:
+            top[b] = a
+        else:
+            top[a] = b
+    for i in range(len(top)):
+        top[i] = top[top[i]]
+    head = np.array(top)
+    some = np.flatnonzero(head != np.arange(len(head)))
+    yield pa.RecordBatch.from_arrays([pa.array(nodes[some]), pa.array(nodes[head[some]])], names=["u", "v"])
+
+
+def groups(links: DataFrame, few: int = FEW_LINKS) -> DataFrame:
+    """``(id, head)``: each id of ``links (doc_a, doc_b)`` but the smallest of its connected group, with that smallest id.
+
+    Each task first reduces its links to a forest. More than ``few`` of what is left are then followed by alternating large-star and small-star
+    steps until nothing changes; each halves the depth, so the number of rounds grows with the logarithm of the longest chain.
     """
-    spark = links.sparkSession
-    edges = scratch.written(links.select(F.col("doc_a").alias("u"), F.col("doc_b").alias("v")).filter("u <> v"), "edges")
+    edges = links.select(F.col("doc_a").cast("long").alias("u"), F.col("doc_b").cast("long").alias("v")).filter("u <> v")
+    edges = scratch.written(edges.mapInArrow(_forest, "u long, v long").distinct(), "edges")
+    if edges.count() <= few:
+        out = edges.coalesce(1).mapInArrow(_forest, "u long, v long").toDF("id", "head")
+        return scratch.written(out, "heads", edges)
+    before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
@@ -346,31 +401,34 @@ def groups(links: DataFrame) -> DataFrame:
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
         floor = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(floor, "u").select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("e")).select("e.u", F.col("e.m").alias("v")).filter("u <> v").distinct()
-        new = scratch.written(small, "edges")
-        same = new.exceptAll(edges).isEmpty() and edges.exceptAll(new).isEmpty()
-        edges = new
-        if same:
-            return spark.createDataFrame([], "id long, head long").unionByName(edges.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("head")))
+        edges = scratch.written(small, "edges", edges)
+        # edges are distinct, so their number and the sums of two hashes tell whether they changed
+        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.sum(F.hash("v", "u").cast("long"))).first()
+        if now == before:
+            return scratch.written(edges.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("head")), "heads", edges)
+        before = now
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents without all but the smallest id of each group of near duplicates; all columns stay.
+    """The documents without all but the smallest id of each class of near duplicates; all columns stay.
 
     Rows with a null id or without tokens are kept: they have no partners. Of repeated rows with one id, one is kept
     (the one with the least text).
     """
-    drop = scratch.written(groups(pairs(docs, id_col, text_col, n, threshold)).select(F.col("id").alias("__near_id")), "dropped")
-    own = F.col(id_col).cast("long")
+    members, close = _sets(docs, id_col, text_col, n, threshold)
+    drop = _heads(members, close).select(F.col("id").alias("__near_id"))
+    scratch.forget(members, close)
+    own = F.col(f"`{id_col}`").cast("long")
     again = scratch.written(docs.filter(own.isNotNull()).groupBy(own.alias("__near_id")).agg(F.count("*").alias("__near_n")).filter("__near_n > 1").select("__near_id"), "repeated")
-    left = _without(docs, id_col, drop)
+    left = _without(docs, own, drop)
     if again.isEmpty():
         return left
     order = [F.col(f"`{c}`") for c, k in docs.dtypes if c not in (id_col, text_col) and not k.startswith(("map", "variant"))]
-    place = F.row_number().over(Window.partitionBy(id_col).orderBy(F.col(text_col).asc_nulls_last(), *order))
-    several = left.join(again, left[id_col].cast("long") == again["__near_id"], "left_semi")
-    return _without(left, id_col, again).unionByName(several.withColumn("__near_place", place).filter("__near_place = 1").drop("__near_place"))
+    place = F.row_number().over(Window.partitionBy(own).orderBy(F.col(f"`{text_col}`").asc_nulls_last(), *order))
+    several = left.join(again, own == again["__near_id"], "left_semi")
+    return _without(left, own, again).unionByName(several.withColumn("__near_place", place).filter("__near_place = 1").drop("__near_place"))
 
 
-def _without(docs: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
+def _without(docs: DataFrame, own: Column, ids: DataFrame) -> DataFrame:
     side = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    return docs.join(side, docs[id_col].cast("long") == side["__near_id"], "left_anti")
+    return docs.join(side, own == side["__near_id"], "left_anti")

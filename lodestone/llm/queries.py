@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import arc_to_warc, compression_rules, html_tree, jaccard_join, kneser_ney, pareto_mix, secret_scan, sstable, suffix_decontam, zstd_langid
+from .tokens import TOKEN_SQL
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,7 +40,7 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.pairs(_table(spark, sf_dir, "documents"))
+    return jaccard_join.similar(_table(spark, sf_dir, "documents"))
 
 
 def op8_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,21 +81,19 @@ k AS (
   FROM r)
 SELECT doc_id, source, CAST(sure AS BIGINT) + CASE WHEN f > 0 AND place <= places_left THEN 1 ELSE 0 END AS copies
 FROM k WHERE CAST(sure AS BIGINT) + CASE WHEN f > 0 AND place <= places_left THEN 1 ELSE 0 END > 0""",
-    "op7_jaccard_join": r"""
-WITH toks AS (
-  SELECT doc_id, regexp_extract_all(lower(text), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM documents),
+    "op7_jaccard_join": rf"""
+WITH RECURSIVE toks AS (
+  SELECT doc_id, regexp_extract_all(lower(text), '{TOKEN_SQL}') AS w FROM documents),
 grams AS (
   SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3
       THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])
       ELSE [array_to_string(w, ' ')] END) AS g
   FROM toks WHERE len(w) > 0),
-sets AS (SELECT doc_id, count(*) AS size, md5(string_agg(g, '|' ORDER BY g)) AS sig FROM grams GROUP BY doc_id),
-leads AS (SELECT sig, min(doc_id) AS doc_id FROM sets GROUP BY sig),
-own AS (SELECT g.doc_id, g.g, s.size FROM grams g JOIN leads l ON l.doc_id = g.doc_id JOIN sets s ON s.doc_id = g.doc_id),
-near AS (
-  SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) / (any_value(a.size) + any_value(b.size) - count(*)) AS jaccard
-  FROM own a JOIN own b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2)
-SELECT doc_a, doc_b, jaccard FROM near WHERE jaccard >= 0.5
-UNION ALL
-SELECT l.doc_id, s.doc_id, 1.0::DOUBLE FROM sets s JOIN leads l ON l.sig = s.sig WHERE s.doc_id > l.doc_id""",
+sets AS (SELECT doc_id, count(*) AS size FROM grams GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS p, b.doc_id AS q, count(*) AS n FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+near AS (SELECT p, q FROM shared JOIN sets a ON a.doc_id = p JOIN sets b ON b.doc_id = q WHERE n / (a.size + b.size - n) >= 0.5),
+reach AS (SELECT doc_id, doc_id AS other FROM documents WHERE doc_id IS NOT NULL UNION SELECT r.doc_id, n.q FROM reach r JOIN near n ON n.p = r.other),
+links AS (SELECT p, count(*) AS links FROM near GROUP BY p)
+SELECT doc_id, min(other) AS class_id, coalesce(any_value(links), 0) AS links FROM reach LEFT JOIN links ON p = doc_id GROUP BY doc_id""",
+
 }

@@ -2,13 +2,14 @@
 
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lodestone.llm import jaccard_join, suffix_decontam, tokens
+from lodestone.llm import jaccard_join, packed, suffix_decontam, tokens
 
 from . import fixtures
 
@@ -21,47 +22,56 @@ def grams(text, n=3):
 
 
 def brute_pairs(rows, threshold, n=3):
-    sets = {}
-    for i, t in rows:
-        if i is not None and grams(t, n):
-            sets.setdefault(grams(t, n), set()).add(i)
+    """Every two ids with any rows of enough similarity."""
+    sets = [(i, grams(t, n)) for i, t in rows if i is not None and grams(t, n)]
     out = {}
-    for s, ids in sets.items():
-        out.update({(min(ids), i): 1.0 for i in ids if i != min(ids)})
-    keys = list(sets)
-    for p, a in enumerate(keys):
-        for b in keys[:p]:
-            j = len(a & b) / len(a | b)
-            if j >= threshold and min(sets[a]) != min(sets[b]):
-                pair = tuple(sorted((min(sets[a]), min(sets[b]))))
-                out[pair] = max(j, out.get(pair, 0))
+    for k, (i, a) in enumerate(sets):
+        for j, b in sets[:k]:
+            same = len(a & b) / len(a | b)
+            if i != j and same >= threshold:
+                pair = min(i, j), max(i, j)
+                out[pair] = max(same, out.get(pair, 0))
     return out
 
 
-def test_pairs_equal_brute_force(spark):
+def brute_similar(rows, threshold, n=3):
+    """``(doc_id, class_id, links)`` of each id, from the pairs."""
+    ids = {i for i, _ in rows if i is not None}
+    top, links = {i: i for i in ids}, Counter()
+    for a, b in brute_pairs(rows, threshold, n):
+        links[a] += 1
+        links[b] += 1
+        least = min(top[a], top[b])
+        top = {i: least if h in (top[a], top[b]) else h for i, h in top.items()}
+    return {(i, top[i], links[i]) for i in ids}
+
+
+def similar(df, **params):
+    got = [tuple(r) for r in jaccard_join.similar(df, **params).collect()]
+    assert len(got) == len(set(got))
+    return set(got)
+
+
+def test_similar_and_pairs_equal_brute_force(spark):
     rows = [(r[0], r[1]) for r in fixtures.rows()]
     for t in (0.3, 0.5, 0.9):
-        got = {(r.doc_a, r.doc_b): round(r.jaccard, 9) for r in jaccard_join.pairs(fixtures.docs(spark), threshold=t).collect()}
+        assert similar(fixtures.docs(spark), threshold=t) == brute_similar(rows, t)
+        got = {(r.doc_a, r.doc_b): round(r.jaccard, 9) for r in jaccard_join.all_pairs(fixtures.docs(spark), threshold=t).collect()}
         assert got == {k: round(v, 9) for k, v in brute_pairs(rows, t).items()}
 
 
-def test_all_pairs_equal_unreduced_brute_force(spark):
-    """1 and 2 are copies and 3 is near both: (2, 3) is a pair too."""
-    text = fixtures.prose(11, 40)
-    rows = [(1, text), (2, text), (3, text + " and more"), (4, text + " and more"), (5, fixtures.prose(12, 40)), (5, text), (None, text), (6, None)]
-    want = {}
-    for i, a in rows:
-        for k, b in rows:
-            if i is not None and k is not None and i < k and grams(a) and grams(b):
-                j = len(grams(a) & grams(b)) / len(grams(a) | grams(b))
-                if j >= 0.5:
-                    want[i, k] = max(j, want.get((i, k), 0))
-    assert (2, 3) in want and (2, 4) in want
-    got = {(r.doc_a, r.doc_b): r.jaccard for r in jaccard_join.all_pairs(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert {k: round(v, 9) for k, v in got.items()} == {k: round(v, 9) for k, v in want.items()}
+def test_repeated_ids_with_different_texts(spark):
+    """1 and 2 are copies, 3 and 4 near both; 5 and 6 each have two texts, one of them shared; 7 has an empty row too."""
+    text, other = fixtures.prose(11, 40), fixtures.prose(12, 40)
+    rows = [(1, text), (2, text), (3, text + " and more"), (4, text + " and more"), (5, other), (5, text), (None, text), (6, None), (6, other), (6, other + " and more"), (7, ""), (7, other), (8, fixtures.prose(13, 40)), (9, "")]
+    df = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, sig int, id int")
+    want = brute_pairs(rows, 0.5)
+    assert (2, 3) in want and (5, 6) in want and (5, 7) in want
+    assert {(r.doc_a, r.doc_b): round(r.jaccard, 9) for r in jaccard_join.all_pairs(df).collect()} == {k: round(v, 9) for k, v in want.items()}
+    assert similar(df) == brute_similar(rows, 0.5)
 
 
-def test_pairs_of_many_edited_copies(spark):
+def test_similar_of_many_edited_copies(spark):
     r = random.Random(5)
     rows = []
     for g in range(8):
@@ -72,8 +82,32 @@ def test_pairs_of_many_edited_copies(spark):
     hot = "this passage of nine words is shared by all"
     rows = [(i, f"{t} {hot}") for i, t in rows]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    got = {(x.doc_a, x.doc_b): round(x.jaccard, 9) for x in jaccard_join.pairs(spark.createDataFrame(df.collect(), df.schema)).collect()}
-    assert got == {k: round(v, 9) for k, v in brute_pairs(rows, 0.5).items()}
+    df = spark.createDataFrame(df.collect(), df.schema)
+    assert similar(df) == brute_similar(rows, 0.5)
+
+
+def test_slices_and_many_fragments_give_the_same(spark, monkeypatch):
+    rows = [(r[0], r[1]) for r in fixtures.rows()] + [(300 + k, "今天天气很好我们去公园" + "走" * (k % 3) + "玩") for k in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_similar(rows, 0.5)
+    assert any(c == 300 and n for _, c, n in want)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    monkeypatch.setattr(jaccard_join, "COARSER", 1)
+    for parts in (1, 70):
+        spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+        try:
+            assert similar(df) == want
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_a_record_with_very_many_partners():
+    """Candidates of one posting list, by the path for records with many partners and by the other."""
+    sig = np.arange(1, 1501, dtype=np.uint64)
+    head = np.concatenate([sig, np.full(1500, 10, np.uint64), np.full(1500, 1, np.uint64)])
+    table = pa.table({"a": pa.array([head.tobytes()], pa.binary()), "b": pa.array([packed.squeeze(np.repeat(np.arange(2, dtype=np.uint64), [1500, 3]), True)], pa.binary()), "c": pa.array([packed.squeeze(np.concatenate([np.arange(1500), [3, 5, 9]]).astype(np.uint32))], pa.binary())})
+    got = jaccard_join._candidates(table, 0.5)
+    assert got.num_rows == 1500 * 1499 // 2 and set(got.column("held").to_pylist()) == {1}
 
 
 def test_one_of_each_keeps_the_smallest_id_and_all_columns(spark):
@@ -85,18 +119,20 @@ def test_one_of_each_keeps_the_smallest_id_and_all_columns(spark):
 
 
 def test_near_empty_table(spark):
-    assert jaccard_join.pairs(fixtures.empty(spark)).count() == 0
+    assert jaccard_join.similar(fixtures.empty(spark)).count() == jaccard_join.all_pairs(fixtures.empty(spark)).count() == 0
     assert jaccard_join.one_of_each(fixtures.empty(spark)).count() == 0
 
 
 def test_groups_follow_chains(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "doc_a long, doc_b long")
-    got = {r.id: r.head for r in jaccard_join.groups(links).collect()}
-    assert got == {i: 0 for i in range(1, 41)} | {101: 100}
+    for few in (10**6, 0):
+        got = {r.id: r.head for r in jaccard_join.groups(links, few).collect()}
+        assert got == {i: 0 for i in range(1, 41)} | {101: 100}
+    assert jaccard_join.groups(links.limit(0), 0).count() == jaccard_join.groups(links.limit(0)).count() == 0
 
 
 @settings(max_examples=40, deadline=None)
-@given(st.lists(st.one_of(st.none(), st.text("ab é.\n", max_size=30)), max_size=8))
+@given(st.lists(st.one_of(st.none(), st.text("ab é.\n“今ท文—1", max_size=30)), max_size=8))
 def test_tokens_are_those_of_the_expression(texts):
     tok, row, start, end = tokens.tokenise(pa.array(texts, pa.string()))
     want = [(i, w) for i, t in enumerate(texts) for w in TOKEN.findall((t or "").lower())]
