@@ -4,19 +4,19 @@ A word bigram model is trained on all trusted documents (labelled of good qualit
 all documents whole. Tokens are words and runs of symbols. Every token of trusted text has its own counts, at every size of the
 input; a token that trusted text lacks gets what the discounts reserve for the uniform distribution and nothing else.
 
-P(w|v) = (c(vw) - D) / c(v) + gamma(v) * P(w), with P(w) = N1+(.w) / N1+(..) interpolated with the uniform
-distribution, and Chen and Goodman's three discounts. In sums over a document
+    P(w|v) = (c(vw) - D(c)) / c(v) + gamma(v) * P(w)
+    P(w)   = (N(w) - D'(N)) / N + gamma' / V
 
-    log P(w|v) = log gamma(v) + log P(w) + delta(vw),   delta = 0 for bigrams unseen in training,
+where N(w) is the number of contexts that w follows, N their sum, V the number of kinds of tokens and an unknown one, and D and D' are each Chen and
+Goodman's three discounts, estimated from the counts of counts of their order. In sums over a document
 
-so bigrams meet deltas and tokens meet log P and log gamma in one join. The model is sharded by the hash of the token, or of a bigram's context: a
-context's counts are in one shard, and the shards tell each other in how many contexts their words occur. Each batch of documents sends each
-shard its bigrams and tokens as packed arrays, each shard gives back a sum per document, and the shards' sums are added.
-Nothing as long as the vocabulary is gathered in one place. Document
-shards are salted, so that their number follows the input while the table keeps to ``SHARDS``.
+    log P(w|v) = log gamma(v) + log P(w) + delta(vw),   delta = 0 for bigrams unseen in training,
 
-With ``vocabulary_size`` the vocabulary is closed: every token with at least so many occurrences in trusted text that at most
-``vocabulary_size`` tokens have as many; the others share one unknown token. By default it is open.
+so bigrams meet deltas and tokens meet log P and log gamma, each by itself. Bigrams are sharded by the hash of both tokens, so that no shard holds a frequent context
+whole; the shards exchange sums for each token. Each batch of documents sends each shard its bigrams and tokens as packed arrays, each shard gives
+back a sum per document, and the sums are added. As they add up, the shards are asked in ``PASSES`` passes, one after the other, each over all
+documents, so that only a part of the n-grams is on its way at a time. Nothing as long as the vocabulary is gathered in one place, and the number of shards follows
+the trusted text. Within its shard an n-gram is known by 40 bits of its hash: an unseen one is taken for a seen one with odds of the shard's n-grams over 2^40.
 
 A document is kept if its perplexity is at most its language's bar: the ``QUANTILE`` of the perplexities of trusted documents that the model
 wasn't trained on (approximate percentile, relative rank error 1/100,000). For that, one in ``HOLD`` trusted ids, chosen by hash, is held out of the training; those
@@ -27,388 +27,328 @@ Nulls and ties: null and empty texts, or texts without a token, have null perple
 language of its own; one without documents for its bar takes the quantile over all languages, and if there are none, has no bar. Equal perplexities get
 equal decisions. A null id is trusted by no label. Rows that repeat an id are scored one by one and counted
 as often as they occur. A document with several labels is trusted if any of them trusts it. Without trusted text all perplexities are null and nothing
-is kept. Other columns are ignored.
+is kept. Other columns are ignored. Ids are integers (or text that reads as integers).
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch
+from .packed import cells, loose, narrow, rows, runs, squeeze, starts
 from .tokens import batches, column, mix, spread, tokenise_sliced, trimmed
 
-QUANTILE, SHARDS = 0.99, 32
+QUANTILE, PASSES = 0.99, 2
 HOLD, LEAST_GOOD = 10, 100
-#: Tokens without a text: the unknown one of a closed vocabulary, and the context in which texts start.
-UNKNOWN, START = np.uint64(0), np.uint64(1)
-BATCH_BYTES = 5_000_000
-#: Labels are sent to all executors up to this many ids; beyond it they are joined by a shuffle.
-BROADCAST_IDS = 4_000_000
+#: The context in which texts start.
+START = np.uint64(1)
+BATCH_BYTES = 8_000_000
+#: Characters of trusted text for which there is one shard, if the session's shuffle partitions are fewer.
+SHARD_CHARS = 20_000_000
+#: Labels are sent to all executors up to this many ids (4 MB); beyond it they are joined by a shuffle.
+BROADCAST_IDS = 500_000
+_LOW = np.uint64(2**40 - 1)
 
 
-def _squeeze(values: np.ndarray, rising: bool = False) -> bytes:
-    """Integers as bytes, plane by plane, compressed; rising ones as differences."""
-    if rising:
-        values = np.diff(values, prepend=values.dtype.type(0))
-    planes = np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T)
-    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+def _pair(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """A hash of both tokens in their order."""
+    return mix(mix(v) + w)
 
 
-def _loose(data: bytes, kind: type, rising: bool = False) -> np.ndarray:
-    width = np.dtype(kind).itemsize
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(width, -1)
-    values = np.ascontiguousarray(planes.T).view(kind).ravel()
-    return np.cumsum(values, dtype=kind) if rising else values
+def _shard_of(key: np.ndarray, shards: int) -> np.ndarray:
+    """By the first 24 bits; the other 40 are the key within the shard."""
+    return (((key >> np.uint64(40)) * np.uint64(shards)) >> np.uint64(24)).astype(np.int32)
 
 
-def _counts(toks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    values, counts = np.unique(toks, return_counts=True)
-    return values, counts.astype(np.int64)
+def bigrams(tok: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(context of each token, whether it is its text's first)``; a text starts in the context START."""
+    first = np.zeros(len(tok), bool)
+    first[starts(row)] = True
+    v = np.empty_like(tok)
+    v[1:] = tok[:-1]
+    v[first] = START
+    return v, first
 
 
-def _runs_sum(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    if not keys:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    k, c = np.concatenate(keys), np.concatenate(counts)
-    order = np.argsort(k, kind="stable")
-    k, c = k[order], c[order]
-    at = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
-    return k[at], np.add.reduceat(c, at) if len(at) else c
+def _small(counts: np.ndarray) -> np.ndarray:
+    """Counts in 4 bytes, or in 8 where they need them."""
+    return counts.astype(np.uint32) if not len(counts) or counts.max() < 2**32 else counts.astype(np.uint64)
 
 
-_PAIR = pa.schema([("shard", pa.int32()), ("k", pa.binary()), ("c", pa.binary())])
-PAIR = "shard int, k binary, c binary"
+def _counts(values: np.ndarray) -> bytes:
+    small = _small(values)
+    return bytes([small.itemsize]) + squeeze(small)
 
 
-def _capped(counts: np.ndarray) -> np.ndarray:
-    return np.minimum(counts, 2**32 - 1).astype(np.uint32)
+def _counted(data: pa.Buffer) -> np.ndarray:
+    view = memoryview(data)
+    return loose(view[1:], np.uint32 if view[0] == 4 else np.uint64).astype(np.int64)
 
 
-def _cut(keys: np.ndarray, counts: np.ndarray, part: np.ndarray, names: np.ndarray) -> pa.RecordBatch:
-    """Keys (already in order of part) and counts as one row for each part."""
-    cut = np.searchsorted(part, np.arange(len(names) + 1))
-    rows = [(int(names[f]), _squeeze(keys[x:y], True), _squeeze(_capped(counts[x:y]))) for f, (x, y) in enumerate(zip(cut[:-1], cut[1:])) if y > x]
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_PAIR)], schema=_PAIR)
+def _summed(keys: list[np.ndarray], *values: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+    """Distinct keys, rising, with the sums of their values."""
+    k = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
+    order = np.argsort(k, kind="stable")
+    k = k[order]
+    at = starts(k)
+    return (k[at], *(np.add.reduceat(np.concatenate(v)[order], at) if len(at) else np.zeros(0, np.int64) for v in values))
 
 
-def _summed(table: pa.Table, kind: type) -> tuple[np.ndarray, np.ndarray]:
-    return _runs_sum([_loose(x, kind, True) for x in table.column("k").to_pylist()], [_loose(x, np.uint32).astype(np.int64) for x in table.column("c").to_pylist()])
+_COUNTS = pa.schema([("shard", pa.int32()), *((n, pa.binary()) for n in ("v", "v_at", "w", "w_at", "c"))])
+COUNTS = "shard int, v binary, v_at binary, w binary, w_at binary, c binary"
 
 
-def _send_words(parts: Iterator[pa.RecordBatch], names: np.ndarray) -> Iterator[pa.RecordBatch]:
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-    n = np.uint64(len(names))
+def _send_bigrams(parts: Iterator[pa.RecordBatch], names: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Each batch's bigrams with their numbers; both tokens as places in lists of the distinct ones."""
     for table in batches(parts, "t", BATCH_BYTES):
-        held.append(_counts(tokenise_sliced(column(table, "t"), True)[0]))
-        if sum(len(k) for k, _ in held) > 1_000_000:
-            held = [_runs_sum([k for k, _ in held], [c for _, c in held])]
-            if len(held[0][0]) > 500_000:
-                yield _cut(*held[0], ((held[0][0] >> np.uint64(40)) * n) >> np.uint64(24), names)
-                held = []
-    if held:
-        k, c = _runs_sum([k for k, _ in held], [c for _, c in held])
-        yield _cut(k, c, ((k >> np.uint64(40)) * n) >> np.uint64(24), names)
+        w, row = tokenise_sliced(column(table, "t"), True)
+        v, _ = bigrams(w, row)
+        part = _shard_of(_pair(v, w), len(names))
+        if len(part):
+            yield _packed_bigrams(part, v, w, np.ones(len(v), np.int64), names)
 
 
-def _word_shard(table: pa.Table) -> pa.Table:
-    k, c = _summed(table, np.uint64)
-    shard = table.column("shard")[0].as_py()
-    return pa.table([pa.array([shard], pa.int32()), pa.array([_squeeze(k, True)], pa.binary()), pa.array([_squeeze(_capped(c))], pa.binary())], schema=_PAIR)
-
+def _packed_bigrams(part: np.ndarray, v: np.ndarray, w: np.ndarray, c: np.ndarray, names: np.ndarray) -> pa.RecordBatch:
+    order = np.lexsort((w, v, part))
+    part, v, w, c = part[order], v[order], w[order], c[order]
+    at = starts(part, v, w)
+    part, v, w, c = part[at], v[at], w[at], np.add.reduceat(c, at)
+    out = []
+    for x, k in zip(*runs(part)):
+        own = slice(x, x + k)
+        va, many = runs(v[own])
+        kinds, place = np.unique(w[own], return_inverse=True)
+        out.append((int(names[part[x]]), squeeze(v[own][va], True), _counts(many), squeeze(kinds, True), squeeze(place.astype(np.uint32)), _counts(c[own])))
+    return rows(out, _COUNTS)
 
-def _histogram(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in parts:
-        for x in part.column("c").to_pylist():
-            v, n = _counts(_loose(x, np.uint32))
-            yield pa.RecordBatch.from_arrays([pa.array(v.astype(np.int64)), pa.array(n)], names=["v", "n"])
 
+def _unpacked(table: pa.Table) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
+    v, v_at, w, w_at, c = (cells(table, n) for n in ("v", "v_at", "w", "w_at", "c"))
+    vs = [np.repeat(loose(a, np.uint64, True), _counted(b)) for a, b in zip(v, v_at)]
+    return vs, [loose(a, np.uint64, True)[loose(b, np.uint32)] for a, b in zip(w, w_at)], [_counted(x) for x in c]
 
-def _frequent(parts: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    for part in parts:
-        for k, c in zip(part.column("k").to_pylist(), part.column("c").to_pylist()):
-            keep = _loose(c, np.uint32) >= least
-            yield pa.RecordBatch.from_arrays([pa.array(_loose(k, np.uint64, True)[keep].view(np.int64))], names=["w"])
 
+_TABLE = pa.schema([*_COUNTS, ("cc", pa.binary())])
+TABLE = COUNTS + ", cc binary"
 
-def known_or_not(tok: np.ndarray, vocabulary: np.ndarray | None) -> np.ndarray:
-    """Tokens beyond a closed vocabulary as UNKNOWN; without one, all as they are."""
-    if vocabulary is None:
-        return tok
-    if not len(vocabulary):
-        return np.full(len(tok), UNKNOWN)
-    at = np.searchsorted(vocabulary, tok)
-    at[at == len(vocabulary)] = 0
-    return np.where(vocabulary[at] == tok, tok, UNKNOWN)
 
+def _shard_counts(table: pa.Table) -> pa.Table:
+    """One shard's bigrams with their counts in the whole trusted text, and how many have the counts 1 to 4."""
+    v, w, c = (np.concatenate(x) for x in _unpacked(table))
+    one = _packed_bigrams(np.zeros(len(v), np.int32), v, w, c, np.array([table.column("shard")[0].as_py()]))
+    c = _counted(one.column("c")[0].as_buffer())
+    return pa.Table.from_batches([pa.RecordBatch.from_arrays([*one.columns, pa.array([np.array([(c == i).sum() for i in (1, 2, 3, 4)], np.int64).tobytes()], pa.binary())], schema=_TABLE)])
 
-def bigrams(tok: np.ndarray, row: np.ndarray, vocabulary: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """``(context, word, row, is first)`` of each token; a text starts in the context START."""
-    w = known_or_not(tok, vocabulary)
-    first = np.concatenate([[True], row[1:] != row[:-1]]) if len(row) else np.zeros(0, bool)
-    v = np.concatenate([w[:1], w[:-1]])
-    v = np.where(first, START, v)
-    return v, w, row, first
 
+#: Sums for each token: occurrences as a context; bigrams of it as a context with counts of 1, 2 and more; contexts that it follows.
+_SUMS = ("c", "n1", "n2", "n3", "before")
+_ASKED = pa.schema([("shard", pa.int32()), ("asks", pa.int32()), ("t", pa.binary()), *((n, pa.binary()) for n in _SUMS)])
+ASKED = "shard int, asks int, t binary, " + ", ".join(f"{n} binary" for n in _SUMS)
 
-def _pair(v: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """A hash of both tokens in their order."""
-    return mix(mix(v) + w)
 
+def _ask(parts: Iterator[pa.RecordBatch], names: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Each shard's sums for its tokens, to the shards of the tokens."""
+    for part in parts:
+        for i in range(part.num_rows):
+            one = pa.Table.from_batches([part.slice(i, 1)])
+            v, w, c = (np.concatenate(x) for x in _unpacked(one))
+            own = [c, (c == 1).astype(np.int64), (c == 2).astype(np.int64), (c > 2).astype(np.int64)]
+            zero, none = np.zeros(len(w), np.int64), np.zeros(len(v), np.int64)
+            t, *sums = _summed([v, w], *([x, zero] for x in own), [none, zero + 1])
+            to = _shard_of(mix(t), len(names))
+            order = np.argsort(to, kind="stable")
+            out = []
+            for x, k in zip(*runs(to[order])):
+                mine = order[x : x + k]
+                out.append((int(names[to[mine[0]]]), part.column("shard")[i].as_py(), squeeze(t[mine], True), *(_counts(s[mine]) for s in sums)))
+            yield rows(out, _ASKED)
+
+
+_TOKENS = pa.schema([("shard", pa.int32()), ("t", pa.binary()), *((n, pa.binary()) for n in _SUMS), ("nn", pa.binary())])
+TOKENS = "shard int, t binary, " + ", ".join(f"{n} binary" for n in _SUMS) + ", nn binary"
+
+
+def _token_sums(table: pa.Table) -> pa.Table:
+    """One shard's tokens with their whole sums, and the counts of the numbers of contexts that they follow."""
+    t, *sums = _summed([loose(x, np.uint64, True) for x in cells(table, "t")], *([_counted(x) for x in cells(table, n)] for n in _SUMS))
+    before = sums[-1]
+    nn = np.array([before.sum(), (before > 0).sum(), *((before == i).sum() for i in (1, 2, 3, 4))], np.int64)
+    return pa.Table.from_batches([rows([(table.column("shard")[0].as_py(), squeeze(t, True), *map(_counts, sums), nn.tobytes())], _TOKENS)])
+
+
+def discounts(n: np.ndarray) -> np.ndarray:
+    """The modified discounts of counts 0, 1, 2 and more, from the numbers of items with the counts 1 to 4."""
+    n1, n2, n3, n4 = (float(x) for x in n)
+    y = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
+    d = np.array([0.0, 1 - 2 * y * n2 / n1 if n1 else y, 2 - 3 * y * n3 / n2 if n2 else y, 3 - 4 * y * n4 / n3 if n3 else y])
+    d[1:] = np.clip(d[1:], 0.05, [0.95, 1.95, 2.95])
+    return d
 
-def _shard_of(key: np.ndarray, shards: int) -> np.ndarray:
-    return (((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) * np.uint64(shards) >> np.uint64(24)).astype(np.int64)
 
+class Model:
+    """The numbers that all shards share."""
 
-def _starts(*keys: np.ndarray) -> np.ndarray:
-    """Where runs of equal keys begin."""
-    if not len(keys[0]):
-        return np.zeros(0, np.int64)
-    return np.flatnonzero(np.concatenate([[True], np.any([k[1:] != k[:-1] for k in keys], axis=0)]))
+    def __init__(self, cc: np.ndarray, nn: np.ndarray):
+        self.d, self.low = discounts(cc), discounts(nn[2:])
+        self.total, self.kinds = float(nn[0]), float(nn[1])
+        n1, n2 = float(nn[2]), float(nn[3])
+        held = self.low[1] * n1 + self.low[2] * n2 + self.low[3] * (self.kinds - n1 - n2)
+        self.uniform = held / self.total / (self.kinds + 1)
 
+    def log_low(self, before: np.ndarray) -> np.ndarray:
+        """log P(w) of tokens that follow so many contexts."""
+        return np.log((before - self.low[np.minimum(before, 3)]) / self.total + self.uniform)
 
-_COUNTS = pa.schema([("shard", pa.int32()), ("v", pa.binary()), ("w", pa.binary()), ("at", pa.binary()), ("c", pa.binary())])
-COUNTS = "shard int, v binary, w binary, at binary, c binary"
+    def log_gamma(self, c: np.ndarray, n1: np.ndarray, n2: np.ndarray, n3: np.ndarray) -> np.ndarray:
+        """log gamma of contexts; 0 for what is none."""
+        return np.where(c > 0, np.log(np.maximum(self.d[1] * n1 + self.d[2] * n2 + self.d[3] * n3, 1e-9) / np.maximum(c, 1)), 0.0)
 
 
-def _send_bigrams(parts: Iterator[pa.RecordBatch], vocabulary: np.ndarray | None, names: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for table in batches(parts, "t", BATCH_BYTES):
-        yield _counted(table, vocabulary, names)
+_MODEL = pa.schema([("shard", pa.int32()), ("kind", pa.int32()), ("k", pa.binary()), ("x", pa.binary()), ("y", pa.binary())])
+MODEL = "shard int, kind int, k binary, x binary, y binary"
 
 
-def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
+def _floats(values: np.ndarray) -> bytes:
+    return squeeze(values.astype(np.float32))
 
 
-def _counted(table: pa.Table, vocabulary: np.ndarray | None, names: np.ndarray) -> pa.RecordBatch:
-    v, w, _, _ = bigrams(*tokenise_sliced(column(table, "t"), True), vocabulary)
-    part = _shard_of(v, len(names))
-    order = np.lexsort((w, v, part))
-    v, w, part = v[order], w[order], part[order]
-    at = _starts(v, w)
-    c = np.diff(np.append(at, len(v)))
-    v, w, part = v[at], w[at], part[at]
-    cut = np.searchsorted(part, np.arange(len(names) + 1))
-    rows = []
-    for f, (x, y) in enumerate(zip(cut[:-1], cut[1:])):
-        if y > x:
-            kinds, place = np.unique(w[x:y], return_inverse=True)
-            rows.append((int(names[f]), _squeeze(v[x:y], True), _squeeze(kinds, True), _squeeze(place.astype(np.uint32)), _squeeze(_capped(c[x:y]))))
-    return _rows(rows, _COUNTS)
-
-
-_TABLE = pa.schema([("shard", pa.int32()), ("v", pa.binary()), ("w", pa.binary()), ("c", pa.binary()), ("nn", pa.binary())])
-TABLE = "shard int, v binary, w binary, c binary, nn binary"
-
-
-def _context_shard(table: pa.Table) -> pa.Table:
-    """The bigrams of one shard's contexts, and the counts of counts."""
-    vs, ws, cs = [], [], []
-    for r in table.to_pylist():
-        vs.append(_loose(r["v"], np.uint64, True))
-        ws.append(_loose(r["w"], np.uint64, True)[_loose(r["at"], np.uint32)])
-        cs.append(_loose(r["c"], np.uint32))
-    v, w, c = np.concatenate(vs), np.concatenate(ws), np.concatenate(cs).astype(np.int64)
-    del vs, ws, cs
-    order = np.lexsort((w, v))
-    v, w, c = v[order], w[order], c[order]
-    del order
-    at = _starts(v, w)
-    v, w, c = v[at], w[at], np.add.reduceat(c, at)
-    nn = np.array([len(c), *[(c == i).sum() for i in (1, 2, 3, 4)]], np.int64)
-    return pa.Table.from_batches([_rows([(table.column("shard")[0].as_py(), _squeeze(v, True), _squeeze(w), _squeeze(_capped(c)), nn.tobytes())], _TABLE)])
-
-
-_ASKED = pa.schema([("shard", pa.int32()), ("asks", pa.int32()), ("w", pa.binary()), ("n", pa.binary())])
-ASKED = "shard int, asks int, w binary, n binary"
+def _by_key(key: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The 40-bit keys, rising, with their values."""
+    key = key & _LOW
+    order = np.argsort(key)
+    return (key[order], *(v[order] for v in values))
 
 
-def _ask(parts: Iterator[pa.RecordBatch], names: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Each shard's words, with the number of its contexts before them, to the shards of the words."""
-    for part in parts:
-        for shard, w in zip(part.column("shard").to_pylist(), part.column("w").to_pylist()):
-            w, n = _counts(_loose(w, np.uint64))
-            to = _shard_of(w, len(names))
-            yield _rows([(int(names[f]), shard, _squeeze(w[to == f], True), _squeeze(_capped(n[to == f]))) for f in range(len(names)) if (to == f).any()], _ASKED)
+_ANSWERED = pa.schema([("shard", pa.int32()), ("t", pa.binary()), ("c", pa.binary()), ("gamma", pa.binary()), ("low", pa.binary())])
+ANSWERED = "shard int, t binary, c binary, gamma binary, low binary"
 
 
-def _answer(table: pa.Table) -> pa.Table:
-    """The words of one shard with the numbers of all contexts, to itself (``asks`` null) and to each shard that asked."""
-    rows = table.to_pylist()
-    lists = [_loose(r["w"], np.uint64, True) for r in rows]
-    w, n = _runs_sum(lists, [_loose(r["n"], np.uint32).astype(np.int64) for r in rows])
-    out = [(r["asks"], 0, r["w"], _squeeze(_capped(n[np.searchsorted(w, x)]))) for r, x in zip(rows, lists)]
-    return pa.Table.from_batches([_rows([(rows[0]["shard"], len(w), _squeeze(w, True), _squeeze(_capped(n))), *out], _ANSWERED)])
+def _token_values(table: pa.Table, model: Model) -> tuple[np.ndarray, ...]:
+    t, (c, n1, n2, n3, before) = loose(cells(table, "t")[0], np.uint64, True), (_counted(cells(table, n)[0]) for n in _SUMS)
+    return t, c, model.log_gamma(c, n1, n2, n3), model.log_low(before)
 
 
-_ANSWERED = pa.schema([("shard", pa.int32()), ("own", pa.int32()), ("w", pa.binary()), ("n", pa.binary())])
-ANSWERED = "shard int, own int, w binary, n binary"
+def _answer(asked: pa.Table, own: pa.Table, model: Model) -> pa.Table:
+    """To each shard that asked: the values of its tokens."""
+    t, c, gamma, low = _token_values(own, model)
+    out = []
+    for to, some in zip(asked.column("asks").to_pylist(), cells(asked, "t")):
+        at = np.searchsorted(t, loose(some, np.uint64, True))
+        out.append((to, some, _counts(c[at]), _floats(gamma[at]), _floats(low[at])))
+    return pa.Table.from_batches([rows(out, _ANSWERED)])
 
 
-class Model:
-    """The numbers of the model that all shards share."""
-
-    def __init__(self, nn: np.ndarray, kinds: int, words: int):
-        total, n1, n2, n3, n4 = (float(x) for x in nn)
-        y = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
-        self.d = np.array([0.0, 1 - 2 * y * n2 / n1 if n1 else y, 2 - 3 * y * n3 / n2 if n2 else y, 3 - 4 * y * n4 / n3 if n3 else y])
-        self.d[1:] = np.clip(self.d[1:], 0.05, [0.95, 1.95, 2.95])
-        # the lower order is discounted too, in favour of the uniform distribution over the kinds of words and the unknown one
-        self.total, self.uniform = total, 0.5 * kinds / words
-
-    def low(self, n: np.ndarray) -> np.ndarray:
-        """log P(w) of words that follow n contexts."""
-        return np.log((np.maximum(n - 0.5, 0) + self.uniform) / self.total)
-
-    def shard(self, v: np.ndarray, w: np.ndarray, c: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The contexts of sorted bigrams, log gamma of each, and what each seen bigram adds to the logarithm of its backed-off probability."""
-        at = _starts(v)
-        many = np.diff(np.append(at, len(v)))
-        whole = np.add.reduceat(c, at) if len(at) else c
-        gamma = np.add.reduceat(self.d[np.minimum(c, 3)], at) / whole if len(at) else np.zeros(0)
-        gamma = np.log(np.where(gamma > 0, gamma, 1e-9))
-        back = np.repeat(gamma, many) + self.low(n)
-        return v[at], gamma, np.log((c - self.d[np.minimum(c, 3)]) / np.repeat(whole, many) + np.exp(back)) - back
-
-
-_SHARD = pa.schema([("shard", pa.int32()), ("k", pa.binary()), ("delta", pa.binary()), ("t", pa.binary()), ("gamma", pa.binary()), ("low", pa.binary())])
-SHARD = "shard int, k binary, delta binary, t binary, gamma binary, low binary"
-
-
-def _finished(table: pa.Table, answers: pa.Table, model: Model) -> pa.Table:
-    """One shard as scoring needs it: bigrams with their deltas, tokens with log gamma and log P."""
-    rows, told = table.to_pylist(), answers.to_pylist()
-    own = [r for r in told if r["own"]]
-    words = _loose(own[0]["w"], np.uint64, True) if own else np.zeros(0, np.uint64)
-    low = model.low(_loose(own[0]["n"], np.uint32)) if own else np.zeros(0)
-    v = w = key = np.zeros(0, np.uint64)
-    gamma = delta = np.zeros(0)
-    if rows:
-        w = _loose(rows[0]["w"], np.uint64)
-        known, n = _runs_sum([_loose(r["w"], np.uint64, True) for r in told if not r["own"]], [_loose(r["n"], np.uint32).astype(np.int64) for r in told if not r["own"]])
-        bi = _loose(rows[0]["v"], np.uint64, True)
-        v, gamma, delta = model.shard(bi, w, _loose(rows[0]["c"], np.uint32).astype(np.int64), n[np.searchsorted(known, w)])
-        key = _pair(bi, w)
-        order = np.argsort(key)
-        key, delta = key[order], delta[order]
-    t = np.union1d(v, words)
-    g, lo = np.zeros(len(t)), np.full(len(t), model.low(np.zeros(1))[0])
-    g[np.searchsorted(t, v)] = gamma
-    lo[np.searchsorted(t, words)] = low
-    shard = (rows or told)[0]["shard"]
-    return pa.Table.from_batches([_rows([(shard, _squeeze(key, True), delta.astype(np.float32).tobytes(), _squeeze(t, True), g.tobytes(), lo.tobytes())], _SHARD)])
-
-
-def _closed(trusted: DataFrame, vocabulary_size: int) -> np.ndarray:
-    """The sorted tokens of a closed vocabulary."""
-    parts = scratch.shuffle_partitions(trusted.sparkSession)
-    names = spread(parts, parts)
-    words = trusted.mapInArrow(lambda x: _send_words(x, names), PAIR).repartition(parts, "shard").groupBy("shard").applyInArrow(trimmed(_word_shard), PAIR)
-    words = scratch.written(words, "words")
-    counts = words.mapInArrow(_histogram, "v long, n long").groupBy("v").agg(F.sum("n").alias("n")).orderBy(F.desc("v"))
-    least, total = 2**32, 0
-    for r in counts.toLocalIterator():
-        total += r.n
-        if total > vocabulary_size:
-            break
-        least = r.v
-    return np.sort(np.array([r.w for r in words.mapInArrow(lambda x: _frequent(x, least), "w long").collect()], np.int64).view(np.uint64))
-
-
-def train(trusted: DataFrame, vocabulary_size: int | None = None, shards: int = SHARDS) -> tuple[DataFrame, Model, np.ndarray | None] | None:
-    """The model's shards, the numbers that they share and the closed vocabulary, if there is one. ``trusted`` has a text column ``t``."""
-    spark = trusted.sparkSession
-    vocabulary = None if vocabulary_size is None else _closed(trusted, vocabulary_size)
-    known = spark.sparkContext.broadcast(vocabulary)
-    fixed = spread(shards, shards)
-    table = trusted.mapInArrow(lambda x: _send_bigrams(x, known.value, fixed), COUNTS).repartition(shards, "shard").groupBy("shard").applyInArrow(trimmed(_context_shard), TABLE)
+def _token_model(parts: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+    """The token shards as scoring needs them: keys with log gamma and log P."""
+    for part in parts:
+        for i in range(part.num_rows):
+            t, _, gamma, low = _token_values(pa.Table.from_batches([part.slice(i, 1)]), model)
+            key, gamma, low = _by_key(mix(t), gamma, low)
+            yield rows([(part.column("shard")[i].as_py(), 2, squeeze(key, True), _floats(low), _floats(gamma))], _MODEL)
+
+
+def _bigram_model(table: pa.Table, answers: pa.Table, model: Model) -> pa.Table:
+    """One shard's bigrams as scoring needs them: keys with what each adds to the logarithm of its backed-off probability."""
+    v, w, n = (np.concatenate(x) for x in _unpacked(table))
+    told = [loose(x, np.uint64, True) for x in cells(answers, "t")]
+    values = [np.concatenate([f(x) for x in cells(answers, name)]) for name, f in (("c", _counted), ("gamma", lambda x: loose(x, np.float32)), ("low", lambda x: loose(x, np.float32)))]
+    t = np.concatenate(told)
+    order = np.argsort(t)
+    t, (c, gamma, low) = t[order], (x[order] for x in values)
+    at, to = np.searchsorted(t, v), np.searchsorted(t, w)
+    back = gamma[at].astype(float) + low[to]
+    delta = np.log((n - model.d[np.minimum(n, 3)]) / c[at] + np.exp(back)) - back
+    key, delta = _by_key(_pair(v, w), delta)
+    return pa.Table.from_batches([rows([(table.column("shard")[0].as_py(), 1, squeeze(key, True), _floats(delta), b"")], _MODEL)])
+
+
+def train(trusted: DataFrame, shards: int) -> tuple[DataFrame, Model] | None:
+    """The model's shards, a scratch table, and the numbers that they share. ``trusted`` has a text column ``t``."""
+    names = spread(shards, shards)
+    table = trusted.mapInArrow(lambda x: _send_bigrams(x, names), COUNTS).repartition(shards, "shard").groupBy("shard").applyInArrow(trimmed(_shard_counts), TABLE)
     table = scratch.written(table, "bigrams")
-    answers = table.select("shard", "w").mapInArrow(lambda x: _ask(x, fixed), ASKED).repartition(shards, "shard").groupBy("shard").applyInArrow(trimmed(_answer), ANSWERED)
-    answers = scratch.written(answers, "words")
-    nn = sum((np.frombuffer(r.nn, np.int64) for r in table.select("nn").toLocalIterator()), np.zeros(5, np.int64))
+    asked = scratch.written(table.drop("cc").mapInArrow(lambda x: _ask(x, names), ASKED), "asked")
+    tokens = scratch.written(asked.drop("asks").repartition(shards, "shard").groupBy("shard").applyInArrow(trimmed(_token_sums), TOKENS), "tokens")
+    cc = sum((np.frombuffer(r.cc, np.int64) for r in table.select("cc").toLocalIterator()), np.zeros(4, np.int64))
+    nn = sum((np.frombuffer(r.nn, np.int64) for r in tokens.select("nn").toLocalIterator()), np.zeros(6, np.int64))
     if not nn[0]:
+        scratch.forget(table, asked, tokens)
         return None
-    kinds = answers.agg(F.sum(F.col("own").cast("long"))).first()[0]
-    model = Model(nn, kinds, (kinds if vocabulary is None else len(vocabulary)) + 1)
-    whole = table.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(trimmed(lambda x, y: _finished(x, y, model)), SHARD)
-    return scratch.written(whole, "model"), model, vocabulary
+    model = Model(cc, nn)
+    answers = asked.select("shard", "asks", "t").repartition(shards, "shard").groupBy("shard").cogroup(tokens.drop("nn").repartition(shards, "shard").groupBy("shard"))
+    answers = scratch.written(answers.applyInArrow(trimmed(lambda x, y: _answer(x, y, model)), ANSWERED), "answers", asked)
+    whole = table.drop("cc").repartition(shards, "shard").groupBy("shard").cogroup(answers.repartition(shards, "shard").groupBy("shard")).applyInArrow(trimmed(lambda x, y: _bigram_model(x, y, model)), MODEL)
+    whole = whole.unionByName(tokens.drop("nn").mapInArrow(lambda x: _token_model(x, model), MODEL))
+    return scratch.written(whole, "model", table, tokens, answers), model
 
 
-_SENT = pa.schema([("shard", pa.int32()), ("salt", pa.int32()), ("uid", pa.int64()), ("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
-SENT = "shard int, salt int, uid long, kind int, a binary, b binary, c binary"
+_SENT = pa.schema([("shard", pa.int32()), ("uid", pa.int64()), ("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
+SENT = "shard int, uid long, kind int, a binary, b binary, c binary"
 
 
-def _send_documents(parts: Iterator[pa.RecordBatch], vocabulary: np.ndarray | None, names: np.ndarray, salts: int) -> Iterator[pa.RecordBatch]:
+def _send_documents(parts: Iterator[pa.RecordBatch], names: np.ndarray, first: int, last: int) -> Iterator[pa.RecordBatch]:
     task = TaskContext.get().partitionId()
     for seq, table in enumerate(batches(parts, "t", BATCH_BYTES)):
-        yield _sent(table, task * 2**24 + seq, vocabulary, names, salts)
+        yield _sent(table, task * 2**24 + seq, names, first, last)
 
 
-def _sent(table: pa.Table, place: int, vocabulary: np.ndarray | None, names: np.ndarray, salts: int) -> pa.RecordBatch:
-    v, w, row, first = bigrams(*tokenise_sliced(column(table, "t"), True), vocabulary)
+def _sent(table: pa.Table, place: int, names: np.ndarray, first: int, last: int) -> pa.RecordBatch:
+    """What a batch asks the shards from ``first`` up to ``last``; its documents go along with the first ones."""
+    w, row = tokenise_sliced(column(table, "t"), True)
     n = np.bincount(row, minlength=table.num_rows)
     # a batch that is read again with other rows is another batch: the sums then miss their documents and the job stops
     uid = int.from_bytes(hashlib.blake2b(b"%d" % place + n.tobytes() + w.tobytes(), digest_size=7).digest(), "little")
-    salt = uid % salts
-    rows = [(int(names[uid % len(names)]), salt, uid, 0, *_documents(table), n.tobytes())]
-    one = np.ones(len(w), bool)
-    rows += _distinct(_pair(v, w), _shard_of(v, len(names)), row, one, None, (salt, uid, 1), names)
-    # each token is a word once, and a context once unless it is the last one; texts start in START
-    begin = np.flatnonzero(n)
-    last = np.append(first[1:], True) if len(w) else first
-    word, context = np.concatenate([one, np.zeros(len(begin), bool)]), np.concatenate([~last, np.ones(len(begin), bool)])
-    w, row = np.concatenate([w, np.full(len(begin), START)]), np.concatenate([row, begin])
-    rows += _distinct(w, _shard_of(w, len(names)), row, word, context, (salt, uid, 2), names)
-    return _rows(rows, _SENT)
-
-
-def _distinct(key: np.ndarray, part: np.ndarray, row: np.ndarray, word: np.ndarray, context: np.ndarray | None, head: tuple, names: np.ndarray) -> list[tuple]:
-    """One packed row for each shard: distinct keys of each document, how often each is a word and, less that, a context."""
-    part = part.astype(np.int16)
-    order = np.lexsort((row, key, part))
-    key, row, part, word = key[order], row[order], part[order], word[order]
-    at = _starts(key, row)
-    if not len(at):
-        return []
-    times = [np.minimum(np.add.reduceat(word.astype(np.int64), at), 2**32 - 1)]
-    if context is not None:
-        times.append(np.add.reduceat(context[order].astype(np.int64), at) - times[0] + 1)
-    key, row, part = key[at], row[at], part[at]
-    cut = np.searchsorted(part, np.arange(len(names) + 1))
-    return [(int(names[f]), *head, *_packed(key[x:y], row[x:y], [t[x:y] for t in times])) for f, (x, y) in enumerate(zip(cut[:-1], cut[1:])) if y > x]
+    out = [(int(names[uid % len(names)]), uid, 0, *_documents(table), n.tobytes())] if first == 0 else []
+    if len(w):
+        v, begins = bigrams(w, row)
+        out += _distinct(_pair(v, w), row, np.ones(len(w), np.uint64), (uid, 1), names, first, last)
+        # each token is a word once, and a context once unless it is the last one; texts start in START
+        ends = np.append(begins[1:], True)
+        begin = np.flatnonzero(begins)
+        roles = np.concatenate([np.where(ends, 1, 3), np.full(len(begin), 2)]).astype(np.uint64)
+        out += _distinct(mix(np.concatenate([w, np.full(len(begin), START)])), np.concatenate([row, row[begin]]), roles, (uid, 2), names, first, last)
+    return rows(out, _SENT)
+
+
+def _distinct(key: np.ndarray, row: np.ndarray, roles: np.ndarray, head: tuple, names: np.ndarray, first: int, last: int) -> list[tuple]:
+    """One packed row for each shard: distinct keys, the documents of each, and how often each is a word (role 1) and, less that, a context (role 2)."""
+    part = _shard_of(key, len(names))
+    mine = np.flatnonzero((part >= first) & (part < last))
+    part = part[mine].astype(np.uint16 if len(names) <= 65_536 else np.int32)
+    order = np.argsort(part, kind="stable")
+    part = part[order]
+    mine = mine[order]
+    packed = ((key[mine] & _LOW) << np.uint64(24)) | (row[mine].astype(np.uint64) << np.uint64(2)) | roles[mine]
+    out = []
+    for x, k in zip(*runs(part)):
+        own = np.sort(packed[x : x + k])
+        at = starts(own >> np.uint64(2))
+        word = np.add.reduceat((own & np.uint64(1)).astype(np.int64), at)
+        times = [word] if head[1] == 1 else [word, np.add.reduceat(((own >> np.uint64(1)) & np.uint64(1)).astype(np.int64), at) - word + 1]
+        keys, doc = own[at] >> np.uint64(24), ((own[at] >> np.uint64(2)) & np.uint64(2**22 - 1))
+        ka, many = runs(keys)
+        doc = narrow(doc, int(doc.max()) + 1)
+        out.append((int(names[part[x]]), *head, len(ka).to_bytes(4, "little") + squeeze(np.concatenate([np.diff(keys[ka], prepend=np.uint64(0)), many.astype(np.uint64)])), doc.itemsize.to_bytes(1, "little") + squeeze(doc), _counts(np.concatenate(times))))
+    return out
 
 
 def _documents(table: pa.Table) -> tuple[bytes, bytes]:
     """Ids, null marks, trust (1 trained on, 2 held out) and languages of a batch."""
     ids = column(table, "id")
     known = np.asarray(ids.is_valid())
-    return ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).tobytes() + known.tobytes() + np.asarray(column(table, "trusted")).astype(np.int8).tobytes(), "\0".join("" if x is None else "=" + x for x in column(table, "lang").to_pylist()).encode()
-
-
-def _packed(key: np.ndarray, row: np.ndarray, times: list[np.ndarray]) -> tuple[bytes, bytes, bytes]:
-    """Distinct keys as differences with their numbers of documents; the documents; how often in each."""
-    at = _starts(key)
-    many = np.diff(np.append(at, len(key)))
-    wide = np.uint16 if row.max() < 65_536 else np.uint32
-    return _squeeze(np.concatenate([np.diff(key[at], prepend=np.uint64(0)).view(np.int64), many])), wide().nbytes.to_bytes(1, "little") + _squeeze(row.astype(wide)), _squeeze(np.concatenate(times).astype(np.uint32))
-
-
-def _unpacked(a: bytes, b: bytes, c: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    words = _loose(a, np.int64)
-    half = len(words) // 2
-    rows = _loose(b[1:], np.uint16 if b[0] == 2 else np.uint32)
-    return np.cumsum(words[:half].view(np.uint64), dtype=np.uint64), words[half:], rows, _loose(c, np.uint32).astype(np.int64).reshape(-1, len(rows))
+    return ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).tobytes() + known.tobytes() + np.asarray(column(table, "trusted")).astype(np.int8).tobytes(), json.dumps(column(table, "lang").to_pylist()).encode()
 
 
-_SUMS = pa.schema([("uid", pa.int64()), ("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
-SUMS = "uid long, kind int, a binary, b binary, c binary"
+_PARTS = pa.schema([("uid", pa.int64()), ("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
+PARTS = "uid long, kind int, a binary, b binary, c binary"
 
 
 def _looked_up(keys: np.ndarray, values: np.ndarray, key: np.ndarray, missing: float) -> np.ndarray:
@@ -421,82 +361,91 @@ def _looked_up(keys: np.ndarray, values: np.ndarray, key: np.ndarray, missing: f
 
 def _scored(sent: pa.Table, table: pa.Table, unseen: float) -> pa.Table:
     """The sums of the logarithms over each document's bigrams and tokens that fall into one shard."""
+    none = np.zeros(0)
+    known = {1: (none, none, none), 2: (none, none, none)}
+    for kind, k, x, y in zip(table.column("kind").to_pylist(), *(cells(table, n) for n in ("k", "x", "y"))):
+        known[kind] = loose(k, np.uint64, True), loose(x, np.float32), loose(y, np.float32) if kind == 2 else none
     out, totals = [], {}
-    rows = table.to_pylist()
-    k = t = np.zeros(0, np.uint64)
-    delta = gamma = low = np.zeros(0)
-    if rows:
-        k, t = _loose(rows[0]["k"], np.uint64, True), _loose(rows[0]["t"], np.uint64, True)
-        delta, gamma, low = np.frombuffer(rows[0]["delta"], np.float32), np.frombuffer(rows[0]["gamma"]), np.frombuffer(rows[0]["low"])
-    for r in sent.to_pylist():
-        if r["kind"] == 0:
-            out.append((r["uid"], 0, r["a"], r["b"], r["c"]))
+    for uid, kind, a, b, c in zip(sent.column("uid").to_pylist(), sent.column("kind").to_pylist(), *(cells(sent, n) for n in "abc")):
+        if kind == 0:
+            out.append((uid, 0, a, b, c))
             continue
-        key, many, doc, times = _unpacked(r["a"], r["b"], r["c"])
-        if r["kind"] == 1:
-            hit = np.repeat(_looked_up(k, delta, key, 0.0), many) * times[0]
-        else:
-            hit = np.repeat(_looked_up(t, low, key, unseen), many) * times[0] + np.repeat(_looked_up(t, gamma, key, 0.0), many) * (times[1] + times[0] - 1)
+        words = loose(memoryview(a)[4:], np.uint64)
+        half = int.from_bytes(memoryview(a)[:4], "little")
+        key, many = np.cumsum(words[:half], dtype=np.uint64), words[half:].astype(np.int64)
+        doc = loose(memoryview(b)[1:], np.uint16 if memoryview(b)[0] == 2 else np.uint32)
+        times = _counted(c).reshape(-1, len(doc))
+        k, x, y = known[kind]
+        hit = np.repeat(_looked_up(k, x, key, 0.0 if kind == 1 else unseen), many) * times[0]
+        if kind == 2:
+            hit += np.repeat(_looked_up(k, y, key, 0.0), many) * (times[1] + times[0] - 1)
         total = np.bincount(doc, hit)
-        if r["uid"] in totals:
-            both = totals[r["uid"]], total
+        if uid in totals:
+            both = totals[uid], total
             total = np.zeros(max(map(len, both)))
-            for x in both:
-                total[: len(x)] += x
-        totals[r["uid"]] = total
+            for one in both:
+                total[: len(one)] += one
+        totals[uid] = total
     for uid, total in totals.items():
         some = np.flatnonzero(total)
-        out.append((uid, 1, some.astype(np.uint32).tobytes(), total[some].astype(np.float32).tobytes(), b""))
-    return pa.table([pa.array([r[i] for r in out], f.type) for i, f in enumerate(_SUMS)], schema=_SUMS)
+        out.append((uid, 1, squeeze(some.astype(np.uint32), True), _floats(total[some]), b""))
+    return pa.Table.from_batches([rows(out, _PARTS)])
 
 
 _RESULT = "doc_id long, lang string, trusted boolean, held boolean, n_tokens long, log_prob double"
 
 
 def _added(table: pa.Table) -> pa.Table:
-    rows = table.to_pylist()
-    head = [r for r in rows if r["kind"] == 0]
-    if len(head) != 1:
+    kinds = table.column("kind").to_pylist()
+    if kinds.count(0) != 1:
         raise ValueError("a batch of documents changed while it was read; write the input to a table first")
-    n = np.frombuffer(head[0]["c"], np.int64)
+    a, b, c = (cells(table, n) for n in "abc")
+    head = kinds.index(0)
+    n = np.frombuffer(c[head], np.int64)
     size, total = len(n), np.zeros(len(n))
-    for r in rows:
-        if r["kind"] == 1:
-            total[np.frombuffer(r["a"], np.uint32)] += np.frombuffer(r["b"], np.float32)
-    a = head[0]["a"]
-    ids, known, trusted = np.frombuffer(a, np.int64, size), np.frombuffer(a, bool, size, 8 * size), np.frombuffer(a, np.int8, size, 9 * size)
-    langs = [x[1:] if x else None for x in head[0]["b"].decode().split("\0")]
-    return pa.table({"doc_id": pa.array(ids, mask=~known), "lang": pa.array(langs, pa.string()), "trusted": pa.array(trusted == 1), "held": pa.array(trusted == 2), "n_tokens": pa.array(n), "log_prob": pa.array(total)})
+    for kind, doc, value in zip(kinds, a, b):
+        if kind == 1:
+            total[loose(doc, np.uint32, True)] += loose(value, np.float32)
+    ids, known, trusted = np.frombuffer(a[head], np.int64, size), np.frombuffer(a[head], bool, size, 8 * size), np.frombuffer(a[head], np.int8, size, 9 * size)
+    return pa.table({"doc_id": pa.array(ids, mask=~known), "lang": pa.array(json.loads(b[head].to_pybytes()), pa.string()), "trusted": pa.array(trusted == 1), "held": pa.array(trusted == 2), "n_tokens": pa.array(n), "log_prob": pa.array(total)})
 
 
-def perplexities(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", vocabulary_size: int | None = None, shards: int = SHARDS, hold: int | None = None) -> DataFrame:
+def perplexities(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", hold: int | None = None, passes: int = PASSES) -> DataFrame:
     """``(doc_id, lang, trusted, held, n_tokens, log_prob)`` of every row, trusted if trained on; one in ``hold`` trusted ids is held out; labels have ``(doc_id, quality, toxic)``."""
     spark = docs.sparkSession
     good = labels.filter("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select(F.col("doc_id").cast("long").alias("__good")).distinct()
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("lang"))
+    good = scratch.written(good, "trusted")
     many = good.count()
-    if many <= BROADCAST_IDS:
-        good = F.broadcast(good)
+    side = F.broadcast(good) if many <= BROADCAST_IDS else good
     held = F.pmod(F.xxhash64("id"), F.lit(hold)) == 0 if hold and many >= LEAST_GOOD else F.lit(False)
     state = F.when(F.col("__good").isNull(), 0).when(held, 2).otherwise(1)
-    marked = own.join(good, own["id"] == good["__good"], "left").select("id", "t", "lang", state.alias("trusted"))
-    trained = train(marked.filter("trusted = 1 and t is not null").select("t"), vocabulary_size, shards)
+    marked = own.join(side, own["id"] == side["__good"], "left").select("id", "t", "lang", state.alias("trusted"))
+    trusted = marked.filter("trusted = 1 and t is not null").select("t")
+    chars = trusted.agg(F.sum(F.length("t"))).first()[0] or 0
+    shards = max(scratch.shuffle_partitions(spark), -(-chars // SHARD_CHARS))
+    trained = train(trusted, shards) if chars else None
     if trained is None:
         return own.select(F.col("id").alias("doc_id"), "lang", F.lit(False).alias("trusted"), F.lit(False).alias("held"), F.lit(0).cast("long").alias("n_tokens"), F.lit(None).cast("double").alias("log_prob"))
-    table, model, vocabulary = trained
-    known, unseen = spark.sparkContext.broadcast(vocabulary), float(model.low(np.zeros(1))[0])
-    parts = scratch.shuffle_partitions(spark)
-    salts = max(1, -(-parts // shards))
+    table, model = trained
+    unseen = float(model.log_low(np.zeros(1, np.int64))[0])
     names = spread(shards, shards)
-    sent = marked.mapInArrow(lambda x: _send_documents(x, known.value, names, salts), SENT)
-    counts = table.select("shard", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), "k", "delta", "t", "gamma", "low")
-    sums = sent.groupBy("shard", "salt").cogroup(counts.groupBy("shard", "salt")).applyInArrow(trimmed(lambda x, y: _scored(x, y, unseen)), SUMS)
-    return sums.groupBy("uid").applyInArrow(trimmed(_added), _RESULT)
+    cuts = np.unique(np.linspace(0, shards, passes + 1).astype(int))
+    sums = []
+    for first, last in zip(cuts[:-1], cuts[1:]):
+        sent = marked.mapInArrow(lambda x, a=int(first), b=int(last): _send_documents(x, names, a, b), SENT)
+        part = table.filter(F.col("shard").isin([int(x) for x in names[first:last]])) if len(cuts) > 2 else table
+        scored = sent.repartition(shards, "shard").groupBy("shard").cogroup(part.repartition(shards, "shard").groupBy("shard"))
+        sums.append(scratch.written(scored.applyInArrow(trimmed(lambda x, y: _scored(x, y, unseen)), PARTS), "sums"))
+    every = sums[0]
+    for x in sums[1:]:
+        every = every.unionByName(x)
+    return scratch.written(every.groupBy("uid").applyInArrow(trimmed(_added), _RESULT), "perplexities", table, good, *sums)
 
 
 def quality(docs: DataFrame, labels: DataFrame, quantile: float | None = None, **params: object) -> DataFrame:
     """``(doc_id, lang, n_tokens, perplexity, threshold, keep)`` of every row."""
-    scored = scratch.written(perplexities(docs, labels, hold=HOLD if quantile is None else None, **params), "perplexities")
+    scored = perplexities(docs, labels, hold=HOLD if quantile is None else None, **params)
     scored = scored.withColumn("perplexity", F.when(F.col("n_tokens") > 0, F.exp(-F.col("log_prob") / F.col("n_tokens"))))
     unseen = scored.filter("not trusted and perplexity is not null")
     if not unseen.filter("held").isEmpty():

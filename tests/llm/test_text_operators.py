@@ -115,47 +115,64 @@ def test_language_of_odd_rows(spark):
 SYMBOLS = re.compile(tokens.SYMBOL_RE)
 
 
-def brute_perplexities(rows, trusted, size):
+def brute_discounts(counts):
+    n = [sum(x == k for x in counts) for k in (1, 2, 3, 4)]
+    y = n[0] / (n[0] + 2 * n[1]) if n[0] and n[1] else 0.5
+    return [0] + [min(hi, max(0.05, k - (k + 1) * y * n[k] / n[k - 1] if n[k - 1] else y)) for k, hi in ((1, 0.95), (2, 1.95), (3, 2.95))]
+
+
+def brute_perplexities(rows, trusted):
+    """The interpolated formula, word by word: (c - D) / c(v) + gamma(v) * ((N - D') / N. + gamma' / V)."""
     toks = [SYMBOLS.findall((t or "").lower()) for _, t, _ in rows]
-    counts = Counter(w for (i, _, _), ws in zip(rows, toks) if i in trusted for w in ws)
-    least = next((c for c in sorted(set(counts.values())) if sum(v >= c for v in counts.values()) <= size), 10**9)
-    known = {w for w, c in counts.items() if c >= least}
-    toks = [[w if w in known else "<unk>" for w in ws] for ws in toks]
     c = Counter(p for (i, _, _), ws in zip(rows, toks) if i in trusted for p in zip(["<s>", *ws[:-1]], ws))
-    n = [sum(x == k for x in c.values()) for k in (1, 2, 3, 4)]
-    y = n[0] / (n[0] + 2 * n[1]) if n[0] and n[1] else 0.5
-    d = [0] + [min(hi, max(0.05, k - (k + 1) * y * n[k] / n[k - 1] if n[k - 1] else y)) for k, hi in ((1, 0.95), (2, 1.95), (3, 2.95))]
-    total, followers = Counter(), {}
-    for (v, w), k in c.items():
-        total[v] += k
-        followers.setdefault(v, []).append(k)
     before = Counter(w for _, w in c)
-    kinds = len(before)
+    d, e = brute_discounts(c.values()), brute_discounts(before.values())
+    followers = {}
+    for (v, _), k in c.items():
+        followers.setdefault(v, []).append(k)
+    all_, kinds = sum(before.values()), len(before)
+    rest = sum(e[min(k, 3)] for k in before.values()) / all_ / (kinds + 1)
     out = []
     for ws in toks:
         logp = 0.0
         for v, w in zip(["<s>", *ws[:-1]], ws):
-            low = (max(before[w] - 0.5, 0) + 0.5 * kinds / (len(known) + 1)) / sum(before.values())
-            gamma = sum(d[min(k, 3)] for k in followers[v]) / total[v] if v in followers else 1.0
-            top = (c[v, w] - d[min(c[v, w], 3)]) / total[v] if (v, w) in c else 0.0
-            logp += math.log(top + gamma * low)
+            low = (before[w] - e[min(before[w], 3)]) / all_ + rest
+            own = followers.get(v)
+            seen = (c[v, w] - d[min(c[v, w], 3)]) / sum(own) if own else 0.0
+            logp += math.log(seen + (sum(d[min(k, 3)] for k in own) / sum(own) if own else 1.0) * low)
         out.append(math.exp(-logp / len(ws)) if ws else None)
     return out
 
 
-def test_perplexities_equal_brute_force(spark):
-    rows = [(r[0], r[1], r[2]) for r in fixtures.rows()] + [(100 + k, fixtures.prose(300 + k, 50 + k), "en") for k in range(12)]
+def test_probabilities_sum_to_one():
+    """The brute-force formula is a distribution over the tokens of trusted text and an unknown one."""
+    rows = [(k, fixtures.prose(300 + k, 50), "en") for k in range(5)]
+    words = sorted({w for _, t, _ in rows for w in SYMBOLS.findall(t.lower())}) + ["unheardof"]
+    for context in ("river", "nowhere"):
+        one = brute_perplexities([*rows, (9, context, "en"), *((10 + k, f"{context} {w}", "en") for k, w in enumerate(words))], set(range(5)))
+        assert sum(one[5] / p**2 for p in one[6:]) == pytest.approx(1)
+
+
+def perplexity_rows():
+    return [(r[0], r[1], r[2]) for r in fixtures.rows()] + [(100 + k, fixtures.prose(300 + k, 50 + k), "en") for k in range(12)] + [(120, fixtures.prose(500, 30), "a\0b"), (121, "今天天气很好！ 我们 " + fixtures.prose(501, 9), "zh")]
+
+
+@pytest.mark.parametrize("passes", [1, 2, 5])
+def test_perplexities_equal_brute_force(spark, passes):
+    rows = perplexity_rows()
     labels = [(i, 1, 0) for i in (0, 3, 4, 7, 10, 100, 101, 102, 103)] + [(1, 0, 0), (8, 1, 1), (104, None, None), (None, 1, 0), (0, 1, 0), (105, 1, None)]
     trusted = {0, 3, 4, 7, 10, 100, 101, 102, 103, 105}
     docs = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, lang string, n_tokens int, uid int")
-    got = kneser_ney.quality(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), vocabulary_size=15, shards=4, quantile=0.9).collect()
-    want = brute_perplexities(rows, trusted, 15)
+    got = kneser_ney.quality(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), passes=passes, quantile=0.9).collect()
+    want = brute_perplexities(rows, trusted)
     assert len(got) == len(rows)
-    assert sorted((str(r.doc_id), round(r.perplexity, 3) if r.perplexity else None) for r in got if r.doc_id != 3) == sorted((str(i), round(p, 3) if p else None) for (i, _, _), p in zip(rows, want) if i != 3)
+    key = lambda x: (str(x[0]), str(x[1]), x[2] or 0.0)
+    for (i, lang, p), (j, tongue, q) in zip(sorted(((r.doc_id, r.lang, r.perplexity) for r in got), key=key), sorted(((i, x, p) for (i, _, x), p in zip(rows, want)), key=key)):
+        assert (i, lang, p) == (j, tongue, pytest.approx(q, rel=1e-4) if q else None)
     for lang in ("en", None):
         unseen = sorted(p for (i, _, x), p in zip(rows, want) if i not in trusted and x == lang and p)
         limit = next(r.threshold for r in got if r.lang == lang)
-        assert limit == pytest.approx(unseen[math.ceil(0.9 * len(unseen)) - 1], rel=1e-5)
+        assert limit == pytest.approx(unseen[math.ceil(0.9 * len(unseen)) - 1], rel=1e-4)
     assert all(r.keep == (r.perplexity is not None and r.perplexity <= r.threshold) for r in got)
 
 
@@ -165,19 +182,28 @@ def test_every_trusted_token_has_its_own_counts(spark):
     rows = [(i, " ".join(words[i * 1000 : i * 1000 + 1000]), "en") for i in range(70)] + [(90, " ".join(f"u{k}" for k in range(500)), "en"), (91, fixtures.prose(9, 60), "en")]
     labels = [(i, 1, 0) for i in range(70)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    got = {r.doc_id: r.perplexity for r in kneser_ney.quality(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), shards=4).collect()}
-    want = brute_perplexities(rows, set(range(70)), 10**9)
+    got = {r.doc_id: r.perplexity for r in kneser_ney.quality(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    want = brute_perplexities(rows, set(range(70)))
     assert all(got[i] == pytest.approx(p, rel=1e-4) for (i, _, _), p in zip(rows, want))
     assert got[90] > max(got[i] for i in range(70))
 
 
+def test_kept_by_label(spark):
+    """Of the test table's labelled documents at least nine in ten good ones stay and at most one in ten bad ones."""
+    folder = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    got = kneser_ney.quality(spark.read.parquet(f"{folder}/documents.parquet"), labels).join(labels, "doc_id").select("quality", "keep").collect()
+    good, bad = ([r.keep for r in got if r.quality == q] for q in (1, 0))
+    assert sum(good) >= 0.9 * len(good) and sum(bad) <= 0.1 * len(bad)
+
+
 def test_bad_documents_are_rejected_whatever_their_share(spark):
     """Half of the unlabelled documents are word salad: all of it goes, and the good half stays."""
     r = random.Random(4)
     rows = [(i, fixtures.prose(i, 120), "en") for i in range(500)] + [(i, " ".join("".join(r.choices("abcdefghij", k=7)) for _ in range(120)), "en") for i in range(500, 600)]
     labels = [(i, 1, 0) for i in range(400)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    got = {x.doc_id: x.keep for x in kneser_ney.quality(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), shards=4).collect()}
+    got = {x.doc_id: x.keep for x in kneser_ney.quality(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
     assert not any(got[i] for i in range(500, 600))
     assert sum(got[i] for i in range(400, 500)) >= 90 and sum(got[i] for i in range(400)) >= 395
 
