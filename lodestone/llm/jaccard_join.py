@@ -47,7 +47,7 @@ SLICE = 1_000_000
 #: Ids up to this number (4 MB) are sent to all executors when documents are dropped; beyond it they are joined by a shuffle.
 BROADCAST_IDS = 500_000
 #: Fragments of the second exchange are larger, as about one n-gram in six is left.
-COARSER = 8
+COARSER = 4
 #: Links up to this number are followed in one task; beyond it in rounds over all executors, with the same result.
 FEW_LINKS = 1_000_000
 
