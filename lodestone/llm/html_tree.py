@@ -1,7 +1,7 @@
 """Operator 1: main text of web pages by tree scoring.
 
 A page is parsed into a tree with the usual repairs (unclosed p, li, td..., stray end tags, raw text of
-script and style). Each paragraph of 25 characters or more passes points to its ancestors: 1, one more for each
+script and style). Each paragraph (p, pre, td, blockquote, and the text of a div or section without any block in it, as if it stood in a paragraph there) of 25 characters or more passes points to its ancestors: 1, one more for each
 comma and one for every 100 characters up to 3; all of them to its parent, half to its grandparent, a
 third of that per level to the next three. A container starts with points for its tag and for telling words in class and id;
 its score is multiplied by 1 - link density (the share of its text that lies in links). The best
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
 _ATTR = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "textarea", "title", "noscript", "template")}
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -39,6 +39,8 @@ _GOOD = re.compile(r"article|body|content|entry|main|page|post|text|blog|story",
 _BAD = re.compile(r"\b(?:ad|ads)\b|advert|banner|comment|combx|contact|footer|footnote|masthead|menu|meta|nav|promo|related|scroll|share|sidebar|sponsor|tags|widget", re.I)
 _SPACE = re.compile(r"\s+")
 _PARAGRAPH = frozenset(("p", "pre", "td", "blockquote"))
+#: The text of one of these without any block in it counts as a paragraph within it.
+_CONTAINER = frozenset(("div", "section", "article", "main", "center"))
 
 
 class Node:
@@ -54,9 +56,9 @@ class Node:
 def parse(page: str) -> tuple[Node, str]:
     """The tree of a page, and its title."""
     root = node = Node("html", None)
-    title, at, n = "", 0, len(page)
+    title, at, n, last = "", 0, len(page), page.rfind(">")
     while at < n:
-        m = _TAG.search(page, at)
+        m = _TAG.search(page, at) if at <= last or page.find("<!--", at) >= 0 else None
         if m is None:
             node.children.append(page[at:])
             break
@@ -157,13 +159,13 @@ def extract(page: str) -> tuple[str, str, float, float]:
     order = _measured(root)
     scored = []
     for node in order:
-        if node.tag not in _PARAGRAPH or node.chars < 20 or any(isinstance(c, Node) and c.tag in _BLOCK for c in node.children):
+        if (node.tag not in _PARAGRAPH and node.tag not in _CONTAINER) or node.chars < 20 or any(isinstance(c, Node) and c.tag in _BLOCK for c in node.children):
             continue
         text = text_of(node)
         if len(text) < 25:
             continue
         points = 1 + text.count(",") + text.count("，") + text.count("、") + min(len(text) // 100, 3)
-        up, level = node.parent, 0
+        up, level = node if node.tag in _CONTAINER else node.parent, 0
         while up is not None and level < 5:
             if up.score is None:
                 up.score = _start(up)
