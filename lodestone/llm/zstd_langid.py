@@ -6,8 +6,9 @@ longer than ``CHUNK`` bytes are encoded in chunks of that length, all of them, s
 keeps counting; the sizes are summed. If the runner-up is less than ``MARGIN`` (as a share of its size) worse,
 the text is rejected: ``lang_pred`` is null.
 
-The dictionaries are fitted on a bounded sample of labelled rows: ``DICT_BYTES`` of text for each language, from the
-rows with the least digests. That bound is a parameter and does not grow with the table.
+The dictionaries are fitted on a bounded sample of labelled rows: ``dict_bytes`` of text for each language. Whole texts are cut into pieces of
+``PIECE`` characters, and the pieces with the least hashes fill the dictionary, so that a long document adds as much as it has pieces and a language of
+short rows has a dictionary too. The bound is a parameter and does not grow with the table.
 
 Nulls and ties: null and empty texts, and texts of fewer than ``LEAST_BYTES`` bytes, are rejected. Equal sizes are a margin of
 0 and rejected. Every row is judged by its text alone; repeated rows and null ids stay, other columns
@@ -24,32 +25,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 DICT_BYTES, CHUNK, MARGIN, LEAST_BYTES, LEVEL = 65_536, 1_024, 0.01, 8, 3
-#: Each sampled row adds at most this much to a dictionary, so that no single document fills it.
-ROW_CHARS = 1_024
+#: Characters of the pieces that texts are sampled by.
+PIECE = 1_024
 
 
 def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", dict_bytes: int = DICT_BYTES) -> dict[str, bytes]:
     """Dictionaries by language."""
-    own = docs.select(F.col(lang_col).cast("string").alias("l"), F.col(text_col).cast("string").alias("t")).filter("l is not null and length(t) >= 200")
-    rows = 4 * dict_bytes // ROW_CHARS
-    few = own.withColumn("h", F.md5("t"))
-    counts = {r.l: r.n for r in own.groupBy("l").agg(F.count("*").alias("n")).collect()}
-    picked = []
-    for lang, n in counts.items():
-        share = min(1.0, 2.0 * rows / n)
-        limit = f"{int(share * (16**8 - 1)):08x}"
-        picked.append((F.col("l") == lang) & (F.substring("h", 1, 8) <= limit))
-    if not picked:
-        return {}
-    some = picked[0]
-    for x in picked[1:]:
-        some = some | x
-    out: dict[str, bytes] = {}
-    for r in few.filter(some).select("l", "h", F.substring("t", 1, ROW_CHARS).alias("t")).orderBy("l", "h").toLocalIterator():
-        held = out.get(r.l, b"")
-        if len(held) < dict_bytes:
-            out[r.l] = (held + r.t.encode() + b"\n")[:dict_bytes]
-    return out
+    own = docs.select(F.col(lang_col).cast("string").alias("l"), F.col(text_col).cast("string").alias("t")).filter("l is not null and length(t) > 0")
+    sums = {r.l: (r.n, r.p) for r in own.groupBy("l").agg(F.sum(F.length("t")).alias("n"), F.sum(F.ceil(F.length("t") / PIECE)).alias("p")).collect()}
+    pieces = own.select("l", F.col("t"), F.explode(F.sequence(F.lit(1), F.length("t"), F.lit(PIECE))).alias("at")).select("l", F.expr(f"substring(t, at, {PIECE})").alias("t")).withColumn("h", F.xxhash64("t"))
+    picked = F.lit(False)
+    for lang, (chars, count) in sums.items():
+        # four times what is needed, and 64 pieces more, so that chance leaves no dictionary short
+        share = min(1.0, (4.0 * dict_bytes * count / chars + 64) / count)
+        picked = picked | ((F.col("l") == lang) & (F.col("h") <= min(2**63 - 1, int(share * 2**64) - 2**63)))
+    held: dict[str, list[bytes]] = {}
+    sizes_: dict[str, int] = {}
+    for r in pieces.filter(picked).orderBy("l", "h", "t").toLocalIterator():
+        if sizes_.get(r.l, 0) < dict_bytes:
+            held.setdefault(r.l, []).append(r.t.encode() + b"\n")
+            sizes_[r.l] = sizes_.get(r.l, 0) + len(held[r.l][-1])
+    return {lang: b"".join(x)[:dict_bytes] for lang, x in held.items()}
 
 
 def sizes(data: bytes, presses: list[zstandard.ZstdCompressor], chunk: int = CHUNK) -> list[int]:
