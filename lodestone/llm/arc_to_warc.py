@@ -10,10 +10,13 @@ the record then ends before it. URLs may be relative or bare hosts if the other
 
 Each becomes a WARC 1.0 record: identifier ``urn:uuid`` from a digest of URL, date, payload and place (the same in
 every run), date in ISO 8601, type by content (``warcinfo`` for the version block, ``response`` for an
-HTTP answer, ``resource`` for others and for FTP or DNS), and SHA-1 block and payload digests in base 32.
+HTTP answer, ``resource`` for others and for FTP or DNS), and SHA-1 block and payload digests in base 32. The block of a ``warcinfo`` record has
+named fields: the version of the archive, the names of its header fields, and the text of its version block, percent-encoded.
 
-Nulls and ties: null or empty archives give no records. A header with an impossible date keeps the record
-with a null date and the fault ``date``. Fields given as ``-`` are null, but for the URL. Records that repeat one another have identifiers of
+Nulls and ties: null or empty archives give no records. A header with an impossible date keeps the record,
+with the date of the archive, or 1970 if that has none, and the fault ``date``. A version block that names no URL first or no length last is ignored, with the fault
+``names``, and the names of its version hold. What can be read of a damaged gzip member is read, the next record (or the last, if none follows) has the fault ``gzip``, and reading resumes
+at the next member. Fields given as ``-`` are null, but for the URL. Records that repeat one another have identifiers of
 their own, as their places differ; repeated archives of one id give equal records. In a page table, null ids, URLs and texts become
 ``-`` or empty fields; other columns are ignored. Records of any length are taken whole.
 """
@@ -27,6 +30,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from datetime import UTC, datetime
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -40,6 +44,7 @@ PAGES = 200
 _IP = re.compile(r"\d{1,3}(?:\.\d{1,3}){3}|[0-9A-Fa-f]*:[0-9A-Fa-f:.]*")
 _MIME = re.compile(r"[\w.+\-]+/[\w.+\-]+;?|no-type|unknown")
 _SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.\-]*:")
+_GZIP = b"\x1f\x8b\x08"
 _HTTP = re.compile(rb"HTTP/\d\.\d +(\d{3})")
 
 
@@ -91,16 +96,43 @@ def _next_header(data: bytes, begin: int, end: int, names: tuple[str, ...]) -> i
     return None
 
 
+def _inflated(data: bytes, step: int = 65_536) -> tuple[bytes, list[int]]:
+    """The contents of all gzip members, and the places in them where a damaged member broke off."""
+    out, bad, size, at = [], [], 0, 0
+    while at < len(data):
+        d, place, whole = zlib.decompressobj(31), at, True
+        while not d.eof and place < len(data):
+            try:
+                out.append(d.decompress(data[place : place + step]))
+            except zlib.error:
+                whole = False
+                break
+            size += len(out[-1])
+            place += step
+        if whole and d.eof:
+            at = min(place, len(data)) - len(d.unused_data)
+        else:
+            bad.append(size)
+            at += 2
+        if data[at : at + 3] != _GZIP:
+            at = data.find(_GZIP, at)
+            if at < 0:
+                break
+    return b"".join(out), bad
+
+
+def _version_fields(name: str, version: int, names: tuple[str, ...], body: bytes) -> bytes:
+    """The block of a warcinfo record."""
+    fields = ("format", "WARC File Format 1.0"), ("isPartOf", quote(name)), ("arcVersion", version), ("arcFields", " ".join(names)), ("arcVersionBlock", quote(body))
+    return "".join(f"{k}: {v}\r\n" for k, v in fields).encode()
+
+
 def records(data: bytes, name: str = "") -> Iterator[dict]:
     """The WARC records of one ARC file (plain or gzip, of one or many members)."""
-    if data[:2] == b"\x1f\x8b":
-        parts, rest = [], data
-        while rest[:2] == b"\x1f\x8b":
-            d = zlib.decompressobj(31)
-            parts.append(d.decompress(rest) + d.flush())
-            rest = d.unused_data
-        data = b"".join(parts)
-    at, names, version, seq = 0, V1, 1, 0
+    bad: list[int] = []
+    if data[:3] == _GZIP:
+        data, bad = _inflated(data)
+    at, names, version, seq, born = 0, V1, 1, 0, None
     fault = None
     while at < len(data):
         end = data.find(b"\n", at)
@@ -131,8 +163,16 @@ def records(data: bytes, name: str = "") -> Iterator[dict]:
         if info:
             rows = body.decode("utf-8", "replace").splitlines()
             version = 2 if rows and rows[0].startswith("2") else 1
-            names = tuple(rows[1].split(" ")) if len(rows) > 1 and rows[1].startswith("URL ") else (V2 if version == 2 else V1)
+            told = tuple(rows[1].split(" ")) if len(rows) > 1 and rows[1] else ()
+            sound = len(told) > 1 and told[0] == "URL" and told[-1] == "Archive-length" and len(set(told)) == len(told)
+            names = told if sound else V2 if version == 2 else V1
+            if told and not sound:
+                fault = fault or "names"
+            body = _version_fields(name, version, names, body)
         date = _date(fields.get("Archive-date"))
+        born = date if info else born
+        if bad and bad[0] <= at:
+            fault, bad = "gzip", [x for x in bad if x > at]
         answer = _HTTP.match(body)
         web = fields["URL"].lower().startswith("http") or not _SCHEME.match(fields["URL"])
         kind = "warcinfo" if info else "response" if answer and web else "resource"
@@ -144,7 +184,7 @@ def records(data: bytes, name: str = "") -> Iterator[dict]:
         block = _digest(body)
         ident = uuid.uuid5(uuid.NAMESPACE_URL, f"{name}|{seq}|{fields['URL']}|{fields.get('Archive-date')}|{block}")
         yield {
-            "seq": seq, "arc_version": version, "warc_type": kind, "record_id": f"<urn:uuid:{ident}>", "warc_date": date, "target_uri": None if info else fields["URL"],
+            "seq": seq, "arc_version": version, "warc_type": kind, "record_id": f"<urn:uuid:{ident}>", "warc_date": date or born or "1970-01-01T00:00:00Z", "target_uri": None if info else fields["URL"],
             "ip_address": None if fields.get("IP-address") in (None, "0.0.0.0") else fields["IP-address"], "content_type": mime, "payload_type": None if info else fields.get("Content-type"),
             "status": int(answer.group(1)) if kind == "response" else None, "content_length": len(body), "block_digest": block, "payload_digest": None if info else _digest(payload),
             "fault": fault or (None if date else "date"), "block": body,
