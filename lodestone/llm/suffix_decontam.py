@@ -7,14 +7,14 @@ array by binary search, one token at a time. From the intervals come all places
 least ``min_tokens`` tokens with an item (or the whole of a shorter one), and each is extended
 to its longest verbatim match. Shards need no exchange; only matches leave them.
 
-The test items go to the executors as one packed array if they have at most
-``SLICE_TOKENS`` tokens; a larger set is run in slices of that size.
+The test items go to the executors as packed arrays of about ``SLICE_TOKENS`` tokens, broadcast one by one; the driver holds one of them at a
+time, and a worker too. Each shard's array is built once and meets all of them.
 
-Nulls and ties: null and empty texts match nothing. Items of fewer than ``least_item`` tokens are too
-short to tell and are ignored, as are null ones. Per document and item the longest match is
+Nulls and ties: null and empty texts match nothing, and neither do null items. An item of fewer than ``min_tokens`` tokens matches where the whole of it
+stands; those of fewer than ``least_item`` tokens (by default 1: none) are ignored. Per document and item the longest match is
 given; of equal ones the first in the document, then the first in the item. Rows that repeat an
 id count as one document in `matches`; `clean` judges each row by itself and returns it with all
-its columns. Empty tables give no matches.
+its columns, whatever their names. Empty tables give no matches. Ids are integers (or text that reads as integers).
 """
 
 from __future__ import annotations
@@ -23,13 +23,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .packed import runs, starts
 from .tokens import batches, column, tokenise_sliced
 
-MIN_TOKENS, LEAST_ITEM = 10, 5
-SHARD_BYTES, SLICE_TOKENS = 6_000_000, 2_000_000
+MIN_TOKENS, LEAST_ITEM = 10, 1
+SHARD_BYTES, SLICE_TOKENS = 4_000_000, 2_000_000
 
 
 class Shard:
@@ -37,34 +39,40 @@ class Shard:
 
     def __init__(self, tok: np.ndarray, row: np.ndarray, depth: int):
         self.words, ids = np.unique(tok, return_inverse=True)
-        first = np.concatenate([[True], row[1:] != row[:-1]]) if len(row) else np.zeros(0, bool)
-        order = np.cumsum(first) - 1
-        self.starts = np.flatnonzero(first) + np.arange(first.sum())  # a 0 ends each row
-        self.rows = row[first]
-        n = len(tok) + len(self.starts)
-        self.seq = np.zeros(n + depth + 3, np.int64)
-        place = np.arange(len(tok)) + order
+        ids = ids.astype(np.int32)
+        first = np.zeros(len(row), bool)
+        begin = starts(row)
+        first[begin] = True
+        order = (np.cumsum(first) - 1).astype(np.int32)
+        self.starts = (begin + np.arange(len(begin))).astype(np.int32)  # a 0 ends each row
+        self.rows = row[begin]
+        n = len(tok) + len(begin)
+        self.seq = np.zeros(n + depth + 3, np.int32)
+        place = np.arange(len(tok), dtype=np.int32) + order
         self.seq[place] = ids + 1
-        self.owner = np.zeros(n + 1, np.int64)
+        self.owner = np.zeros(n + 1, np.int32)
         self.owner[place] = order
         self.array = self._sorted(place, n, depth) if len(tok) else place
 
     def _sorted(self, place: np.ndarray, n: int, depth: int) -> np.ndarray:
         s = self.seq
-        a, b, c = s[place], s[place + 1], s[place + 2]
-        c = np.where(b == 0, 0, c)
-        if len(self.words) < 2**21 - 1:
-            h, key = 3, (a << 42) | (b << 21) | c
-        else:
-            h, key = 2, (a << 31) | b
-        array = place[np.argsort(key, kind="stable")]
-        end = np.zeros(n + 1, np.int64)
+        h = 3 if len(self.words) < 2**21 - 1 else 2
+        bits = 21 if h == 3 else 31
+        key = s[place].astype(np.int64)
+        gone = key == 0
+        for k in range(1, h):
+            nxt = s[place + k]
+            gone |= nxt == 0
+            key = (key << bits) | np.where(gone, 0, nxt)
+        order = np.argsort(key, kind="stable")
+        array, key = place[order], key[order]
+        del order, gone
+        end = np.zeros(n + 1, np.int32)
         end[place] = np.append(self.starts[1:], n)[self.owner[place]] - 1  # where the row's 0 is
-        rank = np.zeros(n + depth + 3, np.int64)
-        key = np.sort(key, kind="stable")
-        new = np.concatenate([[True], key[1:] != key[:-1]])
-        at = np.flatnonzero(new)
-        rank[array] = np.repeat(at, np.diff(np.append(at, len(array)))) + 1
+        rank = np.zeros(n + depth + 3, np.int32)
+        at, many = runs(key)
+        rank[array] = np.repeat(at, many) + 1
+        del key
         while h < depth:
             r = rank[array]
             tied = np.zeros(len(array), bool)
@@ -80,8 +88,7 @@ class Shard:
             order = np.lexsort((then, first))
             mine, first, then = mine[order], first[order], then[order]
             array[slots] = mine
-            split = np.concatenate([[True], (first[1:] != first[:-1]) | (then[1:] != then[:-1])])
-            at = np.flatnonzero(split)
+            at = starts(first, then)
             rank[mine] = np.repeat(slots[at], np.diff(np.append(at, len(mine)))) + 1
             h *= 2
         return array
@@ -144,56 +151,62 @@ class Shard:
             hi = np.where(open_ & ~right, mid, hi)
 
 
-def _items(tests: DataFrame, id_col: str, text_col: str, least: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Slices of ``(ids, tokens, item of each token)``."""
+def _items(tests: DataFrame, id_col: str, text_col: str, least: int) -> tuple[list[Broadcast], int]:
+    """Slices of ``(ids, tokens, item of each token)``, broadcast, and the tokens of the longest item."""
+    spark = tests.sparkSession
     own = tests.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).filter("i is not null and t is not null")
     chars = own.agg(F.sum(F.length("t"))).first()[0] or 0
-    slices = 1 + int(chars // (2 * SLICE_TOKENS))  # a token and what follows it have two characters at least
-    out = []
+    slices = 1 + int(chars // (2 * SLICE_TOKENS))  # a token and what follows it have two characters, where it isn't of a script without blanks
+    out, longest = [], 0
     for k in range(slices):
         got = own.filter((F.pmod(F.xxhash64("i"), F.lit(slices)) == k) if slices > 1 else F.lit(True)).orderBy("i", "t").toArrow()
         if not got.num_rows:
             continue
         tok, row = tokenise_sliced(column(got, "t"))
         many = np.bincount(row, minlength=got.num_rows)
-        keep = many[row] >= least
+        keep = many[row] >= max(1, least)
         if keep.any():
-            out.append((column(got, "i").to_numpy(), tok[keep], row[keep].astype(np.int64)))
-    return out
+            out.append(spark.sparkContext.broadcast((column(got, "i").to_numpy(), tok[keep], row[keep].astype(np.int64))))
+            longest = max(longest, int(many.max()))
+    return out, longest
 
 
-def _found(table: pa.Table, text: str, tests: tuple, min_tokens: int) -> tuple[np.ndarray, ...]:
+def _found(table: pa.Table, text: str, tests: list[Broadcast], longest: int, min_tokens: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """``(row, item's id, length, place in row, place in item)`` of a shard's matches, for each slice of the items."""
     tok, row = tokenise_sliced(column(table, text))
-    longest = int(np.bincount(tests[2]).max())
-    return Shard(tok, row, longest).find((tests[1], tests[2]), min_tokens)
+    shard = Shard(tok, row, longest)
+    for one in tests:
+        ids, words, item = one.value
+        found = shard.find((words, item), min_tokens)
+        yield found[0], ids[found[1]], *found[2:]
+        if len(tests) > 1:
+            one.__dict__.pop("_value", None)  # it can be read again
 
 
-def _matches(parts: Iterator[pa.RecordBatch], tests: tuple, min_tokens: int) -> Iterator[pa.RecordBatch]:
+def _matches(parts: Iterator[pa.RecordBatch], tests: list[Broadcast], longest: int, min_tokens: int) -> Iterator[pa.RecordBatch]:
     for table in batches(parts, "t", SHARD_BYTES):
-        row, item, length, at, test_at = _found(table, "t", tests, min_tokens)
-        yield pa.RecordBatch.from_arrays([column(table, "id").take(pa.array(row, pa.int64())), *(pa.array(x.astype(np.int64)) for x in (tests[0][item], length, at, test_at))], names=["doc_id", "item_id", "match_tokens", "doc_token", "item_token"])
+        for row, item, length, at, test_at in _found(table, "t", tests, longest, min_tokens):
+            yield pa.RecordBatch.from_arrays([column(table, "id").take(pa.array(row, pa.int64())), *(pa.array(x.astype(np.int64)) for x in (item, length, at, test_at))], names=["doc_id", "item_id", "match_tokens", "doc_token", "item_token"])
 
 
 def matches(docs: DataFrame, tests: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", min_tokens: int = MIN_TOKENS, least_item: int = LEAST_ITEM) -> DataFrame:
     """``(doc_id, item_id, match_tokens, doc_token, item_token)``: the longest verbatim match of each document with each item that it shares a passage with."""
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).filter("id is not null and t is not null")
-    schema = "doc_id long, item_id long, match_tokens long, doc_token long, item_token long"
-    found = docs.sparkSession.createDataFrame([], schema)
-    for tests_ in _items(tests, item_col, item_text_col, least_item):
-        found = found.unionByName(own.mapInArrow(lambda x, own_tests=tests_: _matches(x, own_tests, min_tokens), schema))
+    items, longest = _items(tests, item_col, item_text_col, least_item)
+    found = own.mapInArrow(lambda x: _matches(x, items, longest, min_tokens), "doc_id long, item_id long, match_tokens long, doc_token long, item_token long")
     best = F.row_number().over(Window.partitionBy("doc_id", "item_id").orderBy(F.desc("match_tokens"), "doc_token", "item_token"))
     return found.withColumn("__place", best).filter("__place = 1").drop("__place")
 
 
-def _unaffected(parts: Iterator[pa.RecordBatch], text: str, tests: tuple, min_tokens: int) -> Iterator[pa.RecordBatch]:
+def _unaffected(parts: Iterator[pa.RecordBatch], text: str, tests: list[Broadcast], longest: int, min_tokens: int) -> Iterator[pa.RecordBatch]:
     for table in batches(parts, text, SHARD_BYTES):
         keep = np.ones(table.num_rows, bool)
-        keep[_found(table, text, tests, min_tokens)[0]] = False
+        for found in _found(table, text, tests, longest, min_tokens):
+            keep[found[0]] = False
         yield from table.filter(pa.array(keep)).to_batches()
 
 
 def clean(docs: DataFrame, tests: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", min_tokens: int = MIN_TOKENS, least_item: int = LEAST_ITEM) -> DataFrame:
     """The rows that share no passage with any item, with all their columns."""
-    for tests_ in _items(tests, item_col, item_text_col, least_item):
-        docs = docs.mapInArrow(lambda x, own_tests=tests_: _unaffected(x, text_col, own_tests, min_tokens), docs.schema)
-    return docs
+    items, longest = _items(tests, item_col, item_text_col, least_item)
+    return docs.mapInArrow(lambda x: _unaffected(x, text_col, items, longest, min_tokens), docs.schema) if items else docs
