@@ -12,9 +12,10 @@ only the bucket in which the last place falls is sorted.
 
 Nulls and ties: rows of null source are a source of their own; null or negative sizes count as 0
 characters. Rows with one id in one source draw the same u; rows without an id draw it from their
-source and size. Ties in rank go by id, and rows that agree in both stand or fall together.
+source and size. Ties in rank go by id; rows that agree in both and don't all find a place are numbered in the order of a digest of all their columns
+(but maps), so that every source gets its number exactly, whatever repeats.
 Sources without a weight have ``default_weight``; of 0 or less, they go. Other columns are
-carried along. An empty table gives an empty result.
+carried along, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -38,13 +39,17 @@ def _weight(source: Column, weights: dict[str, float], default: float) -> Column
 
 
 def allotted(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", size_col: str = "n_chars", weights: dict[str, float] | None = None, default_weight: float = DEFAULT_WEIGHT, fraction: float = FRACTION, seed: int = SEED) -> DataFrame:
-    """The documents with ``__mix_copies`` of 1 or more, the number of times that each is taken."""
+    """``(__mix_row, __mix_copies)``: the documents that are taken, each as one column, and how often."""
     weights = WEIGHTS if weights is None else weights
-    src, size = F.col(source_col).cast("string"), F.greatest(F.coalesce(F.col(size_col).cast("long"), F.lit(0)), F.lit(0))
-    key = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("null:"), F.coalesce(src, F.lit("")), F.lit(":"), size.cast("string")))
+    src, size = F.col(f"`{source_col}`").cast("string"), F.greatest(F.coalesce(F.col(f"`{size_col}`").cast("long"), F.lit(0)), F.lit(0))
+    key = F.coalesce(F.col(f"`{id_col}`").cast("string"), F.concat(F.lit("null:"), F.coalesce(src, F.lit("")), F.lit(":"), size.cast("string")))
     draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), key)), 1, 12), 16, 10).cast("long")
-    named = docs.withColumns({"__mix_src": F.coalesce(F.concat(F.lit("s"), src), F.lit("null")), "__mix_x": F.floor(1000 * F.sqrt(1.0 + size)), "__mix_key": key, "__mix_u": (draw + 0.5) / F.lit(float(2**48))})
-    sums = named.groupBy("__mix_src").agg(F.sum("__mix_x").alias("__mix_sx"), F.count("*").alias("__mix_n"), F.first(_weight(src, weights, default_weight)).alias("__mix_w"))
+    # the row goes along as one column, so that no name of it can meet the names below
+    named = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__mix_row"), F.coalesce(F.concat(F.lit("s"), src), F.lit("null")).alias("__mix_src"), src.alias("__mix_name"),
+        F.floor(1000 * F.sqrt(1.0 + size)).alias("__mix_x"), key.alias("__mix_key"), ((draw + 0.5) / F.lit(float(2**48))).alias("__mix_u"),
+    )
+    sums = named.groupBy("__mix_src").agg(F.sum("__mix_x").alias("__mix_sx"), F.count("*").alias("__mix_n"), F.first(_weight(F.col("__mix_name"), weights, default_weight)).alias("__mix_w"))
     sums = scratch.written(sums.filter("__mix_w > 0"), "sources")
     whole = Window.partitionBy(F.lit(0))
     total = docs.agg(F.count("*").alias("__mix_all"))
@@ -62,19 +67,34 @@ def allotted(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source"
     cut = scratch.written(cut, "cuts")
     last = ranked.join(cut.withColumnRenamed("__mix_cut", "__mix_b"), ["__mix_src", "__mix_b"]).select("__mix_src", "__mix_b", "__mix_need", "__mix_q", "__mix_key")
     place = F.row_number().over(own.orderBy("__mix_q", "__mix_key"))
-    ends = last.withColumn("__mix_at", place).filter("__mix_at <= __mix_need").groupBy("__mix_src", "__mix_b").agg(F.max(F.struct("__mix_q", "__mix_key")).alias("__mix_end"))
-    ends = scratch.written(ends.withColumnRenamed("__mix_b", "__mix_cut"), "ends")
-    taken = (F.col("__mix_b") < F.col("__mix_cut")) | ((F.col("__mix_b") == F.col("__mix_cut")) & (F.struct("__mix_q", "__mix_key") <= F.col("__mix_end")))
-    done = ranked.join(ends, "__mix_src", "left").withColumn("__mix_copies", F.col("__mix_sure") + F.when(F.coalesce(taken, F.lit(False)), 1).otherwise(0))
-    return done.filter("__mix_copies > 0").select(*[docs[c] for c in docs.columns], "__mix_copies")
+    ends = last.withColumn("__mix_at", place).groupBy("__mix_src", "__mix_b", "__mix_q", "__mix_key").agg(F.min("__mix_at").alias("__mix_from"), F.max("__mix_at").alias("__mix_to"), F.first("__mix_need").alias("__mix_need"))
+    ends = ends.filter("__mix_from <= __mix_need and (__mix_to >= __mix_need)").select("__mix_src", F.col("__mix_b").alias("__mix_cut"), F.struct("__mix_q", "__mix_key").alias("__mix_end"), (F.col("__mix_need") - F.col("__mix_from") + 1).alias("__mix_most"), (F.col("__mix_to") > F.col("__mix_need")).alias("__mix_tied"))
+    ends = scratch.written(ends.unionByName(_all_taken(cut, ends)), "ends")
+    at = F.struct("__mix_q", "__mix_key")
+    joined = ranked.join(F.broadcast(ends), "__mix_src", "left")
+    before = (F.col("__mix_b") < F.col("__mix_cut")) | ((F.col("__mix_b") == F.col("__mix_cut")) & (F.col("__mix_end").isNull() | (at < F.col("__mix_end")) | ((at == F.col("__mix_end")) & ~F.col("__mix_tied"))))
+    done = joined.withColumn("__mix_copies", F.col("__mix_sure") + F.when(F.coalesce(before, F.lit(False)), 1).otherwise(0))
+    if not ends.filter("__mix_tied").isEmpty():
+        tied = F.coalesce(F.col("__mix_tied") & (F.col("__mix_b") == F.col("__mix_cut")) & (at == F.col("__mix_end")), F.lit(False))
+        digest = F.xxhash64(*[F.col(f"__mix_row.`{c}`") for c, k in docs.dtypes if not k.startswith(("map", "variant"))])
+        numbered = done.filter(tied).withColumn("__mix_at", F.row_number().over(own.orderBy(digest)))
+        numbered = numbered.withColumn("__mix_copies", F.col("__mix_copies") + F.when(F.col("__mix_at") <= F.col("__mix_most"), 1).otherwise(0)).drop("__mix_at")
+        done = done.filter(~tied).unionByName(numbered)
+    return done.filter("__mix_copies > 0").select("__mix_row", "__mix_copies")
+
+
+def _all_taken(cut: DataFrame, ends: DataFrame) -> DataFrame:
+    """The sources of which all that reach the last bucket are taken."""
+    left = cut.join(ends.select("__mix_src"), "__mix_src", "left_anti")
+    return left.select("__mix_src", "__mix_cut", F.lit(None).cast("struct<__mix_q:double,__mix_key:string>").alias("__mix_end"), F.lit(0).cast("long").alias("__mix_most"), F.lit(False).alias("__mix_tied"))
 
 
 def sample(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", size_col: str = "n_chars", **params: object) -> DataFrame:
     """``(doc_id, source, copies)`` of all documents taken."""
-    own = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.col(size_col).alias("n_chars"))
-    return allotted(own, **params).select("doc_id", "source", F.col("__mix_copies").cast("long").alias("copies"))
+    own = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").alias("source"), F.col(f"`{size_col}`").alias("n_chars"))
+    return allotted(own, **params).select("__mix_row.doc_id", "__mix_row.source", F.col("__mix_copies").cast("long").alias("copies"))
 
 
 def mixed(docs: DataFrame, **params: object) -> DataFrame:
     """The mixture: each document as often as it is taken, with all its columns."""
-    return allotted(docs, **params).withColumn("__mix_copies", F.explode(F.sequence(F.lit(1), F.col("__mix_copies").cast("int")))).drop("__mix_copies")
+    return allotted(docs, **params).select("__mix_row", F.explode(F.sequence(F.lit(1), F.col("__mix_copies").cast("int")))).select("__mix_row.*")
