@@ -13,7 +13,7 @@ first four characters and its SHA-256; the secret itself is not repeated.
 
 Nulls and ties: null and empty texts have no findings; a null id stays null. Each assignment is reported by
 itself, also where names and literals repeat; repeated rows repeat their findings. A name assigned anew has its last value.
-Other columns are ignored. Texts are scanned whole, and literals may
+Other columns are ignored. Texts are scanned whole, and literals, names, types and the blanks between them may
 be of any length; a value put together that is longer than its whole text is scored but not carried on.
 """
 
@@ -36,10 +36,11 @@ NAMES = {
     "accountkey": 0.8, "sharedkey": 0.8, "credential": 0.7, "credentials": 0.7, "auth": 0.5, "authorization": 0.6, "bearer": 0.7, "clientsecret": 0.9, "connectionstring": 0.6, "dsn": 0.4, "salt": 0.4, "key": 0.3, "cookie": 0.4, "session": 0.3,
 }
 _MARK = re.compile(r":=|=>|(?<![=!<>+\-*/%&|^~:])=(?![=>~])|:(?![:/=])|<(?=[A-Za-z_])")
-_KEY = r"(?:([A-Za-z_$][\w$]*(?:[.\-][A-Za-z_$][\w$]*)*)|[\[{(,]?\s*([\"'`])([A-Za-z_][\w .\-]{0,80})\2\]?)[ \t]*"
-_NAME = re.compile(_KEY + r"[?!+]?[ \t]*\Z")
-#: Before ``=`` a type may stand after the name.
-_TYPED = re.compile(_KEY + r"[?!]?:[ \t]*[A-Za-z_][\w.<>\[\], |?]{0,40}[ \t]*\Z")
+#: What stands before a mark is read backwards, on the text turned round, so that names and types of any length cost no more than they have characters:
+#: a name, dotted or quoted, and before ``=`` a type between them.
+_KEY = r"[ \t]*+(?:([\w$]*[A-Za-z_$](?:[.\-][\w$]*[A-Za-z_$])*)|\]?([\"'`])([\w .\-]*[A-Za-z_])\2)"
+_NAME = re.compile(r"[ \t]*+[?!+]?" + _KEY)
+_TYPED = re.compile(r"[ \t]*+[\w.<>\[\], |?]*[A-Za-z_][ \t]*+:[?!]?" + _KEY)
 _SPACE = re.compile(r"[ \t]*(?:\\\r?\n[ \t]*)?")
 _TERM = re.compile(r"(?P<prefix>[rRbBfFuU]{0,2})(?P<q>\"\"\"|'''|\"|'|`)|\$\{(?P<ref>[A-Za-z_][\w.]*)(?::?-(?P<dflt>[^}]*))?\}|\$(?P<env>[A-Za-z_]\w*)|(?P<bare>[^\s,;\"'`<>(){}\[\]]+)")
 _JOIN = re.compile(r"[ \t]*(?:\\?\r?\n[ \t]*)?(?:\+|\.\.|&(?!&))[ \t]*(?:\\?\r?\n[ \t]*)?")
@@ -92,7 +93,7 @@ def literal_score(value: str) -> float:
     kinds = sum(bool(re.search(p, value)) for p in (r"[a-z]", r"[A-Z]", r"\d", r"[^\w\s]"))
     if " " in value.strip() and kinds < 3:
         return -0.3
-    if kinds == 1 and not re.search(r"\d", value):
+    if re.fullmatch(r"[A-Z][a-z]+", value) or (kinds == 1 and not re.search(r"\d", value)):
         return -0.1 if n < 16 or bits < 3.5 else 0.2
     return min(0.7, 0.1 * kinds + 0.08 * max(0.0, bits - 1.5) + 0.1 * (n >= 12) + 0.1 * (n >= 20))
 
@@ -174,7 +175,7 @@ def _expression(text: str, at: int, known: dict[str, str], find: _Finder) -> tup
 def scan(text: str, threshold: float = THRESHOLD) -> list[tuple[int, int, str, str, float]]:
     """``(start, end, name, literal, score)`` of the findings, in order."""
     known: dict[str, str] = {}
-    find = _Finder(text)
+    find, turned = _Finder(text), text[::-1]
     found: dict[tuple[int, str], tuple[int, int, str, str, float]] = {}
     for m in _MARK.finditer(text):
         at = m.start()
@@ -184,11 +185,10 @@ def scan(text: str, threshold: float = THRESHOLD) -> list[tuple[int, int, str, s
                 continue
             name, got = x[1], (x[2].strip(), x.start(2), x.end(2), True)
         else:
-            before = text[max(0, at - 160, text.rfind("\n", max(0, at - 160), at) + 1) : at]
-            n = (m[0] == "=" and _TYPED.search(before)) or _NAME.search(before)
+            n = (m[0] == "=" and _TYPED.match(turned, len(text) - at)) or _NAME.match(turned, len(text) - at)
             if n is None:
                 continue
-            name = n[1] or n[3]
+            name = (n[1] or n[3])[::-1]
             got = _expression(text, m.end(), known, find)
             if got is None:
                 continue
