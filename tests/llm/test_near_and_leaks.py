@@ -140,7 +140,7 @@ def test_tokens_are_those_of_the_expression(texts):
     assert len(set(tok.tolist())) == len({w for _, w in want})
 
 
-def brute_matches(rows, items, least, least_item=5):
+def brute_matches(rows, items, least, least_item=1):
     out = {}
     for i, t in rows:
         w = TOKEN.findall((t or "").lower())
@@ -184,6 +184,25 @@ def test_longest_matches_equal_brute_force(spark):
     assert sorted((x.doc_id for x in kept.collect()), key=str) == sorted((i for i, _ in rows if i is not None and i not in hit), key=str)
 
 
+def test_slices_of_items_short_items_and_long_texts(spark, monkeypatch):
+    """Items in several broadcasts, one of one word and some of scripts without blanks; a text of a million characters."""
+    items = [(k, fixtures.prose(700 + k, 25)) for k in range(30)] + [(50, "needle"), (51, "天气很好我们去公园玩儿吧"), (52, ""), (53, None), (50, "needle")]
+    long = fixtures.long_prose(9, 150_000)
+    rows = [(0, long + " needle"), (1, long + " " + items[7][1]), (2, "今天天气很好我们去公园玩儿吧！"), (3, "今天天气不好"), (4, items[3][1]), (4, items[3][1] + " needle")]
+    df, tests = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = brute_matches([r for r in rows if r[0] not in (0, 1)], items, 10)
+    whole = None
+    for size in (2_000_000, 300):
+        monkeypatch.setattr(suffix_decontam, "SLICE_TOKENS", size)
+        assert (len(suffix_decontam._items(tests, "item_id", "text", 1)[0]) > 5) == (size == 300)
+        got = {(x.doc_id, x.item_id): (x.match_tokens, x.doc_token, x.item_token) for x in suffix_decontam.matches(df, tests).collect()}
+        assert {k: v for k, v in got.items() if k[0] > 1} == want and (0, 50) in got and (1, 7) in got and (2, 51) in got
+        assert whole in (None, got)
+        whole = got
+        assert [r.doc_id for r in suffix_decontam.clean(df, tests).collect()] == [3]
+        assert (0, 50) not in {(x.doc_id, x.item_id) for x in suffix_decontam.matches(df, tests, least_item=5).collect()}
+
+
 def test_suffixes_are_sorted():
     r = np.random.default_rng(1)
     tok = r.integers(1, 4, 300).astype(np.uint64)

@@ -87,8 +87,28 @@ def test_mixture_equals_brute_force(spark):
 def test_mixture_of_odd_rows(spark):
     docs = fixtures.docs(spark)
     got = pareto_mix.mixed(docs)
-    assert got.columns == docs.columns and got.count() > 0
-    assert pareto_mix.mixed(fixtures.empty(spark)).count() == 0
+    want = brute_mix([(r[0], r[3], r[4]) for r in fixtures.rows()], pareto_mix.WEIGHTS, 1.0, pareto_mix.FRACTION, pareto_mix.SEED)
+    assert got.columns == docs.columns and got.count() == sum(want.values())
+    assert pareto_mix.mixed(fixtures.empty(spark)).count() == 0 and pareto_mix.sample(fixtures.empty(spark)).count() == 0
+
+
+def test_quotas_hold_with_ties(spark):
+    """400 rows without an id, equal in source and size, some of them wholly equal; and rows that repeat an id."""
+    rows = [(None, "a", 50, f"text {i // 2}") for i in range(400)] + [(i % 7, "b", 10, "x") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, n_chars long, text string").repartition(7)
+    params = {"weights": {"a": 2.0, "b": 1.0}, "fraction": 0.5, "seed": 3}
+    mixed = pareto_mix.mixed(df, **params)
+    assert {r.source: r["count"] for r in mixed.groupBy("source").count().collect()} == {"a": 233, "b": 117}
+    assert sorted(map(tuple, mixed.collect()), key=str) == sorted(map(tuple, pareto_mix.mixed(df.repartition(2), **params).collect()), key=str)
+    assert sum(r.copies for r in pareto_mix.sample(df, **params).collect()) == 350
+
+
+def test_mixture_carries_columns_of_any_name(spark):
+    rows = [(i, "ab"[i % 2], 10 * i, i, i, {"k": "v"}, "t") for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, n_chars long, __mix_u int, `a.b` int, m map<string,string>, __mix_row string")
+    got = pareto_mix.mixed(df, weights={}, fraction=0.5)
+    assert got.columns == df.columns and got.count() == 26
+    assert all(r["a.b"] == r["__mix_u"] == r.doc_id for r in got.collect())
 
 
 def test_inclusion_follows_the_odds(spark):

@@ -1,13 +1,17 @@
 """Operators 1, 2, 3, 4 and 10 against brute force, round trips and held-out accuracy."""
 
 import base64
+import gzip
 import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter
+from html.parser import HTMLParser
 
 import pytest
+import zstandard
 
 from lodestone.llm import arc_to_warc, html_tree, kneser_ney, secret_scan, tokens, zstd_langid
 
@@ -25,46 +29,125 @@ def test_main_text_is_the_article():
     assert text == "Head\n" + "\n".join(fixtures.prose(k, 40) for k in range(4))
 
 
-def brute_scores(root):
-    """Scores by definition: each paragraph's points to each ancestor, recursively and unhurried."""
-    scores = {}
+class Plain(HTMLParser):
+    """An independent tree of well-formed pages: nested lists ``[tag, words, parent, children]``."""
+
+    def __init__(self, page):
+        super().__init__()
+        self.root = self.at = ["html", "", None, []]
+        self.feed(page)
+
+    def handle_starttag(self, tag, attrs):
+        if tag != "html":
+            new = [tag, dict(attrs).get("class", ""), self.at, []]
+            self.at[3].append(new)
+            self.at = new
+
+    def handle_endtag(self, tag):
+        if tag != "html":
+            self.at = self.at[2]
+
+    def handle_data(self, data):
+        self.at[3].append(data)
+
+
+def brute_extract(page):
+    """The method by definition, recursively and unhurried, of pages of div, section, p, a, span, nav, li, ul and td."""
+    root = Plain(page).root
+    blocks = {"div", "section", "p", "ul", "li", "td", "nav", "body", "html"}
+    start = {"div": 5, "section": 3, "td": 3, "ul": -3, "li": -3, "nav": -25}
+
+    def lines(n):
+        if isinstance(n, str):
+            return re.sub(r"\s+", " ", n)
+        inner = "".join(map(lines, n[3]))
+        return f"\n{inner}\n" if n[0] in blocks else inner
+
+    def text(n):
+        return "\n".join(x for x in (" ".join(y.split()) for y in lines(n).split("\n")) if x)
 
     def chars(n):
-        return sum(len("".join(c.split())) if isinstance(c, str) else (0 if c.tag in html_tree._SKIP else chars(c)) for c in n.children)
+        return len("".join(n.split())) if isinstance(n, str) else sum(map(chars, n[3]))
 
     def linked(n):
-        return chars(n) if n.tag == "a" else sum(linked(c) for c in n.children if not isinstance(c, str) and c.tag not in html_tree._SKIP)
-
-    def visit(n):
-        if n.tag in html_tree._PARAGRAPH and not any(not isinstance(c, str) and c.tag in html_tree._BLOCK for c in n.children):
-            text = html_tree.text_of(n)
-            if chars(n) >= 20 and len(text) >= 25:
-                points = 1 + text.count(",") + min(len(text) // 100, 3)
-                up = n.parent
-                for share in (1, 2, 6, 9, 12):
-                    if up is None:
-                        break
-                    scores.setdefault(id(up), [up, html_tree._start(up)])[1] += points / share
-                    up = up.parent
-        for c in n.children:
-            if not isinstance(c, str) and c.tag not in html_tree._SKIP:
-                visit(c)
-
-    visit(root)
-    return max((s * (1 - (linked(n) / chars(n) if chars(n) else 0)) for n, s in scores.values()), default=0.0)
-
-
-def test_best_score_equals_brute_force():
+        return 0 if isinstance(n, str) else chars(n) if n[0] == "a" else sum(map(linked, n[3]))
+
+    def walk(n):
+        yield n
+        for c in n[3]:
+            if not isinstance(c, str):
+                yield from walk(c)
+
+    nodes = list(walk(root))
+    score = {}
+    for n in nodes:
+        if n[0] in ("p", "td", "div", "section") and not any(c[0] in blocks for c in n[3] if not isinstance(c, str)) and chars(n) >= 20 and len(text(n)) >= 25:
+            up = n if n[0] in ("div", "section") else n[2]
+            for share in (1, 2, 6, 9, 12):
+                if up is not None:
+                    score.setdefault(id(up), start.get(up[0], 0) + 25 * (up[1] == "content") - 25 * (up[1] == "sidebar"))
+                    score[id(up)] += (1 + text(n).count(",") + min(len(text(n)) // 100, 3)) / share
+                    up = up[2]
+    density = lambda n: linked(n) / chars(n) if chars(n) else 0
+    final = {id(n): score[id(n)] * (1 - density(n)) for n in nodes if id(n) in score}
+    best = max((n for n in nodes if final.get(id(n), 0) > 0), key=lambda n: final[id(n)], default=None)
+    if best is None:
+        best = next((n for n in nodes if id(n) in final and final[id(n)] == max(final.values())), None)
+    if best is None:
+        return "\n".join(t for t in (text(root),) if t), 0.0
+    top = final[id(best)]
+    if best[2] is None:  # the whole page, but for its navigation
+        for n in nodes:
+            n[3] = [c for c in n[3] if isinstance(c, str) or c[0] != "nav"]
+        return text(best), top
+    out = []
+    for n in best[2][3]:
+        if n is best:
+            out.append(text(n))
+        elif not isinstance(n, str) and chars(n):
+            bonus = 0.2 * top if n[1] and n[1] == best[1] else 0
+            like = id(n) in score and final[id(n)] + bonus >= max(10, 0.2 * top)
+            prose = n[0] == "p" and ((chars(n) > 80 and density(n) < 0.25) or (chars(n) <= 80 and density(n) == 0 and re.search(r"[.!?](\s|$)", text(n))))
+            if like or prose:
+                out.append(text(n))
+    return "\n".join(x for x in out if x), top
+
+
+def test_text_and_score_equal_brute_force():
     r = random.Random(2)
-    for _ in range(60):
-        parts = []
-        for _ in range(r.randrange(1, 12)):
-            tag = r.choice(["div", "section", "p", "ul", "td"])
-            inner = fixtures.prose(r.randrange(99), r.randrange(1, 60))
-            parts.append(f"<{tag}>" + r.choice([inner, f'<a href="x">{inner}</a>', f"<p>{inner}</p><p>{inner}", f"<li>{inner}"]) + r.choice([f"</{tag}>", ""]))
-        page = "<body>" + "".join(parts)
-        root, _ = html_tree.parse(page)
-        assert html_tree.extract(page)[2] == pytest.approx(max(0.0, brute_scores(root)) if brute_scores(root) > 0 else html_tree.extract(page)[2])
+    kinds = Counter()
+    for _ in range(400):
+        def part(depth, cell=False):
+            tag = r.choice(["div", "section", "p", "ul", "nav" if cell else "td", "nav"]) if depth < 3 else "p"
+            words = r.choice(["", "", ' class="content"', ' class="sidebar"'])
+            if tag == "p" or r.random() < 0.3:
+                prose = fixtures.prose(r.randrange(99), r.randrange(1, 70))
+                inner = r.choice([prose, f'<a href="x">{prose}</a>', f'{prose} <a href="x">more, here</a>', f"<span>{prose}</span>"])
+            else:
+                inner = "".join(part(depth + 1, cell or tag == "td") for _ in range(r.randrange(1, 5)))
+            return f"<{tag}{words}>{inner}</{tag}>"
+
+        page = "<html>" + "".join(part(0) for _ in range(r.randrange(1, 4))) + "</html>"
+        want, top = brute_extract(page)
+        _, text, score, _ = html_tree.extract(page)
+        if top > 0:
+            assert score == pytest.approx(top)
+            assert text == want
+        kinds[top > 0, "\n" in want] += 1
+    assert all(kinds[True, x] > 20 for x in (True, False))
+
+
+def test_pages_of_bare_containers():
+    prose = "Some prose, with commas, and more of it to make a paragraph. " * 5
+    page = f'<body><div class="menu"><a href=x>home</a></div><div>{prose}</div><div>{prose}</div><div>Sidebar junk</div>'
+    assert html_tree.extract(page)[1] == "\n".join([prose.strip()] * 2)
+
+
+@pytest.mark.parametrize("unit", ["<a ", '<a "', "<", "<!", "<a '\"", "<!--", "<p", "&amp"])
+def test_hostile_pages_take_linear_time(unit):
+    began = time.process_time()
+    html_tree.extract(unit * 60_000)
+    assert time.process_time() - began < 5
 
 
 def test_pages_with_odd_rows(spark):
@@ -97,6 +180,46 @@ def test_held_out_accuracy(spark):
     assert right >= 0.98 * len(test) and not any(got[i] not in (None, lang) for i, (lang, _) in enumerate(test))
 
 
+def test_short_rows_and_long_ones_fill_the_dictionaries(spark):
+    """A language of 300 short rows has a dictionary; one of a single long row fills it from all of its text."""
+    rows = [("aa", f"word{k} in a row") for k in range(300)] + [("bb", "".join(f"{k:05d} " for k in range(20_000)))]
+    dicts = zstd_langid.fit(spark.createDataFrame(rows, "lang string, text string"), dict_bytes=8_192)
+    assert dicts["aa"].count(b"\n") == 300 and len(dicts["bb"]) == 8_192
+    at = [int(x[2:7]) for x in dicts["bb"].decode().split("\n") if x[2:7].isdigit()]
+    assert max(at) > 10_000 and zstd_langid.fit(spark.createDataFrame(rows, "lang string, text string").repartition(5), dict_bytes=8_192) == dicts
+
+
+def brute_choice(text, dicts, margin=zstd_langid.MARGIN):
+    """Language, smallest and margin from plain compressors of each chunk."""
+    data = (text or "").encode()
+    if len(data) < 8 or not dicts:
+        return None, None, None
+    total = {}
+    for lang, d in dicts.items():
+        params = zstandard.ZstdCompressionParameters.from_level(3, source_size=1024, dict_size=len(d), write_content_size=False, write_dict_id=False, write_checksum=False)
+        press = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=params)
+        total[lang] = 0
+        for at in range(0, len(data), 1024):
+            total[lang] += len(press.compress(data[at : at + 1024]))
+    least = min(sorted(total), key=total.get)
+    if len(total) == 1:
+        return least, least, None
+    second = min(v for k, v in total.items() if k != least)
+    gap = (second - total[least]) / second
+    return (least if gap >= margin and gap > 0 else None), least, gap
+
+
+def test_choices_equal_brute_force(spark):
+    """Margins, and ties: two languages of equal dictionaries are never told apart."""
+    dicts = {lang: speech(lang, 1, 300).encode() for lang in ("aa", "bb", "cc")} | {"dd": speech("cc", 1, 300).encode()}
+    texts = [None, "", "short", *(speech(lang, k, n) for lang in ("aa", "bb", "cc") for k, n in enumerate((1, 3, 20, 400))), speech("aa", 9, 30) + " " + speech("bb", 9, 30)]
+    got = {r.doc_id: (r.lang_pred, r.smallest, r.margin) for r in zstd_langid.identify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), dicts).collect()}
+    for i, t in enumerate(texts):
+        pred, least, gap = brute_choice(t, dicts)
+        assert got[i][:2] == (pred, least) and got[i][2] == (pytest.approx(gap) if gap is not None else None)
+    assert got[14][1] == "cc" and got[14][0] is None and got[14][2] == 0
+
+
 def test_language_of_odd_rows(spark):
     dicts = {"aa": speech("aa", 1, 500).encode(), "bb": speech("bb", 1, 500).encode()}
     rows = [(1, None), (2, ""), (3, "ab"), (4, "0123456789 0123456789"), (None, speech("bb", 7, 40)), (5, speech("aa", 8, 30_000)), (5, speech("aa", 8, 30_000))]
@@ -236,6 +359,48 @@ def test_archives_of_both_versions_round_trip():
         assert len({r["record_id"] for r in got}) == 4
 
 
+def by_hand(version, records):
+    """An archive written out by hand: ``(header line, body)``, with the version block first."""
+    names = b"URL IP-address Archive-date Content-type Archive-length" if version == 1 else b"URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length"
+    block = b"%d 0 hand\n%s\n" % (version, names)
+    return b"filedesc://hand.arc 0.0.0.0 19980102030405 text/plain %d\n%s\n" % (len(block), block) + b"".join(h + b"\n" + b + b"\n" for h, b in records)
+
+
+def test_archives_written_by_hand():
+    answer = b"HTTP/1.1 404 Not Found\r\nServer: x\r\n\r\ngone\n\n"
+    one = by_hand(1, [(b"http://a.org/x y 10.1.2.3 19990203040506 text/html %d" % len(answer), answer), (b"dns:a.org 10.1.2.4 19990203040507 text/dns 7", b"1.2.3.4"), (b"http://a.org/z 10.1.2.3 19990101 - 0", b"")])
+    info, page, dns, bare = arc_to_warc.records(one, "hand.arc")
+    assert info["warc_type"] == "warcinfo" and b"arcVersion: 1\r\n" in info["block"] and b"arcFields: URL IP-address" in info["block"] and info["content_type"] == "application/warc-fields"
+    assert (page["warc_type"], page["status"], page["warc_date"], page["ip_address"], page["target_uri"], page["block"]) == ("response", 404, "1999-02-03T04:05:06Z", "10.1.2.3", "http://a.org/x y", answer)
+    assert page["payload_digest"] == "sha1:" + base64.b32encode(hashlib.sha1(b"gone\n\n").digest()).decode() and page["content_type"] == "application/http; msgtype=response"
+    assert (dns["warc_type"], dns["content_type"], dns["block"], dns["fault"]) == ("resource", "text/dns", b"1.2.3.4", None)
+    two = by_hand(2, [(b"http://b.org/ 10.1.2.3 19990203040506 text/html 200 abc - 1234 hand.arc %d" % len(answer), answer)])
+    assert [r["arc_version"] for r in arc_to_warc.records(two)] == [2, 2]
+
+
+def test_odd_archives():
+    page = b"HTTP/1.0 200 OK\r\n\r\nx"
+    line = b"http://a/ 1.1.1.1 19990203040506 text/html %d" % len(page)
+    # names without a length: those of the version hold
+    block = b"1 0 hand\nURL IP-address Archive-date Content-type Something\n"
+    data = b"filedesc://f 0.0.0.0 19980102030405 text/plain %d\n%s\n%s\n%s\n" % (len(block), block, line, page)
+    assert [(r["warc_type"], r["fault"]) for r in arc_to_warc.records(data)] == [("warcinfo", "names"), ("response", None)]
+    # an impossible date: that of the archive, or 1970
+    for head, date in ((by_hand(1, []), "1998-01-02T03:04:05Z"), (b"", "1970-01-01T00:00:00Z")):
+        *_, r = arc_to_warc.records(head + b"http://a/ 1.1.1.1 19991399040506 text/html %d\n%s\n" % (len(page), page))
+        assert (r["fault"], r["warc_date"]) == ("date", date) and f"WARC-Date: {date}".encode() in arc_to_warc.serialise(r)
+    # a superscript digit is no length
+    assert [r["fault"] for r in arc_to_warc.records("http://a/ 1.1.1.1 19990203040506 text/html \u00b2\nx\n".encode() + line + b"\n" + page + b"\n")] == ["header"]
+    # gzip members, one of them damaged, and many of them in linear time
+    members = [gzip.compress(line + b"\n" + page + b"\n", mtime=0) for _ in range(3)]
+    assert len(list(arc_to_warc.records(b"".join(members)))) == 3
+    damaged = members[0] + members[1][:15] + b"\xff" * 9 + members[1][24:] + members[2]
+    assert [r["block"] for r in arc_to_warc.records(damaged)][0] == page and "gzip" in [r["fault"] for r in arc_to_warc.records(damaged)]
+    assert list(arc_to_warc.records(b"\x1f\x8b\x08 rubbish")) == []
+    began = time.process_time()
+    assert sum(1 for _ in arc_to_warc.records(members[0] * 20_000)) == 20_000 and time.process_time() - began < 20
+
+
 def test_damaged_archives():
     good = arc_to_warc.arc_file("f", 1, [("http://a/", "x", "19970203040506"), ("http://b/", "y", "99999999999999")])
     assert [r["fault"] for r in arc_to_warc.records(good)] == [None, None, "date"]
@@ -332,3 +497,43 @@ def test_planted_secrets_in_prose(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, name string, start int")
     assert {x.doc_id for x in secret_scan.secrets(df).collect()} == planted | {None}
     assert secret_scan.secrets(df.limit(0)).count() == 0
+
+
+def test_names_and_types_of_any_length():
+    value = "aB3$kL9pQz7!xY2m"
+    for text, name in (("password" + " " * 5000 + f'= "{value}"', "password"), ("long " * 900 + f'x\n"{"deep " * 300}password": "{value}"', "deep " * 300 + "password"), (f'let api_key: Option<{"Very" * 2000}> = "{value}"', "api_key"), ("a." * 3000 + f'token = "{value}"', "a." * 3000 + "token")):
+        assert [x[3] for x in secret_scan.scan(text) if x[2] == name] == [value]
+    long = "aB3$kL9pQz7!xY2m" * 1000
+    assert [x[3] for x in secret_scan.scan(f'password = "{long}"')] == [long]
+    for hostile in ("a " * 60_000 + "=", "= " * 60_000, "a: b c " * 20_000, '"a b ' * 20_000 + '":', " " * 100_000 + "=", ": a" * 30_000 + " = 3"):
+        began = time.process_time()
+        secret_scan.scan(hostile)
+        assert time.process_time() - began < 5
+
+
+def simple_assignments(text):
+    """A second, simpler lexer: ``name = "literal"`` and ``name: "literal"`` by one expression for each line."""
+    out = []
+    for line in text.split("\n"):
+        for m in re.finditer(r"([A-Za-z_][A-Za-z_0-9.]*)\s*[=:]\s*\"([^\"\\]*)\"", line):
+            out.append((m[1], m[2]))
+    return out
+
+
+def test_findings_equal_a_second_lexer():
+    r = random.Random(8)
+    names = ["password", "api_key", "db.secret", "colour", "title", "auth_token", "x", "userName"]
+    for _ in range(200):
+        lines = []
+        for _ in range(r.randrange(1, 9)):
+            value = "".join(r.choice("abcXYZ0189-$%/+ ") for _ in range(r.randrange(0, 40)))
+            lines.append(r.choice(["", "  ", "export ", "const "]) + r.choice(names) + r.choice([" = ", "=", ": "]) + f'"{value}"' + r.choice(["", ";", ","]))
+        text = "\n".join(lines)
+        want = [(n, v) for n, v in simple_assignments(text) if secret_scan.name_weight(n) > 0 and secret_scan.name_weight(n) + secret_scan.literal_score(v) >= secret_scan.THRESHOLD]
+        assert [(x[2], x[3]) for x in secret_scan.scan(text)] == want
+
+
+def test_secrets_of_repeated_and_odd_rows(spark):
+    rows = [(1, 'password = "aB3$kL9pQz7!xY2m"')] * 2 + [(2, None), (3, ""), (None, 'x\npassword = "aB3$kL9pQz7!xY2m"'), (4, "word " * 100_000 + 'password = "aB3$kL9pQz7!xY2m"')]
+    got = secret_scan.secrets(spark.createDataFrame([(*x, 1, 2) for x in rows], "doc_id long, text string, start int, name int")).collect()
+    assert sorted((str(r.doc_id), r.start) for r in got) == [("1", 11), ("1", 11), ("4", 500_011), ("None", 13)]
