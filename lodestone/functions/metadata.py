@@ -111,15 +111,65 @@ def _one(f: Field, op: str, x: Any, strict: bool) -> Column:
     raise ValueError(f"operator {op!r} is none of {', '.join(OPERATORS)}")
 
 
-def predicate(meta: Column, spec: dict[str, dict[str, Any]], mode: str = "coercing", top_level: dict[str, Column] | None = None) -> Column:
-    """The specification as one boolean column over a variant column; ``top_level`` columns come before metadata of that name."""
+_NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double", "byte", "short", "integer", "long")
+
+
+def _native(c: Column, kind: str, op: str, x: Any, strict: bool) -> Column | None:
+    """The operator on a column as it is, so that it can be pushed into a scan; None where only the variant's rules say what it means."""
+    n = _number(x) if not (strict and isinstance(x, str)) else None
+    many = isinstance(x, (list, tuple, set))
+    if kind in _NUMBERS and kind not in ("float", "double") and n is not None and n == int(n):
+        n = int(n)
+    if op in ("in", "not_in") and many and x:
+        parts = [_native(c, kind, "==", v, strict) for v in x]
+        if any(p is None for p in parts):
+            return None
+        values = [_number(v) if kind in _NUMBERS else v for v in x]
+        found = c.isin([int(v) if kind not in ("float", "double", "string") and v == int(v) else v for v in values])
+        return found if op == "in" else c.isNull() | ~found
+    whole = kind in _NUMBERS and kind not in ("float", "double") and n is not None and not isinstance(x, bool)
+    words = kind == "string" and isinstance(x, str) and (strict or _number(x) is None)
+    if not (whole or words):
+        return None
+    value = F.lit(n if whole else x)
+    if op in ("==", "!="):
+        return c == value if op == "==" else c.isNull() | (c != value)
+    if op in ("<", "<=", ">", ">="):
+        found = {"<": c < value, "<=": c <= value, ">": c > value, ">=": c >= value}[op]
+        # a null has the text "null"
+        return found if strict or not ("null" < _text(x) if op[0] == "<" else "null" > _text(x)) else found | c.isNull()
+    if op in ("contains", "starts_with", "ends_with") and words and x not in "null":
+        return {"contains": F.contains, "starts_with": F.startswith, "ends_with": F.endswith}[op](c, value)
+    return None
+
+
+def projected(meta: Column, fields: list[str] | None = None) -> Column:
+    """Metadata for display: a map from the given fields to their text, absent ones left out; all of it as one JSON text if no fields are given."""
+    if fields is None:
+        return F.to_json(meta)
+    pairs = F.array(*[F.struct(F.lit(f).alias("k"), F.try_variant_get(meta, f'$["{f}"]' if not f.isidentifier() else f"$.{f}", "string").alias("v")) for f in fields])
+    return F.map_from_entries(F.filter(pairs, lambda p: p["v"].isNotNull()))
+
+
+def predicate(meta: Column, spec: dict[str, dict[str, Any]], mode: str = "coercing", top_level: dict[str, Column | tuple[Column, str]] | None = None) -> Column:
+    """The specification as one boolean column over a variant column; ``top_level`` columns come before metadata of that name.
+
+    Such a column is given with its type, as ``(column, "bigint")``, to be compared as it is where that means the same: then scans can use the filter.
+    """
     if mode not in ("coercing", "strict"):
         raise ValueError(f"mode {mode!r} is neither coercing nor strict")
     out = F.lit(True)
     for name, ops in spec.items():
         column = meta
         if top_level and name in top_level:
-            column, name = F.to_variant_object(F.struct(top_level[name].alias("x"))), "x"
+            own, kind = top_level[name] if isinstance(top_level[name], tuple) else (top_level[name], "")
+            native = {op: _native(own, kind, op, x, mode == "strict") for op, x in ops.items()}
+            for c in native.values():
+                out = out if c is None else out & c
+            ops = {op: x for op, x in ops.items() if native[op] is None}
+            column, name = F.to_variant_object(F.struct(own.alias("x"))), "x"
+            if not ops:
+                continue
         f = Field(column, name)
         for op, x in ops.items():
             out = out & f.exists & F.coalesce(_one(f, op, x, mode == "strict"), F.lit(False))

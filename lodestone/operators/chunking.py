@@ -7,7 +7,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SIZE, OVERLAP = 256, 128
@@ -137,10 +137,14 @@ def char_windows(docs: DataFrame, size: int, overlap: int, id_col: str = "doc_id
 
 def word_chunks(docs: DataFrame, size: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, chunk_index, text)``: chunks of so many words by white space."""
-    words = F.filter(F.split(F.col(text_col), r"\s+"), lambda w: w != "")
-    n = F.ceil(F.size(words) / size).cast("int")
-    parts = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.array_join(F.slice(words, i * size + 1, size), " "))
-    return docs.filter(F.size(words) > 0).select(F.col(id_col).alias("id"), F.posexplode(parts).alias("chunk_index", "text"))
+    words = F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), r"\s+"), lambda w: w != "")
+
+    def parts(w: Column) -> Column:
+        n = F.ceil(F.size(w) / size).cast("int")
+        return F.transform(F.filter(F.sequence(F.lit(0), n), lambda i: i < n), lambda i: F.array_join(F.slice(w, i * size + 1, size), " "))
+
+    # the words are the one element of an array, so that they are cut once for all chunks
+    return docs.select(F.col(id_col).alias("id"), F.posexplode(F.flatten(F.transform(F.array(words), parts))).alias("chunk_index", "text"))
 
 
 def routed(docs: DataFrame, language_col: str, **sizes: int) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,15 +35,50 @@ def gap_groups(messages: DataFrame, by: str, when: str, minutes: int = 30, tie:
     return messages.withColumn("__new", F.when(pause, 1).otherwise(0)).withColumn("group_no", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
 
 
-def budget_groups(messages: DataFrame, by: str, when: str, length: int, minutes: int = 30, tie: str = "event_id", text: str = "text") -> DataFrame:
-    """``(by, group_no, first_at, last_at, n_messages, text)``: a group also ends before its texts pass ``length`` characters."""
-    rows = messages.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(F.unix_micros(F.col(when).cast("timestamp")).alias("t"), F.col(tie).alias("i"), F.coalesce(F.col(text), F.lit("")).alias("x")))).alias("rows"))
-    start = F.struct(F.lit(0).alias("g"), F.lit(None).cast("long").alias("t"), F.lit(0).alias("n"), F.expr("cast(array() as array<struct<g:int,t:bigint,x:string>>)").alias("out"))
+_GROUPS = "group_no long, first_at timestamp, last_at timestamp, n_messages long, text string"
+
+
+def budget_groups(messages: DataFrame, by: str, when: str, length: int, minutes: int = 30, tie: str = "event_id", text: str = "text", overlap: int = 0) -> DataFrame:
+    """``(by, group_no, first_at, last_at, n_messages, text)``: a group also ends before its texts pass ``length`` characters.
+
+    A group begins with the last ``overlap`` messages of the one before, unless a pause lies between. The messages are sorted within partitions and read as a stream, so that nobody's
+    messages need to fit into memory; nulls count as empty texts.
+    """
+    key = messages.schema[by].dataType.simpleString()
+    rows = messages.select(F.col(by).alias("k"), F.unix_micros(F.col(when).cast("timestamp")).alias("t"), F.col(tie).alias("i"), F.coalesce(F.col(text), F.lit("")).alias("x"))
+
+    def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, str]] = []
+        who, no, size, fresh, out = None, 0, 0, 0, []
+
+        def close() -> None:
+            out.append((who, no, held[0][0], held[-1][0], len(held), "\n".join(x for _, x in held)))
+
+        def batch() -> pa.RecordBatch:
+            types = (kind, pa.int64(), pa.timestamp("us", "UTC"), pa.timestamp("us", "UTC"), pa.int64(), pa.string())
+            return pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate(types)], names=["k", "group_no", "first_at", "last_at", "n_messages", "text"])
 
-    def step(s, r):  # noqa: ANN001, ANN202
-        new = (s["n"] > 0) & ((r["t"] - s["t"] > minutes * 60_000_000) | (s["n"] + F.length(r["x"]) > length))
-        g = F.when(new, s["g"] + 1).otherwise(s["g"])
-        return F.struct(g.alias("g"), r["t"].alias("t"), F.when(new, F.length(r["x"])).otherwise(s["n"] + F.length(r["x"])).alias("n"), F.concat(s["out"], F.array(F.struct(g.alias("g"), r["t"].alias("t"), r["x"].alias("x")))).alias("out"))
+        kind = None
+        for part in parts:
+            kind = part.schema.field("k").type
+            for k, t, x in zip(*(part.column(c).to_pylist() for c in ("k", "t", "x"))):
+                if fresh and k != who:
+                    close()
+                    held, no, size, fresh = [], 0, 0, 0
+                elif fresh and (t - held[-1][0] > minutes * 60_000_000 or size + len(x) > length):
+                    close()
+                    held = held[-overlap:] if overlap and t - held[-1][0] <= minutes * 60_000_000 else []
+                    no, size, fresh = no + 1, sum(len(y) for _, y in held), 0
+                who = k
+                held.append((t, x))
+                size, fresh = size + len(x), fresh + 1
+            if len(out) > 1000:
+                yield batch()
+                out.clear()
+        if fresh:
+            close()
+        if out:
+            yield batch()
 
-    folded = rows.select(by, F.explode(F.aggregate("rows", start, step)["out"]).alias("r"))
-    return folded.groupBy(by, F.col("r.g").alias("group_no")).agg(F.timestamp_micros(F.min("r.t")).alias("first_at"), F.timestamp_micros(F.max("r.t")).alias("last_at"), F.count("*").alias("n_messages"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r.t", "r.x"))), lambda x: x["x"]), "\n").alias("text"))
+    ordered = rows.repartition("k").sortWithinPartitions("k", "t", "i").select("k", "t", "x")
+    return ordered.mapInArrow(cut, f"k {key}, {_GROUPS}").withColumnRenamed("k", by)

@@ -67,8 +67,12 @@ def aggregate(results: DataFrame, qrels: DataFrame, ks: tuple[int, ...] = KS) ->
 
 def summary(results: DataFrame, qrels: DataFrame) -> DataFrame:
     """``(n_queries, map, mrr, queries_without_hits)``; the last counts queries with no relevant result among the first ten."""
-    ten = at_k(results, qrels, (10,)).select("qid", "hits")
-    both = average_precision(results, qrels).join(reciprocal_rank(results, qrels), "qid").join(ten, "qid")
+    found = F.col("rel") > 0
+    seen = F.sum(F.when(found, 1).otherwise(0)).over(Window.partitionBy("qid").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
+    each = _judged(results, qrels).withColumn("seen", seen).groupBy("qid").agg(
+        F.sum(F.when(found, F.col("seen") / F.col("rank")).otherwise(0.0)).alias("s"), F.coalesce(1 / F.min(F.when(found, F.col("rank"))), F.lit(0.0)).alias("rr"), F.count_if(found & (F.col("rank") <= 10)).alias("hits")
+    )
+    both = each.join(_totals(qrels), "qid", "left").withColumn("ap", F.when(F.col("n_rel") > 0, F.col("s") / F.col("n_rel")).otherwise(0.0))
     return both.agg(F.count("*").alias("n_queries"), F.avg("ap").alias("map"), F.avg("rr").alias("mrr"), F.count_if(F.col("hits") == 0).alias("queries_without_hits"))
 
 
@@ -85,6 +89,12 @@ def compare(a: DataFrame, b: DataFrame, lower_is_better: tuple[str, ...] = ("tim
     return both.select(F.when(diff > 0, "a").when(diff < 0, "b").otherwise("tie").alias("winner")).groupBy("winner").agg(F.count("*").alias("n"))
 
 
+def hit_rate(counts: DataFrame, hits: str = "hits", misses: str = "misses") -> DataFrame:
+    """One row ``hit_rate``: the share of a cache's lookups that were hits; 0 without any."""
+    total = F.sum(hits) + F.sum(misses)
+    return counts.agg(F.when(total > 0, F.sum(hits) / total).otherwise(0.0).alias("hit_rate"))
+
+
 def grid(*tables: DataFrame) -> DataFrame:
     """All combinations of parameter tables."""
     out = tables[0]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone import staging
 from lodestone.functions import vectors
 
 
@@ -49,6 +50,7 @@ def threshold(degree: DataFrame, percentile: float = 0.95, least: int = 10) -> D
 
 def hubs(degree: DataFrame, percentile: float = 0.95, least: int = 10, entry_point: int | None = None) -> DataFrame:
     """``(id, degree)`` of the nodes at or above the threshold, and of the entry point."""
+    degree = staging.written(degree, "degrees")
     keep = F.col("degree") >= F.col("threshold")
     if entry_point is not None:
         keep = keep | (F.col("id") == entry_point)
@@ -57,6 +59,7 @@ def hubs(degree: DataFrame, percentile: float = 0.95, least: int = 10, entry_poi
 
 def prune_stats(degree: DataFrame, dim: int, percentile: float = 0.95, least: int = 10) -> DataFrame:
     """One row: nodes, kept, pruned, bytes before and after, savings and retention."""
+    degree = staging.written(degree, "degrees")
     kept = hubs(degree, percentile, least).agg(F.count("*").alias("kept"))
     both = degree.agg(F.count("*").alias("nodes")).crossJoin(kept)
     size = lambda n: vectors.embedding_bytes(F.col(n), F.lit(dim))

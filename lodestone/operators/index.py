@@ -1,18 +1,24 @@
-"""A persistent index: documents, vectors and (optionally) postings as Parquet tables under one folder."""
+"""A persistent index: documents, vectors and (optionally) a keyword index as Parquet tables under one folder.
+
+Every build or append writes batches of its own, ``documents/batch=n`` and so on, and then one small file ``meta/n.json`` that lists the batches that count. A reader
+takes the latest of these, so a job that fails halfway leaves the index as it was; what it wrote is not listed and is overwritten by the next.
+"""
 
 from __future__ import annotations
 
+import json
 import re
 import time
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodestone import staging
 from lodestone.functions.metadata import predicate
 from lodestone.operators import fusion, graph, keyword, knn
 
-VERSION = 1
+VERSION = 2
 
 
 def _path(spark: SparkSession, where: str):  # noqa: ANN202
@@ -21,18 +27,17 @@ def _path(spark: SparkSession, where: str):  # noqa: ANN202
 
 
 def with_ids(texts: DataFrame, start: int = 0) -> DataFrame:
-    """Dense ids from ``start`` in the order of the partitions, without a global sort."""
-    fields = texts.columns
-    counts = texts.select(F.spark_partition_id().alias("p")).groupBy("p").agg(F.count("*").alias("n"))
-    offsets, total = {}, start
-    for r in sorted(counts.collect(), key=lambda r: r.p):
-        offsets[r.p] = total
-        total += r.n
-    if not offsets:
-        return texts.select(F.lit(0).cast("long").alias("id"), *fields).limit(0)
-    table = F.create_map(*[F.lit(x) for pair in offsets.items() for x in pair])
-    local = F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33)
-    return texts.select((F.element_at(table, F.spark_partition_id()) + local).alias("id"), *fields)
+    """Dense ids from ``start``, without a global sort.
+
+    The rows are written to the shared folder first; a row's id is the number of rows in the files before its own, and its place in that file. So
+    they don't depend on how a later job happens to be partitioned. Only the files' names and counts meet in one task.
+    """
+    rows = staging.written(texts, "numbered")
+    placed = rows.select(F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"), *[F.col(f"`{c}`") for c in texts.columns])
+    files = placed.groupBy("__file").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = F.broadcast(files.select("__file", before.alias("__before")))
+    return placed.join(offsets, "__file").select((F.col("__before") + F.col("__row") + start).alias("id"), *[F.col(f"`{c}`") for c in texts.columns])
 
 
 @dataclass
@@ -45,6 +50,9 @@ class Index:
     metric: str = "cosine"
     dimension: int | None = None
     compacted: bool = False
+    hybrid: bool = True
+    num_documents: int = 0
+    batches: tuple[int, ...] = ()
     options: dict = field(default_factory=dict)
 
     @classmethod
@@ -55,54 +63,84 @@ class Index:
             raise ValueError("an index needs at least one document")
         if dims.least_dim != dims.greatest_dim:
             raise ValueError("vectors differ in dimension")
-        documents.select(F.col("id").cast("long"), "text", F.col("metadata").cast("string")).write.mode("overwrite").parquet(f"{folder}/documents")
+        p, fs = _path(spark, folder)
+        fs.delete(p, True)
         kept = vectors.select(F.col("id").cast("long"), F.col("vec").cast("array<float>"))
         if hub_percentile is not None:
             nodes = kept.select(F.col("id").alias("vec_id"), F.col("vec").alias("embedding"))
-            edges = graph.prune_neighbours(graph.window_edges(nodes, links, metric), links)
+            edges = staging.written(graph.prune_neighbours(graph.window_edges(nodes, links, metric), links), "edges")
             incoming = edges.select("layer", F.col("dst").alias("src"), F.col("src").alias("dst"), "distance")
             hubs = graph.hubs(graph.degrees(nodes, incoming), hub_percentile, min(10, links), entry_point=0)
             kept = graph.compact(kept, hubs, "id", "vec")
             edges.write.mode("overwrite").parquet(f"{folder}/edges")
-        kept.write.mode("overwrite").parquet(f"{folder}/vectors")
-        if hybrid:
-            keyword.postings(documents, "id").write.mode("overwrite").parquet(f"{folder}/postings")
-        meta = [(VERSION, name, metric, int(dims.least_dim), int(dims.n_rows), hub_percentile is not None, hybrid, int(time.time()))]
-        spark.createDataFrame(meta, "version int, name string, metric string, dimension int, num_documents long, compacted boolean, hybrid boolean, created_at long").coalesce(1).write.mode("overwrite").json(f"{folder}/meta")
+        index = cls(spark, folder, name, metric, int(dims.least_dim), hub_percentile is not None, hybrid)
+        index._write(0, documents, kept)
+        index._publish(0, int(dims.n_rows))
         return cls.load(spark, folder)
 
+    def _write(self, batch: int, documents: DataFrame, vectors: DataFrame) -> None:
+        documents.select(F.col("id").cast("long"), "text", F.col("metadata").cast("string")).write.mode("overwrite").parquet(f"{self.folder}/documents/batch={batch}")
+        vectors.select(F.col("id").cast("long"), F.col("vec").cast("array<float>")).write.mode("overwrite").parquet(f"{self.folder}/vectors/batch={batch}")
+        if self.hybrid:
+            # by term, so that a query's terms are few row groups; and by id, so that a frequent term is cut in several files
+            words = keyword.postings(documents, "id")
+            words.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{self.folder}/postings/batch={batch}")
+            keyword.stats(documents).write.mode("overwrite").parquet(f"{self.folder}/statistics/batch={batch}")
+
+    def _publish(self, batch: int, num_documents: int) -> None:
+        meta = {"version": VERSION, "name": self.name, "metric": self.metric, "dimension": self.dimension, "num_documents": num_documents, "compacted": self.compacted, "hybrid": self.hybrid, "created_at": int(time.time()), "batches": [*self.batches, batch]}
+        part, fs = _path(self.spark, f"{self.folder}/meta/.{batch}.part")
+        out = fs.create(part, True)
+        out.write(bytearray(json.dumps(meta).encode()))
+        out.close()
+        if not fs.rename(part, _path(self.spark, f"{self.folder}/meta/{batch}.json")[0]):
+            raise OSError(f"batch {batch} is there already: another job has changed the index")
+
     @classmethod
     def load(cls, spark: SparkSession, folder: str) -> Index:
-        meta = spark.read.schema("version int, name string, metric string, dimension int, compacted boolean").json(f"{folder}/meta").first()
+        schema = "version int, name string, metric string, dimension int, num_documents long, compacted boolean, hybrid boolean, batches array<int>"
+        meta = spark.read.schema(schema).json(f"{folder}/meta").orderBy(F.desc(F.size("batches"))).first()
         if meta is None or meta.version != VERSION:
             raise ValueError(f"{folder} is no index of version {VERSION}")
-        return cls(spark, folder, meta.name, meta.metric, meta.dimension, meta.compacted)
+        return cls(spark, folder, meta.name, meta.metric, meta.dimension, meta.compacted, meta.hybrid, meta.num_documents, tuple(meta.batches))
+
+    def _table(self, name: str, schema: str) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(*[f"{self.folder}/{name}/batch={b}" for b in self.batches])
 
     def documents(self) -> DataFrame:
-        return self.spark.read.schema("id long, text string, metadata string").parquet(f"{self.folder}/documents").withColumn("metadata", F.try_parse_json("metadata"))
+        return self._table("documents", "id long, text string, metadata string").withColumn("metadata", F.try_parse_json("metadata"))
 
     def vectors(self) -> DataFrame:
-        return self.spark.read.schema("id long, vec array<float>").parquet(f"{self.folder}/vectors")
+        return self._table("vectors", "id long, vec array<float>")
+
+    def keywords(self) -> tuple[DataFrame, DataFrame]:
+        """Postings and statistics."""
+        if not self.hybrid:
+            raise ValueError("the index has no keyword index")
+        return self._table("postings", "term string, doc_id long, tf long, dl int, positions array<int>"), self._table("statistics", "num_docs long, num_words long, avg_words double")
 
     def __len__(self) -> int:
-        return self.documents().count()
+        return self.num_documents
 
     def append(self, documents: DataFrame, vectors: DataFrame) -> int:
-        """Adds documents with new ids; refuses compacted indexes, known or repeated ids and other dimensions before anything is written."""
+        """Adds documents with new ids; refuses compacted indexes, known, repeated or unmatched ids and other dimensions before anything is written. All of it counts, or nothing."""
         if self.compacted:
             raise ValueError("a compacted index can't be appended to")
-        if not vectors.select("id").join(self.vectors(), "id", "left_semi").isEmpty() or not documents.select("id").join(self.documents(), "id", "left_semi").isEmpty():
+        ids, vec_ids = (t.select(F.col("id").cast("long").alias("id")) for t in (documents, vectors))
+        if not vec_ids.unionByName(ids).join(self.documents(), "id", "left_semi").isEmpty():
             raise ValueError("some ids are in the index already")
-        if not documents.groupBy("id").count().filter("count > 1").isEmpty():
+        both = ids.withColumn("d", F.lit(1)).withColumn("v", F.lit(0)).unionByName(vec_ids.withColumn("d", F.lit(0)).withColumn("v", F.lit(1))).groupBy("id").agg(F.sum("d").alias("d"), F.sum("v").alias("v"))
+        if not both.filter("d > 1 or v > 1").isEmpty():
             raise ValueError("some ids come twice")
+        if not both.filter("d <> 1 or v <> 1 or id is null").isEmpty():
+            raise ValueError("documents and vectors must have the same ids")
         dims = knn.dimension_check(vectors.withColumnRenamed("vec", "embedding")).first()
         if dims.n_rows and (dims.least_dim, dims.greatest_dim) != (self.dimension, self.dimension):
             raise ValueError(f"the vectors must have {self.dimension} dimensions")
-        documents.select(F.col("id").cast("long"), "text", F.col("metadata").cast("string")).write.mode("append").parquet(f"{self.folder}/documents")
-        vectors.select(F.col("id").cast("long"), F.col("vec").cast("array<float>")).write.mode("append").parquet(f"{self.folder}/vectors")
-        p, fs = _path(self.spark, f"{self.folder}/postings")
-        if fs.exists(p):
-            keyword.postings(documents, "id").write.mode("append").parquet(f"{self.folder}/postings")
+        batch = self.batches[-1] + 1
+        self._write(batch, documents, vectors)
+        self._publish(batch, self.num_documents + dims.n_rows)
+        self.batches, self.num_documents = (*self.batches, batch), self.num_documents + dims.n_rows
         return dims.n_rows
 
     def vector_search(self, query: list[float], k: int = 10, spec: dict | None = None, prefilter: bool = False, mode: str = "coercing") -> DataFrame:
@@ -117,12 +155,12 @@ class Index:
         return found.orderBy("distance", "id")
 
     def keyword_search(self, query: str, k: int = 10) -> DataFrame:
-        return keyword.bm25(self.documents(), query, k, id_col="id").join(self.documents(), "id").orderBy(F.desc("score"), "id")
+        return keyword.bm25(self.documents(), query, k, id_col="id", index=self.keywords()).join(self.documents(), "id").orderBy(F.desc("score"), "id")
 
     def hybrid_search(self, text: str, query: list[float], k: int = 10, strategy: str = "rrf", **params: float) -> DataFrame:
         """``(id, score, text, metadata)``; each side gives 2k candidates to the fusion."""
         v = knn.knn(self.vectors().filter("vec is not null"), query, 2 * k, self.metric, "id", "vec")
-        w = keyword.bm25(self.documents(), text, 2 * k, id_col="id")
+        w = keyword.bm25(self.documents(), text, 2 * k, id_col="id", index=self.keywords())
         return fusion.fuse(strategy, v, w, k, **params).join(self.documents(), "id")
 
     def remove(self) -> None:

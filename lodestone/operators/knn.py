@@ -82,11 +82,19 @@ def knn_batch(queries: DataFrame, table: DataFrame, k: int, metric: str = "cosin
     return local.withColumn("rank", rank).filter(F.col("rank") <= k).select("qid", "rank", "id", "distance")
 
 
-def two_stage(table: DataFrame, query: list[float], k: int, ef: int, metric: str = "cosine", id_col: str = "vec_id", vec_col: str = "embedding", coarse_dims: int = 16) -> DataFrame:
-    """A coarse distance on the first dimensions takes ``ef`` candidates, which are ranked again exactly."""
+def codes(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """``(id, code, scale)``: every dimension in one byte, as a share of the vector's greatest absolute value. Stored, they are a quarter of the vectors."""
+    rows = table.select(F.col(id_col), F.col(vec_col).alias("v"), F.array_max(F.transform(vec_col, lambda x: F.abs(x.cast("double")))).alias("scale"))
+    return rows.select(id_col, F.transform("v", lambda x: F.round(F.when(F.col("scale") > 0, x / F.col("scale")).otherwise(0.0) * 127).cast("byte")).alias("code"), (F.col("scale") / 127).alias("scale"))
+
+
+def two_stage(table: DataFrame, query: list[float], k: int, ef: int, metric: str = "cosine", id_col: str = "vec_id", vec_col: str = "embedding", coded: DataFrame | None = None) -> DataFrame:
+    """A coarse distance over the codes of all rows and all dimensions takes ``ef`` candidates, which are ranked again exactly. ``coded`` is a stored table of `codes`."""
     q = [float(x) for x in query]
-    coarse = vectors.distance(metric, F.slice(F.col(vec_col), 1, coarse_dims), F.array(*[F.lit(x) for x in q[:coarse_dims]]))
-    return knn(table.withColumn("__coarse", coarse).orderBy("__coarse", id_col).limit(max(ef, k)), q, k, metric, id_col, vec_col)
+    rows = codes(table, id_col, vec_col) if coded is None else coded
+    decoded = F.transform("code", lambda x: x * F.col("scale"))
+    near = rows.withColumn("__coarse", vectors.distance(metric, decoded, F.array(*[F.lit(x) for x in q]))).orderBy("__coarse", id_col).limit(max(ef, k)).select(id_col)
+    return knn(table.join(F.broadcast(near), id_col, "left_semi"), q, k, metric, id_col, vec_col)
 
 
 def dimension_check(table: DataFrame, vec_col: str = "embedding") -> DataFrame:

@@ -12,7 +12,7 @@ from lodestone.functions import embed
 from lodestone.functions import text as T
 from lodestone.functions import vectors as V
 from lodestone.functions.metadata import predicate
-from lodestone.operators import chunking, conversations, evaluate, fusion, graph, keyword, knn, multivector, rag
+from lodestone.operators import chunking, conversations, evaluate, fusion, graph, ivf, keyword, knn, multivector, rag
 from lodestone.sources import exports, readers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,13 +63,31 @@ for _metric, _name in _NAMES.items():
         return knn.knn(_emb(spark, d), _q(spark, d), 10, metric).select("vec_id", _r("distance"))
 
 
-_PAIRS = "SELECT a.vec_id AS qid, b.vec_id AS id, round(1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS d FROM embeddings a CROSS JOIN embeddings b"
+# searches for many vectors at once take as queries every row whose id is divisible by 20, against all rows
+_PAIRS = "SELECT a.vec_id AS qid, b.vec_id AS id, round(1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS d FROM embeddings a CROSS JOIN embeddings b WHERE a.vec_id % 20 = 0"
+
+
+def _asked(e: DataFrame) -> DataFrame:
+    return e.filter("vec_id % 20 = 0")
+
+
 _RESULTS = f"SELECT qid, id, d, row_number() OVER (PARTITION BY qid ORDER BY d, id) AS rank FROM ({_PAIRS}) WHERE qid <> id"
 
 
 @query(f"SELECT qid, rank::INT AS rank, id, round(d, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d, id) AS rank FROM ({_PAIRS})) WHERE rank <= 10")
 def knn_batch(spark: SparkSession, d: str) -> DataFrame:
-    return knn.knn_batch(_emb(spark, d), _emb(spark, d), 10).select("qid", "rank", "id", _r("distance"))
+    return knn.knn_batch(_asked(_emb(spark, d)), _emb(spark, d), 10).select("qid", "rank", "id", _r("distance"))
+
+
+#: Cells and probes of the inverted lists. The test measures the recall against brute force.
+CELLS, PROBES = 32, 20
+
+
+@query()
+def knn_ivf(spark: SparkSession, d: str) -> DataFrame:
+    e = _emb(spark, d)
+    centres = ivf.fit(e, CELLS)
+    return ivf.search(_asked(e), ivf.assign(e, centres), centres, 10, PROBES).select("qid", "rank", "id", _r("distance"))
 
 
 @query(f"SELECT vec_id, round(d, 6) AS distance FROM (SELECT vec_id, label, {COS} AS d FROM embeddings ORDER BY d, vec_id LIMIT 50) WHERE label = 2")
@@ -81,12 +99,11 @@ def knn_postfilter(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT vec_id, round({COS}, 6) AS distance FROM embeddings WHERE label = 2 ORDER BY {COS}, vec_id LIMIT 50")
 def knn_prefilter(spark: SparkSession, d: str) -> DataFrame:
-    keep = predicate(F.to_variant_object(F.struct("label")), {"label": {"==": 2}})
+    keep = predicate(F.lit(None), {"label": {"==": 2}}, top_level={"label": (F.col("label"), _emb(spark, d).schema["label"].dataType.simpleString())})
     return knn.knn(_emb(spark, d), _q(spark, d), 50, condition=keep).select("vec_id", _r("distance"))
 
 
-@query(f"""WITH c AS (SELECT * FROM embeddings ORDER BY 1 - list_cosine_similarity(embedding[1:16]::DOUBLE[], {Q0}[1:16]), vec_id LIMIT 100)
-SELECT vec_id, round({COS}, 6) AS distance FROM c ORDER BY {COS}, vec_id LIMIT 10""")
+@query(f"SELECT vec_id, round({COS}, 6) AS distance FROM embeddings ORDER BY {COS}, vec_id LIMIT 10")
 def knn_two_stage(spark: SparkSession, d: str) -> DataFrame:
     q = _q(spark, d).first().q
     return knn.two_stage(_emb(spark, d), q, 10, 100).select("vec_id", _r("distance"))
@@ -130,9 +147,10 @@ for _name, (_spec, _where) in _META.items():
 
     @query(f"SELECT doc_id, lang, source, n_chars FROM documents WHERE {_where}", _name)
     def _meta(spark: SparkSession, d: str, spec: dict = _spec) -> DataFrame:
-        meta = F.to_variant_object(F.struct("lang", "source", "n_chars", (F.col("n_chars") > 2000).alias("long"), F.array("lang").alias("tags")))
-        rows = _docs(spark, d).select("doc_id", "lang", "source", "n_chars", meta.alias("m"))
-        return rows.filter(predicate(F.col("m"), spec)).drop("m")
+        rows = _docs(spark, d).select("doc_id", "lang", "source", "n_chars")
+        meta = F.to_variant_object(F.struct((F.col("n_chars") > 2000).alias("long"), F.array("lang").alias("tags")))
+        own = {c: (F.col(c), k) for c, k in rows.dtypes if c != "doc_id"}
+        return rows.filter(predicate(meta, spec, top_level=own))
 
 
 for _name, _mode, _where in (("meta_coerced", "coercing", "CAST(json_extract(props, '$.k') AS DOUBLE) = 69"), ("meta_strict", "strict", "false")):
@@ -165,6 +183,17 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     return keyword.bm25(_docs(spark, d), ASKED, 10).select("id", _r("score"))
 
 
+@query(rf"""WITH d AS (SELECT doc_id, {_W} AS w, '  ' || array_to_string({_W}, '  ') || '  ' AS t FROM documents),
+s AS (SELECT count(*) AS n, avg(len(w)) AS a FROM d),
+c AS (SELECT doc_id, len(w) AS dl, len(list_filter(w, lambda x: x = 'license')) AS t0, (length(t) - length(replace(t, ' licensed  under ', ''))) // 17 AS t1, len(list_filter(w, lambda x: x = 'mit')) AS t2 FROM d),
+f AS (SELECT count(*) FILTER (t0 > 0) AS f0, count(*) FILTER (t1 > 0) AS f1 FROM c)
+SELECT doc_id AS id, round(ln(1 + (n - f0 + 0.5::DOUBLE) / (f0 + 0.5::DOUBLE)) * t0 * 2.2::DOUBLE / (t0 + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / a))
+  + ln(1 + (n - f1 + 0.5::DOUBLE) / (f1 + 0.5::DOUBLE)) * t1 * 2.2::DOUBLE / (t1 + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / a)), 6) AS score
+FROM c, s, f WHERE (t0 > 0 OR t1 > 0) AND NOT t2 > 0""")
+def bm25_boolean(spark: SparkSession, d: str) -> DataFrame:
+    return keyword.bm25(_docs(spark, d), '(license OR "licensed under") AND NOT mit').select("id", _r("score"))
+
+
 @query(_bm25_sql(0.9, 0.4, "SELECT id, round(score, 6) AS score FROM k"))
 def bm25_params(spark: SparkSession, d: str) -> DataFrame:
     return keyword.bm25(_docs(spark, d), ASKED, k1=0.9, b=0.4).select("id", _r("score"))
@@ -265,7 +294,7 @@ def full_outer_merge(spark: SparkSession, d: str) -> DataFrame:
 # evaluation: the 20 nearest other vectors of each vector; relevant are those of its label
 
 _EVAL = f"""WITH res AS (SELECT * FROM ({_RESULTS}) WHERE rank <= 20),
-qr AS (SELECT a.vec_id AS qid, b.vec_id AS id, CASE WHEN (a.vec_id + b.vec_id) % 2 = 0 THEN 2 ELSE 1 END AS rel FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id),
+qr AS (SELECT a.vec_id AS qid, b.vec_id AS id, CASE WHEN (a.vec_id + b.vec_id) % 2 = 0 THEN 2 ELSE 1 END AS rel FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id AND a.vec_id % 20 = 0),
 tot AS (SELECT qid, count(*) AS n_rel FROM qr GROUP BY qid),
 j AS (SELECT res.qid, res.id, rank, coalesce(rel, 0) AS rel, coalesce(n_rel, 0) AS n_rel FROM res LEFT JOIN qr USING (qid, id) LEFT JOIN tot ON tot.qid = res.qid),
 p AS (SELECT qid, k, count(*) FILTER (rel > 0 AND rank <= k) AS hits, any_value(n_rel) AS n_rel FROM j CROSS JOIN (SELECT unnest([1, 3, 5, 10, 20]) AS k) GROUP BY ALL),
@@ -278,8 +307,8 @@ rr AS (SELECT qid, coalesce(1 / min(rank) FILTER (rel > 0), 0) AS rr FROM j GROU
 
 def _eval(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     e = _emb(spark, d)
-    results = knn.knn_batch(e, e, 20, exclude_self=True)
-    a, b = e.select(F.col("vec_id").alias("qid"), "label"), e.select(F.col("vec_id").alias("id"), "label")
+    results = knn.knn_batch(_asked(e), e, 20, exclude_self=True)
+    a, b = _asked(e).select(F.col("vec_id").alias("qid"), "label"), e.select(F.col("vec_id").alias("id"), "label")
     qrels = a.join(b, "label").filter("qid <> id").select("qid", "id", F.when((F.col("qid") + F.col("id")) % 2 == 0, 2).otherwise(1).alias("rel"))
     return results, qrels
 
@@ -329,7 +358,7 @@ SELECT e.qid, round(count(f.id) / 10, 6) AS recall FROM e LEFT JOIN f ON f.qid =
 def recall_at_k(spark: SparkSession, d: str) -> DataFrame:
     e = _emb(spark, d)
     half = e.withColumn("embedding", F.slice("embedding", 1, 32))
-    return evaluate.recall_against(knn.knn_batch(half, half, 10, exclude_self=True), knn.knn_batch(e, e, 10, exclude_self=True), 10).select("qid", _r("recall"))
+    return evaluate.recall_against(knn.knn_batch(_asked(half), half, 10, exclude_self=True), knn.knn_batch(_asked(e), e, 10, exclude_self=True), 10).select("qid", _r("recall"))
 
 
 @query("""WITH m AS (SELECT event_type, avg(value) AS v, quantile_cont(value, 0.95) AS time FROM events GROUP BY 1),
