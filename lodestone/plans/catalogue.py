@@ -80,7 +80,7 @@ def knn_batch(spark: SparkSession, d: str) -> DataFrame:
 
 
 #: Cells and probes of the inverted lists. The test measures the recall against brute force.
-CELLS, PROBES = 32, 20
+CELLS, PROBES = 32, 26
 
 
 @query()

@@ -99,6 +99,61 @@ def test_batch_search_equals_single_searches(spark):
         assert [i for _, i in sorted(batch[q])] == [x.vec_id for x in single]
 
 
+@pytest.mark.parametrize("folder", ["sf0.01", "sf0.1"])
+def test_recall_of_approximate_searches(spark, folder):
+    """Over the queries whose id is divisible by 20, against brute force, at the settings of the registered queries."""
+    from lodestone.plans import catalogue
+
+    d = f"/root/testdata/{folder}"
+    e = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", "embedding").toArrow()
+    ids, m = e.column("vec_id").to_numpy(), np.stack(e.column("embedding").to_numpy(zero_copy_only=False)).astype(float)
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    asked = np.flatnonzero(ids % 20 == 0)
+    exact = {int(ids[q]): set(ids[np.argsort(-(m @ m[q]), kind="stable")[:10]].tolist()) for q in asked}
+    found = {}
+    for r in catalogue.QUERIES["knn_ivf"](spark, d).collect():
+        found.setdefault(r.qid, set()).add(r.id)
+    assert sum(len(found[q] & x) for q, x in exact.items()) >= 0.95 * 10 * len(exact)
+    hits = 0
+    for q in asked[:8]:
+        rows = knn.two_stage(spark.read.parquet(f"{d}/embeddings.parquet"), m[q].tolist(), 10, 100).collect()
+        hits += len({r.vec_id for r in rows} & exact[int(ids[q])])
+    assert hits >= 0.95 * 80
+
+
+def test_inverted_lists_of_odd_tables(spark):
+    from lodestone.operators import ivf
+
+    r = np.random.default_rng(1)
+    rows = [(i, [float(x) for x in r.normal(size=6)]) for i in range(300)] + [(300 + i, [1.0] * 6) for i in range(200)] + [(600, [0.0] * 6), (601, None), (None, [1.0] * 6)]
+    t = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    for metric in ("cosine", "euclidean"):
+        centres = ivf.fit(t, 7, metric, sample=100)
+        got = ivf.search(t.filter("vec_id % 50 = 0"), ivf.assign(t, centres, metric), centres, 5, 7, metric)
+        want = knn.knn_batch(t.filter("vec_id % 50 = 0"), t, 5, metric)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert len(ivf.fit(t.limit(0), 5)) == 0 and len(ivf.fit(t, 1000)) == 502
+
+
+def test_columns_compare_as_variants_do(spark):
+    rows = [(None, None), ("en", 5), ("fr", -3), ("null", 10), ("9", 2500), ("src2", 0), ("", 7)]
+    df = spark.createDataFrame(rows, "s string, n bigint").withColumn("m", F.to_variant_object(F.struct("s", "n")))
+    specs = [{"n": {op: x}} for op in ("==", "!=", "<", "<=", ">", ">=") for x in (5, 2500.0, 2.5, "10", "x")] + [{"s": {op: x}} for op in ("==", "!=", "<", "<=", ">", ">=", "contains", "starts_with", "ends_with") for x in ("en", "9", "src2", "null", "ul", "")]
+    specs += [{"n": {"in": [5, "10", 7.0]}}, {"n": {"not_in": [5, 10]}}, {"s": {"in": ["en", "fr"]}}, {"s": {"not_in": ["en", "fr"]}}, {"s": {"not_in": "en"}}, {"n": {"in": []}}, {"n": {"==": None}}, {"s": {"is_true": None}}]
+    for mode in ("coercing", "strict"):
+        for spec in specs:
+            plain, native = (df.filter(predicate(F.col("m"), spec, mode, top_level=x)) for x in (None, {"s": (F.col("s"), "string"), "n": (F.col("n"), "bigint")}))
+            assert sorted(map(str, plain.select("s", "n").collect())) == sorted(map(str, native.select("s", "n").collect())), (mode, spec)
+
+
+def test_filters_reach_the_scan(spark):
+    from lodestone.plans import catalogue
+
+    for name, part in (("meta_compound", "EqualTo(lang,en)"), ("knn_prefilter", "EqualTo(label,2)")):
+        plan = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert part in plan.split("PushedFilters")[1]
+
+
 def test_evaluation(spark):
     res = spark.createDataFrame([(1, k, k) for k in range(1, 6)], "qid long, rank int, id long")
     qrels = spark.createDataFrame([(1, i, 1) for i in (1, 3, 5)], "qid long, id long, rel int")

@@ -3,7 +3,7 @@
 import io
 import json
 import zipfile
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -118,6 +118,94 @@ def test_index(spark, tmp_path):
     assert sorted(r.id for r in with_ids(docs.select("text").repartition(4), 5).collect()) == list(range(5, 25))
 
 
+def test_ids_after_a_shuffle_join(spark):
+    """Each row has its id, and each id its row, however often the plan is run and coalesced."""
+    left = spark.range(30_000).select(F.col("id").alias("k"), F.concat(F.lit("t"), "id").alias("text"))
+    right = spark.range(0, 60_000, 2).select(F.col("id").alias("k"), F.lit(1).alias("x"))
+    joined = left.hint("shuffle_hash").join(right, "k")
+    got = with_ids(joined, 7)
+    assert got.agg(F.count("*"), F.countDistinct("id"), F.min("id"), F.max("id"), F.countDistinct("text")).first()[:] == (15_000, 15_000, 7, 15_006, 15_000)
+    assert got.select("id", "k").exceptAll(got.repartition(2).select("id", "k")).isEmpty()
+    assert with_ids(joined.limit(0)).count() == 0 and with_ids(joined.limit(0)).columns == ["id", "k", "text", "x"]
+
+
+def test_failed_append_leaves_the_index(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(i, f"document {i}", "{}") for i in range(6)], "id long, text string, metadata string")
+    vecs = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(6)], "id long, vec array<float>")
+    index = Index.build(spark, str(tmp_path), docs, vecs)
+    new_docs, new_vecs = docs.withColumn("id", F.col("id") + 10), vecs.withColumn("id", F.col("id") + 10)
+    with monkeypatch.context() as m:
+        m.setattr(Index, "_publish", lambda *_: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            index.append(new_docs, new_vecs)
+    for one in (index, Index.load(spark, str(tmp_path))):
+        assert len(one) == one.documents().count() == one.vectors().count() == 6 and one.keyword_search("document", 50).count() == 6
+    for d, v in ((new_docs, new_vecs.unionByName(new_vecs)), (new_docs, new_vecs.filter("id > 12")), (new_docs.filter("id > 12"), new_vecs), (docs.limit(1), new_vecs)):
+        with pytest.raises(ValueError):
+            index.append(d, v)
+    assert index.append(new_docs, new_vecs) == 6
+    again = Index.load(spark, str(tmp_path))
+    assert len(again) == again.documents().count() == 12 and again.keyword_search("document", 50).count() == 12
+    stale = Index(spark, str(tmp_path), "default", "cosine", 2, batches=(0,))
+    with pytest.raises(OSError):
+        stale._publish(1, 0)
+
+
+QUERIES = ["stone river", "+stone -river", "stone AND river", "stone AND NOT river", '"stone river"', 'text:lamp "green quick" OR seven', "(stone OR lamp) AND (river OR cloud)", "-stone", "nowhere", "stone stone", '"stone nowhere"', "+stone lamp cloud"]
+
+
+def test_keyword_index_and_scan_agree(spark, tmp_path):
+    import random
+
+    from lodestone.operators import keyword
+
+    r = random.Random(3)
+    words = "stone river cloud lamp green quick seven".split()
+    rows = [(i, " ".join(r.choice(words) for _ in range(r.randrange(0, 12))), "{}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "id long, text string, metadata string")
+    index = Index.build(spark, str(tmp_path), docs.filter("id < 40"), spark.createDataFrame([(i, [1.0]) for i in range(40)], "id long, vec array<float>"))
+    index.append(docs.filter("id >= 40"), spark.createDataFrame([(i, [1.0]) for i in range(40, 60)], "id long, vec array<float>"))
+    for q in QUERIES:
+        scan = {x.id: round(x.score, 9) for x in keyword.bm25(docs, q, id_col="id").collect()}
+        assert {x.id: round(x.score, 9) for x in keyword.bm25(docs, q, id_col="id", index=index.keywords()).collect()} == scan
+        has = lambda t, w: w in t.split()
+        want = {
+            "stone river": lambda t: has(t, "stone") or has(t, "river"), "+stone -river": lambda t: has(t, "stone") and not has(t, "river"), "stone AND river": lambda t: has(t, "stone") and has(t, "river"), "stone AND NOT river": lambda t: has(t, "stone") and not has(t, "river"), '"stone river"': lambda t: "stone river" in t,
+            "(stone OR lamp) AND (river OR cloud)": lambda t: (has(t, "stone") or has(t, "lamp")) and (has(t, "river") or has(t, "cloud")), "-stone": lambda t: False, "nowhere": lambda t: False, "+stone lamp cloud": lambda t: has(t, "stone"),
+        }.get(q)
+        if want:
+            assert set(scan) == {i for i, t, _ in rows if want(t)}
+    plan = keyword.bm25(docs, "stone river", id_col="id", index=index.keywords())._jdf.queryExecution().executedPlan().toString()
+    assert "In(term, [river,stone])" in plan
+    with pytest.raises(ValueError, match="field"):
+        keyword.parse("title:x")
+
+
+def test_budget_groups_equal_a_loop(spark):
+    import random
+
+    r = random.Random(1)
+    rows, at = [], 0
+    for i in range(300):
+        at += r.choice((1, 2, 50))
+        rows.append((r.choice("abc"), i, datetime(2024, 1, 1 + at // 1440, at // 60 % 24, at % 60), r.choice((None, "", "xx", "y" * 9))))
+    for overlap in (0, 2):
+        want = []
+        for who in "abc":
+            held, no, fresh = [], 0, 0
+            for _, _, when, text in (x for x in rows if x[0] == who):
+                pause = fresh and when - held[-1][0] > timedelta(minutes=30)
+                if fresh and (pause or sum(len(t) for _, t in held) + len(text or "") > 20):
+                    want.append((who, no, held[0][0], held[-1][0], len(held), "\n".join(t for _, t in held)))
+                    held, no, fresh = held[-overlap:] if overlap and not pause else [], no + 1, 0
+                held.append((when, text or ""))
+                fresh += 1
+            want.append((who, no, held[0][0], held[-1][0], len(held), "\n".join(t for _, t in held)))
+        df = spark.createDataFrame(rows, "who string, event_id int, at timestamp, text string")
+        assert sorted(map(tuple, conversations.budget_groups(df, "who", "at", 20, overlap=overlap).collect())) == sorted(want)
+    assert conversations.budget_groups(df.limit(0), "who", "at", 20).count() == 0
+
+
 def test_stream_upsert(spark, tmp_path):
     rows = spark.createDataFrame([(i % 3, f"t{i}", "{}", datetime(2024, 1, 1, 0, i)) for i in range(6)], "id long, text string, metadata string, at timestamp")
     rows.write.parquet(str(tmp_path / "in"))
