@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.functions.vectors import distance
+
 Embedder = Callable[[list[str], int], np.ndarray]
 EMBEDDERS: dict[str, Embedder] = {}
 
@@ -58,6 +60,29 @@ def recomputed(compacted: DataFrame, texts: DataFrame, name: str, dims: int) ->
     return compacted.filter("vec is not null").select("id", "vec").unionByName(embedded(missing, name, dims, "id"))
 
 
+def two_phase(compacted: DataFrame, edges: DataFrame, texts: DataFrame, query: list[float], k: int, name: str, dims: int, effort: int = 100, metric: str = "cosine") -> DataFrame:
+    """``(id, distance)`` of the k nearest in a compacted index, with only the candidates' missing vectors embedded again.
+
+    The ``effort`` nearest stored vectors are found by a scan; their neighbours by ``edges (src, dst)`` are the candidates without a vector. Those are
+    embedded from ``texts (id, text)``, and both are ranked together.
+    """
+    q = F.array(*[F.lit(float(x)) for x in query])
+    near = compacted.filter("vec is not null").select("id", distance(metric, F.col("vec"), q).alias("distance")).orderBy("distance", "id").limit(max(effort, k))
+    missing = edges.join(F.broadcast(near.select(F.col("id").alias("src"))), "src", "left_semi").select(F.col("dst").alias("id")).distinct().join(compacted.filter("vec is null").select("id"), "id", "left_semi")
+    again = embedded(texts.join(missing, "id", "left_semi"), name, dims, "id").select("id", distance(metric, F.col("vec"), q).alias("distance"))
+    return near.unionByName(again).orderBy("distance", "id").limit(k)
+
+
+#: The distance of an id that has no vector.
+MISSING = 1e9
+
+
+def distances_by_id(vecs: DataFrame, ids: DataFrame, query: list[float], metric: str = "cosine") -> DataFrame:
+    """``(id, distance)`` of all given ids, in one join; ids without a vector are `MISSING` away."""
+    q = F.array(*[F.lit(float(x)) for x in query])
+    return ids.select("id").join(vecs.select("id", "vec"), "id", "left").select("id", F.coalesce(distance(metric, F.col("vec"), q), F.lit(MISSING)).alias("distance"))
+
+
 def truncated(texts: DataFrame, limit: int, text_col: str = "text", ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:
     """Texts cut to a model's limit: by the tokens of a tokenizer file where one is given, else to limit / 1.2 characters."""
     if ranks_path is None:

@@ -32,11 +32,12 @@ def sentences(text: Column) -> Column:
 
 
 def overlap_tail(text: Column, overlap: int) -> Column:
-    """The last overlap // 5 words, joined by blanks; at least one if there is an overlap at all."""
-    if overlap <= 0:
-        return F.lit("")
-    n = max(1, overlap // 5)
-    return F.array_join(F.slice(F.split(F.trim(text), r"\s+"), F.greatest(-F.lit(n), -F.size(F.split(F.trim(text), r"\s+"))), n), " ")
+    """The last overlap // 5 words, joined by blanks; the whole text if that is no word or the text has no more; nothing without an overlap."""
+    n = overlap // 5
+    if overlap <= 0 or n == 0:
+        return text if overlap > 0 else F.lit("")
+    cut = F.transform(F.array(F.filter(F.split(text, r"\s+"), lambda w: w != "")), lambda w: F.when(F.size(w) > n, F.array_join(F.slice(w, -n, n), " ")))
+    return F.coalesce(F.element_at(cut, 1), text)
 
 
 def occurrences(text: Column, needle: Column | str) -> Column:

@@ -43,8 +43,8 @@ def split_sentences(text: str) -> list[str]:
 def tail(text: str, overlap: int) -> str:
     if overlap <= 0:
         return ""
-    words = text.split()
-    return " ".join(words[-max(1, overlap // 5) :])
+    n, words = overlap // 5, text.split()
+    return " ".join(words[-n:]) if 0 < n < len(words) else text
 
 
 def pack(text: str, size: int = SIZE, overlap: int = OVERLAP, sep: str = " ") -> list[str]:
@@ -80,12 +80,30 @@ def text_chunks(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, id_co
 
 
 def code_chunks(docs: DataFrame, max_chars: int = 4096, overlap: int = 0, id_col: str = "doc_id", text_col: str = "text", language: str = "python") -> DataFrame:
-    """``(id, chunk_index, text, token_count)`` by top-level definitions; larger ones are cut at lines."""
+    """``(id, chunk_index, text, token_count, node_type, is_partial, fallback)`` by top-level definitions; larger ones are cut at lines and partial, windows of characters are a fallback."""
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
-    return own.mapInArrow(lambda x: _chunk_rows(x, lambda t: split_code(t, language, max_chars, overlap), True), _CHUNK)
 
+    def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = (pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.bool_(), pa.bool_())
+        names = ["id", "chunk_index", "text", "token_count", "node_type", "is_partial", "fallback"]
+        for part in parts:
+            rows = [(i, k, c[0], estimate(c[0], True), *c[1:]) for i, t in zip(part.column("id").to_pylist(), part.column("t").to_pylist()) for k, c in enumerate(code_nodes(t or "", language, max_chars, overlap))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], t) for n, t in enumerate(types)], names=names)
 
-def _nodes(text: str, language: str) -> list[str]:
+    return own.mapInArrow(cut, _CHUNK + ", node_type string, is_partial boolean, fallback boolean")
+
+
+_PYTHON = {"FunctionDef": "function_definition", "AsyncFunctionDef": "function_definition", "ClassDef": "class_definition", "Import": "import_statement", "ImportFrom": "import_from_statement"}
+_HEAD = re.compile(r"(?:\b(?:pub(?:\([^)]*\))?|export|default|async|public|private|protected|internal|abstract|final|static)\s+)*(\w+)")
+
+
+def _kind(line: str, language: str) -> str:
+    """The kind of a definition by its first word that isn't a modifier."""
+    m = _HEAD.match(line.strip())
+    return f"{m[1]}_item" if m else language
+
+
+def _nodes(text: str, language: str) -> list[tuple[str, str]]:
     lines = text.splitlines(keepends=True)
     if language == "python":
         try:
@@ -93,33 +111,40 @@ def _nodes(text: str, language: str) -> list[str]:
         except (SyntaxError, ValueError):
             return []
         starts = [min([n.lineno, *(d.lineno for d in getattr(n, "decorator_list", []))]) - 1 for n in body]
+        kinds = [_PYTHON.get(type(n).__name__, type(n).__name__.lower()) for n in body]
     elif language in _TOP:
         head = re.compile(_TOP[language])
         starts = [i for i, line in enumerate(lines) if head.match(line)]
+        kinds = [_kind(lines[i], language) for i in starts]
     else:
         return []
     if not starts:
         return []
     starts[0] = 0
-    return ["".join(lines[a:b]).rstrip() for a, b in zip(starts, [*starts[1:], len(lines)])]
+    return [("".join(lines[a:b]).rstrip(), k) for a, b, k in zip(starts, [*starts[1:], len(lines)], kinds)]
 
 
 def split_code(text: str, language: str, max_chars: int = 4096, overlap: int = 0) -> list[str]:
     """Definitions as chunks, those that are too long by lines; windows of characters where the syntax is unknown or broken."""
+    return [x[0] for x in code_nodes(text, language, max_chars, overlap)]
+
+
+def code_nodes(text: str, language: str, max_chars: int = 4096, overlap: int = 0) -> list[tuple[str, str, bool, bool]]:
+    """`split_code` with the kind of each definition, whether it is a part of one, and whether it is a mere window."""
     out = []
-    for node in _nodes(text, language):
+    for node, kind in _nodes(text, language):
         if len(node) <= max_chars:
-            out.append(node)
+            out.append((node, kind, False, False))
             continue
         held: list[str] = []
         for line in node.splitlines(keepends=True):
             if held and sum(map(len, held)) + len(line) > max_chars:
-                out.append("".join(held))
+                out.append(("".join(held), kind, True, False))
                 held = held[-max(1, overlap // 80) :] if overlap else []
             held.append(line)
-        out.append("".join(held))
-    out = [x for x in out if x.strip()]
-    return out or (windows(text, max_chars, overlap) if text.strip() else [])
+        out.append(("".join(held), kind, True, False))
+    out = [x for x in out if x[0].strip()]
+    return out or [(x, "window", False, True) for x in (windows(text, max_chars, overlap) if text.strip() else [])]
 
 
 def windows(text: str, size: int, overlap: int) -> list[str]:
@@ -151,5 +176,5 @@ def routed(docs: DataFrame, language_col: str, **sizes: int) -> DataFrame:
     """Prose by sentences, code by syntax: rows with a known language go to `code_chunks` of that language."""
     out = text_chunks(docs.filter(F.col(language_col).isNull()), **sizes)
     for language in ("python", *_TOP):
-        out = out.unionByName(code_chunks(docs.filter(F.col(language_col) == language), 4 * sizes.get("size", SIZE), 4 * sizes.get("overlap", 0), language=language))
+        out = out.unionByName(code_chunks(docs.filter(F.col(language_col) == language), 4 * sizes.get("size", SIZE), 4 * sizes.get("overlap", 0), language=language).drop("node_type", "is_partial", "fallback"))
     return out

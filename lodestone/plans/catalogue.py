@@ -8,7 +8,6 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions import embed
 from lodestone.functions import text as T
 from lodestone.functions import vectors as V
 from lodestone.functions.metadata import predicate
@@ -473,7 +472,7 @@ def text_chunks(spark: SparkSession, d: str) -> DataFrame:
     return chunking.text_chunks(_docs(spark, d))
 
 
-@query(r"SELECT doc_id, array_to_string(list_slice(string_split_regex(trim(text), '\s+'), -25, -1), ' ') AS tail FROM documents")
+@query(r"SELECT doc_id, CASE WHEN len(w) > 25 THEN array_to_string(list_slice(w, -25, -1), ' ') ELSE text END AS tail FROM (SELECT doc_id, text, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS w FROM documents)")
 def overlap_tail(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).select("doc_id", T.overlap_tail(F.col("text"), 125).alias("tail"))
 
@@ -616,21 +615,9 @@ def placeholder_text(spark: SparkSession, d: str) -> DataFrame:
     return readers.with_placeholder(_emb(spark, d), _docs(spark, d)).select("vec_id", "text")
 
 
-@query()
-def hash_embed(spark: SparkSession, d: str) -> DataFrame:
-    return embed.embedded(_docs(spark, d), "hash", 64)
-
-
-@query()
-def compact_search(spark: SparkSession, d: str) -> DataFrame:
-    """Vectors of one in three documents are stored; the others are embedded again for the search."""
-    docs = _docs(spark, d)
-    stored = hash_embed(spark, d).withColumn("vec", F.when(F.col("id") % 3 == 0, F.col("vec")))
-    rows = embed.recomputed(stored, docs.select(F.col("doc_id").alias("id"), "text"), "hash", 64)
-    q = embed.by_bytes(["what is licensed"], 64)[0]
-    return knn.knn(rows, [float(x) for x in q], 10, id_col="id", vec_col="vec").select("id", _r("distance"))
-
-
 @query()
 def chat_html(spark: SparkSession, d: str) -> DataFrame:
     return exports.chat_html(_t(spark, d, "pages"), "html", "page_id")
+
+
+from lodestone.plans import formats  # noqa: E402, F401 - adds its queries to these

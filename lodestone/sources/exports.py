@@ -73,10 +73,19 @@ def messenger(messages: DataFrame, text_col: str = "content") -> DataFrame:
     return plain.withColumn(text_col, F.regexp_replace(text_col, r"^\w[\w\-]*:\s*\n", ""))
 
 
-def quoted_message(xml: Column) -> Column:
-    """Title of an XML message, with what it quotes in brackets; text that isn't XML as it is."""
+def unescaped(text: Column) -> Column:
+    """XML entities as characters."""
+    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
+        text = F.replace(text, F.lit(entity), F.lit(char))
+    return text
+
+
+def quoted_message(xml: Column, depth: int = 4) -> Column:
+    """Title of an XML message, with what it quotes in brackets, itself a message perhaps, up to ``depth`` of them; text that isn't XML as it is."""
     is_xml = F.ltrim(xml).startswith("<")
-    title, inner = F.regexp_extract(xml, r"(?s)<title>(.*?)</title>", 1), F.regexp_extract(xml, r"(?s)<refermsg>.*?<content>(.*?)</content>", 1)
+    title, inner = unescaped(F.regexp_extract(xml, r"(?s)<title>(.*?)</title>", 1)), unescaped(F.regexp_extract(xml, r"(?s)<refermsg>.*?<content>(.*?)</content>", 1))
+    if depth > 1:
+        inner = quoted_message(inner, depth - 1)
     return F.when(is_xml & (inner != ""), F.concat(title, F.lit(" ["), inner, F.lit("]"))).when(is_xml & (title != ""), title).otherwise(xml)
 
 
@@ -109,6 +118,12 @@ def kinds(rows: DataFrame, kind_col: str, k: int = 5) -> DataFrame:
     return rows.groupBy(kind_col).agg(F.count("*").alias("n")).orderBy(F.desc("n"), kind_col).limit(k)
 
 
+def folders(rows: DataFrame, path_col: str = "path") -> DataFrame:
+    """``(folder, n)``: the files directly in each folder, most first."""
+    folder = F.regexp_extract(F.col(path_col), r"^(.*)/[^/]*$", 1)
+    return rows.groupBy(folder.alias("folder")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "folder")
+
+
 def chat_html(raw: DataFrame, html_col: str = "html", id_col: str = "id") -> DataFrame:
     """``(id, turn, role, text)`` of chats saved as HTML: elements whose class speaks of a message or turn; the whole text if there is none."""
     import re

@@ -164,7 +164,7 @@ def mail_to_text(raw: bytes | str, with_html: bool = False) -> str | None:
 
 
 _TEXT: dict[str, Callable[[str], str]] = {"md": _markdown, "markdown": _markdown, "json": lambda t: _walk(json.loads(t)).strip(), "yaml": _yaml, "yml": _yaml, "toml": _toml, "csv": _csv, "html": html_to_text, "htm": html_to_text, "ipynb": _notebook, "txt": lambda t: t}
-_BINARY: dict[str, Callable[[bytes], str | None]] = {"docx": _docx, "pptx": _pptx, "xlsx": _xlsx, "pdf": _pdf, "eml": mail_to_text}
+_BINARY: dict[str, Callable[[bytes], str | None]] = {"docx": _docx, "pptx": _pptx, "xlsx": _xlsx, "pdf": _pdf, "eml": mail_to_text, "emlx": lambda d: mail_to_text(emlx(d)), "mbox": lambda d: "\n\n".join(t for t in map(mail_to_text, mailbox(d)) if t) or None}
 
 
 def extract(data: bytes, ext: str) -> str:
@@ -225,9 +225,40 @@ def passages(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("metadata", F.try_parse_json("metadata"))
 
 
-def lookup(store: DataFrame, ids: DataFrame) -> DataFrame:
-    """The passages of a table of ids; unknown ones drop out."""
-    return store.join(ids.select("id").distinct(), "id", "left_semi")
+def lookup(store: DataFrame, ids: DataFrame, strict: bool = False) -> DataFrame:
+    """The passages of a table of ids; unknown ones drop out, or raise where ``strict``."""
+    wanted = ids.select("id").distinct()
+    if not strict:
+        return store.join(wanted, "id", "left_semi")
+    known = F.when(F.col("__known").isNotNull(), F.col("id")).otherwise(F.raise_error(F.concat(F.lit("no passage has the id "), F.col("id").cast("string"))))
+    found = wanted.join(store.withColumn("__known", F.lit(1)), "id", "left")
+    return found.withColumn("id", known).drop("__known").select(*store.columns)
+
+
+def mailbox(data: bytes) -> list[bytes]:
+    """The messages of an mbox file: each begins with a line ``From `` after a blank one or at the start; quoted ``>From`` lines are unquoted."""
+    parts = re.split(rb"(?:\A|(?<=\n\n)|(?<=\r\n\r\n))From [^\n]*\n", data)
+    return [re.sub(rb"(?m)^>(>*From )", rb"\1", p).rstrip(b"\r\n") + b"\n" for p in parts if p.strip()]
+
+
+def emlx(data: bytes) -> bytes:
+    """The message of a file that begins with its length in a line of its own and ends with a property list."""
+    head, _, rest = data.partition(b"\n")
+    return rest[: int(head)] if head.strip().isdigit() else data
+
+
+def ignored(paths: DataFrame, rules: str, path_col: str = "path") -> DataFrame:
+    """The rows whose path the lines of an ignore file don't exclude: globs, ``dir/``, ``/anchored``, ``**`` and ``!again``; the last line that fits decides."""
+    out = F.lit(False)
+    for line in (x.strip() for x in rules.splitlines()):
+        if not line or line.startswith("#"):
+            continue
+        again, body = line.startswith("!"), line.lstrip("!")
+        anchored, folder = "/" in body.rstrip("/"), body.endswith("/")
+        glob = "".join({"**/": "(?:.*/)?", "**": ".*", "*": "[^/]*", "?": "[^/]"}.get(x, re.escape(x)) for x in re.split(r"(\*\*/|\*\*|\*|\?)", body.strip("/")))
+        fits = F.col(path_col).rlike(("^/?" if anchored else "(?:^|/)") + glob + ("/" if folder else "(?:/|$)"))
+        out = F.when(fits, F.lit(not again)).otherwise(out)
+    return paths.filter(~out)
 
 
 def with_placeholder(vectors: DataFrame, texts: DataFrame, id_col: str = "vec_id", text_id: str = "doc_id") -> DataFrame:
