@@ -11,7 +11,7 @@ The global order of the n-grams (64-bit hashes) is cut into fragments. All excha
 3. Within a fragment, records that share a prefix n-gram become candidates. Each record knows in which fragments it has
    n-grams, so that a candidate goes only to those which both have.
 4. Each fragment counts the candidates' partial overlaps by itself; the sum per pair is the
-   exact overlap.
+   exact overlap. Candidates travel in buckets, as lists of records and pairs of places in them, and only their counts come back.
 
 Nothing is capped: hot n-grams stand at the end of the order and outside nearly all prefixes,
 and copies collapse into one record. The join is by default returned as one row per document, with its class and its number of
@@ -189,11 +189,32 @@ class _Records:
             yield x[at], y[at]
 
 
-_PAIRS = pa.schema([("x", pa.int64()), ("y", pa.int64()), ("held", pa.int64())])
+_PAIRS = pa.schema([("frag", pa.int32()), ("bucket", pa.int64()), ("kind", pa.int32()), *((n, pa.binary()) for n in ("sig", "size", "held", "x", "y"))])
+PAIRS = "frag int, bucket long, kind int, sig binary, size binary, held binary, x binary, y binary"
 
 
-def _candidates(table: pa.Table, t: float) -> pa.Table:
-    """The pairs of records that share a prefix n-gram and whose sizes allow enough overlap, with the fragments that both have."""
+def _listed(frag: int, bucket: int, kind: int, sig: np.ndarray, size: np.ndarray, held: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple:
+    """One packed row of pairs, in order of x and y: their records once each, and the pairs as places among these."""
+    some, at = np.unique(np.concatenate([x, y]), return_inverse=True)
+    order = np.lexsort((at[len(x) :], at[: len(x)]))
+    x, y = at[: len(x)][order], at[len(x) :][order]
+    return frag, bucket, kind, squeeze(sig[some], True), squeeze(size[some].astype(np.uint32)), squeeze(held[some]), squeeze(x.astype(np.uint32), True), squeeze(y.astype(np.uint32))
+
+
+class _Listed:
+    """Such a row, read."""
+
+    def __init__(self, sig: pa.Buffer, size: pa.Buffer, held: pa.Buffer, x: pa.Buffer, y: pa.Buffer):
+        self.sig, self.size, self.held = loose(sig, np.uint64, True), loose(size, np.uint32).astype(np.int64), loose(held, np.uint64)
+        self.x, self.y = loose(x, np.uint32, True), loose(y, np.uint32)
+
+
+def _lists(table: pa.Table) -> list[_Listed]:
+    return [_Listed(*x) for x in zip(*(cells(table, n) for n in ("sig", "size", "held", "x", "y")))]
+
+
+def _candidates(table: pa.Table, t: float, keys: np.ndarray) -> pa.Table:
+    """The pairs of records that share a prefix n-gram and whose sizes allow enough overlap, in buckets by their first record."""
     own = _Records(table)
     size, total = own.size, len(own.sig)
     found: list[np.ndarray] = []
@@ -230,31 +251,46 @@ def _candidates(table: pa.Table, t: float) -> pa.Table:
             i = j
     pairs = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
     x, y = pairs // max(total, 1), pairs % max(total, 1)
-    return pa.table({"x": own.sig[x].view(np.int64), "y": own.sig[y].view(np.int64), "held": (own.held[x] & own.held[y]).view(np.int64)}, schema=_PAIRS)
+    part = _fragment(mix(own.sig[x]), len(keys))
+    order = np.argsort(part, kind="stable")
+    x, y = x[order], y[order]
+    return pa.Table.from_batches([rows([_listed(int(keys[part[order[at]]]), int(part[order[at]]), 0, own.sig, size, own.held, x[at : at + k], y[at : at + k]) for at, k in zip(*runs(part[order]))], _PAIRS)])
 
 
-_COUNTS = pa.schema([("x", pa.int64()), ("y", pa.int64()), ("sizes", pa.int32()), ("shared", pa.int32())])
+def _spread_pairs(table: pa.Table, coarse: int, keys: np.ndarray) -> pa.Table:
+    """One bucket's distinct pairs (kind 0), and for each fragment those of which both records have n-grams there (kind 1)."""
+    lists, bucket = _lists(table), table.column("bucket")[0].as_py()
+    sig, first = np.unique(np.concatenate([a.sig for a in lists]), return_index=True)
+    size, held = np.concatenate([a.size for a in lists])[first], np.concatenate([a.held for a in lists])[first]
+    code = np.unique(np.concatenate([np.searchsorted(sig, a.sig[a.x]).astype(np.int64) * len(sig) + np.searchsorted(sig, a.sig[a.y]) for a in lists]))
+    x, y = code // len(sig), code % len(sig)
+    both = held[x] & held[y]
+    out = [_listed(-1, bucket, 0, sig, size, held, x, y)]
+    for f in range(coarse):
+        mine = np.flatnonzero((both >> np.uint64(_bits(np.int64(f), coarse))) & np.uint64(1))
+        if len(mine):
+            out.append(_listed(int(keys[f]), bucket, 1, sig, size, held, x[mine], y[mine]))
+    return pa.Table.from_batches([rows(out, _PAIRS)])
 
 
-def _overlaps(segments: pa.Table, wanted: pa.Table) -> pa.Table:
-    """Partial overlaps of the candidates, from one fragment alone."""
+_COUNTS = pa.schema([("bucket", pa.int64()), ("frag", pa.int32()), ("shared", pa.binary())])
+COUNTS = "bucket long, frag int, shared binary"
+
+
+def _overlaps(segments: pa.Table, wanted: pa.Table, places: dict[int, int]) -> pa.Table:
+    """Partial overlaps of the candidates, from one fragment alone, in the order of each bucket's row."""
     if not segments.num_rows or not wanted.num_rows:
         return _COUNTS.empty_table()
-    own = _Records(segments)
-    sig, size = own.sig, own.size
-    xs, ys = (column(wanted, c).to_numpy().view(np.uint64) for c in ("x", "y"))
-    x, y = np.searchsorted(sig, xs), np.searchsorted(sig, ys)
-    here = (x < len(sig)) & (y < len(sig))
-    here[here] = (sig[x[here]] == xs[here]) & (sig[y[here]] == ys[here])
-    x, y = x[here].astype(np.int32), y[here].astype(np.int32)
+    own, lists = _Records(segments), _lists(wanted)
+    x, y = (np.concatenate([np.searchsorted(own.sig, a.sig)[getattr(a, n)] for a in lists]).astype(np.int32) for n in "xy")
     order = np.lexsort((y, x))
     x, y = x[order], y[order]
-    shared = np.zeros(len(x), np.int32)
+    found = np.zeros(len(x), np.int32)
     at, many = runs(x)
     for g, rec in own.slices():
-        order = np.argsort(rec, kind="stable")
-        rec, g = rec[order], np.unique(g, return_inverse=True)[1][order].astype(np.int32)
-        cut = np.searchsorted(rec, np.arange(len(sig) + 1))
+        by = np.argsort(rec, kind="stable")
+        rec, g = rec[by], np.unique(g, return_inverse=True)[1][by].astype(np.int32)
+        cut = np.searchsorted(rec, np.arange(len(own.sig) + 1))
         width = np.diff(cut)
         seen = np.zeros(int(g.max()) + 1 if len(g) else 1, bool)
         for s, k in zip(at, many):  # one record against all its partners
@@ -268,11 +304,29 @@ def _overlaps(segments: pa.Table, wanted: pa.Table) -> pa.Table:
                 ends = np.cumsum(w)
                 where = np.repeat(cut[part] - ends + w, w) + np.arange(ends[-1])
                 sums = np.concatenate([[0], np.cumsum(seen[g[where]])])
-                shared[i : i + len(part)] += (sums[ends] - sums[ends - w]).astype(np.int32)
+                found[i : i + len(part)] += (sums[ends] - sums[ends - w]).astype(np.int32)
             seen[one] = False
-    some = shared > 0
-    x, y, shared = x[some], y[some], shared[some]
-    return pa.table({"x": sig[x].view(np.int64), "y": sig[y].view(np.int64), "sizes": (size[x] + size[y]).astype(np.int32), "shared": shared}, schema=_COUNTS)
+    shared = np.empty(len(found), np.uint32)
+    shared[order] = found
+    cut = np.concatenate([[0], np.cumsum([len(a.x) for a in lists])])
+    frag = places[segments.column("frag")[0].as_py()]
+    return pa.Table.from_batches([rows([(b, frag, squeeze(shared[m:n])) for b, m, n in zip(wanted.column("bucket").to_pylist(), cut[:-1], cut[1:])], _COUNTS)])
+
+
+_CLOSE = pa.schema([("x", pa.int64()), ("y", pa.int64()), ("j", pa.float64())])
+
+
+def _summed(pairs: pa.Table, counts: pa.Table, t: float, coarse: int) -> pa.Table:
+    """One bucket's pairs with enough overlap in all fragments together."""
+    if not pairs.num_rows:
+        return _CLOSE.empty_table()
+    (own,) = _lists(pairs)
+    both, total = own.held[own.x] & own.held[own.y], np.zeros(len(own.x), np.int64)
+    for f, shared in zip(counts.column("frag").to_pylist(), cells(counts, "shared")):
+        total[((both >> np.uint64(_bits(np.int64(f), coarse))) & np.uint64(1)).astype(bool)] += loose(shared, np.uint32)
+    j = total / (own.size[own.x] + own.size[own.y] - total)
+    near = np.flatnonzero(j >= t)
+    return pa.table({"x": own.sig[own.x[near]].view(np.int64), "y": own.sig[own.y[near]].view(np.int64), "j": j[near]}, schema=_CLOSE)
 
 
 def _members(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,19 +349,17 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: float)
     shared = sent.repartition(frags, "frag").groupBy("frag").applyInArrow(trimmed(_shared), PACKED)
     active = scratch.written(shared.groupBy("uid").applyInArrow(trimmed(lambda x: _active(x, threshold, coarse, coarse_keys)), PACKED), "active")
     members = scratch.written(active.filter("kind = 0").mapInArrow(_members, "id long, sig long, size int").distinct(), "members")
-    wanted = active.filter("kind = 1").repartition(coarse, "frag").groupBy("frag").applyInArrow(trimmed(lambda x: _candidates(x, threshold)), "x long, y long, held long").distinct()
-    at = F.array(*[F.struct(F.lit(int(k)).alias("frag"), F.lit(int(_bits(np.int64(f), coarse))).alias("bit")) for f, k in enumerate(coarse_keys)])
-    every = wanted.select("x", "y", "held", F.explode(at).alias("f")).filter("getbit(held, f.bit) = 1").select("x", "y", F.col("f.frag").alias("frag"))
+    wanted = active.filter("kind = 1").repartition(coarse, "frag").groupBy("frag").applyInArrow(trimmed(lambda x: _candidates(x, threshold, keys)), PAIRS)
+    every = wanted.repartition(frags, "frag").groupBy("frag").applyInArrow(trimmed(lambda x: _spread_pairs(x, coarse, coarse_keys)), PAIRS)
+    every = scratch.written(every, "pairs")
+    places = {int(k): f for f, k in enumerate(coarse_keys)}
     counted = (
         active.filter("kind = 2").repartition(coarse, "frag").groupBy("frag")
-        .cogroup(every.repartition(coarse, "frag").groupBy("frag"))
-        .applyInArrow(trimmed(_overlaps), "x long, y long, sizes int, shared int")
-    )
-    close = (
-        counted.groupBy("x", "y").agg(F.max("sizes").alias("sizes"), F.sum("shared").alias("shared"))
-        .withColumn("j", F.col("shared") / (F.col("sizes") - F.col("shared"))).filter(F.col("j") >= threshold).select("x", "y", "j")
+        .cogroup(every.filter("kind = 1").repartition(coarse, "frag").groupBy("frag"))
+        .applyInArrow(trimmed(lambda x, y: _overlaps(x, y, places)), COUNTS)
     )
-    return members, scratch.written(close, "close", active)
+    close = every.filter("kind = 0").groupBy("bucket").cogroup(counted.groupBy("bucket")).applyInArrow(trimmed(lambda x, y: _summed(x, y, threshold, coarse)), "x long, y long, j double")
+    return members, scratch.written(close, "close", active, every)
 
 
 def all_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold: float = THRESHOLD) -> DataFrame:
