@@ -6,7 +6,7 @@ A document goes if its whole ratio is out of band, or chunks out of band hold mo
 ``bad_share`` of its bytes. The whole text is compressed, however long.
 
 Nulls and ties: a null or empty text is rejected as ``empty``. Every row is judged by its text
-alone, so repeated rows get one decision, null ids and other columns are untouched, and an empty
+alone, so repeated rows get one decision, null ids and other columns are untouched, ids are integers (or text that reads as integers), and an empty
 table gives an empty result.
 """
 

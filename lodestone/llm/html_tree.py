@@ -11,7 +11,7 @@ text with few links.
 The result has one row for each input row. Nulls and ties: a null page gives null text and title; an empty one, or one
 without any text, gives ``""``. Of containers with equal scores the first in the document wins. A page without a single
 scoring paragraph gives the text of its body without navigation, headers, footers, asides and forms.
-Repeated rows are repeated in the result. Null ids stay; other columns are ignored. No page is cut off.
+Repeated rows are repeated in the result. Null ids stay, and ids are integers (or text that reads as integers); other columns are ignored. No page is cut off.
 """
 
 from __future__ import annotations

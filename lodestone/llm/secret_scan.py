@@ -11,7 +11,7 @@ placeholders and plain words. From ``THRESHOLD`` on it is reported.
 The result has one row for each finding: where the value stands (in characters), the name, the score, the literal's length, its
 first four characters and its SHA-256; the secret itself is not repeated.
 
-Nulls and ties: null and empty texts have no findings; a null id stays null. Each assignment is reported by
+Nulls and ties: null and empty texts have no findings; a null id stays null; ids are integers (or text that reads as integers). Each assignment is reported by
 itself, also where names and literals repeat; repeated rows repeat their findings. A name assigned anew has its last value.
 Other columns are ignored. Texts are scanned whole, and literals, names, types and the blanks between them may
 be of any length; a value put together that is longer than its whole text is scored but not carried on.

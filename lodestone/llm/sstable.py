@@ -16,7 +16,7 @@ that keys sort as identifiers do; a value is the document's other columns as JSO
 Nulls and ties: a null identifier has the empty key, first of all, and is found by looking up None.
 Rows that repeat an identifier are all stored, in order of their values, and a lookup returns them all;
 they may lie in neighbouring shards. Null columns are stored as null. Extra columns are stored
-like the others. An empty table gives no shards. A document larger than a block has one of its own.
+like the others. Ids are integers (or text that reads as integers). An empty table gives no shards. A document larger than a block has one of its own.
 """
 
 from __future__ import annotations
@@ -227,12 +227,25 @@ def documents(shards: DataFrame) -> DataFrame:
 
 
 def lookup(shards: DataFrame, ids: list[int | None]) -> list[dict]:
-    """The values of some identifiers; only shards whose range holds one are read."""
-    wanted = F.lit(False)
-    for i in ids:
-        wanted = wanted | (F.col("first_id").isNull() if i is None else (F.coalesce(F.col("first_id") <= i, F.lit(True)) & (F.col("last_id") >= i)))
-    out = []
-    for row in shards.filter(wanted).orderBy("shard").select("sstable").toLocalIterator():
-        reader = Reader(bytes(row.sstable))
-        out += [{"doc_id": i, **v} for i in ids for v in reader.get(i)]
-    return out
+    """The values of some identifiers, in their order. The tasks read only shards whose range holds one, and only what is found comes to the driver."""
+    known, null = sorted({i for i in ids if i is not None}), None in ids
+    inside = F.lit(False)
+    if known:
+        inside = (F.coalesce(F.col("first_id"), F.lit(known[0])) <= known[-1]) & (F.col("last_id") >= known[0])
+    if null:
+        inside = inside | F.col("first_id").isNull()
+
+    def read(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for first, last, shard, data in zip(*(part.column(c).to_pylist() for c in ("first_id", "last_id", "shard")), part.column("sstable")):
+                low = 0 if first is None else bisect.bisect_left(known, first)
+                wanted = [None] * (null and first is None) + (known[low : bisect.bisect_right(known, last)] if last is not None else [])
+                if wanted:
+                    reader = Reader(data.as_py())
+                    rows = [(i, shard, k, json.dumps(v, ensure_ascii=False)) for i in wanted for k, v in enumerate(reader.get(i))]
+                    yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string()))], names=["doc_id", "shard", "place", "value"])
+
+    found: dict[int | None, list[dict]] = {}
+    for r in shards.filter(inside).select("first_id", "last_id", "shard", "sstable").mapInArrow(read, "doc_id long, shard long, place long, value string").orderBy("shard", "place").toLocalIterator():
+        found.setdefault(r.doc_id, []).append({"doc_id": r.doc_id, **json.loads(r.value)})
+    return [v for i in dict.fromkeys(ids) for v in found.get(i, [])]

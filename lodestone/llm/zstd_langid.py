@@ -12,7 +12,7 @@ short rows has a dictionary too. The bound is a parameter and does not grow with
 
 Nulls and ties: null and empty texts, and texts of fewer than ``LEAST_BYTES`` bytes, are rejected. Equal sizes are a margin of
 0 and rejected. Every row is judged by its text alone; repeated rows and null ids stay, other columns
-are ignored. Without labelled rows there are no dictionaries and everything is rejected. An empty table gives an empty result.
+are ignored. Ids are integers (or text that reads as integers). Without labelled rows there are no dictionaries and everything is rejected. An empty table gives an empty result.
 """
 
 from __future__ import annotations
