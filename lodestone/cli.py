@@ -8,6 +8,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodestone import staging
 from lodestone.functions import embed
 from lodestone.operators import chunking, evaluate, fusion, knn, rag
 from lodestone.operators.index import Index, with_ids
@@ -41,12 +42,16 @@ def search(index: Index, text: str, k: int = 10, strategy: str = "rrf", embedder
     return found if most is None else fusion.with_threshold(found, most, "score" in found.columns)
 
 
-def evaluated(index: Index, dataset: str, embedder: str = "hash", k: int = 20) -> DataFrame:
+def evaluated(index: Index, dataset: str, embedder: str = "hash", ks: tuple[int, ...] = evaluate.KS) -> DataFrame:
     """Means of precision, recall and F1 over a data set of judged queries, all queries in one job."""
+    return evaluate.aggregate(*_judged(index, dataset, embedder, max(ks)), ks)
+
+
+def _judged(index: Index, dataset: str, embedder: str, k: int) -> tuple[DataFrame, DataFrame]:
     queries, qrels = readers.evaluation_set(index.spark, dataset)
     vecs = embed.embedded(queries, embedder, index.dimension, "qid", "query").withColumnRenamed("id", "qid")
     results = knn.knn_batch(vecs, index.vectors(), k, index.metric, "qid", "vec", "id", "vec")
-    return evaluate.aggregate(results, qrels.withColumn("id", F.col("id").cast("long")))
+    return staging.written(results, "results"), qrels.withColumn("id", F.col("id").cast("long"))
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -72,6 +77,8 @@ def main(argv: list[str] | None = None) -> None:
     e.add_argument("name")
     e.add_argument("dataset")
     e.add_argument("--output")
+    e.add_argument("--k-values", default="1,3,5,10,20")
+    e.add_argument("--verbose", action="store_true")
     sub.add_parser("list")
     sub.add_parser("remove").add_argument("name")
     a = p.parse_args(argv)
@@ -86,8 +93,13 @@ def main(argv: list[str] | None = None) -> None:
         if a.verb == "remove":
             index.remove()
         elif a.verb == "evaluate":
-            found = evaluated(index, a.dataset)
+            ks = tuple(int(k) for k in a.k_values.split(","))
+            judged = _judged(index, a.dataset, "hash", max(*ks, 10))
+            found = evaluate.aggregate(*judged, ks)
             found.orderBy("k").show()
+            if a.verbose:
+                evaluate.at_k(*judged, ks).orderBy("qid", "k").show(1000)
+            evaluate.recommendations(*judged).show(truncate=False)
             if a.output:
                 found.coalesce(1).write.mode("overwrite").json(a.output)
         else:

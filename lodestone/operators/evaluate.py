@@ -76,6 +76,34 @@ def summary(results: DataFrame, qrels: DataFrame) -> DataFrame:
     return both.agg(F.count("*").alias("n_queries"), F.avg("ap").alias("map"), F.avg("rr").alias("mrr"), F.count_if(F.col("hits") == 0).alias("queries_without_hits"))
 
 
+#: Below these means a measure calls for attention, and what helps.
+ADVICE = (
+    ("precision@10", 0.3, "search with more effort, cut smaller chunks or take a better embedder"), ("recall@10", 0.4, "ask for more results, link the graph more densely, or see whether all documents are indexed"),
+    ("ndcg@10", 0.5, "the order of the results is poor: another embedder, or other chunk sizes and overlaps"), ("map", 0.3, "the ranking is poor as a whole: a better embedder, or cleaner documents"), ("mrr", 0.5, "the first result is often wrong: search with more effort, or filter by metadata"),
+)
+
+
+def recommendations(results: DataFrame, qrels: DataFrame) -> DataFrame:
+    """``(measure, value, advice)``: what is below its threshold; queries without results; and ``good`` if precision, recall and NDCG are all high."""
+    ten, means = aggregate(results, qrels, (10,)), summary(results, qrels)
+    ndcg = ndcg_binary(results, qrels, 10).agg(F.avg("ndcg").alias("ndcg"))
+    empty = qrels.select("qid").distinct().join(results.select("qid").distinct(), "qid", "left_anti").agg(F.count("*").alias("empty"))
+    one = ten.crossJoin(means).crossJoin(ndcg).crossJoin(empty)
+    values = {"precision@10": F.col("precision"), "recall@10": F.col("recall"), "ndcg@10": F.col("ndcg"), "map": F.col("map"), "mrr": F.col("mrr")}
+    lines = [F.when(values[n] < least, F.struct(F.lit(n).alias("measure"), values[n].alias("value"), F.lit(text).alias("advice"))) for n, least, text in ADVICE]
+    lines.append(F.when(F.col("empty") > 0, F.struct(F.lit("queries without results").alias("measure"), F.col("empty").cast("double").alias("value"), F.lit("see whether all documents are indexed, by the same embedder").alias("advice"))))
+    good = (F.col("precision") >= 0.7) & (F.col("recall") >= 0.6) & (F.col("ndcg") >= 0.7)
+    lines.append(F.when(good, F.struct(F.lit("good").alias("measure"), F.col("ndcg").alias("value"), F.lit("the settings do well").alias("advice"))))
+    return one.select(F.inline(F.filter(F.array(*lines), lambda x: x.isNotNull())))
+
+
+def recall_by_text(found: DataFrame, golden: DataFrame) -> DataFrame:
+    """``(qid, recall)``: the share of each query's golden texts, ``(qid, text)``, that are among its results' texts."""
+    wanted = golden.select("qid", "text").distinct()
+    hit = found.select("qid", "text").distinct().withColumn("__hit", F.lit(1))
+    return wanted.join(hit, ["qid", "text"], "left").groupBy("qid").agg((F.count("__hit") / F.count("*")).alias("recall"))
+
+
 def recall_against(found: DataFrame, exact: DataFrame, k: int) -> DataFrame:
     """``(qid, recall)``: the share of the k exact neighbours that were found."""
     hits = found.filter(F.col("rank") <= k).join(exact.filter(F.col("rank") <= k).select("qid", "id"), ["qid", "id"]).groupBy("qid").agg(F.count("*").alias("n"))

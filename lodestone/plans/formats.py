@@ -17,7 +17,7 @@ from lodestone.functions import text as T
 from lodestone.functions.metadata import predicate, projected
 from lodestone.operators import backends, chunking, evaluate, fusion, knn
 from lodestone.operators.index import Index
-from lodestone.plans.catalogue import ASKED, COS, K, _bm25_sql, _docs, _emb, _fusion_sql, _q, _r, _sides, _t, query
+from lodestone.plans.catalogue import _EVAL, ASKED, COS, K, _bm25_sql, _docs, _emb, _eval, _fusion_sql, _q, _r, _sides, _t, query
 from lodestone.sources import exports, readers
 
 
@@ -274,3 +274,18 @@ def compact_search(spark: SparkSession, d: str) -> DataFrame:
     near = docs.select(F.col("id").alias("src"), F.explode(F.array(F.col("id") - 1, F.col("id") + 1)).alias("dst"))
     q = [float(x) for x in embed.by_bytes(["what is licensed"], 64)[0]]
     return embed.two_phase(stored, near, docs, q, 10, "hash", 64).select("id", _r("distance"))
+
+
+@query(_EVAL + """, n AS (SELECT avg(d) AS ndcg FROM (SELECT sum(CASE WHEN rel > 0 AND rank <= 10 THEN 1 / log2(rank + 1) ELSE 0 END) / list_sum(list_transform(range(1, least(any_value(n_rel), 10) + 1), lambda i: 1 / log2(i + 1))) AS d FROM j GROUP BY qid)),
+x AS (SELECT 'precision@10' AS measure, avg(pr) AS value, 0.3 AS least FROM m WHERE k = 10 UNION ALL SELECT 'recall@10', avg(re), 0.4 FROM m WHERE k = 10 UNION ALL SELECT 'ndcg@10', ndcg, 0.5 FROM n UNION ALL SELECT 'map', avg(ap), 0.3 FROM ap UNION ALL SELECT 'mrr', avg(rr), 0.5 FROM rr)
+SELECT measure, round(value, 6) AS value FROM x WHERE value < least UNION ALL SELECT 'good', round(ndcg, 6) FROM n WHERE ndcg >= 0.7 AND (SELECT value FROM x WHERE measure = 'precision@10') >= 0.7 AND (SELECT value FROM x WHERE measure = 'recall@10') >= 0.6""")
+def recommendations(spark: SparkSession, d: str) -> DataFrame:
+    results, qrels = _eval(spark, d)
+    return evaluate.recommendations(staging.written(results, "results"), qrels).select("measure", _r("value"))
+
+
+@query("""WITH g AS (SELECT DISTINCT conv_id, text FROM conversations), f AS (SELECT DISTINCT conv_id, text FROM conversations WHERE turn % 2 = 0)
+SELECT g.conv_id AS qid, round(count(f.text) / count(*), 6) AS recall FROM g LEFT JOIN f ON f.conv_id = g.conv_id AND f.text = g.text GROUP BY 1""")
+def recall_by_text(spark: SparkSession, d: str) -> DataFrame:
+    rows = _t(spark, d, "conversations").select(F.col("conv_id").alias("qid"), "turn", "text")
+    return evaluate.recall_by_text(rows.filter("turn % 2 = 0"), rows).select("qid", _r("recall"))
