@@ -247,16 +247,28 @@ def arc_file(name: str, version: int, items: list[tuple[str | None, str | None,
 
 
 def pages_to_arc(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", per_file: int = PAGES) -> DataFrame:
-    """ARC files ``(path, content)`` of a page table, versions 1 and 2 in turn; dates follow from the ids."""
+    """ARC files ``(path, content)`` of a page table, versions 1 and 2 in turn; dates follow from the ids.
+
+    An archive has the pages of ``per_file`` neighbouring ids, at most so many; pages without an id go by a hash of what they hold. So the archives are the same however the table is read.
+    """
+
+    def one(rows: list[tuple]) -> pa.RecordBatch:
+        version = 1 + (rows[0][1] or 0) % 2
+        name = f"{hashlib.sha1(repr([r[1:3] for r in rows]).encode()).hexdigest()[:16]}.arc"
+        items = [(u, h, f"{1996 + (i or 0) % 12}0{1 + (i or 0) % 9}15{(i or 0) % 24:02d}3000") for _, i, u, h in rows]
+        return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([arc_file(name, version, items)], pa.binary())], names=["path", "content"])
 
     def made(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
         for part in parts:
-            for at in range(0, part.num_rows, per_file):
-                rows = part.slice(at, per_file).to_pylist()
-                version = 1 + (rows[0]["i"] or 0) % 2
-                name = f"{hashlib.sha1(repr([(r['i'], r['u']) for r in rows]).encode()).hexdigest()[:16]}.arc"
-                items = [(r["u"], r["h"], f"{1996 + (r['i'] or 0) % 12}0{1 + (r['i'] or 0) % 9}15{(r['i'] or 0) % 24:02d}3000") for r in rows]
-                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([arc_file(name, version, items)], pa.binary())], names=["path", "content"])
+            for row in zip(*(part.column(c).to_pylist() for c in "aiuh")):
+                if held and (held[0][0] != row[0] or len(held) == per_file):
+                    yield one(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield one(held)
 
     own = pages.select(F.col(id_col).cast("long").alias("i"), F.col(url_col).cast("string").alias("u"), F.col(html_col).cast("string").alias("h"))
-    return own.mapInArrow(made, "path string, content binary")
+    archive = F.coalesce(F.floor(F.col("i") / per_file), -1 - F.pmod(F.xxhash64("u", "h"), F.lit(2**20)))
+    return own.withColumn("a", archive.cast("long")).repartition("a").sortWithinPartitions("a", "i", "u", "h").select("a", "i", "u", "h").mapInArrow(made, "path string, content binary")

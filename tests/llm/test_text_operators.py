@@ -378,6 +378,15 @@ def test_archives_written_by_hand():
     assert [r["arc_version"] for r in arc_to_warc.records(two)] == [2, 2]
 
 
+def test_archives_of_pages_do_not_depend_on_partitions(spark):
+    rows = [(i, f"http://a/{i}", f"<p>{i}") for i in range(450)] + [(None, f"http://b/{i}", None) for i in range(9)] + [(7, "http://a/7", "<p>again")] * 2
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    ways = [sorted(r.record_id for r in arc_to_warc.convert(arc_to_warc.pages_to_arc(df.repartition(n))).collect()) for n in (1, 5)]
+    assert ways[0] == ways[1] and len(set(ways[0])) == len(ways[0])
+    got = arc_to_warc.convert(arc_to_warc.pages_to_arc(df)).filter("warc_type <> 'warcinfo'")
+    assert got.count() == len(rows) and got.filter("fault is not null").count() == 0
+
+
 def test_odd_archives():
     page = b"HTTP/1.0 200 OK\r\n\r\nx"
     line = b"http://a/ 1.1.1.1 19990203040506 text/html %d" % len(page)
