@@ -33,7 +33,7 @@ def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", dict_by
     """Dictionaries by language."""
     own = docs.select(F.col(lang_col).cast("string").alias("l"), F.col(text_col).cast("string").alias("t")).filter("l is not null and length(t) > 0")
     sums = {r.l: (r.n, r.p) for r in own.groupBy("l").agg(F.sum(F.length("t")).alias("n"), F.sum(F.ceil(F.length("t") / PIECE)).alias("p")).collect()}
-    pieces = own.select("l", F.col("t"), F.explode(F.sequence(F.lit(1), F.length("t"), F.lit(PIECE))).alias("at")).select("l", F.expr(f"substring(t, at, {PIECE})").alias("t")).withColumn("h", F.xxhash64("t"))
+    pieces = own.select("l", F.explode(F.regexp_extract_all("t", F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))).alias("t")).withColumn("h", F.xxhash64("t"))
     picked = F.lit(False)
     for lang, (chars, count) in sums.items():
         # four times what is needed, and 64 pieces more, so that chance leaves no dictionary short
