@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import json
+import uuid
 import zipfile
 from collections.abc import Iterator
 
@@ -241,7 +242,7 @@ def _index(spark: SparkSession, d: str) -> Index:
     n = _emb(spark, d).count()
     vecs = docs.select("id", (F.col("id") % n).alias("vec_id")).join(_emb(spark, d), "vec_id").select("id", F.col("embedding").alias("vec"))
     odd = F.col("id") % 2 == 1
-    index = Index.build(spark, f"{staging.shared_dir(spark)}/index-{abs(hash((d, spark.sparkContext.applicationId)))}", docs.filter(~odd), vecs.filter(~odd))
+    index = Index.build(spark, f"{staging.shared_dir(spark)}/index-{uuid.uuid4().hex[:12]}", docs.filter(~odd), vecs.filter(~odd))
     index.append(docs.filter(odd), vecs.filter(odd))
     return Index.load(spark, index.folder)
 
