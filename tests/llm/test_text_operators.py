@@ -280,7 +280,7 @@ def perplexity_rows():
     return [(r[0], r[1], r[2]) for r in fixtures.rows()] + [(100 + k, fixtures.prose(300 + k, 50 + k), "en") for k in range(12)] + [(120, fixtures.prose(500, 30), "a\0b"), (121, "今天天气很好！ 我们 " + fixtures.prose(501, 9), "zh")]
 
 
-@pytest.mark.parametrize("passes", [1, 2, 5])
+@pytest.mark.parametrize("passes", [1, 3])
 def test_perplexities_equal_brute_force(spark, passes):
     rows = perplexity_rows()
     labels = [(i, 1, 0) for i in (0, 3, 4, 7, 10, 100, 101, 102, 103)] + [(1, 0, 0), (8, 1, 1), (104, None, None), (None, 1, 0), (0, 1, 0), (105, 1, None)]
