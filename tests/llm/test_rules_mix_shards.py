@@ -59,7 +59,7 @@ def brute_mix(rows, weights, default, fraction, seed):
             u = (int(hashlib.md5(f"{seed}:{key}".encode()).hexdigest()[:12], 16) + 0.5) / 2**48
             f = e - math.floor(e)
             places -= math.floor(e)
-            out[i, s, n] = math.floor(e)
+            out[i, s, n] = out.get((i, s, n), 0) + math.floor(e)
             if f > 0:
                 left.append((u * (1 - f) / ((1 - u) * f), key, (i, s, n)))
         for _, _, k in sorted(left)[:places]:
