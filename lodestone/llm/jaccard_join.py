@@ -13,6 +13,10 @@ The global order of the n-grams (64-bit hashes) is cut into fragments. All excha
 4. Each fragment counts the candidates' partial overlaps by itself; the sum per pair is the
    exact overlap. Candidates travel in buckets, as lists of records and pairs of places in them, and only their counts come back.
 
+5. A prefix n-gram of very many records lists no pairs, whose number grows with the square of theirs. Its records are a group
+   (connected over all such n-grams), of which the whole n-gram sets are brought together and compared block by block. Each block
+   returns counts, a forest of links and only those pairs that are asked for. Pairs from 3 within one group are left to it.
+
 Nothing is capped: hot n-grams stand at the end of the order and outside nearly all prefixes,
 and copies collapse into one record. The join is by default returned as one row per document, with its class and its number of
 links: a thousand copies are a thousand rows, not half a million. `all_pairs` gives the pairs themselves. An n-gram set is known by the 64-bit sum of its
@@ -51,6 +55,11 @@ COARSER = 4
 #: Links up to this number are followed in one task; beyond it in rounds over all executors, with the same result.
 FEW_LINKS = 1_000_000
 
+#: A prefix n-gram of more records than this makes their group instead of pairs; so do, in a slice of a fragment, the longest lists beyond so many pairs.
+HOT, MOST_PAIRS = 200, 2_000_000
+#: N-grams and records in a block of a group.
+BLOCK_GRAMS, BLOCK_RECORDS = 500_000, 2_000
+
 PACKED = "frag int, uid long, kind int, a binary, b binary, c binary"
 _PACKED = pa.schema([("frag", pa.int32()), ("uid", pa.int64()), ("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
 
@@ -213,14 +222,28 @@ def _lists(table: pa.Table) -> list[_Listed]:
     return [_Listed(*x) for x in zip(*(cells(table, n) for n in ("sig", "size", "held", "x", "y")))]
 
 
-def _candidates(table: pa.Table, t: float, keys: np.ndarray) -> pa.Table:
-    """The pairs of records that share a prefix n-gram and whose sizes allow enough overlap, in buckets by their first record."""
+def _longest(many: np.ndarray, hot: int, most: int) -> int:
+    """The length up to which lists of records make pairs: at most ``hot``, and less where the pairs were more than ``most``."""
+    by = np.sort(many).astype(np.int64)
+    beyond = np.cumsum(by * (by - 1) // 2) > most
+    return min(hot, int(by[np.argmax(beyond)]) - 1) if beyond.any() else hot
+
+
+def _candidates(table: pa.Table, t: float, keys: np.ndarray, hot: int = 2**62, most: int = 2**62) -> pa.Table:
+    """The pairs of records that share a prefix n-gram and whose sizes allow enough overlap, in buckets by their first record (kind 0).
+
+    Lists that are too long for pairs give links of their records to their first one instead (kind 2).
+    """
     own = _Records(table)
     size, total = own.size, len(own.sig)
     found: list[np.ndarray] = []
+    linked: list[np.ndarray] = []
     for g, rec in own.slices():
         at, many = runs(g)
-        keep = np.repeat(many > 1, many)  # n-grams of one record make no pair
+        longest = _longest(many, hot, most)
+        long = np.repeat(many > longest, many)
+        linked.append(np.unique(rec[np.repeat(at, many)[long]].astype(np.int64) * total + rec[long]))
+        keep = np.repeat((many > 1) & (many <= longest), many)  # n-grams of one record make no pair
         begin = np.repeat(at + many, many)[keep]  # where each posting's list ends
         place = np.flatnonzero(keep)
         order = np.argsort(rec[keep], kind="stable")
@@ -254,7 +277,139 @@ def _candidates(table: pa.Table, t: float, keys: np.ndarray) -> pa.Table:
     part = _fragment(mix(own.sig[x]), len(keys))
     order = np.argsort(part, kind="stable")
     x, y = x[order], y[order]
-    return pa.Table.from_batches([rows([_listed(int(keys[part[order[at]]]), int(part[order[at]]), 0, own.sig, size, own.held, x[at : at + k], y[at : at + k]) for at, k in zip(*runs(part[order]))], _PAIRS)])
+    out = [_listed(int(keys[part[order[at]]]), int(part[order[at]]), 0, own.sig, size, own.held, x[at : at + k], y[at : at + k]) for at, k in zip(*runs(part[order]))]
+    links = np.unique(np.concatenate(linked)) if linked else np.zeros(0, np.int64)
+    if len(links):
+        out.append(_listed(-1, -1, 2, own.sig, size, own.held, links // total, links % total))
+    return pa.Table.from_batches([rows(out, _PAIRS)])
+
+
+def _hot_links(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in parts:
+        for a in _lists(pa.Table.from_batches([part])):
+            yield pa.RecordBatch.from_arrays([pa.array(a.sig[a.x].view(np.int64)), pa.array(a.sig[a.y].view(np.int64))], names=["doc_a", "doc_b"])
+
+
+_BLOCK = pa.schema([("head", pa.int64()), ("block", pa.int64()), *((n, pa.binary()) for n in ("sig", "size", "single", "mark", "many", "g"))])
+BLOCK = "head long, block long, sig binary, size binary, single binary, mark binary, many binary, g binary"
+
+
+def _whole(segments: pa.Table, wanted: pa.Table) -> pa.Table:
+    """The whole sets of shared n-grams of a batch's records that are in groups, by blocks."""
+    if not wanted.num_rows or not segments.num_rows:
+        return _BLOCK.empty_table()
+    own, col = _Records(segments), {n: column(wanted, n).to_numpy(zero_copy_only=False) for n in ("sig", "head", "block", "size", "single", "mark")}
+    order = np.lexsort((col["sig"], col["block"], col["head"]))
+    col = {n: x[order] for n, x in col.items()}
+    at = np.searchsorted(own.sig, col["sig"].view(np.uint64))
+    if (own.sig[np.minimum(at, len(own.sig) - 1)] != col["sig"].view(np.uint64)).any():
+        raise ValueError("a record of a group is missing from its batch")
+    place = np.full(len(own.sig), -1, np.int32)
+    place[at] = np.arange(len(at))
+    gs, recs = [], []
+    for g, rec in own.slices():
+        mine = place[rec] >= 0
+        gs.append(g[mine])
+        recs.append(place[rec[mine]])
+    g, rec = np.concatenate(gs), np.concatenate(recs)
+    order = np.lexsort((g, rec))
+    g, many = g[order], np.bincount(rec, minlength=len(at))
+    ends, out = np.concatenate([[0], np.cumsum(many)]), []
+    new = starts(col["head"], col["block"])
+    for i, j in zip(new, np.append(new[1:], len(at))):
+        out.append((int(col["head"][i]), int(col["block"][i]), *(col[n][i:j].astype(k).tobytes() for n, k in (("sig", np.int64), ("size", np.int64), ("single", np.int64), ("mark", bool))), many[i:j].astype(np.int64).tobytes(), squeeze(g[ends[i] : ends[j]], True)))
+    return pa.Table.from_batches([rows(out, _BLOCK)])
+
+
+class _Block:
+    """A block's records and their n-grams."""
+
+    def __init__(self, table: pa.Table):
+        self.sig, self.size, self.single, self.mark, many = (np.concatenate([np.frombuffer(x, k) for x in cells(table, n)]) for n, k in (("sig", np.int64), ("size", np.int64), ("single", np.int64), ("mark", bool), ("many", np.int64)))
+        self.g = np.concatenate([loose(x, np.uint64, True) for x in cells(table, "g")])
+        self.rec = np.repeat(np.arange(len(many), dtype=np.int32), many)
+
+
+def _common(a: _Block, b: _Block) -> np.ndarray:
+    """The number of n-grams that each record of a shares with each of b."""
+    high, wide = len(a.sig), len(b.sig)
+    known = np.intersect1d(a.g, b.g)
+    total = np.zeros((high, wide), np.int32)
+    if not len(known):
+        return total
+
+    def sorted_by(x: _Block) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(known, x.g), len(known) - 1)
+        some = np.flatnonzero(known[at] == x.g)
+        some = some[np.argsort(at[some], kind="stable")]
+        return at[some], x.rec[some]
+
+    (ga, ra), (gb, rb) = sorted_by(a), sorted_by(b)
+    na, nb = np.bincount(ga, minlength=len(known)), np.bincount(gb, minlength=len(known))
+    full = na * nb * 32 > high * wide  # by a product of matrices, the others pair by pair
+    number = np.cumsum(full) - 1
+    pa_, pb_ = full[ga], full[gb]
+    fa, fb = (number[ga[pa_]], ra[pa_]), (number[gb[pb_]], rb[pb_])
+    for k in range(0, int(full.sum()), 512):
+        sides = []
+        for (n, r), count in ((fa, high), (fb, wide)):
+            i, j = np.searchsorted(n, [k, k + 512])
+            m = np.zeros((count, 512), np.float32)
+            m[r[i:j], n[i:j] - k] = 1
+            sides.append(m)
+        total += (sides[0] @ sides[1].T).astype(np.int32)
+    begin = (np.cumsum(nb) - nb)[ga[~pa_]]
+    width, ra = nb[ga[~pa_]], ra[~pa_]
+    reach, i = np.cumsum(width), 0
+    while i < len(width):
+        j = max(i + 1, int(np.searchsorted(reach, (reach[i - 1] if i else 0) + 1_000_000, "right")))
+        w = width[i:j]
+        hits = rb[np.repeat(begin[i:j] - np.cumsum(w) + w, w) + np.arange(w.sum())]
+        total += np.bincount(np.repeat(ra[i:j], w).astype(np.int64) * wide + hits, minlength=high * wide).reshape(high, wide).astype(np.int32)
+        i = j
+    return total
+
+
+def _joined(near: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``near`` links rows with columns: the linked rows and columns, and for each the first row of what is connected with it."""
+    top, side = np.full(near.shape[0], -1), np.full(near.shape[1], -1)
+    left = near.any(1)
+    while left.any():
+        root = int(np.argmax(left))
+        some = np.array([root])
+        while len(some):
+            top[some], left[some] = root, False
+            cols = np.flatnonzero(near[some].any(0) & (side < 0))
+            side[cols] = root
+            some = np.flatnonzero(near[:, cols].any(1) & left)
+    x, y = np.flatnonzero(top >= 0), np.flatnonzero(side >= 0)
+    return x, top[x], y, side[y]
+
+
+_DENSE = pa.schema([("kind", pa.int32()), ("x", pa.int64()), ("y", pa.int64()), ("n", pa.int64()), ("j", pa.float64())])
+DENSE = "kind int, x long, y long, n long, j double"
+
+
+def _compared(table: pa.Table, t: float, every: bool) -> pa.Table:
+    """Two blocks of a group, or one with itself: each record's similar documents (kind 0), links that connect what is similar (1), and the pairs of marked records or all (2)."""
+    a = _Block(table.filter(pc.equal(table.column("side"), 0)))
+    same = table.column("p")[0].as_py() == table.column("q")[0].as_py()
+    b = a if same else _Block(table.filter(pc.equal(table.column("side"), 1)))
+    total = _common(a, b)
+    near = total / (a.size[:, None] + b.size[None, :] - total) >= t
+    if same:
+        np.fill_diagonal(near, False)
+    x, top, y, side = _joined(near)
+    u, v = np.concatenate([a.sig[top], a.sig[side]]), np.concatenate([a.sig[x], b.sig[y]])
+    u, v = u[u != v], v[u != v]
+    sig, count = (a.sig[x], near[x] @ b.single) if same else (np.concatenate([a.sig[x], b.sig[y]]), np.concatenate([near[x] @ b.single, a.single @ near[:, y]]))
+    p, q = np.nonzero(near if every else near & (a.mark[:, None] | b.mark[None, :]))
+    if same:
+        p, q = p[p < q], q[p < q]
+    j = total[p, q] / (a.size[p] + b.size[q] - total[p, q])
+    kinds = np.repeat(np.arange(3, dtype=np.int32), [len(sig), len(u), len(p)])
+    out = pa.table({"kind": kinds, "x": np.concatenate([sig, u, a.sig[p]]), "y": np.concatenate([sig, v, b.sig[q]]), "n": np.concatenate([count, np.zeros(len(u) + len(p), np.int64)]), "j": np.concatenate([np.zeros(len(sig) + len(u)), j])}, schema=_DENSE)
+    return pa.Table.from_batches(out.to_batches(100_000), _DENSE)
 
 
 def _spread_pairs(table: pa.Table, coarse: int, keys: np.ndarray) -> pa.Table:
@@ -336,8 +491,36 @@ def _members(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(a, np.int64)), pa.array(np.frombuffer(b, np.int64)), pa.array(size)], names=["id", "sig", "size"])
 
 
-def _sets(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """The ids of each n-gram set, ``(id, sig, size)``, and the similar pairs of different sets, ``(x, y, j)``; both are scratch tables."""
+def _places(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in parts:
+        for uid, b, c in zip(*(part.column(k).to_pylist() for k in ("uid", "b", "c"))):
+            size = np.frombuffer(c, np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(size), uid, np.int64)), pa.array(np.frombuffer(b, np.int64)), pa.array(size)], names=["uid", "sig", "size"])
+
+
+def _dense(active: DataFrame, grouped: DataFrame, ids: DataFrame | None, members: DataFrame, t: float, frags: int, every: bool) -> DataFrame:
+    """The groups ``(sig, head)`` compared, see `_compared`. Blocks are in order of size, and two are only met where their sizes allow enough overlap."""
+    own = active.filter("kind = 0").mapInArrow(_places, "uid long, sig long, size int").join(grouped, "sig").groupBy("sig", "head").agg(F.min("uid").alias("uid"), F.max("size").cast("long").alias("size"))
+    none = own.select("*", F.lit(0).cast("long").alias("single"), F.lit(False).alias("mark"))
+    if ids is not None:
+        single = ids.filter("sets = 1").groupBy("sig").agg(F.count("*").alias("single"))
+        marked = ids.filter("sets > 1").select("id").join(members.filter("size > 0"), "id").select("sig", F.lit(True).alias("mark")).distinct()
+        none = own.join(single, "sig", "left").join(marked, "sig", "left").select(*own.columns, F.coalesce("single", F.lit(0)).cast("long").alias("single"), F.coalesce("mark", F.lit(False)).alias("mark"))
+    weight = F.greatest("size", F.lit(BLOCK_GRAMS // BLOCK_RECORDS))
+    before = F.sum(weight).over(Window.partitionBy("head").orderBy("size", "sig").rowsBetween(Window.unboundedPreceding, 0)) - weight
+    placed = scratch.written(none.withColumn("block", F.floor(before / BLOCK_GRAMS).cast("long")), "placed")
+    blocks = scratch.written(active.filter("kind = 2").select("uid", "a", "b", "c").groupBy("uid").cogroup(placed.groupBy("uid")).applyInArrow(trimmed(_whole), BLOCK), "blocks")
+    spans = placed.groupBy("head", "block").agg(F.min("size").alias("low"), F.max("size").alias("high"))
+    first, second = spans.select("head", F.col("block").alias("p"), F.col("high")), spans.select("head", F.col("block").alias("q"), F.col("low"))
+    items = scratch.written(first.join(second, "head").filter((F.col("p") <= F.col("q")) & (F.col("low") * t <= F.col("high") + 1e-6)).select("head", "p", "q"), "items")
+    left = blocks.join(items.withColumn("block", F.col("p")), ["head", "block"]).withColumn("side", F.lit(0))
+    right = blocks.join(items.filter("p < q").withColumn("block", F.col("q")), ["head", "block"]).withColumn("side", F.lit(1))
+    work = left.unionByName(right).repartition(frags, "head", "p", "q").groupBy("head", "p", "q").applyInArrow(trimmed(lambda x: _compared(x, t, every)), DENSE)
+    return scratch.written(work, "dense", placed, blocks, items)
+
+
+def _sets(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: float, links: bool = False, every: bool = False) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame | None]:
+    """The ids of each n-gram set, ``(id, sig, size)``, the similar pairs of different sets that are in no group together, ``(x, y, j)``, what `_compared` says of the groups, and with ``links`` the ids' sets; all are scratch tables."""
     spark = docs.sparkSession
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be above 0 and at most 1")
@@ -349,22 +532,33 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: float)
     shared = sent.repartition(frags, "frag").groupBy("frag").applyInArrow(trimmed(_shared), PACKED)
     active = scratch.written(shared.groupBy("uid").applyInArrow(trimmed(lambda x: _active(x, threshold, coarse, coarse_keys)), PACKED), "active")
     members = scratch.written(active.filter("kind = 0").mapInArrow(_members, "id long, sig long, size int").distinct(), "members")
-    wanted = active.filter("kind = 1").repartition(coarse, "frag").groupBy("frag").applyInArrow(trimmed(lambda x: _candidates(x, threshold, keys)), PAIRS)
-    every = wanted.repartition(frags, "frag").groupBy("frag").applyInArrow(trimmed(lambda x: _spread_pairs(x, coarse, coarse_keys)), PAIRS)
-    every = scratch.written(every, "pairs")
+    hot, most = HOT, MOST_PAIRS
+    wanted = active.filter("kind = 1").repartition(coarse, "frag").groupBy("frag").applyInArrow(trimmed(lambda x: _candidates(x, threshold, keys, hot, most)), PAIRS)
+    wanted = scratch.written(wanted, "candidates")
+    heads = groups(wanted.filter("kind = 2").mapInArrow(_hot_links, "doc_a long, doc_b long"))
+    grouped = scratch.written(heads.toDF("sig", "head").unionByName(heads.select(F.col("head").alias("sig"), "head").distinct()), "grouped", heads)
+    some = not grouped.isEmpty()
+    ids = scratch.written(members.groupBy("id").agg(F.count_if(F.col("size") > 0).alias("sets"), F.max_by("sig", "size").alias("sig")), "ids") if links else None
+    dense = _dense(active, grouped, ids, members, threshold, frags, every) if some else spark.createDataFrame([], DENSE)
+    spread_out = wanted.filter("kind = 0").repartition(frags, "frag").groupBy("frag").applyInArrow(trimmed(lambda x: _spread_pairs(x, coarse, coarse_keys)), PAIRS)
+    listed = scratch.written(spread_out, "pairs", wanted)
     places = {int(k): f for f, k in enumerate(coarse_keys)}
     counted = (
         active.filter("kind = 2").repartition(coarse, "frag").groupBy("frag")
-        .cogroup(every.filter("kind = 1").repartition(coarse, "frag").groupBy("frag"))
+        .cogroup(listed.filter("kind = 1").repartition(coarse, "frag").groupBy("frag"))
         .applyInArrow(trimmed(lambda x, y: _overlaps(x, y, places)), COUNTS)
     )
-    close = every.filter("kind = 0").groupBy("bucket").cogroup(counted.groupBy("bucket")).applyInArrow(trimmed(lambda x, y: _summed(x, y, threshold, coarse)), "x long, y long, j double")
-    return members, scratch.written(close, "close", active, every)
+    close = listed.filter("kind = 0").groupBy("bucket").cogroup(counted.groupBy("bucket")).applyInArrow(trimmed(lambda x, y: _summed(x, y, threshold, coarse)), "x long, y long, j double")
+    if some:
+        x, y = grouped.toDF("x", "head_x"), grouped.toDF("y", "head_y")
+        close = close.join(x, "x", "left").join(y, "y", "left").filter("not (head_x <=> head_y) or head_x is null").select("x", "y", "j")
+    return members, scratch.written(close, "close", active, listed, grouped), dense, ids
 
 
 def all_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold: float = THRESHOLD) -> DataFrame:
     """``(doc_a, doc_b, jaccard)`` with doc_a < doc_b: every two documents with at least the threshold. Copies give as many rows as they have pairs."""
-    members, close = _sets(docs, id_col, text_col, n, threshold)
+    members, close, dense, _ = _sets(docs, id_col, text_col, n, threshold, every=True)
+    close = close.unionByName(dense.filter("kind = 2").select("x", "y", "j"))
     own = members.filter("size > 0").select("id", "sig")
     left, right = own.select(F.col("sig").alias("x"), F.col("id").alias("p")), own.select(F.col("sig").alias("y"), F.col("id").alias("q"))
     copies = left.join(right.withColumnRenamed("y", "x"), "x").filter("p < q").select("p", "q", F.lit(1.0).alias("j"))
@@ -373,12 +567,12 @@ def all_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n
     return both.groupBy(F.least("p", "q").alias("doc_a"), F.greatest("p", "q").alias("doc_b")).agg(F.max("j").alias("jaccard"))
 
 
-def _heads(members: DataFrame, close: DataFrame) -> DataFrame:
+def _heads(members: DataFrame, close: DataFrame, dense: DataFrame) -> DataFrame:
     """``(id, class_id)`` of the ids that aren't the smallest of their class."""
     own = members.filter("size > 0").select("id", "sig")
     leads = scratch.written(own.groupBy("sig").agg(F.min("id").alias("lead")), "leads")
     to = own.join(leads, "sig").filter("id <> lead").select(F.col("id").alias("doc_a"), F.col("lead").alias("doc_b"))
-    near = close.select("x", "y").join(leads.toDF("x", "doc_a"), "x").join(leads.toDF("y", "doc_b"), "y").select("doc_a", "doc_b")
+    near = close.select("x", "y").unionByName(dense.filter("kind = 1").select("x", "y")).join(leads.toDF("x", "doc_a"), "x").join(leads.toDF("y", "doc_b"), "y").select("doc_a", "doc_b")
     out = groups(near.unionByName(to))
     scratch.forget(leads)
     return out.withColumnRenamed("head", "class_id")
@@ -386,18 +580,18 @@ def _heads(members: DataFrame, close: DataFrame) -> DataFrame:
 
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold: float = THRESHOLD) -> DataFrame:
     """``(doc_id, class_id, links)`` of every id: the smallest id of its group, and the number of other documents with similarity of at least the threshold."""
-    members, close = _sets(docs, id_col, text_col, n, threshold)
-    heads = _heads(members, close)
-    ids = members.groupBy("id").agg(F.count_if(F.col("size") > 0).alias("sets"), F.max_by("sig", "size").alias("sig"))
-    ids = scratch.written(ids, "ids")
+    members, close, dense, ids = _sets(docs, id_col, text_col, n, threshold, links=True)
+    heads = _heads(members, close, dense)
     # sets by the ids that have no other; an id of several sets is looked at by itself
     sizes = ids.filter("sets = 1").groupBy("sig").agg(F.count("*").alias("single"))
     ways = close.select("x", "y").unionByName(close.select(F.col("y").alias("x"), F.col("x").alias("y")))
-    around = ways.join(sizes.withColumnRenamed("sig", "y"), "y").groupBy("x").agg(F.sum("single").alias("near"))
+    around = ways.join(sizes.withColumnRenamed("sig", "y"), "y").select("x", F.col("single").alias("n")).unionByName(dense.filter("kind = 0").select("x", "n")).groupBy("x").agg(F.sum("n").alias("near"))
     per_set = sizes.join(around.withColumnRenamed("x", "sig"), "sig", "left").select("sig", (F.col("single") - 1 + F.coalesce("near", F.lit(0))).alias("links"))
     one = ids.filter("sets <= 1").join(per_set, "sig", "left").select(F.col("id").alias("doc_id"), F.when(F.col("sets") == 1, F.col("links")).otherwise(0).alias("links"))
     several = scratch.written(ids.filter("sets > 1").select("id").join(members.filter("size > 0"), "id").select("id", "sig"), "several")
     if not several.isEmpty():
+        marked = dense.filter("kind = 2")
+        ways = ways.unionByName(marked.select("x", "y")).unionByName(marked.select(F.col("y").alias("x"), F.col("x").alias("y")))
         reach = several.select("id", F.col("sig").alias("t")).unionByName(several.join(ways.withColumnRenamed("x", "sig"), "sig").select("id", F.col("y").alias("t"))).distinct()
         alone = reach.join(sizes.withColumnRenamed("sig", "t"), "t").groupBy("id").agg(F.sum("single").alias("n"))
         among = reach.join(several.select(F.col("sig").alias("t"), F.col("id").alias("other")), "t").filter("id <> other").groupBy("id").agg(F.countDistinct("other").alias("m"))
@@ -406,7 +600,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
         met = reach.join(ids.filter("sets = 1").select(F.col("sig").alias("t"), F.col("id").alias("doc_id")), "t").groupBy("doc_id").agg(F.countDistinct("id").alias("extra"))
         one = one.join(met, "doc_id", "left").select("doc_id", (F.col("links") + F.coalesce("extra", F.lit(0))).alias("links")).unionByName(many)
     out = one.join(heads.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), "links")
-    return scratch.written(out, "similar", members, close, ids, several, heads)
+    return scratch.written(out, "similar", members, close, dense, ids, several, heads)
 
 
 def _forest(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -467,9 +661,9 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Rows with a null id or without tokens are kept: they have no partners. Of repeated rows with one id, one is kept
     (the one with the least text).
     """
-    members, close = _sets(docs, id_col, text_col, n, threshold)
-    drop = _heads(members, close).select(F.col("id").alias("__near_id"))
-    scratch.forget(members, close)
+    members, close, dense, _ = _sets(docs, id_col, text_col, n, threshold)
+    drop = _heads(members, close, dense).select(F.col("id").alias("__near_id"))
+    scratch.forget(members, close, dense)
     own = F.col(f"`{id_col}`").cast("long")
     again = scratch.written(docs.filter(own.isNotNull()).groupBy(own.alias("__near_id")).agg(F.count("*").alias("__near_n")).filter("__near_n > 1").select("__near_id"), "repeated")
     left = _without(docs, own, drop)

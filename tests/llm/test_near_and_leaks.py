@@ -227,3 +227,35 @@ def test_decontamination_of_empty_tables(spark):
     assert suffix_decontam.matches(fixtures.empty(spark), tests).count() == 0
     assert suffix_decontam.matches(fixtures.docs(spark), none).count() == 0
     assert suffix_decontam.clean(fixtures.docs(spark), none).count() == len(fixtures.rows())
+
+
+def test_groups_by_blocks_equal_brute_force(spark, monkeypatch):
+    """Edited copies in number: no list of more than `HOT` records becomes pairs; ids of several sets, copies, one block and many."""
+    r = random.Random(8)
+    rows = []
+    for g in range(4):
+        base = fixtures.prose(300 + g, 60).split()
+        for _ in range(30):
+            rows.append((len(rows), " ".join(x if r.random() > 0.07 else f"w{r.randrange(9)}" for x in base[: r.choice([60, 60, 45, 30])])))
+    rows += [(k, rows[k + 40][1]) for k in (3, 5, 33)] + [(200 + k, rows[k][1]) for k in range(8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    df = spark.createDataFrame(df.collect(), df.schema)
+    want, pairs = brute_similar(rows, 0.5), brute_pairs(rows, 0.5)
+    for hot, most, size in ((8, 10**6, 500_000), (2, 10**6, 700), (200, 40, 150)):
+        for name, value in (("HOT", hot), ("MOST_PAIRS", most), ("BLOCK_GRAMS", size), ("BLOCK_RECORDS", max(1, size // 100))):
+            monkeypatch.setattr(jaccard_join, name, value)
+        assert similar(df) == want
+    assert {(x.doc_a, x.doc_b): round(x.jaccard, 9) for x in jaccard_join.all_pairs(df).collect()} == {k: round(v, 9) for k, v in pairs.items()}
+    assert sorted(x.doc_id for x in jaccard_join.one_of_each(df).collect()) == sorted({c for _, c, _ in want})
+
+
+def test_long_lists_are_links_not_pairs():
+    """A list of 3,000 records gives a link each; their 4.5 million pairs are never listed."""
+    n = 3000
+    head = np.concatenate([np.arange(1, n + 1, dtype=np.uint64), np.full(n, 10, np.uint64), np.full(n, 1, np.uint64)])
+    table = pa.table({"a": pa.array([head.tobytes()], pa.binary()), "b": pa.array([packed.squeeze(np.repeat(np.arange(2, dtype=np.uint64), [n, 3]), True)], pa.binary()), "c": pa.array([packed.squeeze(np.concatenate([np.arange(n), [3, 5, 9]]).astype(np.uint32))], pa.binary())})
+    out = jaccard_join._candidates(table, 0.5, np.arange(7), jaccard_join.HOT, jaccard_join.MOST_PAIRS)
+    by = {k: [a for a, kind in zip(jaccard_join._lists(out), out.column("kind").to_pylist()) if kind == k] for k in (0, 2)}
+    assert sorted((int(x), int(y)) for a in by[0] for x, y in zip(a.sig[a.x], a.sig[a.y])) == [(4, 6), (4, 10), (6, 10)]
+    assert {int(y) for a in by[2] for x, y in zip(a.sig[a.x], a.sig[a.y]) if x == 1} == set(range(1, n + 1))
+    assert jaccard_join._longest(np.array([5, 2, 3]), 200, 4) == 4
