@@ -59,6 +59,8 @@ FEW_LINKS = 1_000_000
 HOT, MOST_PAIRS = 200, 2_000_000
 #: N-grams and records in a block of a group.
 BLOCK_GRAMS, BLOCK_RECORDS = 500_000, 2_000
+#: Candidates that a fragment looks at together: nearly every fragment sees nearly all candidates of the table.
+TOGETHER = 300_000
 
 PACKED = "frag int, uid long, kind int, a binary, b binary, c binary"
 _PACKED = pa.schema([("frag", pa.int32()), ("uid", pa.int64()), ("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
@@ -218,6 +220,19 @@ class _Listed:
         self.x, self.y = loose(x, np.uint32, True), loose(y, np.uint32)
 
 
+def _few(table: pa.Table, most: int) -> Iterator[tuple[int, list[_Listed]]]:
+    """The rows in turn, as many together as reach ``most`` pairs; each time with the number of the first."""
+    held, first, count = [], 0, 0
+    for k, x in enumerate(zip(*(cells(table, n) for n in ("sig", "size", "held", "x", "y")))):
+        held.append(_Listed(*x))
+        count += len(held[-1].x)
+        if count >= most:
+            yield first, held
+            held, first, count = [], k + 1, 0
+    if held:
+        yield first, held
+
+
 def _lists(table: pa.Table) -> list[_Listed]:
     return [_Listed(*x) for x in zip(*(cells(table, n) for n in ("sig", "size", "held", "x", "y")))]
 
@@ -432,40 +447,47 @@ _COUNTS = pa.schema([("bucket", pa.int64()), ("frag", pa.int32()), ("shared", pa
 COUNTS = "bucket long, frag int, shared binary"
 
 
+def _partial(g: np.ndarray, cut: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many of the n-grams ``g``, cut by records, each x shares with its y."""
+    order = np.lexsort((y, x))
+    x, y = x[order], y[order]
+    found = np.zeros(len(x), np.int32)
+    width, seen = np.diff(cut), np.zeros(int(g.max()) + 1 if len(g) else 1, bool)
+    for s, k in zip(*runs(x)):  # one record against all its partners
+        one = g[cut[x[s]] : cut[x[s] + 1]]
+        if not len(one):
+            continue
+        seen[one] = True
+        for i in range(s, s + k, 1000):
+            part = y[i : min(i + 1000, s + k)]
+            w = width[part]
+            ends = np.cumsum(w)
+            where = np.repeat(cut[part] - ends + w, w) + np.arange(ends[-1])
+            sums = np.concatenate([[0], np.cumsum(seen[g[where]])])
+            found[i : i + len(part)] += (sums[ends] - sums[ends - w]).astype(np.int32)
+        seen[one] = False
+    shared = np.empty_like(found)
+    shared[order] = found
+    return shared
+
+
 def _overlaps(segments: pa.Table, wanted: pa.Table, places: dict[int, int]) -> pa.Table:
     """Partial overlaps of the candidates, from one fragment alone, in the order of each bucket's row."""
     if not segments.num_rows or not wanted.num_rows:
         return _COUNTS.empty_table()
-    own, lists = _Records(segments), _lists(wanted)
-    x, y = (np.concatenate([np.searchsorted(own.sig, a.sig)[getattr(a, n)] for a in lists]).astype(np.int32) for n in "xy")
-    order = np.lexsort((y, x))
-    x, y = x[order], y[order]
-    found = np.zeros(len(x), np.int32)
-    at, many = runs(x)
+    own, found = _Records(segments), {}
     for g, rec in own.slices():
         by = np.argsort(rec, kind="stable")
         rec, g = rec[by], np.unique(g, return_inverse=True)[1][by].astype(np.int32)
         cut = np.searchsorted(rec, np.arange(len(own.sig) + 1))
-        width = np.diff(cut)
-        seen = np.zeros(int(g.max()) + 1 if len(g) else 1, bool)
-        for s, k in zip(at, many):  # one record against all its partners
-            one = g[cut[x[s]] : cut[x[s] + 1]]
-            if not len(one):
-                continue
-            seen[one] = True
-            for i in range(s, s + k, 1000):
-                part = y[i : min(i + 1000, s + k)]
-                w = width[part]
-                ends = np.cumsum(w)
-                where = np.repeat(cut[part] - ends + w, w) + np.arange(ends[-1])
-                sums = np.concatenate([[0], np.cumsum(seen[g[where]])])
-                found[i : i + len(part)] += (sums[ends] - sums[ends - w]).astype(np.int32)
-            seen[one] = False
-    shared = np.empty(len(found), np.uint32)
-    shared[order] = found
-    cut = np.concatenate([[0], np.cumsum([len(a.x) for a in lists])])
+        for first, lists in _few(wanted, TOGETHER):
+            x, y = (np.concatenate([np.searchsorted(own.sig, a.sig)[getattr(a, n)] for a in lists]).astype(np.int32) for n in "xy")
+            found[first] = found.get(first, 0) + _partial(g, cut, x, y)
+    shared: list[bytes] = []
+    for first, lists in _few(wanted, TOGETHER):
+        shared += [squeeze(x.astype(np.uint32)) for x in np.split(found.pop(first), np.cumsum([len(a.x) for a in lists])[:-1])]
     frag = places[segments.column("frag")[0].as_py()]
-    return pa.Table.from_batches([rows([(b, frag, squeeze(shared[m:n])) for b, m, n in zip(wanted.column("bucket").to_pylist(), cut[:-1], cut[1:])], _COUNTS)])
+    return pa.Table.from_batches([rows([(b, frag, x) for b, x in zip(wanted.column("bucket").to_pylist(), shared)], _COUNTS)])
 
 
 _CLOSE = pa.schema([("x", pa.int64()), ("y", pa.int64()), ("j", pa.float64())])

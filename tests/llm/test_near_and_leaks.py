@@ -259,3 +259,27 @@ def test_long_lists_are_links_not_pairs():
     assert sorted((int(x), int(y)) for a in by[0] for x, y in zip(a.sig[a.x], a.sig[a.y])) == [(4, 6), (4, 10), (6, 10)]
     assert {int(y) for a in by[2] for x, y in zip(a.sig[a.x], a.sig[a.y]) if x == 1} == set(range(1, n + 1))
     assert jaccard_join._longest(np.array([5, 2, 3]), 200, 4) == 4
+
+
+def test_candidates_of_a_fragment_are_taken_in_parts(monkeypatch):
+    """A fragment that sees 800,000 candidates in 80 buckets holds a few of them at a time, and counts as brute force does."""
+    r, n = np.random.default_rng(2), 600
+    sets = [np.unique(r.integers(0, 60, 8)) for _ in range(n)]
+    sig, size = np.arange(1, n + 1, dtype=np.uint64), np.full(n, 10, np.uint64)
+    rec, g = np.repeat(np.arange(n), [len(x) for x in sets]), np.concatenate(sets).astype(np.uint64)
+    order = np.lexsort((rec, g))
+    head = np.concatenate([sig, size, np.ones(n, np.uint64)])
+    segments = pa.table({"frag": pa.array([0], pa.int32()), "a": pa.array([head.tobytes()], pa.binary()), "b": pa.array([packed.squeeze(g[order], True)], pa.binary()), "c": pa.array([packed.squeeze(rec[order].astype(np.uint32))], pa.binary())})
+    pairs = [np.sort(r.choice(n, (10_000, 2)), axis=1) for _ in range(80)]
+    wanted = pa.Table.from_batches([packed.rows([jaccard_join._listed(0, k, 1, sig, size.astype(np.int64), np.ones(n, np.uint64), *p.T) for k, p in enumerate(pairs)], jaccard_join._PAIRS)])
+    most, partial = [], jaccard_join._partial
+    monkeypatch.setattr(jaccard_join, "SLICE", 1500)
+    monkeypatch.setattr(jaccard_join, "TOGETHER", 25_000)
+    monkeypatch.setattr(jaccard_join, "_partial", lambda g, cut, x, y: most.append(len(x)) or partial(g, cut, x, y))
+    out = jaccard_join._overlaps(segments, wanted, {0: 0})
+    assert max(most) == 30_000 and out.column("bucket").to_pylist() == list(range(80))
+    has = np.zeros((n, 60), int)
+    has[rec, g.astype(int)] = 1
+    both = has @ has.T
+    for a, x in zip(jaccard_join._lists(wanted), packed.cells(out, "shared")):
+        assert (packed.loose(x, np.uint32) == both[a.sig[a.x].astype(int) - 1, a.sig[a.y].astype(int) - 1]).all()
