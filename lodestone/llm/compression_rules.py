@@ -20,6 +20,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tokens import slices
+
 LEVEL, CHUNK, BAD_SHARE = 3, 4096, 0.3
 #: (bytes up to, least ratio, greatest ratio). Short texts hardly compress; long prose of any script settles between 1.6 and 3.2.
 BANDS = ((64, 0.0, 3.0), (256, 0.7, 3.0), (1024, 1.0, 3.5), (4096, 1.2, 4.0), (65_536, 1.25, 4.5), (float("inf"), 1.25, 6.0))
@@ -53,15 +55,17 @@ _SCHEMA = pa.struct([("n_bytes", pa.int64()), ("ratio", pa.float64()), ("n_chunk
 
 def _judged(parts: Iterator[pa.RecordBatch], text: str, bands: tuple, chunk: int, bad_share: float, only_kept: bool, schema: pa.Schema | None) -> Iterator[pa.RecordBatch]:
     press = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False, write_checksum=False)
-    for part in parts:
+    for part in slices(parts):
         texts = pc.fill_null(part.column(text).cast(pa.large_string()), "").cast(pa.large_binary())
         found = [(len(b := x.as_py()), *judge(b, press, bands, chunk, bad_share)) for x in texts]
         if only_kept:
             yield part.filter(pa.array([r[4] is None for r in found], pa.bool_()))
+            del part, texts
             continue
         ids = part.column("doc_id")
         cols = [pa.array([r[i] for r in found], _SCHEMA.field(i).type) for i in range(5)]
         yield pa.RecordBatch.from_arrays([ids, *cols, pa.array([r[4] is None for r in found], pa.bool_())], names=["doc_id", *(f.name for f in _SCHEMA), "keep"])
+        del part, texts, ids
 
 
 def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: tuple = BANDS, chunk: int = CHUNK, bad_share: float = BAD_SHARE) -> DataFrame:

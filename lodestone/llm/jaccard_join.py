@@ -31,7 +31,8 @@ Ids are integers (or text that reads as integers).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -62,6 +63,9 @@ BLOCK_GRAMS, BLOCK_RECORDS = 500_000, 2_000
 #: Candidates that a fragment looks at together: nearly every fragment sees nearly all candidates of the table.
 TOGETHER = 300_000
 
+#: Rows go to Python workers and back in batches of this size; a group has several. Larger ones are held several times, on both sides.
+_SENT_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
+
 PACKED = "frag int, uid long, kind int, a binary, b binary, c binary"
 _PACKED = pa.schema([("frag", pa.int32()), ("uid", pa.int64()), ("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
 
@@ -299,10 +303,10 @@ def _candidates(table: pa.Table, t: float, keys: np.ndarray, hot: int = 2**62, m
     return pa.Table.from_batches([rows(out, _PAIRS)])
 
 
-def _hot_links(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in parts:
-        for a in _lists(pa.Table.from_batches([part])):
-            yield pa.RecordBatch.from_arrays([pa.array(a.sig[a.x].view(np.int64)), pa.array(a.sig[a.y].view(np.int64))], names=["doc_a", "doc_b"])
+def _hot_forest(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """`_forest` of a task's packed links, in the same worker: a second function over its rows would take a Python worker more for each task."""
+    lists = (a for part in parts for a in _lists(pa.Table.from_batches([part])))
+    yield from _forest(pa.RecordBatch.from_arrays([pa.array(a.sig[a.x].view(np.int64)), pa.array(a.sig[a.y].view(np.int64))], names=["u", "v"]) for a in lists)
 
 
 _BLOCK = pa.schema([("head", pa.int64()), ("block", pa.int64()), *((n, pa.binary()) for n in ("sig", "size", "single", "mark", "many", "g"))])
@@ -541,6 +545,16 @@ def _dense(active: DataFrame, grouped: DataFrame, ids: DataFrame | None, members
     return scratch.written(work, "dense", placed, blocks, items)
 
 
+def _in_small_batches(f: Callable) -> Callable:
+    @wraps(f)
+    def run(docs: DataFrame, *args: object, **kw: object) -> object:
+        with scratch.setting(docs.sparkSession, *_SENT_BYTES):
+            return f(docs, *args, **kw)
+
+    return run
+
+
+@_in_small_batches
 def _sets(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: float, links: bool = False, every: bool = False) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame | None]:
     """The ids of each n-gram set, ``(id, sig, size)``, the similar pairs of different sets that are in no group together, ``(x, y, j)``, what `_compared` says of the groups, and with ``links`` the ids' sets; all are scratch tables."""
     spark = docs.sparkSession
@@ -557,11 +571,11 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: float,
     hot, most = HOT, MOST_PAIRS
     wanted = active.filter("kind = 1").repartition(coarse, "frag").groupBy("frag").applyInArrow(trimmed(lambda x: _candidates(x, threshold, keys, hot, most)), PAIRS)
     wanted = scratch.written(wanted, "candidates")
-    heads = groups(wanted.filter("kind = 2").mapInArrow(_hot_links, "doc_a long, doc_b long"))
+    heads = _followed(wanted.filter("kind = 2").mapInArrow(_hot_forest, "u long, v long"), FEW_LINKS)
     grouped = scratch.written(heads.toDF("sig", "head").unionByName(heads.select(F.col("head").alias("sig"), "head").distinct()), "grouped", heads)
     some = not grouped.isEmpty()
     ids = scratch.written(members.groupBy("id").agg(F.count_if(F.col("size") > 0).alias("sets"), F.max_by("sig", "size").alias("sig")), "ids") if links else None
-    dense = _dense(active, grouped, ids, members, threshold, frags, every) if some else spark.createDataFrame([], DENSE)
+    dense = _dense(active, grouped, ids, members, threshold, frags, every) if some else spark.range(0).selectExpr("int(id) as kind", "id as x", "id as y", "id as n", "double(id) as j")  # createDataFrame would start Python workers of another kind
     spread_out = wanted.filter("kind = 0").repartition(frags, "frag").groupBy("frag").applyInArrow(trimmed(lambda x: _spread_pairs(x, coarse, coarse_keys)), PAIRS)
     listed = scratch.written(spread_out, "pairs", wanted)
     places = {int(k): f for f, k in enumerate(coarse_keys)}
@@ -657,7 +671,12 @@ def groups(links: DataFrame, few: int = FEW_LINKS) -> DataFrame:
     steps until nothing changes; each halves the depth, so the number of rounds grows with the logarithm of the longest chain.
     """
     edges = links.select(F.col("doc_a").cast("long").alias("u"), F.col("doc_b").cast("long").alias("v")).filter("u <> v")
-    edges = scratch.written(edges.mapInArrow(_forest, "u long, v long").distinct(), "edges")
+    return _followed(edges.mapInArrow(_forest, "u long, v long"), few)
+
+
+def _followed(forests: DataFrame, few: int) -> DataFrame:
+    """`groups` of the forests ``(u, v)`` of the tasks."""
+    edges = scratch.written(forests.distinct(), "edges")
     if edges.count() <= few:
         out = edges.coalesce(1).mapInArrow(_forest, "u long, v long").toDF("id", "head")
         return scratch.written(out, "heads", edges)

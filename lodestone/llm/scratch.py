@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from lodestone.staging import forget, shared_dir, shuffle_partitions, written
+from lodestone.staging import forget, setting, shared_dir, shuffle_partitions, written
 
-__all__ = ["forget", "shared_dir", "shuffle_partitions", "written"]
+__all__ = ["forget", "setting", "shared_dir", "shuffle_partitions", "written"]

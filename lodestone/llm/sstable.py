@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch
+from .tokens import slices, trim
 
 BLOCK_BYTES, TABLE_BYTES, RESTART, BITS, PROBES, LEVEL = 64_000, 16_000_000, 16, 10, 7, 3
 FOOTER, MAGIC = struct.Struct("<QQQQQIQ"), 0x4C4F44455353540A
@@ -190,7 +191,7 @@ def _tables(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = (task * 2**20 + seq, first, last, out.count, len(out.index), len(data), data)
         return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, _SCHEMA)], schema=_SCHEMA)
 
-    for part in parts:
+    for part in slices(parts):
         for ident, value in zip(part.column("__key"), part.column("__value")):
             ident = ident.as_py()
             if out is None:
@@ -200,8 +201,12 @@ def _tables(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if out.raw >= TABLE_BYTES:
                 yield closed()
                 out, seq = None, seq + 1
+                trim()
+        del part, value
     if out is not None:
         yield closed()
+        out = None
+        trim()
 
 
 def tables(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:

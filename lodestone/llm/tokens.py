@@ -211,6 +211,15 @@ def batches(parts: Iterator[pa.RecordBatch], text: str, target: int, rows: int =
         trim()
 
 
+def slices(parts: Iterator[pa.RecordBatch], rows: int = 1_000) -> Iterator[pa.RecordBatch]:
+    """A task's record batches in slices of so many rows, so that what is made of them is small on both sides. A batch is given up before the next is read, if the caller keeps nothing of it."""
+    for part in parts:
+        for at in range(0, part.num_rows, rows):
+            yield part.slice(at, rows)
+        del part
+        trim()
+
+
 def trim() -> None:
     """Give freed memory back, so that workers that wait don't hold what they needed at their peak."""
     pa.default_memory_pool().release_unused()

@@ -43,16 +43,17 @@ def drop(spark: SparkSession, path: str) -> None:
 
 
 @contextmanager
-def _cleaned(spark: SparkSession) -> Iterator[None]:
-    before = spark.conf.get(_CLEAN, None)
-    spark.conf.set(_CLEAN, "true")
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """A setting of the session for the jobs that run inside; what it was before comes back."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
     try:
         yield
     finally:
         if before is None:
-            spark.conf.unset(_CLEAN)
+            spark.conf.unset(name)
         else:
-            spark.conf.set(_CLEAN, before)
+            spark.conf.set(name, before)
 
 
 def written(df: DataFrame, name: str, *done: DataFrame) -> DataFrame:
@@ -62,7 +63,7 @@ def written(df: DataFrame, name: str, *done: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-    with _cleaned(spark):
+    with setting(spark, _CLEAN, "true"):
         df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
