@@ -25,10 +25,19 @@ def safe_chunk_size(limit: int, overlap: int, safety: float = 0.9, code: bool =
     return max(1, int(safe / 1.2) - overlap * 3) if code else max(1, safe - overlap)
 
 
-def sentences(text: Column) -> Column:
-    """Sentences of each paragraph: cut after ``.!?`` and white space or at blank lines, trimmed, blanks dropped; else the whole text."""
-    parts = F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+|\n\n+"), lambda s: F.trim(F.regexp_replace(s, r"^\s+|\s+$", ""))), lambda s: s != "")
-    return F.when(F.size(parts) > 0, parts).otherwise(F.array(text))
+#: White space as RE2 has it; Java's ``\s`` also has the vertical tab.
+_BLANK = r"[\t\n\f\r ]"
+
+
+def sentences(text: Column, or_whole: bool = True) -> Column:
+    r"""Sentences of each paragraph: cut after ``.!?`` and white space or at blank lines (and at ``\x01``, which marks the cuts), trimmed, blanks dropped.
+
+    A text without any is one sentence as a whole, unless ``or_whole`` is false; then it has none, and null stays null.
+    """
+    cut = F.split(F.regexp_replace(text, rf"([.!?]){_BLANK}+", "$1\x01"), r"\x01|\n\n+")
+    # \z: Java's $ also matches before a last line end, which may be U+0085, U+2028 or U+2029
+    parts = F.filter(F.transform(cut, lambda s: F.regexp_replace(s, rf"^{_BLANK}+|{_BLANK}+\z", "")), lambda s: s != "")
+    return F.when(F.size(parts) > 0, parts).otherwise(F.array(text)) if or_whole else parts
 
 
 def overlap_tail(text: Column, overlap: int) -> Column:

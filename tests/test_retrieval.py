@@ -201,3 +201,16 @@ def test_text_functions(spark):
     assert one(T.language_of(F.lit("a/b.PY"))) == "python" and one(T.language_of(F.lit("x.zzz"))) is None
     assert T.safe_chunk_size(512, 128) == 332 and T.model_limit("mxbai-embed-large:latest") == 512 and T.model_limit("?") == 2048
     assert T.metric_for("text-embedding-3-small") == "cosine" and T.metric_for("other") == "mips"
+
+
+def test_sentences_of_odd_texts_as_in_sql(spark, tmp_path):
+    import duckdb
+
+    from lodestone.plans import catalogue
+
+    texts = ["", None, " ", "\n\n", ". ", "a.\x0b b", "\x0bq\x0b", "a.  \x0b  b", "a.\x01b", "a. \x01 b", "a  ", "a \n ", "a \r\x85", "x\r\n\r\ny. z", "!!! ??", "a.\n\n\nb", "no end", "a\x00. b"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = [tuple(r) for r in catalogue.QUERIES["sentence_split"](spark, str(tmp_path)).collect()]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(got) == sorted(con.execute(catalogue.SQL["sentence_split"]).fetchall()) and len(got) == 21
