@@ -13,6 +13,8 @@ from lodestone.functions import vectors
 
 #: Vectors in one packed block.
 BLOCK = 1024
+#: Blocks in a part of the table, and the most parts that it is cut into for a search of many vectors; beyond, parts grow.
+PART_BLOCKS, PARTS = 16, 48
 
 
 def knn(table: DataFrame, query: list[float] | DataFrame, k: int, metric: str = "cosine", id_col: str = "vec_id", vec_col: str = "embedding", condition: Column | None = None) -> DataFrame:
@@ -49,35 +51,67 @@ def blocks(table: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return table.select(F.col(id_col).cast("long").alias("i"), F.col(vec_col).cast("array<float>").alias("v")).filter("i is not null and size(v) > 0").mapInArrow(pack, _BLOCK)
 
 
+def _best(rows: np.ndarray, ids: np.ndarray, dist: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The k nearest of each row, ties by id, in order, and their places from 0."""
+    order = np.lexsort((ids, dist, rows))
+    rows, ids, dist = rows[order], ids[order], dist[order]
+    place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+    keep = place < k
+    return rows[keep], ids[keep], dist[keep], place[keep]
+
+
 def knn_batch(queries: DataFrame, table: DataFrame, k: int, metric: str = "cosine", query_id: str = "vec_id", query_vec: str = "embedding", id_col: str = "vec_id", vec_col: str = "embedding", exclude_self: bool = False) -> DataFrame:
-    """``(qid, rank, id, distance)``: the k nearest rows of every query.
+    """``(qid, rank, id, distance)``: the k nearest rows of every query; distances are rounded to 9 places, ties go by id.
 
-    Both sides are packed into blocks; each pair of blocks is one matrix product that leaves k rows for each query,
-    and a window over those takes the k nearest of all.
+    Both sides are packed into blocks, once, and dealt out anew. A task meets the blocks of one part of the table with about one block of queries; each pair of blocks is one
+    matrix product, and of each query the task keeps the k nearest so far. A window over the tasks' rows takes the k nearest of all. There are at most PARTS parts of the table, so the
+    rows that are shuffled grow with the number of queries only; work grows with the product, a task's memory not at all.
     """
-    left = blocks(queries, query_id, query_vec).toDF("qblock", "qids", "qvecs")
-    pairs = left.crossJoin(blocks(table, id_col, vec_col))
+    sides = []
+    for rows, key, vec, size, most in ((queries, query_id, query_vec, 1, None), (table, id_col, vec_col, PART_BLOCKS, PARTS)):
+        n = max(1, -(-rows.count() // (BLOCK * size)))
+        sides.append(blocks(rows, key, vec).repartition(n if most is None else min(n, most)))
+    # the exchanges keep the packing in stages of its own: in the product's, each task would pack its parts again, in two more workers
+    pairs = sides[0].toDF("qblock", "qids", "qvecs").crossJoin(sides[1].hint("shuffle_replicate_nl"))
 
     def nearest(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, found, edge = None, None, None
+
+        def out() -> Iterator[pa.RecordBatch]:
+            if asked is not None:
+                rows, ids, dist, _ = found
+                yield pa.RecordBatch.from_arrays([pa.array(asked[0][rows]), pa.array(ids), pa.array(dist)], names=["qid", "id", "distance"])
+
         for part in parts:
-            for qi, qv, ti, tv in zip(*(part.column(c).to_pylist() for c in ("qids", "qvecs", "ids", "vecs"))):
-                qi, ti = np.frombuffer(qi, np.int64), np.frombuffer(ti, np.int64)
-                a, b = np.frombuffer(qv, np.float32).reshape(len(qi), -1).astype(np.float64), np.frombuffer(tv, np.float32).reshape(len(ti), -1).astype(np.float64)
+            qids, qvecs, ids, vecs = (part.column(c) for c in ("qids", "qvecs", "ids", "vecs"))
+            for at in range(part.num_rows):
+                # views, no copies, of the batch
+                qi, a, ti, b = np.frombuffer(qids[at].as_buffer(), np.int64), np.frombuffer(qvecs[at].as_buffer(), np.float32), np.frombuffer(ids[at].as_buffer(), np.int64), np.frombuffer(vecs[at].as_buffer(), np.float32)
+                if asked is None or not (np.array_equal(asked[0], qi) and asked[1].tobytes() == a.tobytes()):
+                    yield from out()
+                    asked, edge = (qi.copy(), a.copy()), np.full(len(qi), np.inf)
+                    found = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), None
+                a, b = a.reshape(len(qi), -1).astype(np.float64), b.reshape(len(ti), -1).astype(np.float64)
                 if a.shape[1] != b.shape[1]:
                     raise ValueError("vectors differ in dimension")
                 d = vectors.block_distances(metric, a, b)
+                np.floor(d * 1e9 + 0.5, out=d)
+                d /= 1e9
                 if exclude_self:
                     d[qi[:, None] == ti[None]] = np.inf
-                n = min(k, len(ti))
-                if n < len(ti):
-                    edge = np.partition(d, n - 1, axis=1)[:, n - 1 : n]
-                    r, c = np.nonzero(d <= edge + 1e-12)  # ties at the edge go on to the window
-                else:
-                    r, c = np.nonzero(np.isfinite(d))
+                most = edge
+                if k < len(ti) and np.isinf(edge).any():
+                    most = np.minimum(edge, np.partition(d, k - 1, axis=1)[:, k - 1])
+                r, c = np.nonzero(d <= most[:, None])
                 ok = np.isfinite(d[r, c])
-                yield pa.RecordBatch.from_arrays([pa.array(qi[r[ok]]), pa.array(ti[c[ok]]), pa.array(d[r[ok], c[ok]])], names=["qid", "id", "distance"])
-
-    local = pairs.mapInArrow(nearest, "qid long, id long, distance double").withColumn("distance", F.round("distance", 9))
+                r, c = r[ok], c[ok]
+                if len(r):
+                    found = _best(np.concatenate([found[0], r]), np.concatenate([found[1], ti[c]]), np.concatenate([found[2], d[r, c]]), k)
+                    last = found[3] == k - 1
+                    edge[found[0][last]] = found[2][last]
+        yield from out()
+
+    local = pairs.mapInArrow(nearest, "qid long, id long, distance double")
     rank = F.row_number().over(Window.partitionBy("qid").orderBy("distance", "id"))
     return local.withColumn("rank", rank).filter(F.col("rank") <= k).select("qid", "rank", "id", "distance")
 

@@ -247,3 +247,21 @@ def test_evaluation_queries_list_no_pairs(spark):
             if "Join" in p.nodeName() and p.metrics().contains("numOutputRows"):
                 most = max(most, p.metrics().apply("numOutputRows").value())
         assert 0 < most <= 500
+
+
+def test_knn_batch_in_parts_and_near_ties(spark, monkeypatch):
+    # distances that are equal to 9 places are ties, which go by id
+    t = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 2e-5]), (2, [1.0, 0.0])], "vec_id long, embedding array<float>")
+    assert [(r.id, r.rank) for r in knn.knn_batch(t.filter("vec_id = 0"), t, 1, exclude_self=True).collect()] == [(1, 1)]
+    monkeypatch.setattr(knn, "BLOCK", 4)
+    monkeypatch.setattr(knn, "PART_BLOCKS", 1)
+    monkeypatch.setattr(knn, "PARTS", 3)
+    rng = np.random.default_rng(1)
+    vecs = [[float(x) for x in rng.integers(-2, 3, 3)] for _ in range(60)]
+    t = spark.createDataFrame(list(enumerate(vecs)), "vec_id long, embedding array<float>").repartition(2)
+    for metric in V.METRICS:
+        d = np.round(V.block_distances(metric, np.array(vecs), np.array(vecs)), 9)
+        want = {(q, rank, i) for q in range(0, 60, 2) for rank, i in enumerate(sorted((i for i in range(60) if i != q), key=lambda i: (d[q, i], i))[:7], 1)}
+        assert {(r.qid, r["rank"], r.id) for r in knn.knn_batch(t.filter("vec_id % 2 = 0"), t, 7, metric, exclude_self=True).collect()} == want
+    assert knn.knn_batch(t.limit(0), t, 3).count() == knn.knn_batch(t, t.limit(0), 3).count() == 0
+    assert knn.knn_batch(t.limit(1), t, 100).count() == 60
