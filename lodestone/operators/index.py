@@ -82,10 +82,13 @@ class Index:
         documents.select(F.col("id").cast("long"), "text", F.col("metadata").cast("string")).write.mode("overwrite").parquet(f"{self.folder}/documents/batch={batch}")
         vectors.select(F.col("id").cast("long"), F.col("vec").cast("array<float>")).write.mode("overwrite").parquet(f"{self.folder}/vectors/batch={batch}")
         if self.hybrid:
-            # by term, so that a query's terms are few row groups; and by id, so that a frequent term is cut in several files
-            words = keyword.postings(documents, "id")
-            words.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{self.folder}/postings/batch={batch}")
-            keyword.stats(documents).write.mode("overwrite").parquet(f"{self.folder}/statistics/batch={batch}")
+            # each file has the postings of some documents, by term: so a query's terms are few row groups of each, and a frequent term is in all files
+            with staging.setting(self.spark, "spark.sql.execution.arrow.maxBytesPerBatch", "16m"):
+                keyword.segments(documents, "id").write.mode("overwrite").parquet(f"{self.folder}/postings/batch={batch}")
+            counted = self.spark.read.schema("tf long").parquet(f"{self.folder}/postings/batch={batch}").agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("num_words"))
+            stored = self.spark.read.schema("id long").parquet(f"{self.folder}/documents/batch={batch}").agg(F.count("*").alias("num_docs"))
+            words = F.when(F.col("num_docs") > 0, F.col("num_words"))
+            stored.crossJoin(counted).select("num_docs", words.alias("num_words"), (words / F.col("num_docs")).alias("avg_words")).write.mode("overwrite").parquet(f"{self.folder}/statistics/batch={batch}")
 
     def _publish(self, batch: int, num_documents: int) -> None:
         meta = {"version": VERSION, "name": self.name, "metric": self.metric, "dimension": self.dimension, "num_documents": num_documents, "compacted": self.compacted, "hybrid": self.hybrid, "created_at": int(time.time()), "batches": [*self.batches, batch]}
@@ -130,9 +133,10 @@ class Index:
         if not vec_ids.unionByName(ids).join(self.documents(), "id", "left_semi").isEmpty():
             raise ValueError("some ids are in the index already")
         both = ids.withColumn("d", F.lit(1)).withColumn("v", F.lit(0)).unionByName(vec_ids.withColumn("d", F.lit(0)).withColumn("v", F.lit(1))).groupBy("id").agg(F.sum("d").alias("d"), F.sum("v").alias("v"))
-        if not both.filter("d > 1 or v > 1").isEmpty():
+        wrong = both.agg(F.bool_or(F.expr("d > 1 or v > 1")).alias("twice"), F.bool_or(F.expr("d <> 1 or v <> 1 or id is null")).alias("unmatched")).first()
+        if wrong.twice:
             raise ValueError("some ids come twice")
-        if not both.filter("d <> 1 or v <> 1 or id is null").isEmpty():
+        if wrong.unmatched:
             raise ValueError("documents and vectors must have the same ids")
         dims = knn.dimension_check(vectors.withColumnRenamed("vec", "embedding")).first()
         if dims.n_rows and (dims.least_dim, dims.greatest_dim) != (self.dimension, self.dimension):

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -100,6 +103,50 @@ def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return words.groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"), F.sort_array(F.collect_list("at")).alias("positions"))
 
 
+#: Words that `segments` groups together.
+GROUPED = 1_000_000
+
+
+def _grouped(ids: pa.Array, words: pa.ListArray) -> pa.RecordBatch:
+    """The postings of some texts, in the order of terms and ids."""
+    sizes = np.diff(words.offsets.to_numpy())
+    coded = words.flatten().dictionary_encode()
+    order = pc.sort_indices(coded.dictionary).to_numpy().astype(np.int64)
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    own = ids.fill_null(-(2**63)).to_numpy()
+    by_id = np.empty(len(own), np.int64)
+    by_id[np.argsort(own, kind="stable")] = np.arange(len(own))
+    key = rank[coded.indices.to_numpy()] * len(own) + np.repeat(by_id, sizes)
+    at = np.arange(len(key)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    place = np.argsort(key, kind="stable")  # places of a text stay in order
+    key = key[place]
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+    text = np.argsort(by_id)[key[first] % max(1, len(own))]
+    columns = [
+        coded.dictionary.take(pa.array(order[key[first] // max(1, len(own))])), ids.take(pa.array(text)), pa.array(np.diff(np.r_[first, len(key)])), pa.array(sizes[text].astype(np.int32)),
+        pa.ListArray.from_arrays(pa.array(np.r_[first, len(key)].astype(np.int32)), pa.array(at[place].astype(np.int32))),
+    ]
+    return pa.RecordBatch.from_arrays(columns, names=["term", "doc_id", "tf", "dl", "positions"])
+
+
+def segments(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`postings` of texts whose ids differ, for storage: each partition has those of its own texts, by term and id. A text's words stand in one row, so nothing is shuffled."""
+
+    def grouped(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            ends = part.column("w").offsets.to_numpy() - part.column("w").offsets[0].as_py()
+            start = 0
+            while start < part.num_rows:
+                stop = max(start + 1, int(np.searchsorted(ends, ends[start] + GROUPED, "right")) - 1)
+                some = part.slice(start, stop - start)
+                yield _grouped(some.column("doc_id"), some.column("w"))
+                start = stop
+
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), T.words(F.col(text_col)).alias("w"))
+    return own.mapInArrow(grouped, "term string, doc_id long, tf long, dl int, positions array<int>").sortWithinPartitions("term", "doc_id")
+
+
 def _times(words: Column, term: str) -> Column:
     return F.size(F.filter(words, lambda w: w == F.lit(term)))
 

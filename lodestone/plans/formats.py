@@ -240,10 +240,11 @@ def _index(spark: SparkSession, d: str) -> Index:
     """An index of all documents, built from one half and appended to by the other; a document's vector is that of the same number, round and round."""
     docs = _docs(spark, d).select(F.col("doc_id").alias("id"), "text", F.to_json(F.struct("lang", "source")).alias("metadata"))
     n = _emb(spark, d).count()
-    vecs = docs.select("id", (F.col("id") % n).alias("vec_id")).join(_emb(spark, d), "vec_id").select("id", F.col("embedding").alias("vec"))
+    vecs = staging.written(docs.select("id", (F.col("id") % n).alias("vec_id")).join(_emb(spark, d), "vec_id").select("id", F.col("embedding").alias("vec")), "vectors")
     odd = F.col("id") % 2 == 1
     index = Index.build(spark, f"{staging.shared_dir(spark)}/index-{uuid.uuid4().hex[:12]}", docs.filter(~odd), vecs.filter(~odd))
     index.append(docs.filter(odd), vecs.filter(odd))
+    staging.forget(vecs)
     return Index.load(spark, index.folder)
 
 

@@ -8,7 +8,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import chunking, conversations, rag
+from lodestone.operators import chunking, conversations, keyword, rag
 from lodestone.operators.index import Index, with_ids
 from lodestone.sources import exports, readers
 from lodestone.streaming import ingest
@@ -246,3 +246,20 @@ def test_command_functions(spark, tmp_path):
     assert cli.search(index, "number1", 2).count() == 2 and cli.search(index, "number1", 2, "vector").count() == 2
     (tmp_path / "set.json").write_text(json.dumps({"name": "n", "description": "", "queries": [{"query": "number1", "relevant_docs": ["0"], "graded_relevance": {"0": 2}}]}))
     assert cli.evaluated(index, str(tmp_path / "set.json")).count() == 5
+
+
+def test_postings_of_an_index_are_those_of_the_texts(spark, tmp_path, monkeypatch):
+    """As grouped by Spark; nothing is shuffled for them."""
+    monkeypatch.setattr(keyword, "GROUPED", 7)
+    texts = ["b a b", "", None, "é Ab ab zz \U0001d51e ￮", "a " * 30, "...", "Zz é b", "b"]
+    docs = spark.createDataFrame([(i * 5 % 8, t, "{}") for i, t in enumerate(texts)], "id long, text string, metadata string").repartition(2)
+    stored = keyword.segments(docs, "id")
+    assert "Exchange" not in stored._jdf.queryExecution().executedPlan().toString().split("Sort")[1].split("MapInArrow")[0]
+    as_rows = lambda df: sorted((r.term, r.doc_id, r.tf, r.dl, r.positions) for r in df.collect())
+    assert as_rows(stored) == as_rows(keyword.postings(docs, "id"))
+    index = Index.build(spark, str(tmp_path / "one"), docs, docs.select("id", F.array(F.lit(1.0), F.col("id")).alias("vec")))
+    postings, statistics = index.keywords()
+    assert as_rows(postings) == as_rows(stored) and statistics.collect() == keyword.stats(docs).collect()
+    for f in (tmp_path / "one/postings/batch=0").glob("*.parquet"):
+        rows = [(r.term, r.doc_id) for r in spark.read.parquet(str(f)).collect()]
+        assert rows == sorted(rows, key=lambda r: (r[0].encode(), r[1]))
